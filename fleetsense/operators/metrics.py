@@ -57,7 +57,7 @@ def reliability(frame: DataFrame, score: str, label: str, bins: int = 10) -> Dat
 def spearman(frame: DataFrame, a: str, b: str, keys=()) -> DataFrame:
     """Rank correlation by key; null where either side is constant."""
     ranked = _ranked(_ranked(frame, a, keys).withColumnRenamed("_rank", "ra"), b, keys).withColumnRenamed("_rank", "rb")
-    return ranked.groupBy(*keys).agg(F.when((F.var_pop("ra") > 0) & (F.var_pop("rb") > 0), F.corr("ra", "rb")).alias("rho"))
+    return ranked.groupBy(*keys).agg(F.try_divide(F.covar_pop("ra", "rb"), F.sqrt(F.var_pop("ra") * F.var_pop("rb"))).alias("rho"))
 
 
 def gini(counts: DataFrame, column: str) -> DataFrame:
