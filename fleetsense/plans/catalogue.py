@@ -16,6 +16,7 @@ from ..operators import metrics as M
 from ..operators import readings as R
 from ..sources import generate
 from ..sources import io as IO
+from ..sources.shared import fresh_path, stored
 from ..sources.views import Tables
 from .oracles import ORACLES
 
@@ -482,14 +483,7 @@ def _(t):
 @query("shortest_paths_small")
 def _(t):
     e = G.edges(_top(t, 6)).select("u", "v", "cost")
-    shared = t.spark.conf.get("spark.checkpoint.dir", None)
-
-    def store(df: DataFrame) -> DataFrame:
-        path = f"{shared or '/tmp/fleetsense-paths'}/paths-{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return t.spark.read.schema(df.schema).parquet(path)
-
-    p = G.shortest_paths(e, e.select(F.col("u").alias("node")).distinct(), store=store)
+    p = G.shortest_paths(e, e.select(F.col("u").alias("node")).distinct(), store=lambda df: stored(df, "paths"))
     return p.select("source", "node", F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path"), *r4("dist"))
 
 
@@ -594,8 +588,7 @@ def _once(t: Tables, stream: DataFrame, mode: str) -> DataFrame:
     from ..streaming import telemetry
 
     name = f"stream_{uuid.uuid4().hex[:12]}"
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or "/tmp/fleetsense-streams"
-    return telemetry.run_once(stream, mode, name, f"{base}/{name}")
+    return telemetry.run_once(stream, mode, name, fresh_path(t.spark, name))
 
 
 @query("stream_latest_state")
