@@ -3,15 +3,19 @@
 1. A text's set is its distinct 5-word shingles, as 64-bit hashes. Equal sets
    become one document.
 2. Groups: documents that agree in a pair of min-hashes are compared with the
-   first of them; what links forms groups of similar documents.
+   first of them; those that are alike by half of what a link takes form groups.
+   Groups decide what is compared where, not what links.
 3. The matrix: for each token (shingle) the groups in whose members' prefixes it
    stands. A prefix is so many of a set's tokens, in one global order, that two
-   sets which link share one; tokens that many documents have come last in that
+   sets which link share one; tokens that several groups have come last in that
    order, which is all that frequencies decide. A cell keeps the sizes of the
    members, so groups too unlike in size do not meet.
-4. A group's members, in parts of bounded size, give a token union; a document of
-   another group opens a part only if its overlap with the union can reach the
-   similarity, and is compared in full with the members then.
+4. A group's members, in parts of bounded size, give a token union; a document
+   opens a part only if its overlap with the union can reach the similarity. In an
+   open part the token lists count its overlap with each member. Members of a part
+   are held against one another, and documents of the group's other parts and of
+   the groups that the matrix names against all. A part gives only links that join
+   what it has not joined yet, so fewer than it has documents.
 5. Components of all links.
 
 No step emits the pairs of a group, and none needs more of a group in one place
@@ -29,14 +33,18 @@ from . import common, graph, hashing
 WORDS = 5
 #: Two sets link when DEN * intersection >= NUM * union.
 NUM, DEN = 80, 100
+#: Documents of one key are alike from this similarity on.
+ALIKE = 40
 KEYS = 3
-#: Tokens that come last in the order: those of so many documents (a power of two), and at most so many.
-HOT_CLASS, MAX_HOT = 2, 1_000_000
-HOT_BITS = 25
+#: Tokens that come last in the order: those of so many groups (a power of two), and at most so many, the most frequent.
+HOT_CLASS, MAX_HOT = 1, 3_000_000
+HOT_BITS = 26
 #: Members of a part; documents that are compared with one first document in one task.
-PART, STAR = 256, 512
+PART, STAR = 512, 128
 #: Bits of the filter that says which texts are needed; beyond what it can tell apart, more texts than needed are sent.
 NEED_BITS = 24
+#: Text that a worker hashes at once.
+BATCH_BYTES = 2 << 20
 _SEEDS = [int(x) for x in (np.arange(1, 2 * KEYS + 1, dtype=np.uint64) * hashing.MIX) | np.uint64(1)]
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -63,17 +71,6 @@ def shingle_sets(column, words: int = WORDS) -> list[np.ndarray]:
     return out
 
 
-def links(a: np.ndarray, b: np.ndarray) -> bool:
-    if not len(a) or not len(b) or not fits(len(a), len(b)):
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return DEN * both >= NUM * (len(a) + len(b) - both)
-
-
-def fits(m: int, n: int) -> bool:
-    return DEN * min(m, n) >= NUM * max(m, n)
-
-
 def prefix_size(n: int) -> int:
     """Tokens among which a set of n shares one with each set that it links with."""
     return n - -(-NUM * n // DEN) + 1
@@ -103,19 +100,16 @@ def ordered_prefix(tokens: np.ndarray, hot: np.ndarray) -> np.ndarray:
     return np.concatenate([tokens[cool], tokens[np.flatnonzero(last)[: p - len(cool)]]])
 
 
-SIGNATURE = "kind int, doc_id long, n long, d1 long, d2 long, keys array<long>, bucket int, tokens binary, counts binary"
+SIGNATURE = "doc_id long, n long, d1 long, d2 long, keys array<long>"
 
 
-def signatures(docs: DataFrame, buckets: int) -> DataFrame:
-    """For each row its set's size, digest and keys (kind 0); and counts of prefix tokens, by bucket (kind 1)."""
+def signatures(docs: DataFrame) -> DataFrame:
+    """For each row its set's size, digest and keys."""
 
     def run(batches):
         import pyarrow as pa
 
-        schema = pa.schema(
-            [("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("keys", pa.list_(pa.int64())), ("bucket", pa.int32()), ("tokens", pa.binary()), ("counts", pa.binary())]
-        )
-        for batch in common.sized(batches, "text"):
+        for batch in common.sized(batches, "text", BATCH_BYTES):
             sets = shingle_sets(batch.column("text"))
             n = np.array([len(x) for x in sets], np.int64)
             d1, d2 = np.zeros(len(sets), np.int64), np.zeros(len(sets), np.int64)
@@ -129,58 +123,79 @@ def signatures(docs: DataFrame, buckets: int) -> DataFrame:
                 least = [np.minimum.reduceat(hashing.mixed(flat ^ np.uint64(s)), at) for s in _SEEDS]
                 for k in range(KEYS):
                     keys[some, k] = hashing.mixed(least[2 * k] * np.uint64(3) + least[2 * k + 1] + np.uint64(k)).view(np.int64)
-                head = np.concatenate([sets[i][: -(-13 * prefix_size(len(sets[i])) // 10)] for i in some])
-                tokens, count = np.unique(_bits(head), return_counts=True)
-            else:
-                tokens, count = np.empty(0, np.int64), np.empty(0, np.int64)
-            rows = len(sets)
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.zeros(rows, np.int32)), batch.column("doc_id"), pa.array(n), pa.array(d1), pa.array(d2),
-                    pa.array(list(keys), pa.list_(pa.int64())), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary()), pa.nulls(rows, pa.binary()),
-                ],
-                schema=schema,
-            )
-            cuts = np.searchsorted(tokens, (np.arange(buckets + 1) << HOT_BITS) // buckets)
-            parts = [(b, tokens[x:y].astype(np.uint32).tobytes(), np.minimum(count[x:y], 65535).astype(np.uint16).tobytes()) for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])) if y > x]
-            if parts:
-                k = len(parts)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.ones(k, np.int32)), *[pa.nulls(k, pa.int64()) for _ in range(4)], pa.nulls(k, pa.list_(pa.int64())),
-                        pa.array([b for b, _, _ in parts], pa.int32()), pa.array([t for _, t, _ in parts]), pa.array([c for _, _, c in parts]),
-                    ],
-                    schema=schema,
-                )
+                [batch.column("doc_id"), pa.array(n), pa.array(d1), pa.array(d2), pa.array(list(keys), pa.list_(pa.int64()))], ["doc_id", "n", "d1", "d2", "keys"]
+            )
 
     return docs.mapInArrow(run, SIGNATURE)
 
 
-def hot_filter(counted: DataFrame, parts: int) -> np.ndarray:
-    """A bit for each of 2**HOT_BITS token classes: whether many documents have it. At most MAX_HOT are set, those of most documents."""
+def _cut(bucket: np.ndarray, *columns: np.ndarray):
+    """A row for each bucket: its number and its entries of each column as bytes. The entries keep their order."""
+    import pyarrow as pa
 
-    def total(batches):
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    ids, at = np.unique(bucket, return_index=True)
+    ends = np.append(at[1:], len(bucket))
+    out = [pa.array(ids.astype(np.int64))]
+    for x in columns:
+        x = x[order]
+        out.append(pa.array([x[a:b].tobytes() for a, b in zip(at, ends)], pa.binary()))
+    return pa.RecordBatch.from_arrays(out, ["bucket", "tokens", "counts"][: len(out)])
+
+
+def hot_filter(docs: DataFrame, groups: DataFrame, parts: int) -> np.ndarray:
+    """A bit for each of 2**HOT_BITS token classes: whether several groups have it. At most MAX_HOT are set, those of most groups.
+
+    Tokens that may stand in a prefix are counted, of all documents. Pairs of
+    token and group are made distinct where both decide the place, so a token of
+    very many groups is counted by all tasks, and the counts are summed by token.
+    """
+
+    def heads(batches):
         import pyarrow as pa
 
-        sums: dict[int, np.ndarray] = {}
+        for batch in common.sized(batches, "text", BATCH_BYTES):
+            blobs = [_bits(x[: -(-13 * prefix_size(len(x)) // 10)]).astype(np.uint32).tobytes() if len(x) else None for x in shingle_sets(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(blobs, pa.binary())], ["doc_id", "tokens"])
+
+    def pairs(batches):
         for batch in batches:
-            for b, t, c in zip(*(batch.column(k).to_pylist() for k in ("bucket", "tokens", "counts"))):
-                lo = (b << HOT_BITS) // buckets
-                if b not in sums:
-                    sums[b] = np.zeros(-(-(1 << HOT_BITS) // buckets) + 1, np.int64)
-                sums[b][np.frombuffer(t, np.uint32).astype(np.int64) - lo] += np.frombuffer(c, np.uint16)
-        for b, s in sums.items():
-            lo = (b << HOT_BITS) // buckets
-            size = np.log2(np.maximum(s, 1)).astype(np.int32)
+            blobs = batch.column("tokens").to_pylist()
+            token = np.frombuffer(b"".join(blobs), np.uint32).astype(np.uint64)
+            group = hashing.mixed(np.asarray(batch.column("group")).astype(np.uint64)) >> np.uint64(32)
+            both = np.unique(token << np.uint64(32) | np.repeat(group, [len(b) // 4 for b in blobs]))
+            yield _cut((hashing.mixed(both) >> np.uint64(33)).astype(np.int64) % (2 * parts), both)
+
+    def gathered(batches, kinds):
+        """A task's entries of each column, of all its buckets: they are numbers of the tokens, not of the documents that have them."""
+        held = [blobs for batch in batches for blobs in zip(*(batch.column(k).to_pylist() for k in batch.schema.names[1:]))]
+        return [np.frombuffer(b"".join(h[k] for h in held), t) for k, t in enumerate(kinds)]
+
+    def count(batches):
+        (both,) = gathered(batches, [np.uint64])
+        if len(both):
+            token, n = np.unique(np.unique(both) >> np.uint64(32), return_counts=True)
+            yield _cut(token.astype(np.int64) * 2 * parts >> HOT_BITS, token.astype(np.uint32), np.minimum(n, 65535).astype(np.uint16))
+
+    def total(batches):
+        import pyarrow as pa
+
+        token, n = gathered(batches, [np.uint32, np.uint16])
+        if len(token):
+            token, at = np.unique(token, return_inverse=True)
+            size = np.log2(np.bincount(at, n)).astype(np.int32)
             for k in np.unique(size[size >= HOT_CLASS]).tolist():
-                at = np.flatnonzero(size == k) + lo
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([len(at)], pa.int64()), pa.array([at.astype(np.uint32).tobytes()])], ["size", "n", "tokens"])
+                hit = token[size == k]
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([len(hit)], pa.int64()), pa.array([hit.tobytes()], pa.binary())], ["size", "n", "tokens"])
 
-    buckets = parts
-    hot = common.stored(counted.repartition(parts, "bucket").mapInArrow(total, "size int, n long, tokens binary"), "join-hot")
-    sums = sorted(hot.groupBy("size").agg(F.sum("n").alias("n")).collect(), reverse=True)
+    blobs = docs.where("doc_id is not null").mapInArrow(heads, "doc_id long, tokens binary").where("tokens is not null").join(groups, "doc_id").select("tokens", "group")
+    dealt = blobs.mapInArrow(pairs, "bucket long, tokens binary").repartition(parts, "bucket")
+    counted = dealt.mapInArrow(count, "bucket long, tokens binary, counts binary").repartition(parts, "bucket")
+    hot = common.stored(counted.mapInArrow(total, "size int, n long, tokens binary"), "join-hot")
     left, least = MAX_HOT, 99
-    for size, n in sums:
+    for size, n in sorted(map(tuple, hot.groupBy("size").agg(F.sum("n").alias("n")).collect()), reverse=True):
         if n > left:
             break
         left, least = left - n, size
@@ -193,28 +208,12 @@ def hot_filter(counted: DataFrame, parts: int) -> np.ndarray:
 
 def need_filter(ids: DataFrame) -> np.ndarray:
     """A bit for each class of the ids: a few MB, whatever their number."""
-    step = 1 << 15
-
-    def pack(batches):
-        import pyarrow as pa
-
-        parts: dict[int, np.ndarray] = {}
-        for batch in batches:
-            at = np.asarray(batch.column("at"))
-            for c in np.unique(at // step).tolist():
-                bits = parts.setdefault(c, np.zeros(step // 8, np.uint8))
-                x = at[at // step == c] % step
-                np.bitwise_or.at(bits, x >> 3, (1 << (x & 7)).astype(np.uint8))
-        if parts:
-            yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int64()), pa.array([v.tobytes() for v in parts.values()])], ["part", "bits"])
-
-    at = ids.select(F.pmod(F.col("doc_id"), F.lit(1 << NEED_BITS)).alias("at")).distinct()
-    at = at.repartition(common.shuffle_parts(ids.sparkSession), F.expr(f"at div {step}"))
-    bits = np.zeros(1 << (NEED_BITS - 3), np.uint8)
-    for r in at.mapInArrow(pack, "part long, bits binary").toLocalIterator():
-        a = r["part"] * step // 8
-        bits[a : a + step // 8] |= np.frombuffer(r["bits"], np.uint8)
-    return bits
+    at = f"pmod(doc_id, {1 << NEED_BITS}L)"
+    words = ids.select(F.expr(f"shiftright({at}, 5)").alias("word"), F.expr(f"shiftleft(1L, CAST({at} % 32 AS INT))").alias("bit"))
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()  # 2**NEED_BITS / 32 rows at most
+    bits = np.zeros(1 << (NEED_BITS - 5), np.uint32)
+    bits[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).astype(np.uint32)
+    return bits.view(np.uint8)
 
 
 def needed(docs: DataFrame, bits: np.ndarray) -> DataFrame:
@@ -230,11 +229,63 @@ def needed(docs: DataFrame, bits: np.ndarray) -> DataFrame:
     return docs.where("doc_id is not null").mapInArrow(run, "doc_id long, text string")
 
 
-def compare(docs: DataFrame, asked: DataFrame) -> DataFrame:
-    """u, v: links found among asked (part, role, doc_id): documents of role 1 are held against those of role 0 of their part.
-
-    A document opens a part only if its overlap with the part's token union can
-    reach the similarity; it gives one link at most with a part.
+class Part:
+    """Members of a part: their token union, each token's members, and what has been joined."""
+
+    def __init__(self):
+        self.docs: list[int] = []
+        self.sets: list[np.ndarray] = []
+        self.union = None
+        self.root: dict[int, int] = {}
+
+    def add(self, doc: int, tokens: np.ndarray) -> None:
+        if len(tokens):
+            self.docs.append(doc)
+            self.sets.append(tokens)
+
+    def close(self) -> None:
+        if self.union is None and self.sets:
+            size = np.array([len(x) for x in self.sets], np.int64)
+            token, member = np.concatenate(self.sets), np.repeat(np.arange(len(size)), size)
+            order = np.argsort(token, kind="stable")
+            token, self.member = token[order], member[order]
+            at = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            self.union, self.start, self.end = token[at], at, np.append(at[1:], len(token))
+            self.size = size
+
+    def alike(self, tokens: np.ndarray, least: int) -> np.ndarray:
+        """Members with DEN * intersection >= least * union."""
+        if self.union is None or not len(tokens):
+            return np.empty(0, np.int64)
+        at = np.searchsorted(self.union, tokens)
+        at[at == len(self.union)] = 0
+        at = at[self.union[at] == tokens]
+        if DEN * len(at) < least * len(tokens):  # the bound: no member shares more than the union does
+            return np.empty(0, np.int64)
+        n = self.end[at] - self.start[at]
+        pos = np.arange(int(n.sum())) + np.repeat(self.start[at] - (np.cumsum(n) - n), n)
+        both = np.bincount(self.member[pos], minlength=len(self.size))
+        return np.flatnonzero(DEN * both >= least * (self.size + len(tokens) - both))
+
+    def _find(self, x: int) -> int:
+        while self.root.get(x, x) != x:
+            self.root[x] = self.root.get(self.root[x], self.root[x])
+            x = self.root[x]
+        return x
+
+    def joins(self, doc: int, members: np.ndarray):
+        """Those links of doc that join what was apart."""
+        for m in members.tolist():
+            a, b = self._find(doc), self._find(self.docs[m])
+            if a != b:
+                self.root[max(a, b)] = min(a, b)
+                yield doc, self.docs[m]
+
+
+def compare(docs: DataFrame, asked: DataFrame, least: int = NUM, within: bool = True) -> DataFrame:
+    """u, v: documents alike among asked (part, role, doc_id). Those of role 1 are held against those of role 0 of their part.
+
+    within: those of role 0 are held against one another as well.
     """
     spark = docs.sparkSession
     rows = needed(docs, need_filter(asked)).join(asked, "doc_id").select("part", "role", "doc_id", "text")
@@ -243,31 +294,40 @@ def compare(docs: DataFrame, asked: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        part, members, union = None, [], None
-        for batch in common.sized(batches, "text", 4 << 20):
-            u, v = [], []
+        name, part, u, v = None, Part(), [], []
+
+        def finish() -> None:
+            """Close the part and hold its members against one another."""
+            if part.union is None and part.docs:
+                sets = list(part.sets)
+                part.close()
+                if within and len(sets) > 1:
+                    for doc, tokens in zip(list(part.docs), sets):
+                        for a, b in part.joins(doc, part.alike(tokens, least)):
+                            u.append(a)
+                            v.append(b)
+                part.sets = []
+
+        for batch in common.sized(batches, "text", BATCH_BYTES):
             sets = shingle_sets(batch.column("text"))
-            for p, role, doc, x in zip(batch.column("part").to_pylist(), batch.column("role").to_pylist(), batch.column("doc_id").to_pylist(), sets):
-                if p != part:
-                    part, members, union = p, [], None
+            for p, role, doc, tokens in zip(batch.column("part").to_pylist(), batch.column("role").to_pylist(), batch.column("doc_id").to_pylist(), sets):
+                if p != name:
+                    finish()
+                    name, part = p, Part()
                 if role == 0:
-                    members.append((doc, x))
+                    part.add(doc, tokens)
                     continue
-                if not members or not len(x):
-                    continue
-                if union is None:
-                    union = members[0][1] if len(members) == 1 else np.unique(np.concatenate([m for _, m in members]))
-                if len(union):
-                    at = np.minimum(np.searchsorted(union, x), len(union) - 1)
-                    if DEN * int((union[at] == x).sum()) < NUM * len(x):
-                        continue
-                for other, m in members:
-                    if other != doc and links(x, m):
-                        u.append(doc)
-                        v.append(other)
-                        break
+                finish()
+                for a, b in part.joins(doc, part.alike(tokens, least)):
+                    u.append(a)
+                    v.append(b)
             if u:
                 yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+                u.clear()
+                v.clear()
+        finish()
+        if u:
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
     return rows.mapInArrow(run, "u long, v long")
 
@@ -276,7 +336,7 @@ def star_pairs(distinct: DataFrame) -> DataFrame:
     """part, role, doc_id: each document that shares a key with lesser ones is held against the least of them."""
     keyed = distinct.select("doc_id", "n", F.posexplode("keys").alias("which", "key"))
     first = keyed.groupBy("which", "key").agg(F.min(F.struct("doc_id", "n")).alias("f"), F.count("*").alias("rows")).where("rows > 1")
-    pairs = keyed.join(first.select("which", "key", "f"), ["which", "key"]).where("doc_id > f.doc_id").where(DEN * F.least("n", F.col("f.n")) >= NUM * F.greatest("n", F.col("f.n")))
+    pairs = keyed.join(first.select("which", "key", "f"), ["which", "key"]).where("doc_id > f.doc_id").where(DEN * F.least("n", F.col("f.n")) >= ALIKE * F.greatest("n", F.col("f.n")))
     pairs = pairs.select(F.col("f.doc_id").alias("first"), "doc_id").distinct()
     pairs = pairs.join(pairs.groupBy("first").agg(F.count("*").alias("rows")), "first")
     pairs = pairs.select("first", "doc_id", F.pmod(F.xxhash64("doc_id"), F.expr(f"1 + rows div {STAR}")).alias("salt"))
@@ -295,7 +355,7 @@ def matrix(docs: DataFrame, groups: DataFrame, hot: np.ndarray, parts: int) -> D
     def prefixes(batches):
         import pyarrow as pa
 
-        for batch in common.sized(batches, "text"):
+        for batch in common.sized(batches, "text", BATCH_BYTES):
             sets = shingle_sets(batch.column("text"))
             n = [len(x) for x in sets]
             blobs = [ordered_prefix(x, hot).tobytes() if len(x) else None for x in sets]
@@ -316,7 +376,7 @@ def matrix(docs: DataFrame, groups: DataFrame, hot: np.ndarray, parts: int) -> D
             place = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
             short = place < np.repeat(np.array([short_size(k) for k in n.tolist()], np.int64), size)
             mark = np.repeat(2 * n, size) + short
-            bucket = ((token >> np.uint64(HOT_BITS)) % np.uint64(4 * parts)).astype(np.int64)
+            bucket = ((token >> np.uint64(HOT_BITS)) % np.uint64(2 * parts)).astype(np.int64)
             order = np.lexsort((mark, group, token, bucket))
             bucket, token, group, mark = bucket[order], token[order], group[order], mark[order]
             new = np.ones(len(token), bool)
@@ -376,17 +436,26 @@ def matrix(docs: DataFrame, groups: DataFrame, hot: np.ndarray, parts: int) -> D
 
 
 def opened(pairs: DataFrame, groups: DataFrame) -> DataFrame:
-    """part, role, doc_id: members of one group of each pair, in parts, and the other group's documents, which ask."""
+    """part, role, doc_id: members of groups in parts (role 0), and the documents that ask them (role 1).
+
+    Stored are the groups of several members and the larger one of each pair. A
+    member asks the parts of its group after its own; a pair's smaller group asks
+    all parts of the larger one.
+    """
     sizes = groups.groupBy("group").agg(F.count("*").alias("members"))
     p = pairs.join(sizes.select(F.col("group").alias("g1"), F.col("members").alias("m1")), "g1").join(sizes.select(F.col("group").alias("g2"), F.col("members").alias("m2")), "g2")
-    first = F.col("m1") >= F.col("m2")  # the larger group is stored, the smaller one asks
+    first = F.col("m1") >= F.col("m2")
     p = p.select(F.when(first, F.col("g1")).otherwise(F.col("g2")).alias("stored"), F.when(first, F.col("g2")).otherwise(F.col("g1")).alias("asks"), F.greatest("m1", "m2").alias("members"))
     n_parts = F.expr(f"1 + members div {PART}")
-    stored = p.select("stored", "members").distinct().join(groups.withColumnRenamed("group", "stored"), "stored")
-    stored = stored.select(F.concat_ws("/", "stored", F.pmod(F.xxhash64("doc_id"), n_parts)).alias("part"), F.lit(0).alias("role"), "doc_id")
+    own = F.pmod(F.xxhash64("doc_id"), n_parts)
+    stored = p.select("stored", "members").unionByName(sizes.where("members > 1").select(F.col("group").alias("stored"), "members")).distinct()
+    stored = common.stored(stored.join(groups.withColumnRenamed("group", "stored"), "stored").select("stored", "doc_id", "members", own.alias("k")), "join-stored")
+    name = lambda k: F.concat_ws("/", "stored", k).alias("part")
+    members = stored.select(name("k"), F.lit(0).alias("role"), "doc_id")
+    later = stored.where(F.col("k") < n_parts - 1).select("stored", "doc_id", F.explode(F.sequence(F.col("k") + 1, n_parts - 1)).alias("j"))
     asks = p.join(groups.withColumnRenamed("group", "asks"), "asks").select("stored", "doc_id", "members").distinct()
-    asks = asks.select("stored", "doc_id", F.explode(F.sequence(F.lit(0).cast("long"), n_parts - 1)).alias("k"))
-    return stored.unionByName(asks.select(F.concat_ws("/", "stored", "k").alias("part"), F.lit(1).alias("role"), "doc_id"))
+    asks = asks.select("stored", "doc_id", F.explode(F.sequence(F.lit(0).cast("long"), n_parts - 1)).alias("j"))
+    return members.unionByName(later.unionByName(asks).select(name("j"), F.lit(1).alias("role"), "doc_id"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -400,19 +469,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     common.small_batches(spark)
     docs, parts = common.texts(docs), common.shuffle_parts(spark)
-    both = common.stored(signatures(docs, parts), "join-signatures")
-    rows = both.where("kind = 0").select("doc_id", "n", "d1", "d2", "keys")
+    rows = common.stored(signatures(docs), "join-signatures")
     sets = rows.where("n > 0 and doc_id is not null")
     distinct = common.stored(sets.groupBy("n", "d1", "d2").agg(F.min(F.struct("doc_id", "keys")).alias("f")).select("n", "d1", "d2", "f.doc_id", "f.keys"), "join-distinct")
     equal = sets.join(distinct.select("n", "d1", "d2", F.col("doc_id").alias("v")), ["n", "d1", "d2"]).where("doc_id != v").select(F.col("doc_id").alias("u"), "v")
-    near = common.stored(compare(docs, common.stored(star_pairs(distinct), "join-stars")), "join-links")
-    grouped = graph.components(near)
+    alike = compare(docs, common.stored(star_pairs(distinct), "join-stars"), ALIKE, within=False)
+    grouped = graph.components(alike)
     groups = distinct.select("doc_id").distinct().join(grouped, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("group"))
     groups = common.stored(groups, "join-groups")
-    hot = hot_filter(both.where("kind = 1").select("bucket", "tokens", "counts"), parts)
+    hot = hot_filter(docs, groups, parts)
     asked = common.stored(opened(common.stored(matrix(docs, groups, hot, parts), "join-pairs"), groups), "join-asked")
-    more = compare(docs, asked)
-    roots = graph.components(near.unionByName(more).unionByName(equal))
+    roots = graph.components(compare(docs, asked).unionByName(equal))
     return rows.join(roots, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
 
 
