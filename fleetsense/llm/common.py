@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import fresh_path, shared_dir, stored  # noqa: F401  used as common.stored and so on
+
 #: Rows in one Arrow batch: texts may be long, so few rows keep a worker's memory small.
 BATCH_ROWS = 1000
 
@@ -18,29 +16,6 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        now = spark.sparkContext.getCheckpointDir()
-        found = now or os.path.join(tempfile.gettempdir(), f"fleetsense-checkpoints-{os.getuid()}")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df below the shared folder and read it again: cuts the lineage and outlives lost executors."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -54,7 +29,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def sized(batches, column: str, limit: int = 8 << 20, rows: int = 20_000):
+def sized(batches, column: str, limit: int = 4 << 20, rows: int = 20_000):
     """Arrow batches dealt anew: each holds about `limit` bytes of a text column, or one longer text.
 
     Both cuts depend on the rows alone, so a task that runs again deals alike.
@@ -82,3 +57,16 @@ def sized(batches, column: str, limit: int = 8 << 20, rows: int = 20_000):
                 held, size, n = [], 0, 0
     if n:
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    held = []
+    trim()
+
+
+def trim() -> None:
+    """Give memory that a worker has freed back to the system: workers outlive their tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)

@@ -32,7 +32,7 @@ def local_groups(docs: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in common.sized(batches, "text", 16 << 20):
+        for batch in common.sized(batches, "text", 8 << 20):
             groups: dict[str, list] = {}
             for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 groups.setdefault(t, []).append(i)

@@ -6,7 +6,7 @@ remains of the documents is sorted by length and each, the longest first, goes t
 the lowest-cost sequence that has room for it. A group of documents gets just as
 many sequences as its tokens fill, the last of them in power-of-two lengths that
 need no padding; a document that fits none of the cheapest sequences is cut.
-Groups are the Arrow batches of a task, some 8 MB of text, so a task needs little
+Groups are the Arrow batches of a task, some 4 MB of text, so a task needs little
 memory, nothing is shuffled, and a task that runs again packs alike.
 """
 

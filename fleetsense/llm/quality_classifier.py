@@ -105,7 +105,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in common.sized(batches, "text", 4 << 20):
+        for batch in common.sized(batches, "text", 2 << 20):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.scores(batch.column("text")))], ["doc_id", "score"])
 
     scored = common.texts(docs).mapInArrow(run, "doc_id long, score double")
@@ -121,7 +121,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> Da
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        for batch in common.sized(batches, "text", 4 << 20):
+        for batch in common.sized(batches, "text", 2 << 20):
             good = model.scores(pc.fill_null(batch.column("text"), "")) >= threshold
             yield batch.filter(pa.array(good))
 

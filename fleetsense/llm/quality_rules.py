@@ -169,7 +169,7 @@ def apply(docs: DataFrame, model: Model, min_probability: float = MIN_PROBABILIT
     def run(batches):
         import pyarrow as pa
 
-        for batch in common.sized(batches, "text", 4 << 20):
+        for batch in common.sized(batches, "text", 2 << 20):
             data, bounds = hashing.buffer(batch.column("text"))
             c = counts(data, bounds)
             failed = (c["n_words"] < MIN_WORDS) | (100 * c["n_repeat_words"] > MAX_REPEAT_PERCENT * c["n_words"])

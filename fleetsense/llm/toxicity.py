@@ -292,7 +292,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         import pyarrow as pa
 
         reader = Reader(model.lexicon)
-        for batch in common.sized(batches, "text", 4 << 20):
+        for batch in common.sized(batches, "text", 2 << 20):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(reader, batch.column("text")))], ["doc_id", "score"])
 
     scored = common.texts(docs).mapInArrow(run, "doc_id long, score double")
