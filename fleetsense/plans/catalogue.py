@@ -613,6 +613,9 @@ def _(t):
     return rows.rollup("region_id", "group_id").agg(F.count("*").alias("nodes"), F.round(F.avg("waste_level"), 6).alias("mean_waste"))
 
 
+from . import catalogue_more  # noqa: E402, F401  registers its queries
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

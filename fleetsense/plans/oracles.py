@@ -227,3 +227,27 @@ ORACLES = {
     "stream_windows": q("SELECT date_trunc('day', timestamp) AS start, count(*) AS n, round(avg(waste_level), 6) AS mean_waste, round(max(waste_level), 6) AS max_waste FROM reading GROUP BY 1 HAVING date_trunc('day', min(timestamp)) + INTERVAL 1 DAY <= (SELECT max(timestamp) - INTERVAL 1 HOUR FROM reading)"),
     "nation_region_rollup": q("SELECT region_id, g.group_id, count(*) AS nodes, round(avg(waste_level), 6) AS mean_waste FROM bin_group g JOIN node n ON n.group_id = g.group_id JOIN latest l ON l.node_id = n.node_id GROUP BY ROLLUP (region_id, g.group_id)", LATEST),
 }
+ORACLES |= {
+    "ingest_raw_readings": q("SELECT event_id AS reading_id, user_id AS node_id, CAST(event_id % 40 AS DOUBLE) AS temperature, round((event_id % 50) / 20e0, 6) AS gas_level, round(CASE WHEN event_id % 6 <> 0 THEN (event_id % 30) / 20e0 ELSE 0e0 END, 6) AS waste_level FROM events WHERE event_id % 9 <> 0"),
+    "facet_filters": q("SELECT node_id, group_name, group_name || CASE WHEN latitude IS NULL THEN ' - null' ELSE ' - ' || printf('%.2f', latitude) END AS shown FROM node n JOIN bin_group g ON n.group_id = g.group_id WHERE lower(group_name) IN ('france', 'china', 'peru') OR group_name LIKE 'IN%' OR node_name LIKE '%99%'"),
+    "nodes_by_name_any_case": q("SELECT node_id, node_name FROM node WHERE node_name ILIKE 'customer#000000007'"),
+    "urgent_candidates": q(f"SELECT node_id, round(p, 6) AS priority FROM (SELECT node_id, {prio(STATE)} AS p FROM latest) WHERE p >= 0.5e0", LATEST),
+    "dropna_counts": q("SELECT node_id, count(*) AS rows, count(DISTINCT humidity) AS humidities FROM reading_obs WHERE waste_level IS NOT NULL AND gas_level IS NOT NULL GROUP BY 1"),
+    "sampled_timestamps": q("SELECT reading_id, timestamp FROM reading WHERE timestamp >= (SELECT min(timestamp) + INTERVAL 50 HOUR FROM reading) ORDER BY md5(CAST(reading_id AS VARCHAR) || '/7'), reading_id LIMIT 400"),
+    "sampled_peak_hours": q("SELECT bucket, load FROM (SELECT date_trunc('hour', timestamp) AS bucket, CAST(sum(hazard) AS BIGINT) AS load FROM haz GROUP BY 1 ORDER BY load DESC, bucket DESC LIMIT 40) ORDER BY md5(strftime(bucket, '%Y-%m-%d %H')), bucket LIMIT 25", HAZ),
+    "iso_times": q("SELECT reading_id, strftime(timestamp, '%Y-%m-%dT%H:%M:%S') AS iso, strftime(timestamp, '%Y%m%d') AS version, CASE WHEN reading_id % 5 <> 0 THEN (1700000000 + reading_id) * 1000000 END AS parsed_us FROM reading"),
+    "radar_values": q(f"SELECT reading_id, round({clip('waste_level')} * 100, 1) AS fill, round({clip('gas_level')} * 100, 1) AS gas, round({NORM['temperature']} * 100, 1) AS temperature, round({NORM['humidity']} * 100, 1) AS humidity FROM reading"),
+    "simulated_calendar": q("SELECT reading_id, reading_id % 4000 % 24 AS hour, (reading_id % 4000) // 24 % 7 AS dow, (reading_id % 4000) // 24 % 7 >= 5 AS weekend FROM reading"),
+    "running_longest_gap": q("SELECT visit_id, round(max(gap) OVER (PARTITION BY node_id ORDER BY visited_at, visit_id), 4) AS longest_h FROM (SELECT *, coalesce((epoch_us(visited_at) - lag(epoch_us(visited_at)) OVER (PARTITION BY node_id ORDER BY visited_at, visit_id)) / 3600000000e0, 0e0) AS gap FROM visit)"),
+    "stop_pairs": q("SELECT * FROM (SELECT tour_id, pos, stop_id, lead(stop_id) OVER (PARTITION BY tour_id ORDER BY pos) AS next_id FROM stop) WHERE next_id IS NOT NULL"),
+    "path_arrays": q("""SELECT tour_id, array_to_string(list_reverse(p), ',') AS reversed, array_to_string(p[1:2], ',') AS head, array_to_string(list_prepend(0, p), ',') AS inserted, list_contains(p, 5) AS has_five,
+        array_to_string(list_sort(list_filter(list_distinct(p), lambda x: x <> p[1])), ',') AS others, TRUE AS permutation FROM (SELECT tour_id, list(stop_id ORDER BY pos) AS p FROM stop GROUP BY 1)"""),
+    "route_stop_labels": q("SELECT s.group_id, s.pos, coalesce(n.node_name, 'Node ' || s.node_id) AS name, round(coalesce(l.waste_level, 0e0), 6) AS waste_level FROM steps s LEFT JOIN latest l ON l.node_id = s.node_id LEFT JOIN node n ON n.node_id = l.node_id", SCORED, TOPG, greedy(1.0), steps(), recursive=True),
+    "route_documents": q(
+        f"""SELECT w.group_id, CAST(len(w.path) AS BIGINT) AS stops, CAST(len(w.path) - 1 AS BIGINT) AS edges, round(coalesce(e.s, 0e0), 3) AS edge_sum, round(t.priority, 6) AS first_priority, {USER[0]}e0 AS lat, round(w.cost, 4) AS total_cost FROM walk_tour w
+        JOIN top t ON t.group_id = w.group_id AND t.node_id = w.path[1] LEFT JOIN (SELECT s.group_id, sum({edge()}) AS s FROM (SELECT *, lead(node_id) OVER (PARTITION BY group_id ORDER BY pos) AS nxt FROM steps) s
+          JOIN top a ON a.group_id = s.group_id AND a.node_id = s.node_id JOIN top b ON b.group_id = s.group_id AND b.node_id = s.nxt GROUP BY 1) e ON e.group_id = w.group_id""",
+        SCORED, TOPG, greedy(1.0), steps(), recursive=True),
+    "prediction_documents": q(f"SELECT node_id, round(gas_level, 6) AS gas, -1e0 AS missing, round({prio(STATE)}, 6) AS predicted_cost, 'rule-1' AS model_version FROM latest", LATEST),
+    "rule_without_models": q(f"SELECT n.node_id, round(coalesce(p, 0e0), 6) AS priority FROM node n LEFT JOIN (SELECT node_id, {prio(STATE)} AS p FROM latest) l ON l.node_id = n.node_id", LATEST),
+}
