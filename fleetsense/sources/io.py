@@ -60,11 +60,12 @@ def append_readings(readings: DataFrame, path: str) -> None:
 
 
 def route_rows(tours: DataFrame, edges: DataFrame, scores: DataFrame, key: str, alpha: float, user: tuple[float, float], top_n: int) -> DataFrame:
-    """Nested route documents: path, edges, scores and how they were made."""
+    """Nested route documents: path, edges, scores and how they were made. A route of one stop has no edges."""
+    none = F.array().cast("array<struct<pos:int,u:bigint,v:bigint,w:double>>")
     e = edges.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "u", "v", "w"))).alias("edges"))
     s = scores.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("node_id", "priority"))).alias("priority_scores"))
     doc = F.struct(
-        "path", F.transform("edges", lambda x: F.struct(x["u"].alias("u"), x["v"].alias("v"), x["w"].alias("w"))).alias("edges"), F.lit(alpha).alias("alpha"), "priority_scores",
+        "path", F.transform(F.coalesce("edges", none), lambda x: F.struct(x["u"].alias("u"), x["v"].alias("v"), x["w"].alias("w"))).alias("edges"), F.lit(alpha).alias("alpha"), "priority_scores",
         F.lit("engine").alias("source"), F.struct(F.lit(user[0]).alias("lat"), F.lit(user[1]).alias("lng")).alias("user_location"), F.lit(top_n).alias("top_n_selected"), F.lit("1").alias("algorithm_version"),
     ).alias("route_data")
     return tours.join(e, key, "left").join(s, key, "left").select(key, doc, F.col("cost").alias("total_cost"))
