@@ -15,6 +15,15 @@ from pyspark.sql import DataFrame
 from ..functions.config import CO2_KG_PER_KM, EARTH_M, SPEED_KMH
 
 
+#: Tasks for a few heavy groups: so many that they rarely share one.
+TASKS = 64
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows by key in at least TASKS partitions, which adaptive execution does not put together again."""
+    return rows.repartition(max(TASKS, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
 def distances(lat: np.ndarray, lng: np.ndarray) -> np.ndarray:
     a, b = np.radians(np.nan_to_num(lat)), np.radians(np.nan_to_num(lng))
     h = np.sin((a[:, None] - a) / 2) ** 2 + np.cos(a)[:, None] * np.cos(a) * np.sin((b[:, None] - b) / 2) ** 2
@@ -94,18 +103,18 @@ def or_opt(order: list[int], m: np.ndarray, depot: int, sizes=(1, 2, 3), max_pas
 
     move_last=False never moves a stretch that holds the last stop.
     """
-    t = [depot, *order, depot]
+    t = np.array([depot, *order, depot])
 
-    def moved() -> list[int] | None:
+    def moved() -> np.ndarray | None:
         for s in sizes:
             for i in range(1, len(t) - s - (0 if move_last else 1)):
-                seg, rest = t[i : i + s], np.array(t[:i] + t[i + s :])
+                seg, rest = t[i : i + s], np.concatenate((t[:i], t[i + s :]))
                 saved = m[t[i - 1], t[i]] + m[t[i + s - 1], t[i + s]] - m[t[i - 1], t[i + s]]
                 added = m[rest[:-1], seg[0]] + m[seg[-1], rest[1:]] - m[rest[:-1], rest[1:]]
                 hit = np.flatnonzero(saved - added > eps)
                 if len(hit):
                     j = int(hit[0]) + 1
-                    return rest[:j].tolist() + seg + rest[j:].tolist()
+                    return np.concatenate((rest[:j], seg, rest[j:]))
         return None
 
     for _ in range(max_pass):
@@ -113,7 +122,7 @@ def or_opt(order: list[int], m: np.ndarray, depot: int, sizes=(1, 2, 3), max_pas
         if new is None:
             break
         t = new
-    return t[1:-1]
+    return t[1:-1].tolist()
 
 
 def greedy(candidates: list[int], m: np.ndarray, depot: int, priority: np.ndarray | None = None, alpha: float = 0.0) -> list[int]:
@@ -122,11 +131,12 @@ def greedy(candidates: list[int], m: np.ndarray, depot: int, priority: np.ndarra
         p = np.zeros(len(m))
         p[: len(priority)] = priority  # the depot has none
         cost = m / (1 + 10 * alpha * p)
-    left, at, order = sorted(candidates), depot, []
-    while left:
-        at = min(left, key=lambda j: (cost[at, j], j))
+    closed, at, order = np.full(len(m), np.inf), depot, []
+    closed[candidates] = 0.0
+    for _ in candidates:
+        at = int(np.argmin(cost[at] + closed))  # the first, and so the smallest index, of equals
         order.append(at)
-        left.remove(at)
+        closed[at] = np.inf
     return order
 
 
@@ -135,17 +145,42 @@ def orienteering(candidates: list[int], m: np.ndarray, depot: int, prize: np.nda
 
     refine_each runs 2-opt after each insertion, else once at the end.
     """
-    order, left = [], sorted(candidates)
-    while left:
+    order, left = [], np.array(sorted(candidates), int)
+    start, add = np.full(len(m), depot), np.full(len(m), np.inf)  # each node's cheapest edge of the tour, by its first node, and the metres added there
+
+    def search(nodes: np.ndarray) -> None:
         path = np.array([depot, *order, depot])
-        add = m[path[:-1], :][:, left] + m[path[1:], :][:, left] - m[path[:-1], path[1:]][:, None]
-        place = add.argmin(0)
-        ratio = prize[left] / np.maximum(add.min(0), 1.0)
-        b = int(ratio.argmax())
-        j, pos = left.pop(b), int(place[b])
+        more = m[path[:-1, None], nodes] + m[path[1:, None], nodes] - m[path[:-1], path[1:]][:, None]
+        start[nodes], add[nodes] = path[more.argmin(0)], more.min(0)
+
+    if len(left):
+        search(left)
+    while len(left):
+        b = int((prize[left] / np.maximum(add[left], 1.0)).argmax())
+        j = int(left[b])
+        left = np.delete(left, b)
+        a = int(start[j])
+        pos = order.index(a) + 1 if order and a != depot else 0
         trial = order[:pos] + [j] + order[pos:]
-        if length(trial, m, depot) <= budget:
-            order = two_opt(trial, m, depot, eps=1e-6) if refine_each else trial
+        if length(trial, m, depot) > budget:
+            continue
+        if refine_each:
+            order = two_opt(trial, m, depot, eps=1e-6)
+            if len(left):
+                search(left)
+            continue
+        after, order = order[pos] if pos < len(order) else depot, trial
+        # The edge a..after became a..j and j..after: only nodes that had it look at the whole tour again.
+        place = np.zeros(len(m), int)
+        place[order] = np.arange(1, len(order) + 1)
+        place[depot] = 0
+        keep = left[start[left] != a]
+        one, two = m[a, keep] + m[j, keep] - m[a, j], m[j, keep] + m[after, keep] - m[j, after]
+        new, first = np.minimum(one, two), np.where(one <= two, a, j)
+        better = (new < add[keep]) | ((new == add[keep]) & (place[first] < place[start[keep]]))
+        start[keep[better]], add[keep[better]] = first[better], new[better]
+        if (again := left[start[left] == a]).size:
+            search(again)
     return order if refine_each else two_opt(order, m, depot)
 
 
@@ -246,28 +281,33 @@ def equity(snapshots: DataFrame, gammas: DataFrame, shift_h: float = 8.0, share:
     """Waits and visits under shifts of orienteering with an aging boost, a row for each gamma.
 
     snapshots: shift, node_id, latitude, longitude, priority, critical, user_lat, user_lng. Shifts follow one
-    another, gammas run side by side. At the start every node was last visited at hour 0.
+    another, gammas run side by side. At the start every node was last visited at hour 0. A node that a shift
+    lacks keeps its last state and stays where it is. A node without coordinates is on no tour, but waits.
     """
 
     def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
         gamma = float(key[0])
         g = g.sort_values(["shift", "node_id"])
-        ids = np.sort(g.node_id.unique())
+        at_node = g.groupby("node_id")[["latitude", "longitude"]].first()  # the first that is known; by id
+        ids, lat, lng = at_node.index, at_node.latitude.to_numpy(float), at_node.longitude.to_numpy(float)
         n = len(ids)
+        m = distances(np.append(lat, g.user_lat.dropna().iloc[0]), np.append(lng, g.user_lng.dropna().iloc[0]))
+        placed = np.flatnonzero(~(np.isnan(lat) | np.isnan(lng))).tolist()
+        budget = share * length(or_opt(two_opt(greedy(placed, m, n), m, n), m, n, move_last=False), m, n)
         last, visits, worst, served = np.zeros(n), np.zeros(n, int), np.zeros(n), []
+        priority, critical = np.zeros(n), np.zeros(n, bool)
         for shift, s in g.groupby("shift"):
             t = start_h + shift * shift_h
-            s = s.set_index("node_id").reindex(ids)
-            m = distances(np.append(s.latitude.to_numpy(float), s.user_lat.iloc[0]), np.append(s.longitude.to_numpy(float), s.user_lng.iloc[0]))
-            prize = s.priority.fillna(0).to_numpy(float) + gamma * np.minimum(1.0, (t - last) / tau)
-            full = or_opt(two_opt(greedy(list(range(n)), m, n), m, n), m, n, move_last=False)
-            order = orienteering(list(range(n)), m, n, prize, share * length(full, m, n))
+            k = ids.get_indexer(s.node_id)
+            priority[k], critical[k] = s.priority.fillna(0).to_numpy(float), (s.critical == True).to_numpy(bool)  # noqa: E712
+            prize = priority + gamma * np.minimum(1.0, (t - last) / tau)
+            order = orienteering(placed, m, n, prize, budget)
             if order:
                 path = [n, *order]
                 at = np.cumsum(m[path[:-1], path[1:]]) / 1000 / SPEED_KMH
                 last[order] = t + at
                 visits[order] += 1
-                served += at[(s.critical == True).to_numpy(bool)[order]].tolist()
+                served += at[critical[order]].tolist()
             worst = np.maximum(worst, t - last)
         x = np.sort(visits.astype(float))
         gini = float((n + 1 - 2 * (np.cumsum(x) / x.sum()).sum()) / n) if x.sum() else 0.0
@@ -276,4 +316,4 @@ def equity(snapshots: DataFrame, gammas: DataFrame, shift_h: float = 8.0, share:
             "never_served": int((visits == 0).sum()), "mean_time_to_critical_h": round(float(np.mean(served)) if served else 0.0, 3), "total_visits": int(visits.sum()),
         }])
 
-    return snapshots.crossJoin(gammas).groupBy("gamma").applyInPandas(run, EQUITY_SCHEMA)
+    return spread(snapshots.crossJoin(gammas), "gamma").groupBy("gamma").applyInPandas(run, EQUITY_SCHEMA)

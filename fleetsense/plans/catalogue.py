@@ -525,6 +525,26 @@ def _snapshots(t: Tables) -> DataFrame:
     return last.withColumn("k", F.row_number().over(w)).where("k <= 20").select("shift", F.col("shift").alias("route_id"), "node_id", "latitude", "longitude", "priority", (F.col("hazard") == 1).alias("critical"), "time_to_overflow", F.lit(DEPOT[0]).alias("user_lat"), F.lit(DEPOT[1]).alias("user_lng"))
 
 
+#: Shifts of the equity simulation, from its start.
+START_H, SHIFT_H = 50.0, 8.0
+
+
+def _states(t: Tables, start_h: float, step_h: float) -> DataFrame:
+    """State of every node at start_h, start_h + step_h, ... hours after the first reading, as long as there are readings.
+
+    It is that of the node's newest reading up to then, with its labels. Before its first reading a node has priority 0.
+    """
+    us, first = S.micros("timestamp"), F.min(S.micros("timestamp"))
+    span = F.broadcast(t.reading.agg(first.alias("first"), F.floor(((F.max(us) - first) / 3.6e9 - start_h) / step_h).alias("last")))  # one row
+    rows = R.overflow_label(R.hazard_label(t.reading)).crossJoin(span)
+    rows = rows.withColumn("shift", F.greatest(F.ceil(((us - F.col("first")) / 3.6e9 - start_h) / step_h), F.lit(0))).withColumn("priority", S.state_priority())
+    seen = rows.groupBy("shift", "node_id").agg(F.max(F.struct("timestamp", "reading_id", "priority", "hazard", "time_to_overflow")).alias("r"))
+    grid = t.node.select("node_id", "latitude", "longitude").crossJoin(span.where("last >= 0")).withColumn("shift", F.explode(F.sequence(F.lit(0).cast("long"), "last")))
+    carried = F.last("r", True).over(Window.partitionBy("node_id").orderBy("shift").rowsBetween(Window.unboundedPreceding, 0))
+    rows = grid.join(seen, ["shift", "node_id"], "left").withColumn("r", carried)
+    return rows.select("shift", F.col("shift").alias("route_id"), "node_id", "latitude", "longitude", F.coalesce("r.priority", F.lit(0.0)).alias("priority"), F.coalesce(F.col("r.hazard") == 1, F.lit(False)).alias("critical"), "r.time_to_overflow", F.lit(DEPOT[0]).alias("user_lat"), F.lit(DEPOT[1]).alias("user_lng"))
+
+
 @query("policy_comparison")
 def _(t):
     from ..operators import routing
@@ -537,9 +557,8 @@ def _(t):
 def _(t):
     from ..operators import routing
 
-    nodes = t.node.where("node_id < 20").select("node_id")
-    grid = nodes.crossJoin(F.broadcast(_snapshots(t).select("shift").distinct()))
-    return routing.equity(grid.join(_snapshots(t), ["shift", "node_id"]), t.spark.createDataFrame([(0.0,), (0.25,), (0.5,), (1.0,)], "gamma double"))
+    gammas = t.spark.createDataFrame([(0.0,), (0.25,), (0.5,), (1.0,)], "gamma double")
+    return routing.equity(_states(t, START_H, SHIFT_H), gammas, shift_h=SHIFT_H, start_h=START_H)
 
 
 # Simulation, models, streams
