@@ -249,13 +249,15 @@ def compare_policies(snapshots: DataFrame) -> DataFrame:
     """A row for each snapshot and policy: full sweep, threshold, warped by each alpha, warped and refined, orienteering.
 
     snapshots: route_id, node_id, latitude, longitude, priority, critical, time_to_overflow, user_lat, user_lng.
+    A node without coordinates is on no tour; its prize counts in what there was to collect.
     """
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("node_id").reset_index(drop=True)
         n = len(g)
         m = distances(np.append(g.latitude.to_numpy(float), g.user_lat.iloc[0]), np.append(g.longitude.to_numpy(float), g.user_lng.iloc[0]))
-        p, crit, tto, every = g.priority.fillna(0).to_numpy(float), g.critical.to_numpy(), g.time_to_overflow.to_numpy(float), list(range(n))
+        p, crit, tto = g.priority.fillna(0).to_numpy(float), g.critical.to_numpy(), g.time_to_overflow.to_numpy(float)
+        every = np.flatnonzero(g.latitude.notna() & g.longitude.notna()).tolist()
         rows = []
 
         def add(policy: str, order: list[int], alpha: float | None = None) -> None:
@@ -271,7 +273,7 @@ def compare_policies(snapshots: DataFrame) -> DataFrame:
         add("E_orienteering", orienteering(every, m, n, p, 0.65 * length(full, m, n)))
         return pd.DataFrame(rows)
 
-    return snapshots.groupBy("route_id").applyInPandas(run, POLICY_SCHEMA)
+    return spread(snapshots, "route_id").groupBy("route_id").applyInPandas(run, POLICY_SCHEMA)
 
 
 EQUITY_SCHEMA = "gamma double, worst_wait_h double, mean_wait_h double, gini_visits double, never_served int, mean_time_to_critical_h double, total_visits int"

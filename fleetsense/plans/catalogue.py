@@ -513,29 +513,19 @@ def _(t):
     return routing.prize_routes(_requests(t), 0.65, False)
 
 
-def _snapshots(t: Tables) -> DataFrame:
-    """State of each node at three-day steps, with labels."""
-    rows = R.overflow_label(R.hazard_label(t.reading)).join(t.node.select("node_id", "latitude", "longitude"), "node_id")
-    first = F.broadcast(t.reading.agg(F.min(S.micros("timestamp")).alias("first")))
-    rows = rows.crossJoin(first).withColumn("shift", F.floor((S.micros("timestamp") - F.col("first")) / (72 * 3.6e9)))
-    rows = rows.withColumn("priority", S.state_priority())
-    keep = ["timestamp", "reading_id", "latitude", "longitude", "priority", "hazard", "time_to_overflow"]
-    last = rows.groupBy("shift", "node_id").agg(F.max(F.struct(*keep)).alias("r")).select("shift", "node_id", "r.*")
-    w = Window.partitionBy("shift").orderBy(F.desc("priority"), "node_id")
-    return last.withColumn("k", F.row_number().over(w)).where("k <= 20").select("shift", F.col("shift").alias("route_id"), "node_id", "latitude", "longitude", "priority", (F.col("hazard") == 1).alias("critical"), "time_to_overflow", F.lit(DEPOT[0]).alias("user_lat"), F.lit(DEPOT[1]).alias("user_lng"))
-
-
 #: Shifts of the equity simulation, from its start.
 START_H, SHIFT_H = 50.0, 8.0
+#: Between the snapshots that policies are compared on: three days.
+STEP_H = 72.0
 
 
-def _states(t: Tables, start_h: float, step_h: float) -> DataFrame:
-    """State of every node at start_h, start_h + step_h, ... hours after the first reading, as long as there are readings.
+def _states(t: Tables, start_h: float, step_h: float, rest: bool = False) -> DataFrame:
+    """State of every node at start_h, start_h + step_h, ... hours after the first reading, as long as there are readings; rest: once more at the end.
 
     It is that of the node's newest reading up to then, with its labels. Before its first reading a node has priority 0.
     """
     us, first = S.micros("timestamp"), F.min(S.micros("timestamp"))
-    span = F.broadcast(t.reading.agg(first.alias("first"), F.floor(((F.max(us) - first) / 3.6e9 - start_h) / step_h).alias("last")))  # one row
+    span = F.broadcast(t.reading.agg(first.alias("first"), (F.ceil if rest else F.floor)(((F.max(us) - first) / 3.6e9 - start_h) / step_h).alias("last")))  # one row
     rows = R.overflow_label(R.hazard_label(t.reading)).crossJoin(span)
     rows = rows.withColumn("shift", F.greatest(F.ceil(((us - F.col("first")) / 3.6e9 - start_h) / step_h), F.lit(0))).withColumn("priority", S.state_priority())
     seen = rows.groupBy("shift", "node_id").agg(F.max(F.struct("timestamp", "reading_id", "priority", "hazard", "time_to_overflow")).alias("r"))
@@ -549,7 +539,7 @@ def _states(t: Tables, start_h: float, step_h: float) -> DataFrame:
 def _(t):
     from ..operators import routing
 
-    rows = routing.compare_policies(_snapshots(t))
+    rows = routing.compare_policies(_states(t, STEP_H, STEP_H, True))
     return rows.groupBy("policy", "alpha").agg(*[F.avg(c).alias(c) for c in ("distance_km", "co2_kg", "n_visited", "mean_time_to_critical_h", "missed_overflow", "prize_pct")])
 
 

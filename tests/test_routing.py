@@ -180,3 +180,23 @@ def test_equity_sweep_takes_all_nodes(spark):
     sf = "/root/testdata/sf0.001"
     rows, nodes = catalogue.queries()["equity_sweep"](spark, sf).collect(), Tables(spark, sf).node.count()
     assert [r.gamma for r in sorted(rows)] == [0.0, 0.25, 0.5, 1.0] and all(r.total_visits >= nodes for r in rows)
+
+
+def test_policies_take_all_nodes_of_a_snapshot(spark):
+    from fleetsense.plans import catalogue
+    from fleetsense.sources.views import Tables
+
+    sf = "/root/testdata/sf0.001"
+    t, got = Tables(spark, sf), {(r.policy, r.alpha): r for r in catalogue.queries()["policy_comparison"](spark, sf).collect()}
+    placed = t.node.where("latitude IS NOT NULL AND longitude IS NOT NULL").count()
+    states = catalogue._states(t, 72.0, 72.0, True)
+    assert placed > 20 and states.select("shift").distinct().count() == 10 and states.count() == 10 * t.node.count()
+    assert got["A_static_full", None].n_visited == placed and got["C_warped", 4.0].n_visited == placed
+    assert got["B_threshold", None].n_visited == pytest.approx(states.where("priority >= 0.5 AND latitude IS NOT NULL").count() / 10)
+
+
+def test_policies_leave_out_what_has_no_place(spark):
+    rows = [(1, i, None if i == 2 else 23.78 + (i * 7 % 30) * 0.002, 90.34 + (i * 11 % 30) * 0.002, 0.5, i % 3 == 0, 1.0, 23.8069, 90.3687) for i in range(30)]
+    got = T.compare_policies(spark.createDataFrame(rows, "route_id long, node_id long, latitude double, longitude double, priority double, critical boolean, time_to_overflow double, user_lat double, user_lng double")).collect()
+    full = next(r for r in got if r.policy == "A_static_full")
+    assert full.n_visited == 29 and full.prize_pct == round(100 * 29 / 30, 1) and full.distance_km < 100 and len(got) == 10
