@@ -3,8 +3,9 @@
 The standard library's parser streams start tags, end tags and text. Each run of
 text between two block borders is a line with a count of the tags in it. The
 lines' text-to-tag ratios are smoothed by a Gaussian kernel and parted into two
-clusters by a threshold; the region whose lines hold the most text of the high
-cluster is the page's content. Structure says what can never be content: scripts,
+clusters by a threshold. The article or main whose lines hold the most text of the
+high cluster is the page's content; without one it is all from the first to the last
+line of the high cluster, in whatever regions they stand. Structure says what can never be content: scripts,
 styles, menus, footers, sidebars, forms, notices, adverts and comments.
 """
 
@@ -63,6 +64,7 @@ class Lines(HTMLParser):
         self.region = 0
         self.parents = [0]  # of each region
         self.roots = [-1]  # the outermost article or main that holds the region; -1 if none does
+        self.tops = {0}  # the page itself and its body
         self.rooted = 0  # open articles and mains
         self.text: list[str] = []
         self.tags = 0
@@ -152,6 +154,8 @@ class Lines(HTMLParser):
             self.parents.append(self.region)
             self.roots.append(above if above >= 0 else len(self.roots) if tag in ROOTS else -1)
             self.region = len(self.roots) - 1
+            if tag == "body":
+                self.tops.add(self.region)
         self.rooted += tag in ROOTS
 
     def handle_startendtag(self, tag, attrs):
@@ -237,22 +241,27 @@ def extract(html: str) -> str:
     if held:
         best = max(held, key=lambda r: (held[r], -r))
         return "\n\n".join(lines[k][0] for k in usable if parser.roots[lines[k][3]] == best)
-    # No article: the region whose own lines have most text of the high cluster, from its first such line to its last.
-    for k in high:
-        held[lines[k][3]] = held.get(lines[k][3], 0) + len(lines[k][0])
-    best = max(held, key=lambda r: (held[r], -r))
-    mine = [k for k in high if lines[k][3] == best]
-    first, last = mine[0], mine[-1]
-    can = set(usable)
-    while first - 1 in can and lines[first - 1][3] == best and lines[first - 1][2] < LINK_SHARE * len(lines[first - 1][0]):
-        first -= 1  # a heading has few characters and stands before the text
-    while last + 1 in can and lines[last + 1][3] == best and lines[last + 1][2] < LINK_SHARE * len(lines[last + 1][0]):
-        last += 1
-    within = {best}
+    # No article: all from the first high line to the last, and what stands beside them in the region that holds them all.
+    linked = lambda k: lines[k][2] >= LINK_SHARE * max(1, len(lines[k][0]))
+    mine = [k for k in high if not linked(k)]
+    if not mine:
+        return ""
+    holder = lines[mine[0]][3]
+    for r in {lines[k][3] for k in mine}:
+        while r != holder:  # a region's number is larger than its parent's
+            r, holder = (parser.parents[r], holder) if r > holder else (r, parser.parents[holder])
+    within = {holder} if holder not in parser.tops else set()
     for r, parent in enumerate(parser.parents):
         if r and parent in within:
             within.add(r)
-    return "\n\n".join(lines[k][0] for k in usable if first <= k <= last and lines[k][3] in within and lines[k][2] < LINK_SHARE * max(1, len(lines[k][0])))
+    can = set(usable)
+    beside = lambda k, end: k in can and not linked(k) and (lines[k][3] in within or lines[k][3] == lines[end][3])
+    first, last = mine[0], mine[-1]
+    while beside(first - 1, first):
+        first -= 1  # a heading has few characters and stands before the text
+    while beside(last + 1, last):
+        last += 1
+    return "\n\n".join(lines[k][0] for k in usable if first <= k <= last and not linked(k))
 
 
 def main_text(pages: DataFrame) -> DataFrame:

@@ -79,3 +79,24 @@ def test_context_finds_what_no_pattern_knows(spark):
 def test_main_path_is_native(spark):
     plan = pii.read_texts(spark.createDataFrame([(1, "a")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+LONG = [f"Paragraph {k} of plain prose, {'which is long enough to be one and ' * (1 + k % 3)}which ends here." for k in range(6)]
+AROUND = "<body><div class=top-menu><a href=1>Home</a> <a href=2>News</a></div>{}<div id=sidebar><p>Not this one, though it is long enough to be one</p></div><div><a href=3>Next page of it</a></div>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div id=content><h1>Head</h1>" + "".join(f"<section><p>{x}</p></section>" for x in LONG) + "<div><p>Brief.</p></div></div>",
+        "<div id=content><h1>Head</h1>" + "".join(f"<div><p>{x}</p></div>" for x in LONG) + "<p>Brief.</p></div>",
+        "<div><h1>Head</h1><section>" + "".join(f"<p>{x}</p>" for x in LONG[:3]) + "</section><div><div>" + "".join(f"<p>{x}</p>" for x in LONG[3:]) + "</div><div>Brief.</div></div></div>",
+    ],
+)
+def test_article_in_sibling_regions(page):
+    assert html_text.extract(AROUND.format(page)) == "\n\n".join(["Head", *LONG, "Brief."])
+
+
+def test_paragraphs_in_sibling_divs_of_the_body():
+    page = AROUND.format("".join(f"<div><p>{x}</p></div>" for x in LONG))
+    assert html_text.extract(page) == "\n\n".join(LONG)
