@@ -20,6 +20,14 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def free(name: str, *frames: DataFrame) -> str:
+    """The name, with underscores before it until none of the frames has such a column (in any case)."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def texts(docs: DataFrame, *keep: str) -> DataFrame:
     """doc_id, text (null as empty) and the columns to keep; others, whatever their names, are left behind."""
     return docs.select(*[F.col(f"`{c}`") for c in ("doc_id", *keep)], F.coalesce(F.col("text"), F.lit("")).alias("text"))

@@ -5,21 +5,25 @@
 2. Groups: documents that agree in a pair of min-hashes are compared with the
    first of them; those that are alike by half of what a link takes form groups.
    Groups decide what is compared where, not what links.
-3. The matrix: for each token (shingle) the groups in whose members' prefixes it
-   stands. A prefix is so many of a set's tokens, in one global order, that two
-   sets which link share one; tokens that several groups have come last in that
-   order, which is all that frequencies decide. A cell keeps the sizes of the
-   members, so groups too unlike in size do not meet.
-4. A group's members, in parts of bounded size, give a token union; a document
-   opens a part only if its overlap with the union can reach the similarity. In an
-   open part the token lists count its overlap with each member. Members of a part
-   are held against one another, and documents of the group's other parts and of
-   the groups that the matrix names against all. A part gives only links that join
-   what it has not joined yet, so fewer than it has documents.
-5. Components of all links.
-
-No step emits the pairs of a group, and none needs more of a group in one place
-than a part.
+3. Tokens (shingles) are put in one global order, the rare ones first: all tokens
+   of all documents are counted, near copies once, into a table of fixed size that
+   holds a class of frequency for each hash class of tokens.
+4. The matrix: for each token the groups in whose members' prefixes it stands. A
+   prefix is so many of a set's first tokens in the order that two sets which link
+   share one. A cell keeps the sizes of the members, so groups too unlike in size
+   do not meet. A token of few groups gives their pairs; one of many is a hub that
+   names its groups once, so a cell gives at most HUB rows.
+5. A group's or hub's members, in parts of bounded size, give a token union; a
+   document opens a part only if its overlap with the union can reach the
+   similarity. In an open part the token lists count its overlap with each member.
+   Members of a part are held against one another, and documents of the later parts
+   and of the groups that the matrix names against all. A part gives only links that
+   join what it has not joined yet, so fewer than it has documents. A part that many
+   documents ask is dealt out in several copies.
+6. Components of all links.
+
+No step emits the pairs of a group or of a token's groups, and none needs more of
+a group in one place than a part.
 """
 
 from __future__ import annotations
@@ -36,11 +40,13 @@ NUM, DEN = 80, 100
 #: Documents of one key are alike from this similarity on.
 ALIKE = 40
 KEYS = 3
-#: Tokens that come last in the order: those of so many groups (a power of two), and at most so many, the most frequent.
-HOT_CLASS, MAX_HOT = 1, 3_000_000
-HOT_BITS = 26
-#: Members of a part; documents that are compared with one first document in one task.
-PART, STAR = 512, 128
+#: Bits of a token's hash class, and the numbers of kinds of documents from which on the next class of frequency begins (two bits).
+CLASS_BITS, CLASSES = 26, (2, 16, 256)
+_BLOCK_BITS = 18
+#: Groups of one token from which on it is a hub.
+HUB = 64
+#: Members of a part; documents that ask a copy of it, about; documents compared with one first document in one task.
+PART, ASKERS, STAR = 512, 2048, 128
 #: Bits of the filter that says which texts are needed; beyond what it can tell apart, more texts than needed are sent.
 NEED_BITS = 24
 #: Text that a worker hashes at once.
@@ -81,23 +87,22 @@ def short_size(n: int) -> int:
     return n - -(-2 * NUM * n // (NUM + DEN)) + 1
 
 
-def _bits(h: np.ndarray) -> np.ndarray:
-    return (h & np.uint64((1 << HOT_BITS) - 1)).astype(np.int64)
+def _class_of(h: np.ndarray) -> np.ndarray:
+    return (h & np.uint64((1 << CLASS_BITS) - 1)).astype(np.int64)
 
 
-def ordered_prefix(tokens: np.ndarray, hot: np.ndarray) -> np.ndarray:
-    """The first prefix_size tokens, those that are not hot first, ascending."""
+def frequency(tokens: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Each token's class of frequency (0 to 3) by a table of two bits for each hash class."""
+    at = _class_of(tokens)
+    return table[at >> 2] >> (2 * (at & 3)).astype(np.uint8) & np.uint8(3)
+
+
+def ordered_prefix(tokens: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """The first prefix_size tokens in the global order: by class of frequency, then by hash."""
     p = prefix_size(len(tokens))
-    at = _bits(tokens[: 2 * p])
-    cool = np.flatnonzero((hot[at >> 3] >> (at & 7) & 1) == 0)
-    if len(cool) < p and len(tokens) > 2 * p:
-        at = _bits(tokens)
-        cool = np.flatnonzero((hot[at >> 3] >> (at & 7) & 1) == 0)
-    if len(cool) >= p:
-        return tokens[cool[:p]]
-    last = np.ones(len(tokens), bool)
-    last[cool] = False
-    return np.concatenate([tokens[cool], tokens[np.flatnonzero(last)[: p - len(cool)]]])
+    if not often[:p].any():
+        return tokens[:p]
+    return tokens[np.argsort(often, kind="stable")[:p]]
 
 
 SIGNATURE = "doc_id long, n long, d1 long, d2 long, keys array<long>"
@@ -145,65 +150,60 @@ def _cut(bucket: np.ndarray, *columns: np.ndarray):
     return pa.RecordBatch.from_arrays(out, ["bucket", "tokens", "counts"][: len(out)])
 
 
-def hot_filter(docs: DataFrame, groups: DataFrame, parts: int) -> np.ndarray:
-    """A bit for each of 2**HOT_BITS token classes: whether several groups have it. At most MAX_HOT are set, those of most groups.
+def frequency_table(docs: DataFrame, parts: int) -> np.ndarray:
+    """Two bits for each of 2**CLASS_BITS hash classes of tokens: how many kinds of documents have it, by CLASSES.
 
-    Tokens that may stand in a prefix are counted, of all documents. Pairs of
-    token and group are made distinct where both decide the place, so a token of
-    very many groups is counted by all tasks, and the counts are summed by token.
+    All tokens of all documents are counted. A document's kind is 16 bits of a
+    min-hash, on which near copies mostly agree, so a group's own tokens are not
+    taken for frequent ones. Pairs of token and kind are made distinct where both
+    decide the place, so a token of very many documents is counted by all tasks;
+    the counts are summed by token. The table's size does not depend on the input.
     """
-
-    def heads(batches):
-        import pyarrow as pa
-
-        for batch in common.sized(batches, "text", BATCH_BYTES):
-            blobs = [_bits(x[: -(-13 * prefix_size(len(x)) // 10)]).astype(np.uint32).tobytes() if len(x) else None for x in shingle_sets(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(blobs, pa.binary())], ["doc_id", "tokens"])
+    kind_bits = np.uint64(16)
+    seed = np.uint64(_SEEDS[0])
 
     def pairs(batches):
-        for batch in batches:
-            blobs = batch.column("tokens").to_pylist()
-            token = np.frombuffer(b"".join(blobs), np.uint32).astype(np.uint64)
-            group = hashing.mixed(np.asarray(batch.column("group")).astype(np.uint64)) >> np.uint64(32)
-            both = np.unique(token << np.uint64(32) | np.repeat(group, [len(b) // 4 for b in blobs]))
-            yield _cut((hashing.mixed(both) >> np.uint64(33)).astype(np.int64) % (2 * parts), both)
-
-    def gathered(batches, kinds):
-        """A task's entries of each column, of all its buckets: they are numbers of the tokens, not of the documents that have them."""
-        held = [blobs for batch in batches for blobs in zip(*(batch.column(k).to_pylist() for k in batch.schema.names[1:]))]
-        return [np.frombuffer(b"".join(h[k] for h in held), t) for k, t in enumerate(kinds)]
+        for batch in common.sized(batches, "text", BATCH_BYTES):
+            sets = [x for x in shingle_sets(batch.column("text")) if len(x)]
+            if sets:
+                n = np.array([len(x) for x in sets], np.int64)
+                flat = np.concatenate(sets)
+                kind = np.minimum.reduceat(hashing.mixed(flat ^ seed), np.cumsum(n) - n) >> np.uint64(48)
+                both = np.unique(_class_of(flat).astype(np.uint64) << kind_bits | np.repeat(kind, n))
+                six = np.ascontiguousarray(both).view(np.uint8).reshape(-1, 8)[:, :6]  # little-endian: 42 bits are used
+                yield _cut((hashing.mixed(both) >> np.uint64(33)).astype(np.int64) % (2 * parts), six)
 
     def count(batches):
-        (both,) = gathered(batches, [np.uint64])
-        if len(both):
-            token, n = np.unique(np.unique(both) >> np.uint64(32), return_counts=True)
-            yield _cut(token.astype(np.int64) * 2 * parts >> HOT_BITS, token.astype(np.uint32), np.minimum(n, 65535).astype(np.uint16))
+        """Kinds of each token; a task holds what its buckets have, about a part of all."""
+        held = [blob for batch in batches for blob in batch.column("tokens").to_pylist()]
+        if held:
+            six = np.frombuffer(b"".join(held), np.uint8).reshape(-1, 6)
+            held.clear()
+            wide = np.zeros((len(six), 8), np.uint8)
+            wide[:, :6] = six
+            token, n = np.unique(np.unique(wide.view(np.uint64).ravel()) >> kind_bits, return_counts=True)
+            yield _cut((token >> np.uint64(_BLOCK_BITS)).astype(np.int64), token.astype(np.uint32), n.astype(np.uint32))
 
     def total(batches):
         import pyarrow as pa
 
-        token, n = gathered(batches, [np.uint32, np.uint16])
-        if len(token):
-            token, at = np.unique(token, return_inverse=True)
-            size = np.log2(np.bincount(at, n)).astype(np.int32)
-            for k in np.unique(size[size >= HOT_CLASS]).tolist():
-                hit = token[size == k]
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([len(hit)], pa.int64()), pa.array([hit.tobytes()], pa.binary())], ["size", "n", "tokens"])
-
-    blobs = docs.where("doc_id is not null").mapInArrow(heads, "doc_id long, tokens binary").where("tokens is not null").join(groups, "doc_id").select("tokens", "group")
-    dealt = blobs.mapInArrow(pairs, "bucket long, tokens binary").repartition(parts, "bucket")
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, tokens, n in zip(*(batch.column(k).to_pylist() for k in ("bucket", "tokens", "counts"))):
+                into = sums.setdefault(block, np.zeros(1 << _BLOCK_BITS, np.int64))
+                at = np.frombuffer(tokens, np.uint32).astype(np.int64) & ((1 << _BLOCK_BITS) - 1)  # distinct in a blob
+                into[at] += np.frombuffer(n, np.uint32)
+        for block, n in sums.items():
+            often = np.searchsorted(np.array(CLASSES), n, "right").astype(np.uint8).reshape(-1, 4)
+            packed = np.bitwise_or.reduce(often << np.arange(0, 8, 2, dtype=np.uint8), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([packed.tobytes()], pa.binary())], ["block", "often"])
+
+    dealt = docs.where("doc_id is not null").mapInArrow(pairs, "bucket long, tokens binary").repartition(parts, "bucket")
     counted = dealt.mapInArrow(count, "bucket long, tokens binary, counts binary").repartition(parts, "bucket")
-    hot = common.stored(counted.mapInArrow(total, "size int, n long, tokens binary"), "join-hot")
-    left, least = MAX_HOT, 99
-    for size, n in sorted(map(tuple, hot.groupBy("size").agg(F.sum("n").alias("n")).collect()), reverse=True):
-        if n > left:
-            break
-        left, least = left - n, size
-    bits = np.zeros(1 << (HOT_BITS - 3), np.uint8)
-    for r in hot.where(F.col("size") >= least).select("tokens").toLocalIterator():
-        at = np.frombuffer(r["tokens"], np.uint32).astype(np.int64)
-        np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
-    return bits
+    table = np.zeros((1 << CLASS_BITS - _BLOCK_BITS, 1 << _BLOCK_BITS - 2), np.uint8)
+    for r in counted.mapInArrow(total, "block long, often binary").collect():  # 2**(CLASS_BITS - _BLOCK_BITS) rows at most, 16 MB
+        table[r["block"]] = np.frombuffer(r["often"], np.uint8)
+    return table.ravel()
 
 
 def need_filter(ids: DataFrame) -> np.ndarray:
@@ -282,11 +282,12 @@ class Part:
                 yield doc, self.docs[m]
 
 
-def compare(docs: DataFrame, asked: DataFrame, least: int = NUM, within: bool = True) -> DataFrame:
-    """u, v: documents alike among asked (part, role, doc_id). Those of role 1 are held against those of role 0 of their part.
+#: What a document is to a part: a member held against the others, a member that is only asked, or one that asks the members.
+MEMBER, ASKED, ASKS = 0, 1, 2
 
-    within: those of role 0 are held against one another as well.
-    """
+
+def compare(docs: DataFrame, asked: DataFrame, least: int = NUM) -> DataFrame:
+    """u, v: documents alike among asked (part, role, doc_id), of which a part's members have one role."""
     spark = docs.sparkSession
     rows = needed(docs, need_filter(asked)).join(asked, "doc_id").select("part", "role", "doc_id", "text")
     rows = rows.repartition(common.shuffle_parts(spark), "part").sortWithinPartitions("part", "role", "doc_id")
@@ -294,7 +295,7 @@ def compare(docs: DataFrame, asked: DataFrame, least: int = NUM, within: bool =
     def run(batches):
         import pyarrow as pa
 
-        name, part, u, v = None, Part(), [], []
+        name, part, within, u, v = None, Part(), False, [], []
 
         def finish() -> None:
             """Close the part and hold its members against one another."""
@@ -313,8 +314,8 @@ def compare(docs: DataFrame, asked: DataFrame, least: int = NUM, within: bool =
             for p, role, doc, tokens in zip(batch.column("part").to_pylist(), batch.column("role").to_pylist(), batch.column("doc_id").to_pylist(), sets):
                 if p != name:
                     finish()
-                    name, part = p, Part()
-                if role == 0:
+                    name, part, within = p, Part(), role == MEMBER
+                if role != ASKS:
                     part.add(doc, tokens)
                     continue
                 finish()
@@ -341,15 +342,17 @@ def star_pairs(distinct: DataFrame) -> DataFrame:
     pairs = pairs.join(pairs.groupBy("first").agg(F.count("*").alias("rows")), "first")
     pairs = pairs.select("first", "doc_id", F.pmod(F.xxhash64("doc_id"), F.expr(f"1 + rows div {STAR}")).alias("salt"))
     part = F.concat_ws("/", "first", "salt").alias("part")
-    ones = pairs.select(part, F.lit(1).alias("role"), "doc_id")
-    zeros = pairs.select("first", "salt").distinct().select(part, F.lit(0).alias("role"), F.col("first").alias("doc_id"))
-    return ones.unionByName(zeros)
+    asks = pairs.select(part, F.lit(ASKS).alias("role"), "doc_id")
+    firsts = pairs.select("first", "salt").distinct().select(part, F.lit(ASKED).alias("role"), F.col("first").alias("doc_id"))
+    return asks.unionByName(firsts)
 
 
-def matrix(docs: DataFrame, groups: DataFrame, hot: np.ndarray, parts: int) -> DataFrame:
-    """g1, g2: groups that share a prefix token of members whose sizes are near enough (g1 < g2).
+def matrix(docs: DataFrame, groups: DataFrame, table: np.ndarray, parts: int) -> DataFrame:
+    """hub, g1, g2: groups that share a prefix token of members whose sizes are near enough (g1 < g2).
 
-    groups: doc_id and group of the distinct documents.
+    A token of HUB groups or more gives a row for each of them instead (hub, g1,
+    and null): tokens of the same groups are the same hub. groups: doc_id and
+    group of the distinct documents.
     """
 
     def prefixes(batches):
@@ -357,9 +360,11 @@ def matrix(docs: DataFrame, groups: DataFrame, hot: np.ndarray, parts: int) -> D
 
         for batch in common.sized(batches, "text", BATCH_BYTES):
             sets = shingle_sets(batch.column("text"))
-            n = [len(x) for x in sets]
-            blobs = [ordered_prefix(x, hot).tobytes() if len(x) else None for x in sets]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(blobs, pa.binary())], ["doc_id", "n", "tokens"])
+            n = np.array([len(x) for x in sets], np.int64)
+            ends = np.cumsum(n)
+            often = frequency(np.concatenate(sets), table) if len(sets) else np.empty(0, np.uint8)
+            blobs = [ordered_prefix(x, often[e - len(x) : e]).tobytes() if len(x) else None for x, e in zip(sets, ends.tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(blobs, pa.binary())], ["doc_id", "n", "tokens"])
 
     rows = docs.where("doc_id is not null").mapInArrow(prefixes, "doc_id long, n long, tokens binary").where("tokens is not null").join(groups, "doc_id")
 
@@ -376,7 +381,7 @@ def matrix(docs: DataFrame, groups: DataFrame, hot: np.ndarray, parts: int) -> D
             place = np.arange(len(token)) - np.repeat(np.cumsum(size) - size, size)
             short = place < np.repeat(np.array([short_size(k) for k in n.tolist()], np.int64), size)
             mark = np.repeat(2 * n, size) + short
-            bucket = ((token >> np.uint64(HOT_BITS)) % np.uint64(2 * parts)).astype(np.int64)
+            bucket = ((token >> np.uint64(CLASS_BITS)) % np.uint64(2 * parts)).astype(np.int64)
             order = np.lexsort((mark, group, token, bucket))
             bucket, token, group, mark = bucket[order], token[order], group[order], mark[order]
             new = np.ones(len(token), bool)
@@ -390,72 +395,91 @@ def matrix(docs: DataFrame, groups: DataFrame, hot: np.ndarray, parts: int) -> D
     dealt = rows.mapInArrow(cells, "bucket long, token binary, group binary, mark binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
 
     def meet(batches):
-        import pyarrow as pa
-
         held, current = [], None
         for batch in batches:
             for b, *blobs in zip(*(batch.column(k).to_pylist() for k in ("bucket", "token", "group", "mark"))):
                 if b != current and held:
-                    yield from pairs(held, pa)
+                    yield from met(held)
                     held = []
                 current = b
                 held.append(blobs)
         if held:
-            yield from pairs(held, pa)
+            yield from met(held)
 
-    def pairs(held, pa):
+    def met(held):
         token, group, mark = (np.frombuffer(b"".join(h[k] for h in held), t) for k, t in enumerate((np.uint64, np.int64, np.uint32)))
+        held.clear()
         order = np.lexsort((mark, group, token))
         token, group, mark = token[order], group[order], mark[order].astype(np.int64)
         edge = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         ends = np.append(edge[1:], len(token))
-        several = np.flatnonzero(ends - edge > 1)
-        found = []
-        for a, b in zip(edge[several].tolist(), ends[several].tolist()):
-            if group[a] == group[b - 1]:
+        found, rows = [], 0
+        for a, b in zip(edge.tolist(), ends.tolist()):
+            if group[a] == group[b - 1]:  # sorted by group: there is but one
                 continue
-            # By size: each cell meets those of no lesser size, up to what can link.
-            sub = np.argsort(mark[a:b] >> 1, kind="stable") + a
-            g, n, short = group[sub], mark[sub] >> 1, (mark[sub] & 1).astype(bool)
-            for i in np.flatnonzero(short).tolist():
-                lo, hi = np.searchsorted(n, n[i], "left"), np.searchsorted(n, n[i] * DEN // NUM, "right")
-                other = g[lo:hi]
-                other = other[other != g[i]]
-                if len(other):
-                    found.append(np.stack([np.minimum(other, g[i]), np.maximum(other, g[i])], 1))
-            if sum(map(len, found)) > 500_000:
-                found = [np.unique(np.concatenate(found), axis=0)]
-                if len(found[0]) > 250_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(found[0][:, 0]), pa.array(found[0][:, 1])], ["g1", "g2"])
-                    found = []
+            names = np.unique(group[a:b])
+            if len(names) >= HUB:
+                hub = hashing.mixed(names.view(np.uint64)).sum().view(np.int64)
+                found.append(np.stack([np.full(len(names), hub), names, np.full(len(names), -1), np.ones(len(names), np.int64)], 1))
+            else:  # by size: each cell of a short prefix meets those of no lesser size, up to what can link
+                sub = np.argsort(mark[a:b] >> 1, kind="stable") + a
+                g, n, short = group[sub], mark[sub] >> 1, (mark[sub] & 1).astype(bool)
+                pairs = []
+                for i in np.flatnonzero(short).tolist():
+                    lo, hi = np.searchsorted(n, n[i], "left"), np.searchsorted(n, n[i] * DEN // NUM, "right")
+                    other = np.unique(g[lo:hi])
+                    other = other[other != g[i]]
+                    if len(other):
+                        pairs.append(np.stack([np.zeros(len(other), np.int64), np.minimum(other, g[i]), np.maximum(other, g[i]), np.zeros(len(other), np.int64)], 1))
+                if not pairs:
+                    continue
+                found.append(np.unique(np.concatenate(pairs), axis=0))
+            rows += len(found[-1])
+            if rows > 250_000:
+                yield given(found)
+                found, rows = [], 0
         if found:
-            both = np.unique(np.concatenate(found), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["g1", "g2"])
+            yield given(found)
+
+    def given(found):
+        import pyarrow as pa
 
-    return dealt.mapInArrow(meet, "g1 long, g2 long").distinct()
+        x = np.unique(np.concatenate(found), axis=0)
+        none = x[:, 3] == 1
+        return pa.RecordBatch.from_arrays([pa.array(x[:, 0], mask=~none), pa.array(x[:, 1]), pa.array(x[:, 2], mask=none)], ["hub", "g1", "g2"])
 
+    return dealt.mapInArrow(meet, "hub long, g1 long, g2 long").distinct()
 
-def opened(pairs: DataFrame, groups: DataFrame) -> DataFrame:
-    """part, role, doc_id: members of groups in parts (role 0), and the documents that ask them (role 1).
 
-    Stored are the groups of several members and the larger one of each pair. A
-    member asks the parts of its group after its own; a pair's smaller group asks
-    all parts of the larger one.
+def opened(met: DataFrame, groups: DataFrame) -> DataFrame:
+    """part, role, doc_id: members of groups and hubs in parts, and the documents that ask them.
+
+    Stored are the hubs, the groups of several members and the larger one of each
+    pair. A member asks the parts of its group or hub after its own; a pair's
+    smaller group asks all parts of the larger one. A part is copied for each
+    ASKERS of its askers, of which one copy holds its members against one another.
     """
     sizes = groups.groupBy("group").agg(F.count("*").alias("members"))
-    p = pairs.join(sizes.select(F.col("group").alias("g1"), F.col("members").alias("m1")), "g1").join(sizes.select(F.col("group").alias("g2"), F.col("members").alias("m2")), "g2")
+    p = met.where("hub is null").join(sizes.select(F.col("group").alias("g1"), F.col("members").alias("m1")), "g1")
+    p = p.join(sizes.select(F.col("group").alias("g2"), F.col("members").alias("m2")), "g2")
     first = F.col("m1") >= F.col("m2")
-    p = p.select(F.when(first, F.col("g1")).otherwise(F.col("g2")).alias("stored"), F.when(first, F.col("g2")).otherwise(F.col("g1")).alias("asks"), F.greatest("m1", "m2").alias("members"))
+    p = p.select(F.when(first, F.col("g1")).otherwise(F.col("g2")).alias("group"), F.when(first, F.col("g2")).otherwise(F.col("g1")).alias("asks"), F.greatest("m1", "m2").alias("members"))
+    wanted = p.select("group", "members").unionByName(sizes.where("members > 1")).distinct()
+    of_hubs = met.where("hub is not null").select("hub", F.col("g1").alias("group")).join(groups, "group").select(F.concat(F.lit("hub "), "hub").alias("name"), "doc_id")
+    of_hubs = of_hubs.join(of_hubs.groupBy("name").agg(F.count("*").alias("members")), "name")
     n_parts = F.expr(f"1 + members div {PART}")
-    own = F.pmod(F.xxhash64("doc_id"), n_parts)
-    stored = p.select("stored", "members").unionByName(sizes.where("members > 1").select(F.col("group").alias("stored"), "members")).distinct()
-    stored = common.stored(stored.join(groups.withColumnRenamed("group", "stored"), "stored").select("stored", "doc_id", "members", own.alias("k")), "join-stored")
-    name = lambda k: F.concat_ws("/", "stored", k).alias("part")
-    members = stored.select(name("k"), F.lit(0).alias("role"), "doc_id")
-    later = stored.where(F.col("k") < n_parts - 1).select("stored", "doc_id", F.explode(F.sequence(F.col("k") + 1, n_parts - 1)).alias("j"))
-    asks = p.join(groups.withColumnRenamed("group", "asks"), "asks").select("stored", "doc_id", "members").distinct()
-    asks = asks.select("stored", "doc_id", F.explode(F.sequence(F.lit(0).cast("long"), n_parts - 1)).alias("j"))
-    return members.unionByName(later.unionByName(asks).select(name("j"), F.lit(1).alias("role"), "doc_id"))
+    stored = wanted.join(groups, "group").select(F.col("group").cast("string").alias("name"), "doc_id", "members").unionByName(of_hubs)
+    stored = common.stored(stored.withColumn("k", F.pmod(F.xxhash64("doc_id"), n_parts)), "join-stored")
+    part = lambda k: F.concat_ws("/", "name", k).alias("part")
+    later = stored.where(F.col("k") < n_parts - 1).select("name", "doc_id", F.explode(F.sequence(F.col("k") + 1, n_parts - 1)).alias("j"))
+    asks = p.join(groups.withColumnRenamed("group", "asks"), "asks").select(F.col("group").cast("string").alias("name"), "doc_id", "members").distinct()
+    asks = asks.select("name", "doc_id", F.explode(F.sequence(F.lit(0).cast("long"), n_parts - 1)).alias("j"))
+    asks = common.stored(later.unionByName(asks).select(part("j"), "doc_id"), "join-asks")
+    copies = asks.groupBy("part").agg(F.expr(f"1 + count(*) div {ASKERS}").alias("copies"))
+    asks = asks.join(copies, "part").select(F.concat_ws("/", "part", F.pmod(F.xxhash64("doc_id", F.lit(1)), "copies")).alias("part"), F.lit(ASKS).alias("role"), "doc_id")
+    members = stored.select(part("k"), "doc_id").join(copies, "part", "left").select("part", "doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("copies", F.lit(1)) - 1)).alias("copy"))
+    members = members.select(F.concat_ws("/", "part", "copy").alias("part"), F.when(F.col("copy") == 0, MEMBER).otherwise(ASKED).alias("role"), "doc_id")
+    return members.unionByName(asks)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -463,8 +487,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     A null text counts as empty. A document without words links with nothing.
     Rows that repeat a doc_id are one document: what either links with, both do.
-    A null doc_id links with nothing and has a null component. An empty table
-    gives no rows.
+    A null doc_id links with nothing and has a null component. A very long text is
+    hashed whole, alone in its batch. Components do not depend on the order of the
+    rows; the least doc_id names one, so there are no ties. Other columns, whatever
+    their names, are not read. An empty table gives no rows.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
@@ -473,17 +499,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = rows.where("n > 0 and doc_id is not null")
     distinct = common.stored(sets.groupBy("n", "d1", "d2").agg(F.min(F.struct("doc_id", "keys")).alias("f")).select("n", "d1", "d2", "f.doc_id", "f.keys"), "join-distinct")
     equal = sets.join(distinct.select("n", "d1", "d2", F.col("doc_id").alias("v")), ["n", "d1", "d2"]).where("doc_id != v").select(F.col("doc_id").alias("u"), "v")
-    alike = compare(docs, common.stored(star_pairs(distinct), "join-stars"), ALIKE, within=False)
+    alike = compare(docs, common.stored(star_pairs(distinct), "join-stars"), ALIKE)
     grouped = graph.components(alike)
     groups = distinct.select("doc_id").distinct().join(grouped, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("group"))
     groups = common.stored(groups, "join-groups")
-    hot = hot_filter(docs, groups, parts)
-    asked = common.stored(opened(common.stored(matrix(docs, groups, hot, parts), "join-pairs"), groups), "join-asked")
+    met = common.stored(matrix(docs, groups, frequency_table(docs, parts), parts), "join-met")
+    asked = common.stored(opened(met, groups), "join-asked")
     roots = graph.components(compare(docs, asked).unionByName(equal))
     return rows.join(roots, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each component stays, that of the least id; others go."""
-    found = near_duplicates(docs).where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("_stays")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("_stays")), "left_semi")
+    """The rows of docs, with all their columns, whose doc_id is the least of its component; others go.
+
+    Rows that repeat such a doc_id stay, as do rows with a null doc_id. Null and
+    empty texts link with nothing and stay. An empty table gives no rows. Columns
+    of docs may have any name.
+    """
+    stays = common.free("stays", docs)
+    found = near_duplicates(docs).where("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias(stays)).distinct()
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col(stays)), "left_semi")

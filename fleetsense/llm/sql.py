@@ -9,4 +9,21 @@ r AS (SELECT d.doc_id, g.keep_id, g.group_size, d.t, row_number() OVER (PARTITIO
 SELECT doc_id, keep_id, group_size, k = 1 AS kept, sha256(t) AS text_sha256 FROM r
 """
 
-ORACLES = {"op9_exact_dedup": EXACT_DEDUP}
+JACCARD_JOIN = """
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws
+  FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS sh
+  FROM w),
+t AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s),
+links AS (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM t a JOIN t b ON a.x = b.x AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach AS (SELECT doc_id, doc_id AS root FROM s UNION SELECT l.v, r.root FROM reach r JOIN links l ON l.u = r.doc_id)
+SELECT s.doc_id, len(s.sh) AS n_shingles, c.component_id
+FROM s JOIN (SELECT doc_id, min(root) AS component_id FROM reach GROUP BY doc_id) c ON s.doc_id = c.doc_id
+"""
+
+ORACLES = {"op9_exact_dedup": EXACT_DEDUP, "op8_jaccard_join": JACCARD_JOIN}

@@ -60,14 +60,67 @@ def test_join_on_awkward_rows(spark):
     assert {(r.doc_id, r.n_shingles) for r in got} == sizes
 
 
-@pytest.mark.parametrize("part", [2, 512])
-def test_join_links_across_parts_and_groups(spark, monkeypatch, part):
-    monkeypatch.setattr(jaccard_join, "PART", part)
+@pytest.mark.parametrize("part, hub, askers", [(2, 64, 2048), (512, 64, 2048), (3, 2, 2), (512, 2, 1)])
+def test_join_links_across_parts_groups_and_hubs(spark, monkeypatch, part, hub, askers):
+    for name, value in (("PART", part), ("HUB", hub), ("ASKERS", askers)):
+        monkeypatch.setattr(jaccard_join, name, value)
     rows = near_rows() + [(500 + k, H.prose(70, 60) + " " + H.prose(71 + k, 8)) for k in range(12)] + [(900, H.prose(90, 40)), (901, H.prose(90, 40).upper())]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(df).collect()} == H.components(rows)
 
 
+def met_rows(spark, rows):
+    """Rows of the matrix where each document is a group by itself."""
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    groups = df.select("doc_id", df.doc_id.alias("group"))
+    return jaccard_join.matrix(df, groups, jaccard_join.frequency_table(df, 4), 4).collect()
+
+
+def test_matrix_does_not_grow_with_pairs(spark):
+    """Documents that share a passage of 8 words meet by none of its tokens, as rarer ones come first."""
+    passage = H.prose(5, 8)
+    rows = [(i, H.prose(1000 + i, 5) + " " + passage + " " + H.prose(5000 + i, 4)) for i in range(2000)]
+    assert len(met_rows(spark, rows)) <= 20
+
+
+def test_tokens_that_all_have_are_hubs(spark):
+    """Where prefixes reach the common tokens, each token gives a row for a group and not the pairs."""
+    parts = [H.prose(20 + k, 12) for k in range(6)]
+    rows = [(i, " ".join(parts[(i >> k) % 6] for k in range(0, 10, 2)) + f" w{i % 3}") for i in range(600)]
+    met = met_rows(spark, rows)
+    hubs = [r for r in met if r.hub is not None]
+    assert hubs and all(r.g2 is None for r in hubs) and len(met) <= 64 * sum(len(H.shingles(t)) // 4 for _, t in rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(df).collect()} == H.components(rows)
+
+
+def test_frequency_table_counts_all(spark):
+    texts = [(i, "a b c d e" if i < 40 else f"own words {i} x y") for i in range(60)] + [(100 + i, f"k{i} " + "m n o p q " + f"z{i}") for i in range(300)]
+    table = jaccard_join.frequency_table(spark.createDataFrame(texts, "doc_id long, text string").repartition(3), 4)
+    import pyarrow as pa
+
+    once, many = jaccard_join.shingle_sets(pa.array(["own words 50 x y", "m n o p q"], pa.large_string()))
+    assert jaccard_join.frequency(once, table).tolist() == [0] and jaccard_join.frequency(many, table).tolist() == [3]
+
+
+def test_join_twin(spark):
+    rows = near_rows() + [(1, None), (2, ""), (3, "a b"), (4, "A b"), (5, "é É"), (6, " "), (7, "x\u00a0y z"), (8, H.prose(9, 30)), (9, H.prose(9, 30).title())]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    df = jaccard_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(map(tuple, df.select("component_id", "doc_id", "n_shingles").collect())) == sorted(con.execute(f"SELECT component_id, doc_id, n_shingles FROM ({sql.JACCARD_JOIN})").fetchall())
+
+
+def test_keep_first_on_awkward_rows(spark):
+    df, rows = H.awkward(spark, near_rows())
+    df = df.withColumn("stays", df.score).withColumn("_stays", df.score)
+    want = H.components([(r[0], r[1]) for r in rows])
+    got = jaccard_join.keep_first(df)
+    assert got.columns == df.columns
+    assert sorted((r.doc_id or -1, r.text or "") for r in got.collect()) == sorted((r[0] or -1, r[1] or "") for r in rows if r[0] is None or want[r[0]][1] == r[0])
+
+
 def test_threshold_is_exact(spark):
     """Sets of 9 words have 5 shingles; 4 of 5 in common is 4 / 6, below; 100 * 8 >= 80 * 10 links just so."""
     w = [f"w{i}" for i in range(13)]
