@@ -4,12 +4,13 @@
    representative that carries their ids, so a group that holds a third of all
    rows sends a few texts instead of all of them.
 2. Sampled splitters range-partition the representatives by their normalised
-   bytes: the first PREFIX characters, then a digest that parts long runs of
-   texts with one beginning, then the whole text. External sorting within each
-   range puts equal texts next to one another.
+   bytes. What is sampled goes to the driver, so it is of bounded size: the first
+   PREFIX characters, and a digest that parts long runs of texts with one beginning.
+   External sorting by these and then by the whole text puts equal texts next to one
+   another.
 3. Each text is compared with its neighbour in full; equal ones get one group.
-4. Groups' sums meet by group, the representatives are dealt out evenly, and
-   their ids become rows.
+4. Sums and the row that stays are aggregated by group, before the shuffle and after,
+   and joined back to the representatives, whose ids become rows.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -52,22 +53,25 @@ def local_groups(docs: DataFrame) -> DataFrame:
 
 
 def neighbours(ordered: DataFrame) -> DataFrame:
-    """group, sha, ids: equal texts that follow one another have one group number."""
+    """rep, group, sha, ids: equal texts that follow one another have one group number; rep numbers the rows."""
 
     def run(batches):
         import pyarrow as pa
         from pyspark import TaskContext
 
         group, last = (TaskContext.get().partitionId() << 40) - 1, None
+        rep = group + 1
         for batch in batches:
             numbers = np.empty(batch.num_rows, np.int64)
             for k, t in enumerate(batch.column("text").to_pylist()):
                 if t != last:
                     group, last = group + 1, t
                 numbers[k] = group
-            yield pa.RecordBatch.from_arrays([pa.array(numbers), batch.column("sha"), batch.column("ids")], ["group", "sha", "ids"])
+            reps = pa.array(np.arange(rep, rep + batch.num_rows))
+            rep += batch.num_rows
+            yield pa.RecordBatch.from_arrays([reps, pa.array(numbers), batch.column("sha"), batch.column("ids")], ["rep", "group", "sha", "ids"])
 
-    return ordered.mapInArrow(run, "group long, sha string, ids array<long>")
+    return ordered.mapInArrow(run, "rep long, group long, sha string, ids array<long>")
 
 
 def duplicates(docs: DataFrame) -> DataFrame:
@@ -75,7 +79,8 @@ def duplicates(docs: DataFrame) -> DataFrame:
 
     Texts are equal when identical; null counts as empty. The largest doc_id of a
     group stays; a null doc_id is less than any other. Of rows that repeat that
-    doc_id just one is kept. An empty table gives no rows.
+    doc_id just one is kept. A very long text is compared whole. Other columns,
+    whatever their names, are not read. An empty table gives no rows.
     """
     spark = docs.sparkSession
     common.small_batches(spark)
@@ -83,24 +88,21 @@ def duplicates(docs: DataFrame) -> DataFrame:
     ordered = local_groups(common.texts(docs)).repartitionByRange(n, "prefix", "sha").sortWithinPartitions("prefix", "sha", "text")
     groups = common.stored(neighbours(ordered), "dedup-groups")
     last = F.element_at("ids", -1)
-    by = Window.partitionBy("group")
-    summed = groups.select(
-        "ids", "sha",
-        F.max(last).over(by).alias("keep_id"),
-        F.sum(F.size("ids").cast("long")).over(by).alias("group_size"),
-        F.row_number().over(by.orderBy(last.desc_nulls_last())).alias("rank"),
-    )
+    sums = groups.groupBy("group").agg(F.sum(F.size("ids").cast("long")).alias("group_size"), F.max(F.struct(last.alias("keep_id"), "rep")).alias("stays"))
+    both = groups.join(sums, "group").select("ids", "sha", "group_size", F.col("stays.keep_id"), (F.col("stays.rep") == F.col("rep")).alias("mine"), F.size("ids").alias("n"))
     # A representative holds the ids of one batch at most; dealt out, a large group's rows are made by all tasks.
-    rows = summed.repartition(n).select("keep_id", "group_size", "sha", "rank", F.size("ids").alias("n"), F.posexplode("ids").alias("at", "doc_id"))
-    return rows.select("doc_id", "keep_id", "group_size", ((F.col("rank") == 1) & (F.col("at") == F.col("n") - 1)).alias("kept"), F.col("sha").alias("text_sha256"))
+    rows = both.repartition(n).select("keep_id", "group_size", "sha", "mine", "n", F.posexplode("ids").alias("at", "doc_id"))
+    return rows.select("doc_id", "keep_id", "group_size", (F.col("mine") & (F.col("at") == F.col("n") - 1)).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose text is the first of its kind by the rule of duplicates(), with all their columns.
+    """The rows of docs whose text is the first of its kind by the rule of duplicates(), with all their columns, whatever their names.
 
-    Rows that repeat both doc_id and text are one row here.
+    Null and empty texts are one kind, of which one row stays. Rows that repeat both
+    doc_id and text are one row here. An empty table gives no rows.
     """
-    stay = duplicates(docs).where("kept").select(F.col("doc_id").alias("_stays"), F.col("text_sha256").alias("_sha"))
-    sha = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
-    kept = docs.withColumn("_sha_own", sha).join(stay, F.col("doc_id").eqNullSafe(F.col("_stays")) & (F.col("_sha_own") == F.col("_sha")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_sha_own"]).drop("_sha_own")
+    stays, sha, own = (common.free(c, docs) for c in ("stays", "sha", "own"))
+    stay = duplicates(docs).where("kept").select(F.col("doc_id").alias(stays), F.col("text_sha256").alias(sha))
+    named = docs.withColumn(own, F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+    kept = named.join(stay, F.col("doc_id").eqNullSafe(F.col(stays)) & (F.col(own) == F.col(sha)), "left_semi")
+    return kept.dropDuplicates(["doc_id", own]).drop(own)

@@ -1,12 +1,21 @@
 """Main text of web pages: text-to-tag ratios of parser events, smoothed and clustered.
 
 The standard library's parser streams start tags, end tags and text. Each run of
-text between two block borders is a line with a count of the tags in it. The
-lines' text-to-tag ratios are smoothed by a Gaussian kernel and parted into two
-clusters by a threshold. The article or main whose lines hold the most text of the
-high cluster is the page's content; without one it is all from the first to the last
-line of the high cluster, in whatever regions they stand. Structure says what can never be content: scripts,
-styles, menus, footers, sidebars, forms, notices, adverts and comments.
+text between two block borders is a line with a count of the tags in it. A line's
+ratio is its characters (those of links count little) to its tags, times the
+evidence of the structure around it: nothing in what can never be content (scripts,
+menus, footers, sidebars, forms, notices, adverts, reader comments), little under a
+doubtful class name, and little beside a page's articles. The logarithms of the
+ratios are smoothed by a Gaussian kernel among the lines of one frame (an article, or
+the page around articles), and clustered with one cluster held at zero. The lines of
+the other clusters select the regions:
+
+- an article that holds such a line is content, all of it that has any value;
+- beside articles, such lines are content;
+- on a page without articles content is what lies from the first such line to the
+  last, and what stands beside them in the region that holds them all.
+
+Nothing else decides: a line is in the text only by its smoothed value.
 """
 
 from __future__ import annotations
@@ -22,8 +31,8 @@ from . import common
 
 SIGMA = 1.0
 RADIUS = 3
-#: A line with at least so much of its text in links is a menu's.
-LINK_SHARE = 0.6
+#: What a link's character counts; what structure leaves of a line's ratio under a doubtful class name, and beside the page's articles.
+LINK, DOUBT, BESIDE = 0.1, 0.3, 0.05
 
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 INLINE = frozenset(
@@ -32,15 +41,28 @@ INLINE = frozenset(
 #: Elements whose text is never content.
 NEVER = frozenset("script style noscript template head title nav footer aside form button select option textarea input iframe svg object canvas dialog menu".split())
 RAW = frozenset(("script", "style"))
+#: Those of them that stand within a line of text without ending it.
+WITHIN = frozenset("script style noscript template button select option textarea input iframe svg object canvas".split()) | INLINE
 ROOTS = frozenset(("article", "main"))
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-#: Words in a class or id that mark what is not content.
+#: Words in a class or id that mark what is not content, whatever the element.
 MARKS = frozenset(
-    """ad ads adv advert adverts advertisement advertising adbox adsense sponsor sponsored sponsors promo promotion banner cookie cookies consent gdpr notice notices
-    alert popup modal overlay newsletter subscribe subscription signup sidebar sidebars sidenav aside widget widgets menu menus nav navbar navigation breadcrumb
-    breadcrumbs pagination pager footer comment comments commentlist discussion disqus replies respond share sharing social related recommended recommendations
-    toolbar search login skip""".split()
+    """ad ads adv advert adverts advertisement advertising adbox adsense sponsor sponsored sponsors cookie cookies consent gdpr
+    sidebar sidebars sidenav menu menus nav navbar navigation breadcrumb breadcrumbs pagination pager footer comment comments commentlist disqus replies respond
+    newsletter skip""".split()
 )
+#: Words that do so on containers (div, section, ul and others), and make a paragraph or heading doubtful.
+SOFT_MARKS = frozenset(
+    """promo promotion banner notice notices alert popup modal overlay subscribe subscription signup aside widget widgets discussion
+    share sharing social related recommended recommendations toolbar search login""".split()
+)
+#: Words that may stand beside a mark in one name without changing what it says.
+PLAIN_WORDS = frozenset(
+    """list links link box bar block wrap wrapper container content section area slot button buttons post posts article articles item items unit left right top bottom
+    site page main inner outer text message group panel icon icons header head body title id js col row module component small large primary secondary global
+    print more and the in on for to of us me this read next prev previous""".split()
+)
+TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dd dt td th figcaption caption address".split()) | INLINE
 #: The same outside an article only: an article has headers of its own.
 OUTER_MARKS = frozenset("header masthead topbar".split())
 _TOKENS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -53,13 +75,13 @@ def marks(value: str) -> set[str]:
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, link characters, region, shut) for each block of text."""
+    """Collects (text, tags, link characters, region, evidence) for each block of text; evidence is 0 in what can never be content."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, int, bool]] = []
-        self.open: list[tuple[str, bool, int]] = []  # tag, whether it shuts content out, region before it
-        self.shut = 0
+        self.lines: list[tuple[str, int, int, int, float]] = []
+        self.open: list[tuple[str, float, int, tuple | None]] = []  # tag, evidence and region before it, and the line that it stands within
+        self.evidence = 1.0
         self.links = 0
         self.region = 0
         self.parents = [0]  # of each region
@@ -74,39 +96,52 @@ class Lines(HTMLParser):
         if self.text:
             text = " ".join("".join(self.text).split())
             if text:
-                self.lines.append((text, self.tags, self.link_chars, self.region, self.shut > 0))
+                self.lines.append((text, self.tags, self.link_chars, self.region, self.evidence))
             self.text = []
         self.tags = self.link_chars = 0
 
-    def _shuts(self, tag: str, attrs) -> bool:
+    def _leaves(self, tag: str, attrs) -> float:
+        """What the element leaves of the evidence: 1, DOUBT or 0."""
         if tag in NEVER:
-            return True
+            return 0.0
         if tag == "header":
-            return not self.rooted
+            return float(self.rooted > 0)
         if tag in ("html", "body", "main"):
-            return False
+            return 1.0
+        out = 1.0
         for name, value in attrs:
             if name == "hidden" or (name == "aria-hidden" and value == "true"):
-                return True
+                return 0.0
             if not value:
                 continue
             if name == "role" and value.lower() in ROLES:
-                return True
+                return 0.0
             if name == "style" and "display:none" in value.replace(" ", "").lower():
-                return True
+                return 0.0
             if name in ("class", "id"):
-                found = marks(value)
-                if found & MARKS and not (tag == "article" and not found & {"comment", "comments", "ad", "ads", "related", "promo"}):
-                    return True
-                if found & OUTER_MARKS and not self.rooted:
-                    return True
-        return False
+                for one in value.split():
+                    out = min(out, self._named(tag, marks(one)))
+        return out
+
+    def _named(self, tag: str, words: set[str]) -> float:
+        strong, soft = words & MARKS, words & SOFT_MARKS
+        if words & OUTER_MARKS and not self.rooted:
+            return 0.0
+        if not strong and not soft:
+            return 1.0
+        if tag == "article" and not words & {"comment", "comments", "ad", "ads", "related", "promo"}:
+            return 1.0
+        if words - MARKS - SOFT_MARKS - PLAIN_WORDS:  # a name that says something else as well
+            return DOUBT
+        return 0.0 if strong or tag not in TEXT_TAGS else DOUBT
 
     def _pop_to(self, k: int) -> None:
         while len(self.open) > k:
-            tag, shuts, region = self.open.pop()
-            if shuts:
-                self.shut -= 1
+            tag, evidence, region, around = self.open.pop()
+            if around:
+                self.flush()
+                self.text, self.tags, self.link_chars = around
+            self.evidence = evidence
             if tag == "a":
                 self.links -= 1
             if tag in ROOTS:
@@ -123,8 +158,7 @@ class Lines(HTMLParser):
                 return
 
     def handle_starttag(self, tag, attrs):
-        inline = tag in INLINE
-        if not inline:
+        if tag not in WITHIN:
             self.flush()
             if tag == "li":
                 self._imply(("li",), ("ul", "ol", "menu"))
@@ -143,10 +177,15 @@ class Lines(HTMLParser):
             self.text.append(" ")
         if tag in VOID:
             return
-        shuts = self._shuts(tag, attrs)
-        self.open.append((tag, shuts, self.region))
-        if shuts:
-            self.shut += 1
+        leaves = self._leaves(tag, attrs)
+        around = None
+        if tag in WITHIN:
+            if not leaves:  # its text is a line apart from the one around it
+                around, self.text, self.tags, self.link_chars = (self.text, self.tags, self.link_chars), [], 1, 0
+            else:
+                leaves = 1.0
+        self.open.append((tag, self.evidence, self.region, around))
+        self.evidence *= leaves
         if tag == "a":
             self.links += 1
         if tag in ("article", "main", "div", "section", "td", "body"):
@@ -165,7 +204,7 @@ class Lines(HTMLParser):
             self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
-        if tag not in INLINE:
+        if tag not in WITHIN:
             self.flush()
         self.tags += 1
         if tag == "br":
@@ -190,85 +229,83 @@ def kernel(sigma: float = SIGMA, radius: int = RADIUS) -> np.ndarray:
     return k / k.sum()
 
 
-def smooth(ratio: np.ndarray) -> np.ndarray:
-    """Gaussian smoothing; at the ends the kernel is renormalised."""
-    k = kernel()
-    return np.convolve(ratio, k, "same")[: len(ratio)] / np.convolve(np.ones(len(ratio)), k, "same")[: len(ratio)] if len(ratio) >= len(k) else _short(ratio, k)
-
-
-def _short(ratio: np.ndarray, k: np.ndarray) -> np.ndarray:
-    gap = np.abs(np.subtract.outer(np.arange(len(ratio)), np.arange(len(ratio))))
-    w = np.where(gap <= RADIUS, k[np.minimum(RADIUS + gap, 2 * RADIUS)], 0.0)
-    return w @ ratio / w.sum(1)
+def smooth(ratio: np.ndarray, frame: np.ndarray) -> np.ndarray:
+    """Gaussian smoothing among neighbours of one frame; where others or none stand, the kernel is renormalised."""
+    n = len(ratio)
+    total, weight = np.zeros(n), np.zeros(n)
+    for j, w in zip(range(-RADIUS, RADIUS + 1), kernel()):
+        if abs(j) < n:
+            to, of = slice(max(0, -j), n - max(0, j)), slice(max(0, j), n - max(0, -j))
+            same = frame[to] == frame[of]
+            total[to] += w * ratio[of] * same
+            weight[to] += w * same
+    return total / weight
 
 
 def threshold(values: np.ndarray) -> float:
-    """The cut between two clusters of values (two means, from the extremes); the least value if all are alike."""
-    lo, hi = float(values.min()), float(values.max())
+    """The cut between two clusters of values, one held at zero: half the mean of the other (from the greatest value down)."""
+    c = float(values.max())
     for _ in range(50):
-        cut = (lo + hi) / 2
-        low, high = values[values < cut], values[values >= cut]
-        if not len(low) or not len(high):
-            return lo
-        a, b = float(low.mean()), float(high.mean())
-        if (a, b) == (lo, hi):
+        mean = float(values[values >= c / 2].mean())
+        if mean == c:
             break
-        lo, hi = a, b
-    return (lo + hi) / 2
-
-
-def extract(html: str) -> str:
-    """The main text: blocks joined by two line feeds. Empty where a page has none."""
-    if not html:
-        return ""
-    parser = Lines()
-    parser.feed(_MARKED.sub(" ", html) if "<![" in html else html)
-    parser.close()
-    parser.flush()
-    lines = parser.lines
-    usable = [k for k, x in enumerate(lines) if not x[4]]
-    if not usable:
-        return ""
-    ratio = np.array([0.0 if shut else (len(t) - links) / max(1, tags) for t, tags, links, _, shut in lines])
-    value = smooth(ratio)
-    high = [k for k in usable if value[k] >= threshold(value[np.array(usable)])]
-
-    held: dict[int, int] = {}
-    for k in high:
-        r = parser.roots[lines[k][3]]
-        if r >= 0:
-            held[r] = held.get(r, 0) + len(lines[k][0])
+        c = mean
+    return c / 2
+
+
+def select(lines: list[tuple[str, int, int, int, float]], roots: list[int], parents: list[int], tops: set[int]) -> list[int]:
+    """The numbers of the lines that are content."""
+    root = np.array([roots[x[3]] for x in lines])
+    chars, tags, links = (np.array(v, float) for v in ([len(x[0]) for x in lines], [x[1] for x in lines], [x[2] for x in lines]))
+    evidence = np.array([x[4] for x in lines])
+    if (evidence[root >= 0] > 0).any():
+        evidence = np.where(root >= 0, evidence, BESIDE * evidence)
+    ratio = np.log1p(evidence * np.maximum(chars - (1 - LINK) * links, 0) / np.maximum(tags, 1))
+    value = smooth(ratio, np.where(evidence > 0, root, -2))
+    high = (value >= threshold(value)) & (value > 0)
+    held = set(root[high & (root >= 0)].tolist())
     if held:
-        best = max(held, key=lambda r: (held[r], -r))
-        return "\n\n".join(lines[k][0] for k in usable if parser.roots[lines[k][3]] == best)
-    # No article: all from the first high line to the last, and what stands beside them in the region that holds them all.
-    linked = lambda k: lines[k][2] >= LINK_SHARE * max(1, len(lines[k][0]))
-    mine = [k for k in high if not linked(k)]
+        return np.flatnonzero((np.isin(root, list(held)) & (value > 0)) | (high & (root < 0))).tolist()
+    mine = np.flatnonzero(high).tolist()
     if not mine:
-        return ""
+        return []
     holder = lines[mine[0]][3]
     for r in {lines[k][3] for k in mine}:
         while r != holder:  # a region's number is larger than its parent's
-            r, holder = (parser.parents[r], holder) if r > holder else (r, parser.parents[holder])
-    within = {holder} if holder not in parser.tops else set()
-    for r, parent in enumerate(parser.parents):
+            r, holder = (parents[r], holder) if r > holder else (r, parents[holder])
+    within = {holder} if holder not in tops else set()
+    for r, parent in enumerate(parents):
         if r and parent in within:
             within.add(r)
-    can = set(usable)
-    beside = lambda k, end: k in can and not linked(k) and (lines[k][3] in within or lines[k][3] == lines[end][3])
+    beside = lambda k, end: 0 <= k < len(lines) and value[k] > 0 and (lines[k][3] in within or lines[k][3] == lines[end][3])
     first, last = mine[0], mine[-1]
     while beside(first - 1, first):
         first -= 1  # a heading has few characters and stands before the text
     while beside(last + 1, last):
         last += 1
-    return "\n\n".join(lines[k][0] for k in usable if first <= k <= last and not linked(k))
+    return [k for k in range(first, last + 1) if value[k] > 0]
+
+
+def extract(html: str) -> str:
+    """The main text: blocks joined by two line feeds. Empty where a page has none."""
+    if not html:
+        return ""
+    parser = Lines()
+    parser.feed(_MARKED.sub(" ", html) if "<![" in html else html)
+    parser.close()
+    parser.flush()
+    if not parser.lines:
+        return ""
+    return "\n\n".join(parser.lines[k][0] for k in select(parser.lines, parser.roots, parser.parents, parser.tops))
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars (code points) for each row of pages (page_id, url, html).
 
-    A null or empty page has an empty text. Repeated rows give equal rows. An
-    empty table gives no rows. Nothing is dropped or cut by length.
+    A null or empty page has an empty text. Repeated rows give equal rows, whatever
+    their ids. A very long page is read whole, alone in its batch; nothing is dropped or
+    cut by length. A line whose value is just the threshold is in. Other columns,
+    whatever their names, are not read. An empty table gives no rows.
     """
     common.small_batches(pages.sparkSession)
 

@@ -4,7 +4,8 @@
    become one document.
 2. Groups: documents that agree in a pair of min-hashes are compared with the
    first of them; those that are alike by half of what a link takes form groups.
-   Groups decide what is compared where, not what links.
+   Groups decide what is compared where, not what links. Those that link already
+   form classes within a group, whose members need not be compared with one another.
 3. Tokens (shingles) are put in one global order, the rare ones first: all tokens
    of all documents are counted, near copies once, into a table of fixed size that
    holds a class of frequency for each hash class of tokens.
@@ -16,14 +17,17 @@
 5. A group's or hub's members, in parts of bounded size, give a token union; a
    document opens a part only if its overlap with the union can reach the
    similarity. In an open part the token lists count its overlap with each member.
-   Members of a part are held against one another, and documents of the later parts
-   and of the groups that the matrix names against all. A part gives only links that
+   Large classes have parts of their own, small ones share parts. Members of a shared
+   part are held against one another, and documents of the other parts and of the
+   groups that the matrix names against all. A part gives only links that
    join what it has not joined yet, so fewer than it has documents. A part that many
    documents ask is dealt out in several copies.
 6. Components of all links.
 
 No step emits the pairs of a group or of a token's groups, and none needs more of
-a group in one place than a part.
+a group in one place than a part. Near copies that link cost what their number is;
+m documents that are alike but do not link, in one group or hub, are sent to
+m / PART parts each.
 """
 
 from __future__ import annotations
@@ -253,19 +257,22 @@ class Part:
             self.union, self.start, self.end = token[at], at, np.append(at[1:], len(token))
             self.size = size
 
-    def alike(self, tokens: np.ndarray, least: int) -> np.ndarray:
-        """Members with DEN * intersection >= least * union."""
+    def alike(self, tokens: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """Members with DEN * intersection >= least * union, and whether they link."""
+        none = np.empty(0, np.int64), np.empty(0, bool)
         if self.union is None or not len(tokens):
-            return np.empty(0, np.int64)
+            return none
         at = np.searchsorted(self.union, tokens)
         at[at == len(self.union)] = 0
         at = at[self.union[at] == tokens]
         if DEN * len(at) < least * len(tokens):  # the bound: no member shares more than the union does
-            return np.empty(0, np.int64)
+            return none
         n = self.end[at] - self.start[at]
         pos = np.arange(int(n.sum())) + np.repeat(self.start[at] - (np.cumsum(n) - n), n)
         both = np.bincount(self.member[pos], minlength=len(self.size))
-        return np.flatnonzero(DEN * both >= least * (self.size + len(tokens) - both))
+        any_ = self.size + len(tokens) - both
+        found = np.flatnonzero(DEN * both >= least * any_)
+        return found, (DEN * both >= NUM * any_)[found]
 
     def _find(self, x: int) -> int:
         while self.root.get(x, x) != x:
@@ -273,13 +280,13 @@ class Part:
             x = self.root[x]
         return x
 
-    def joins(self, doc: int, members: np.ndarray):
-        """Those links of doc that join what was apart."""
-        for m in members.tolist():
+    def joins(self, doc: int, found: tuple[np.ndarray, np.ndarray]):
+        """doc, member, whether they link: those that join what was apart."""
+        for m, near in zip(found[0].tolist(), found[1].tolist()):
             a, b = self._find(doc), self._find(self.docs[m])
             if a != b:
                 self.root[max(a, b)] = min(a, b)
-                yield doc, self.docs[m]
+                yield doc, self.docs[m], near
 
 
 #: What a document is to a part: a member held against the others, a member that is only asked, or one that asks the members.
@@ -287,7 +294,7 @@ MEMBER, ASKED, ASKS = 0, 1, 2
 
 
 def compare(docs: DataFrame, asked: DataFrame, least: int = NUM) -> DataFrame:
-    """u, v: documents alike among asked (part, role, doc_id), of which a part's members have one role."""
+    """u, v, near (whether they link): documents alike among asked (part, role, doc_id), of which a part's members have one role."""
     spark = docs.sparkSession
     rows = needed(docs, need_filter(asked)).join(asked, "doc_id").select("part", "role", "doc_id", "text")
     rows = rows.repartition(common.shuffle_parts(spark), "part").sortWithinPartitions("part", "role", "doc_id")
@@ -295,7 +302,7 @@ def compare(docs: DataFrame, asked: DataFrame, least: int = NUM) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        name, part, within, u, v = None, Part(), False, [], []
+        name, part, within, out = None, Part(), False, []
 
         def finish() -> None:
             """Close the part and hold its members against one another."""
@@ -304,11 +311,14 @@ def compare(docs: DataFrame, asked: DataFrame, least: int = NUM) -> DataFrame:
                 part.close()
                 if within and len(sets) > 1:
                     for doc, tokens in zip(list(part.docs), sets):
-                        for a, b in part.joins(doc, part.alike(tokens, least)):
-                            u.append(a)
-                            v.append(b)
+                        out.extend(part.joins(doc, part.alike(tokens, least)))
                 part.sets = []
 
+        def given():
+            u, v, near = (list(x) for x in zip(*out))
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64()), pa.array(near, pa.bool_())], ["u", "v", "near"])
+
         for batch in common.sized(batches, "text", BATCH_BYTES):
             sets = shingle_sets(batch.column("text"))
             for p, role, doc, tokens in zip(batch.column("part").to_pylist(), batch.column("role").to_pylist(), batch.column("doc_id").to_pylist(), sets):
@@ -319,18 +329,14 @@ def compare(docs: DataFrame, asked: DataFrame, least: int = NUM) -> DataFrame:
                     part.add(doc, tokens)
                     continue
                 finish()
-                for a, b in part.joins(doc, part.alike(tokens, least)):
-                    u.append(a)
-                    v.append(b)
-            if u:
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
-                u.clear()
-                v.clear()
+                out.extend(part.joins(doc, part.alike(tokens, least)))
+            if out:
+                yield given()
         finish()
-        if u:
-            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+        if out:
+            yield given()
 
-    return rows.mapInArrow(run, "u long, v long")
+    return rows.mapInArrow(run, "u long, v long, near boolean")
 
 
 def star_pairs(distinct: DataFrame) -> DataFrame:
@@ -454,32 +460,48 @@ def matrix(docs: DataFrame, groups: DataFrame, table: np.ndarray, parts: int) ->
 def opened(met: DataFrame, groups: DataFrame) -> DataFrame:
     """part, role, doc_id: members of groups and hubs in parts, and the documents that ask them.
 
-    Stored are the hubs, the groups of several members and the larger one of each
-    pair. A member asks the parts of its group or hub after its own; a pair's
-    smaller group asks all parts of the larger one. A part is copied for each
-    ASKERS of its askers, of which one copy holds its members against one another.
+    groups: doc_id, group and class, the documents of a class being linked already. A
+    store is a group's or hub's class of PART members or more, or all its lesser
+    classes together; it has a part for each PART members, a class in one. A document
+    asks the stores of its group or hub that come after its own, and in a store of
+    lesser classes the parts after its own; of a pair of groups the smaller one asks
+    all parts of the larger one. A part is copied for each ASKERS of its askers, of
+    which one copy holds its members against one another. Parts of one class that
+    nobody asks are left out.
     """
+    of_groups = groups.select(F.concat(F.lit("group "), "group").alias("name"), "doc_id", "class")
+    of_hubs = met.where("hub is not null").select("hub", F.col("g1").alias("group")).join(groups, "group").select(F.concat(F.lit("hub "), "hub").alias("name"), "doc_id", "class")
+    named = common.stored(of_groups.unionByName(of_hubs), "join-named")
+    classes = named.groupBy("name", "class").agg(F.count("*").alias("n"))
+    store = F.when(F.col("n") >= PART, F.col("class"))  # null: the lesser classes, which come first
+    stores = classes.groupBy("name", store.alias("store")).agg(F.sum("n").alias("n"), F.count("*").alias("classes")).withColumn("n_parts", F.expr(f"1 + n div {PART}"))
+    stores = common.stored(stores, "join-stores")
+    held = named.join(classes, ["name", "class"]).withColumn("store", store).drop("n")
+    held = held.join(stores.withColumnRenamed("name", "of").withColumnRenamed("store", "its"), (F.col("name") == F.col("of")) & F.col("store").eqNullSafe(F.col("its")))
+    key = F.when(F.col("store").isNull(), F.xxhash64("class")).otherwise(F.xxhash64("doc_id"))
+    held = common.stored(held.select("name", "store", "doc_id", "n_parts", "classes", F.pmod(key, F.col("n_parts")).alias("k")), "join-held")
+    part = lambda k: F.concat_ws("/", "name", F.coalesce(F.col("store").cast("string"), F.lit("lesser")), k).alias("part")
+
+    own = held.where("store is null and k < n_parts - 1").select("name", "store", "doc_id", F.explode(F.expr("sequence(k + 1, n_parts - 1)")).alias("j"))
+    several = stores.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").select("name")
+    later = held.join(several, "name", "left_semi").select("name", F.col("store").alias("mine"), "doc_id").join(stores.select("name", "store", "n_parts"), "name")
+    later = later.where("store is not null and (mine is null or mine < store)").select("name", "store", "doc_id", F.explode(F.expr("sequence(0, n_parts - 1)")).alias("j"))
+
     sizes = groups.groupBy("group").agg(F.count("*").alias("members"))
     p = met.where("hub is null").join(sizes.select(F.col("group").alias("g1"), F.col("members").alias("m1")), "g1")
     p = p.join(sizes.select(F.col("group").alias("g2"), F.col("members").alias("m2")), "g2")
     first = F.col("m1") >= F.col("m2")
-    p = p.select(F.when(first, F.col("g1")).otherwise(F.col("g2")).alias("group"), F.when(first, F.col("g2")).otherwise(F.col("g1")).alias("asks"), F.greatest("m1", "m2").alias("members"))
-    wanted = p.select("group", "members").unionByName(sizes.where("members > 1")).distinct()
-    of_hubs = met.where("hub is not null").select("hub", F.col("g1").alias("group")).join(groups, "group").select(F.concat(F.lit("hub "), "hub").alias("name"), "doc_id")
-    of_hubs = of_hubs.join(of_hubs.groupBy("name").agg(F.count("*").alias("members")), "name")
-    n_parts = F.expr(f"1 + members div {PART}")
-    stored = wanted.join(groups, "group").select(F.col("group").cast("string").alias("name"), "doc_id", "members").unionByName(of_hubs)
-    stored = common.stored(stored.withColumn("k", F.pmod(F.xxhash64("doc_id"), n_parts)), "join-stored")
-    part = lambda k: F.concat_ws("/", "name", k).alias("part")
-    later = stored.where(F.col("k") < n_parts - 1).select("name", "doc_id", F.explode(F.sequence(F.col("k") + 1, n_parts - 1)).alias("j"))
-    asks = p.join(groups.withColumnRenamed("group", "asks"), "asks").select(F.col("group").cast("string").alias("name"), "doc_id", "members").distinct()
-    asks = asks.select("name", "doc_id", F.explode(F.sequence(F.lit(0).cast("long"), n_parts - 1)).alias("j"))
-    asks = common.stored(later.unionByName(asks).select(part("j"), "doc_id"), "join-asks")
+    p = p.select(F.concat(F.lit("group "), F.when(first, F.col("g1")).otherwise(F.col("g2"))).alias("name"), F.when(first, F.col("g2")).otherwise(F.col("g1")).alias("group"))
+    pairs = p.join(groups.select("group", "doc_id"), "group").select("name", "doc_id").distinct()
+    pairs = pairs.join(stores.select("name", "store", "n_parts"), "name").select("name", "store", "doc_id", F.explode(F.expr("sequence(0, n_parts - 1)")).alias("j"))
+
+    asks = common.stored(own.unionByName(later).unionByName(pairs).select(part("j"), "doc_id"), "join-asks")
     copies = asks.groupBy("part").agg(F.expr(f"1 + count(*) div {ASKERS}").alias("copies"))
     asks = asks.join(copies, "part").select(F.concat_ws("/", "part", F.pmod(F.xxhash64("doc_id", F.lit(1)), "copies")).alias("part"), F.lit(ASKS).alias("role"), "doc_id")
-    members = stored.select(part("k"), "doc_id").join(copies, "part", "left").select("part", "doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("copies", F.lit(1)) - 1)).alias("copy"))
-    members = members.select(F.concat_ws("/", "part", "copy").alias("part"), F.when(F.col("copy") == 0, MEMBER).otherwise(ASKED).alias("role"), "doc_id")
-    return members.unionByName(asks)
+    members = held.select(part("k"), "doc_id", (F.col("store").isNull() & (F.col("classes") > 1)).alias("several")).join(copies, "part", "left").where("several or copies is not null")
+    members = members.select("part", "doc_id", "several", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("copies", F.lit(1)) - 1)).alias("copy"))
+    role = F.when((F.col("copy") == 0) & F.col("several"), MEMBER).otherwise(ASKED).alias("role")
+    return members.select(F.concat_ws("/", "part", "copy").alias("part"), role, "doc_id").unionByName(asks)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -499,13 +521,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = rows.where("n > 0 and doc_id is not null")
     distinct = common.stored(sets.groupBy("n", "d1", "d2").agg(F.min(F.struct("doc_id", "keys")).alias("f")).select("n", "d1", "d2", "f.doc_id", "f.keys"), "join-distinct")
     equal = sets.join(distinct.select("n", "d1", "d2", F.col("doc_id").alias("v")), ["n", "d1", "d2"]).where("doc_id != v").select(F.col("doc_id").alias("u"), "v")
-    alike = compare(docs, common.stored(star_pairs(distinct), "join-stars"), ALIKE)
-    grouped = graph.components(alike)
-    groups = distinct.select("doc_id").distinct().join(grouped, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("group"))
-    groups = common.stored(groups, "join-groups")
-    met = common.stored(matrix(docs, groups, frequency_table(docs, parts), parts), "join-met")
+    alike = common.stored(compare(docs, common.stored(star_pairs(distinct), "join-stars"), ALIKE), "join-alike")
+    near = alike.where("near").select("u", "v")
+    grouped, linked = graph.components(alike.select("u", "v")), graph.components(near)
+    groups = distinct.select("doc_id").distinct()
+    groups = groups.join(grouped.select(F.col("node").alias("doc_id"), F.col("root").alias("group")), "doc_id", "left").join(linked.select(F.col("node").alias("doc_id"), F.col("root").alias("class")), "doc_id", "left")
+    groups = common.stored(groups.select("doc_id", F.coalesce("group", "doc_id").alias("group"), F.coalesce("class", "doc_id").alias("class")), "join-groups")
+    met = common.stored(matrix(docs, groups.select("doc_id", "group"), frequency_table(docs, parts), parts), "join-met")
     asked = common.stored(opened(met, groups), "join-asked")
-    roots = graph.components(compare(docs, asked).unionByName(equal))
+    roots = graph.components(compare(docs, asked).select("u", "v").unionByName(near).unionByName(equal))
     return rows.join(roots, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
 
 

@@ -6,17 +6,17 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Labelled rows that a model is fitted on, at most. Their texts come to the driver.
+#: Labelled rows that a model is fitted on, at most: the one bound of the sample. Their whole texts come to the driver.
 MAX_ROWS = 4000
-#: Code points of all sampled texts, at most: a bound for tables of very long texts.
-MAX_CHARS = 40_000_000
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, learn=None, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> tuple[list[str], np.ndarray, np.ndarray]:
+def sample(docs: DataFrame, labels: DataFrame, label: str, learn=None, max_rows: int = MAX_ROWS) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Texts, labels (0 or 1) and doc_ids in ascending order of a hash of doc_id.
 
     learn: a condition on doc_id. Rows with a null id, label or text are left
-    out; of repeated ids the least label and text count.
+    out; of repeated ids the least label and text count. Ties of the hash go to the
+    lesser id. Only doc_id, text and the label are read, so other columns may have any
+    name. Empty tables give an empty sample.
     """
     chosen = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1))
     if learn is not None:
@@ -26,7 +26,6 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, learn=None, max_rows:
         docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).toPandas()
     )  # chosen has max_rows rows at most
     rows = rows.assign(h=[hash_id(i) for i in rows.doc_id]).sort_values(["h", "doc_id"])
-    rows = rows[rows.text.str.len().cumsum() <= max_chars]
     return rows.text.tolist(), rows.y.to_numpy(np.int64), rows.doc_id.to_numpy(np.int64)
 
 

@@ -98,7 +98,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs (doc_id, text).
 
     A null or empty text has no features and gets the score of the bias alone.
-    Repeated rows get equal scores. An empty table gives no rows.
+    Repeated rows get equal scores. A very long text is
+    read whole, alone in its batch. There are no ties to break. Other columns, whatever
+    their names, are not read. An empty table gives no rows.
     """
     common.small_batches(docs.sparkSession)
 
@@ -113,7 +115,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs that the model accepts, with all their columns."""
+    """The rows of docs that the model accepts, with all their columns, whatever their names.
+
+    A null text is scored as an empty one and stays null. Repeated rows stay or go
+    together, very long texts are scored whole, a score just at the threshold stays. An
+    empty table gives no rows.
+    """
     common.small_batches(docs.sparkSession)
     names = docs.columns
 

@@ -162,7 +162,9 @@ def apply(docs: DataFrame, model: Model, min_probability: float = MIN_PROBABILIT
     """Counts, base_failed, kept and the calibrated probability for each row of docs (doc_id, text).
 
     A null text has no words, as an empty one: its base rule fails. Repeated rows
-    get equal results. An empty table gives no rows.
+    get equal results. A very long text is counted and scored whole, alone in its
+    batch. There are no ties to break. Other columns, whatever their names, are not
+    read. An empty table gives no rows.
     """
     common.small_batches(docs.sparkSession)
 
@@ -179,9 +181,3 @@ def apply(docs: DataFrame, model: Model, min_probability: float = MIN_PROBABILIT
             yield pa.RecordBatch.from_pydict(columns)
 
     return common.texts(docs).mapInArrow(run, SCHEMA)
-
-
-def keep(docs: DataFrame, model: Model, min_probability: float = MIN_PROBABILITY) -> DataFrame:
-    """The rows of docs that pass, found by doc_id and text, with all their columns."""
-    passed = apply(docs, model, min_probability).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(passed, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")

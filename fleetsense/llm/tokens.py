@@ -3,8 +3,10 @@
 Both vocabularies split a text into words before their merges, and no merge
 crosses a word's border, so the ids of a text are the ids of its words in order.
 Words repeat, so each worker encodes a word once and keeps its ids. The cuts are
-made only where the tokenizer's own splitting has a border; a text that has
-runs of spaces goes through the tokenizer whole where those runs matter.
+single spaces; words go to the library as words, and it reports which word each
+id belongs to, so a word's ids never depend on what else is encoded with it. A text
+with a space next to other white space goes through the tokenizer whole where
+such runs matter.
 """
 
 from __future__ import annotations
@@ -17,10 +19,12 @@ import numpy as np
 
 #: Words that a worker keeps; others are encoded again.
 CACHE_WORDS = 300_000
-#: Words as long as this and longer are not kept, so that the cache's size stays bounded.
+#: Words longer than this are not kept, so that the cache's size stays bounded.
 CACHE_CHARS = 100
-#: Fixed value: how word_bpe_49k.json splits lower-case text into words.
-WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Words that the library encodes in one call.
+CALL_WORDS = 1000
+#: A space in a run of white space (a superset of what the tokenizers take for it).
+RUN = r"[\s\x0b\x1c-\x1f\x85\pZ] | [\s\x0b\x1c-\x1f\x85\pZ]"
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
@@ -35,18 +39,11 @@ class Encoder:
 
     def __init__(self, path: str, drops_spaces: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.drops_spaces = drops_spaces
-        vocab = self.tokenizer.get_vocab()
-        #: Which ids end a word (they end in </w>), or begin one (they begin with a space, written as U+0120).
-        self.mark = np.zeros(max(vocab.values()) + 1, bool)
-        for token, i in vocab.items():
-            self.mark[i] = token.endswith("</w>") if drops_spaces else token.startswith("\u0120")
-        self.splits = regex.compile(WORD_SPLIT)
         self.index: dict[str, int] = {}
         self.flat = np.empty(1 << 20, np.uint32)
         self.used = 0
@@ -57,39 +54,37 @@ class Encoder:
         ids = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         return (np.concatenate(ids) if ids else np.empty(0, np.uint32)), np.array([len(x) for x in ids], np.int64)
 
-    def _borders(self, words: list[str]) -> np.ndarray:
-        """The number of marked ids that each word's encoding has."""
-        if not self.drops_spaces:
-            return np.ones(len(words), np.int64)
-        return np.fromiter((1 if w.isalpha() else len(self.splits.findall(w.lower())) for w in words), np.int64, len(words))
-
     def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and sizes of words, encoded many at once and parted at the marked ids."""
+        """Ids and sizes of words; the library itself says which word an id is of."""
         out, counts = [], []
-        for at in range(0, len(words), 1000):
-            part = words[at : at + 1000]
-            joined = " ".join(part) if self.drops_spaces else " " + " ".join(part)
-            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
-            marks = np.flatnonzero(self.mark[ids])
-            last = np.cumsum(self._borders(part))
-            if len(marks) != last[-1]:  # a word that another alphabet's rules split otherwise
-                ids, sizes = self._plain(part if self.drops_spaces else [" " + w for w in part])
-            elif self.drops_spaces:
-                sizes = np.diff(np.concatenate([[-1], np.append(marks, -1)[last - 1]]))
-                sizes[last == np.concatenate([[0], last[:-1]])] = 0
-            else:
-                sizes = np.diff(np.append(marks, len(ids)))
-            out.append(ids)
-            counts.append(sizes)
+        for at in range(0, len(words), CALL_WORDS):
+            part = words[at : at + CALL_WORDS]
+            found = self.tokenizer.encode(part if self.drops_spaces else [" " + w for w in part], is_pretokenized=True, add_special_tokens=False)
+            out.append(np.array(found.ids, np.uint32))
+            counts.append(np.bincount(np.array(found.word_ids, np.int64), minlength=len(part)))
         return (np.concatenate(out), np.concatenate(counts)) if out else (np.empty(0, np.uint32), np.empty(0, np.int64))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order (uint32), and each text's number of ids (int64)."""
-        whole = [] if self.drops_spaces else [i for i, t in enumerate(texts) if "  " in t]
-        if len(whole) == len(texts):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        if self.drops_spaces or not texts:
+            return self._by_words(texts)
+        whole = np.asarray(pc.match_substring_regex(pa.array(texts, pa.large_string()), RUN))
+        if whole.all():
             return self._plain(texts)
-        if whole:
-            return self._mixed(texts, set(whole))
+        if not whole.any():
+            return self._by_words(texts)
+        parts = [self._by_words([t for t, w in zip(texts, whole) if not w]), self._plain([t for t, w in zip(texts, whole) if w])]
+        sizes = np.empty(len(texts), np.int64)
+        sizes[~whole], sizes[whole] = parts[0][1], parts[1][1]
+        of = np.repeat(whole, sizes)
+        ids = np.empty(len(of), np.uint32)
+        ids[~of], ids[of] = parts[0][0], parts[1][0]
+        return ids, sizes
+
+    def _by_words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         import pyarrow as pa
         import pyarrow.compute as pc
 
@@ -106,7 +101,12 @@ class Encoder:
         kept_used = self.used
         starts, sizes = self.starts[slot], self.sizes[slot]
         if len(new):
-            words = [names[i] for i in new]
+            keep = np.asarray(pc.utf8_length(coded.dictionary))[new] <= CACHE_CHARS
+            if len(self.index) + keep.sum() > CACHE_WORDS:  # too many: those that the batch has twice, as many as fit
+                keep &= np.bincount(code, minlength=len(names))[new] > 1
+                keep[np.flatnonzero(keep)[CACHE_WORDS - len(self.index) :]] = False
+            new = np.concatenate([new[keep], new[~keep]])  # what is kept comes first, so that the rest can be overwritten
+            words, k, n = [names[i] for i in new], int(keep.sum()), len(self.index)
             ids, counts = self._words(words)
             need = self.used + len(ids)
             if need > len(self.flat):
@@ -114,13 +114,10 @@ class Encoder:
             self.flat[self.used : need] = ids
             starts[new] = self.used + np.cumsum(counts) - counts
             sizes[new] = counts
+            kept_used = self.used + int(counts[:k].sum())
             self.used = need
-            n = len(self.index)
-            if n + len(new) <= CACHE_WORDS and max(map(len, words)) <= CACHE_CHARS:
-                self.starts[n : n + len(new)] = starts[new]
-                self.sizes[n : n + len(new)] = counts
-                self.index.update(zip(words, range(n, n + len(new))))
-                kept_used = need
+            self.starts[n : n + k], self.sizes[n : n + k] = starts[new[:k]], counts[:k]
+            self.index.update(zip(words[:k], range(n, n + k)))
         firsts = None
         if not self.drops_spaces:  # the first word has no space before it; an empty one is no word
             at = np.cumsum(n_words) - n_words
@@ -141,10 +138,6 @@ class Encoder:
         self.used = kept_used
         return ids, np.diff(bounds)
 
-    def _mixed(self, texts: list[str], whole: set[int]) -> tuple[np.ndarray, np.ndarray]:
-        out = [self._plain([t]) if i in whole else self.encode([t]) for i, t in enumerate(texts)]
-        return np.concatenate([x for x, _ in out]), np.concatenate([n for _, n in out])
-
 
 def encoder(path: str, drops_spaces: bool) -> Encoder:
     """The worker's own encoder: it and its cache outlive a task."""

@@ -24,8 +24,8 @@ THRESHOLD = 0.7
 MAX_ROWS = 4000
 TREES, DEPTH, RATE, BINS, FOLDS = 60, 3, 0.2, 32, 3
 MIN_LEAF, REGULAR = 3.0, 1.0
-#: A learned word stands in at least so many toxic rows, with odds so many times those of other rows; at most so many are kept.
-LEARN_ROWS, LEARN_ODDS, LEARN_MOST = 3, 20.0, 5000
+#: A learned word stands in at least so many toxic rows, with odds so many times those of other rows.
+LEARN_ROWS, LEARN_ODDS = 3, 20.0
 PREFIXES = (4, 5, 6)
 #: Words between an insult and the second person.
 NEAR = 5
@@ -78,8 +78,7 @@ def learn(texts: list[str], y: np.ndarray) -> dict[str, float]:
             into[s] = into.get(s, 0) + 1
     n1, n0 = int(y.sum()) + 1, int(len(y) - y.sum()) + 1
     odds = {s: (c + 0.5) / n1 / ((other.get(s, 0) + 0.5) / n0) for s, c in toxic.items() if c >= LEARN_ROWS}
-    best = sorted(((v, s) for s, v in odds.items() if v >= LEARN_ODDS), key=lambda x: (-x[0], x[1]))[:LEARN_MOST]
-    return {s: float(np.log(v)) for v, s in best}
+    return {s: float(np.log(odds[s])) for s in sorted(odds) if odds[s] >= LEARN_ODDS}
 
 
 class Reader:
@@ -284,7 +283,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs (doc_id, text).
 
     A null text counts as empty; an empty text has zero for each feature and is
-    scored as that. Repeated rows get equal scores. An empty table gives no rows.
+    scored as that. Repeated rows get equal scores. A very long text is
+    read whole, alone in its batch. There are no ties to break. Other columns, whatever
+    their names, are not read. An empty table gives no rows.
     """
     common.small_batches(docs.sparkSession)
 

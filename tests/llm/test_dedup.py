@@ -95,7 +95,7 @@ def test_tokens_that_all_have_are_hubs(spark):
 
 
 def test_frequency_table_counts_all(spark):
-    texts = [(i, "a b c d e" if i < 40 else f"own words {i} x y") for i in range(60)] + [(100 + i, f"k{i} " + "m n o p q " + f"z{i}") for i in range(300)]
+    texts = [(i, "a b c d e" if i < 40 else f"own words {i} x y") for i in range(60)] + [(100 + i, " ".join(f"k{i}{c}" for c in "abcdefgh") + " m n o p q " + f"z{i}") for i in range(400)]
     table = jaccard_join.frequency_table(spark.createDataFrame(texts, "doc_id long, text string").repartition(3), 4)
     import pyarrow as pa
 

@@ -46,7 +46,7 @@ def test_mix_on_awkward_rows(spark):
 
 def test_schedule_is_even_everywhere(spark):
     df = spark.createDataFrame([(i, H.prose(i, 200), "abc"[i % 3]) for i in range(60)], "doc_id long, text string, source string")
-    plan = mixing.Plan(mixing.sized(df, "doc_id"))
+    plan = mixing.Plan(mixing.sized(df, "doc_id"), block=20)
     slots = mixing.schedule(spark, plan).orderBy("slot").collect()
     assert len({s.slot for s in slots}) == len(slots) == sum(plan.slots)
     for src, n in enumerate(plan.slots):
