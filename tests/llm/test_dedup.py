@@ -26,6 +26,20 @@ def test_exact_hot_group_over_batches(spark, monkeypatch):
     assert r[1].keep_id == 2999 and r[1].group_size == 2000 and r[3].group_size == 1 and sum(x.kept for x in r.values()) == 1001
 
 
+def test_exact_hot_group_is_aggregated_first(spark):
+    plan = exact_dedup.duplicates(spark.createDataFrame([(1, "a")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "partial_max" in plan
+
+
+def test_keep_one_with_clashing_names(spark):
+    from pyspark.sql import functions as F
+
+    df, rows = H.awkward(spark)
+    df = df.select("*", *[F.lit(1).alias(c) for c in ("stays", "own", "_sha", "_own", "rep")])
+    one = exact_dedup.keep_one(df)
+    assert one.columns == df.columns and one.count() == len({r[1] or "" for r in rows})
+
+
 def test_exact_twin(spark):
     rows = [(1, "a"), (2, "a"), (3, None), (4, ""), (5, "b"), (5, "b"), (6, "B"), (7, "a ")]
     df = spark.createDataFrame(rows, "doc_id long, text string")

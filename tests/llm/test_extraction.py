@@ -44,9 +44,87 @@ def test_pages_table(spark):
 def test_smoothing_and_threshold():
     import numpy as np
 
-    flat = html_text.smooth(np.ones(3))
-    assert flat == pytest.approx(np.ones(3)) and html_text.smooth(np.ones(20)) == pytest.approx(np.ones(20))
-    assert 1 < html_text.threshold(np.array([1.0, 1, 9, 10])) < 9 and html_text.threshold(np.array([4.0, 4])) == 4
+    one = np.zeros(20, int)
+    assert html_text.smooth(np.ones(3), one[:3]) == pytest.approx(np.ones(3)) and html_text.smooth(np.ones(20), one) == pytest.approx(np.ones(20))
+    assert html_text.smooth(np.array([0.0, 9, 9]), np.array([-2, 1, 1])) == pytest.approx([0, 9, 9])
+    assert html_text.threshold(np.array([0.0, 1, 9, 10])) == pytest.approx(4.75) and html_text.threshold(np.array([4.0, 4])) == 2
+
+
+def brute_values(lines, roots):
+    """The smoothed values by the definition, each line with each other."""
+    import math
+
+    some = any(x[4] > 0 and roots[x[3]] >= 0 for x in lines)
+    ratio, frame = [], []
+    for text, tags, links, region, evidence in lines:
+        e = evidence * (html_text.BESIDE if some and roots[region] < 0 else 1)
+        ratio.append(math.log(1 + e * (len(text) - links + html_text.LINK * links) / max(tags, 1)))
+        frame.append(roots[region] if evidence else -2)
+    out = []
+    for i in range(len(lines)):
+        w = {j: math.exp(-((i - j) ** 2) / 2) for j in range(len(lines)) if abs(i - j) <= 3 and frame[i] == frame[j]}
+        out.append(sum(v * ratio[j] for j, v in w.items()) / sum(w.values()))
+    return out
+
+
+def brute_cut(values):
+    """Two clusters, one at zero: the other's mean from the greatest value down."""
+    c = max(values)
+    for _ in range(50):
+        near = [v for v in values if abs(v - c) <= v]
+        c = sum(near) / len(near)
+    return c / 2
+
+
+def test_pages_with_articles_are_brute_force():
+    import glob
+
+    import pyarrow.parquet as pq
+
+    pages = [h for f in glob.glob("/root/testdata/sf0.01/pages*") for h in pq.read_table(f).column("html").to_pylist() if h]
+    pages += [f"<div>{k * 'ab '}</div><article><p>{k * 'word '}<p>x<aside>{'y ' * k}</aside></article><article><p>One more</article>" for k in (1, 40, 900)]
+    for page in pages:
+        p = html_text.Lines()
+        p.feed(page)
+        p.close()
+        p.flush()
+        v, root = brute_values(p.lines, p.roots), [p.roots[x[3]] for x in p.lines]
+        cut = brute_cut(v)
+        held = {r for r, x in zip(root, v) if r >= 0 and x >= cut and x > 0}
+        assert held
+        want = [t[0] for t, r, x in zip(p.lines, root, v) if x > 0 and (r in held or r < 0 and x >= cut)]
+        assert html_text.extract(page) == "\n\n".join(want)
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<article>Body text</article><article>Part two of the text</article>", "Body text\n\nPart two of the text"),
+        ("<article><p>First of all, a paragraph of prose.</p><div class='social-history'><p>Prose of the history of a society.</p></div><p class=notice>Take notice of this.</p></article>",
+         "First of all, a paragraph of prose.\n\nProse of the history of a society.\n\nTake notice of this."),
+        ("<article><p>Some prose that stands here.</p><p><a href=x>A paragraph that is but one link</a></p><div class='share-buttons'>Tell all</div></article>",
+         "Some prose that stands here.\n\nA paragraph that is but one link"),
+        ("<article><p>A line<script>var x</script> with a <span hidden>secret</span> script <button>Go</button>in it.</p></article>", "A line with a script in it."),
+        ("<article><p>Text of the article, of some length.</p></article><div>Unmarked words</div>", "Text of the article, of some length."),
+    ],
+)
+def test_what_the_article_keeps(page, want):
+    assert html_text.extract(f"<body><nav><a href=1>Home</a></nav>{page}<footer>Foot</footer></body>") == want
+
+
+def test_the_ratio_decides(monkeypatch):
+    """With another smoothed ratio another text comes out: nothing but the value selects."""
+    page = f"<body><nav><ul><li><a href=x>A</a></li></ul></nav><div class='ad'>Buy it now</div>{ARTICLE}<footer>us</footer></body>"
+    assert html_text.extract(page) == WANT
+    monkeypatch.setattr(html_text, "smooth", lambda ratio, frame: ratio * 0 + 1)
+    assert html_text.extract(page) == "A\n\nBuy it now\n\n" + WANT + "\n\nus"
+
+
+def test_very_long_page(spark):
+    body = "<p>" + "</p><p>".join(H.prose(k, 40) for k in range(3000)) + "</p>"
+    df = spark.createDataFrame([(1, "u", f"<article>{body}</article>"), (2, "u", f"<article><p>{'w ' * 300_000}</p></article>")], "page_id long, url string, html string")
+    got = {r.page_id: r.n_chars for r in html_text.main_text(df).collect()}
+    assert got[1] == sum(len(H.prose(k, 40)) for k in range(3000)) + 2 * 2999 and got[2] == 599_999
 
 
 ODD = [
@@ -76,6 +154,60 @@ def test_context_finds_what_no_pattern_knows(spark):
     assert kind == "other" and rows[0][1][int(a) : int(b)] == "555-9910"
 
 
+def test_recall_of_planted_identifiers(spark):
+    """Labelled identifiers that neither a base pattern nor a seed's shape knows; numbers in plain prose stay alone."""
+    import random
+
+    r = random.Random(7)
+    rows, planted = [], {}
+    for i in range(400):
+        words = H.prose(i, 60).split()
+        k = i % 8
+        mixed = "".join(r.choice("0123456789abcdef") for _ in range(40))
+        short = f"{r.choice('ghkp')}{r.randint(1000, 9999)}-{r.randint(10, 99)}x"
+        put = {0: f'token = "{mixed}"', 1: f'token = "{short}"', 2: f"user: u{i}@mail.example.org", 3: f"user: no.{short}", 4: f"{r.randint(10**15, 10**16)}", 5: f"the {r.randint(10000, 99999)}"}.get(k, "")
+        at = r.randint(5, 50)
+        text = " ".join([*words[:at], put, *words[at:]])
+        rows.append((i, text))
+        if k in (0, 1, 3):
+            want = {0: mixed, 1: short, 3: f"no.{short}"}[k]
+            planted[i] = (text.index(want), text.index(want) + len(want))
+    got = {x.doc_id: x for x in pii.find(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    found = {(i, *map(int, s.split(":")[1:])) for i, x in got.items() for s in x.spans.split(",") if s.startswith("other:")}
+    right = {(i, a, b) for i, (a, b) in planted.items()}
+    assert len(found & right) >= 0.9 * len(right)
+    assert len(found - right) <= 0.02 * len(right)
+
+
+def test_scores_of_the_graph_are_brute_force(spark):
+    import random
+
+    r = random.Random(2)
+    edges = sorted({(r.randint(1, 12), r.randint(1, 60)) for _ in range(260)})
+    seed = {i: i % 3 != 0 for _, i in edges}
+    usual = {p: r.choice([0, 0, 1, 5]) for p in range(1, 13)}
+    score = {i: 1.0 if s else pii.PRIOR for i, s in seed.items()}
+    for _ in range(50):
+        of = {p: [i for q, i in edges if q == p] for p in usual}
+        value = {p: sum(score[i] for i in m) / (len(m) + usual[p] + pii.DOUBT) for p, m in of.items() if m}
+        score = {i: 1.0 if s else max([v for p, v in value.items() if (p, i) in edges and v >= 0.8] or [pii.PRIOR]) for i, s in seed.items()}
+    df = spark.createDataFrame([(p, i, seed[i]) for p, i in edges], "pattern long, instance long, seed boolean")
+    others = spark.createDataFrame(list(usual.items()), "pattern long, ordinary long")
+    got = {x.pattern: x.pattern_score for x in pii.confident(df, others, min_score=0.8).collect()}
+    assert got == pytest.approx({p: v for p, v in value.items() if v >= 0.8}) and 0 < len(got) < 12
+    assert pii.confident(df.limit(0), others.limit(0)).isEmpty()
+
+
+def test_running_sums(spark):
+    from pyspark.sql import functions as F
+
+    for n in (0, 1, 2, 3, 10, 257):
+        x = F.array(*[F.lit(k * 7 % 11).cast("long") for k in range(n)]).cast("array<long>")
+        got = spark.range(1).select(pii.running(x, F.lit(0).cast("long"), lambda a, b: a + b), pii.running(x, F.lit(0).cast("long"), lambda a, b: F.greatest(a, b))).first()
+        v = [k * 7 % 11 for k in range(n)]
+        assert got[0] == [sum(v[:k]) for k in range(n)] and got[1] == [max([0, *v[:k]]) for k in range(n)]
+
+
 def test_main_path_is_native(spark):
     plan = pii.read_texts(spark.createDataFrame([(1, "a")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan

@@ -68,6 +68,38 @@ def test_mixed_documents(spark):
     assert sum(r.text not in texts for r in got) <= 4 and all(r.n_chars == len(r.text) for r in got)
 
 
+def test_repeated_rows_lose_no_word(spark):
+    rows = [(1, "a b c d e f g", "s"), (1, "a b c d e f g", "s"), (2, "h i j k l m n o p q r", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = mixing.mix(df).agg(F.sum("taken")).first()[0]
+    assert sum(len(H.WORD.findall(r.text)) for r in mixing.mixed_documents(df).collect()) == taken == 38
+
+
+def test_clashing_names_and_order(spark):
+    clash = ("one", "two", "row", "taken", "size", "first", "last", "slot", "_slot", "source_size", "Slot ")
+    df = spark.createDataFrame([(i, H.prose(i, 30 + i % 50), "abc"[i % 3]) for i in range(300)], "doc_id long, text string, source string").select("*", *[F.lit(7).alias(c) for c in clash])
+    out = mixing.mixed_documents(df, block=64)
+    assert out.columns == df.columns
+    rows = out.withColumn("part", F.spark_partition_id()).collect()
+    n = {s: sum(r.source == s for r in rows) / len(rows) for s in "abc"}
+    for part in {r.part for r in rows}:  # each stretch of the schedule has each source's share
+        mine = [r for r in rows if r.part == part]
+        assert len(mine) < 30 or all(abs(sum(r.source == s for r in mine) / len(mine) - n[s]) < 0.15 for s in "abc")
+
+
+def test_block_length_does_not_depend_on_the_corpus(spark):
+    for n in (1, 500):
+        df = spark.createDataFrame([(i, H.prose(i, 40), "a") for i in range(n)], "doc_id long, text string, source string")
+        assert mixing.Plan(mixing.sized(df, "doc_id")).block == mixing.BLOCK_WORDS
+
+
+def test_sums_in_levels(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "LEVEL", 3)
+    rows = [(s, k, k % 5 + s) for s in (0, 1) for k in range(20)]
+    got = {(r.src, r.k): r.before for r in mixing.before(spark.createDataFrame(rows, "src int, k long, v long"), "k", "v").collect()}
+    assert got == {(s, k): sum(v for t, j, v in rows if t == s and j < k) for s, k, _ in rows}
+
+
 def test_empty_and_wordless(spark):
     e = spark.createDataFrame([], H.SCHEMA)
     assert mixing.mix(e).count() == 0 and mixing.mixed_documents(e).count() == 0

@@ -89,6 +89,25 @@ def test_isotonic_is_monotone_and_pools():
     assert (np.diff(y) >= 0).all() and np.interp(2.5, x, y) == 0.5 and np.interp(9, x, y) == 1
 
 
+def test_sample_is_bounded_by_rows_alone(spark):
+    from fleetsense.llm import labelled
+
+    texts = {1: "x" * 500_000, 2: "y" * 8, 3: "z" * 7, 4: "w" * 5}
+    docs = spark.createDataFrame([(i, t, 5, 5) for i, t in texts.items()], "doc_id long, text string, quality int, h int")
+    labels = spark.createDataFrame([(i, i % 2, 9) for i in texts], "doc_id long, quality int, text int")
+    got, y, ids = labelled.sample(docs, labels, "quality")
+    assert {i: (t, v) for i, t, v in zip(ids.tolist(), got, y.tolist())} == {i: (t, i % 2) for i, t in texts.items()}
+    assert len(labelled.sample(docs, labels, "quality", max_rows=3)[0]) == 3
+
+
+def test_learned_words_are_not_capped():
+    import numpy as np
+
+    words = [f"q{k:05d}zz" for k in range(6000)]
+    texts = [" ".join(words)] * 4 + ["a plain text of words"] * 200
+    assert set(words) <= set(toxicity.learn(texts, np.array([1] * 4 + [0] * 200)))
+
+
 def test_disguised_insults(spark, tables):
     import pyarrow as pa
 

@@ -39,23 +39,60 @@ def test_cache_is_bounded(monkeypatch):
         assert len(enc.index) <= 50
 
 
+ODD_WORDS = ["e\u0301", "\u0130", "x", "\u0130e\u0301", "a\u0301b", "\u1100\u1161", "\u01c4", "\u00df", "don't", "<|endoftext|>"]
+
+
+@pytest.mark.parametrize("name", sorted(ENCODERS))
+def test_ids_do_not_depend_on_what_else_is_encoded(name):
+    """Composed, decomposed and dotted letters in every order of two, with a cache warm from all the others."""
+    enc, t = tokens.Encoder(tokens.tokenizer_path(name), name == tokens.WORD_BPE), ENCODERS[name][1]
+    for a in ODD_WORDS:
+        for b in ODD_WORDS:
+            for texts in ([f"{a} {b} x"], [b], [f"{b} plain", a], [f"{a}\n \n{b}", f"{a}  {b}"]):
+                ids, n = enc.encode(texts)
+                want = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+                assert ids.tolist() == [i for x in want for i in x] and n.tolist() == [len(x) for x in want], texts
+
+
 @settings(max_examples=200, deadline=None)
-@given(lengths=st.lists(st.integers(0, 300), max_size=60), size=st.sampled_from([1, 8, 64, 100]))
-def test_assignment_places_every_token_once(lengths, size):
-    pieces, costs = packing.assign(lengths, size)
+@given(lengths=st.lists(st.integers(0, 300), max_size=60), size=st.sampled_from([1, 8, 64, 100]), last=st.booleans())
+def test_assignment_places_every_token_once(lengths, size, last):
+    pieces, costs, left = packing.assign(lengths, size, last)
     seen = {d: np.zeros(n, int) for d, n in enumerate(lengths)}
     used: dict[int, list] = {}
     for d, start, n, s, off in pieces:
         assert n > 0
         seen[d][start : start + n] += 1
         used.setdefault(s, []).append((off, n))
+    for d, start, n in left:
+        seen[d][start : start + n] += 1
     assert all((x == 1).all() for x in seen.values()) and len(costs) == len(used)
+    assert not left if last else sum(n for _, _, n in left) < size
     for s in used.values():  # gapless, and of a length that needs no padding
         at = 0
         for off, n in sorted(s):
             assert off == at
             at += n
-        assert at == size or at < size and (at & (at - 1) == 0 or size & (size - 1))
+        assert at == size or last and at < size and (at & (at - 1) == 0 or size & (size - 1))
+
+
+def test_assignment_is_the_cheapest_with_room():
+    """Against a plain search of all sequences for each document, as long as none must be cut."""
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        lengths = rng.integers(1, 40, 120).tolist()
+        pieces, _, _ = packing.assign(lengths, 64, False)
+        room, costs = [64] * (sum(lengths) // 64), [0.0] * (sum(lengths) // 64)
+        for (d, start, n, s, off), (neg, want) in zip(pieces, sorted((-n, d) for d, n in enumerate(lengths))):
+            fits = [(costs[k], k) for k in range(len(room)) if room[k] >= -neg]
+            if not fits:
+                break
+            k = min(fits)[1]
+            assert (d, start, n, s, off) == (want, 0, -neg, k, 64 - room[k])
+            room[k] -= n
+            costs[k] += packing.cost(n)
+        else:
+            raise AssertionError("the rest must be cut somewhere")
 
 
 def test_pack(spark):
@@ -84,9 +121,27 @@ def test_pack(spark):
     assert packing.pack(spark.createDataFrame([], H.SCHEMA)).count() == 0
 
 
+def test_one_tail_for_each_task(spark, monkeypatch):
+    from fleetsense.llm import common
+
+    sized = common.sized
+    monkeypatch.setattr(common, "sized", lambda batches, column: sized(batches, column, 20_000))  # many groups in a task
+    df = spark.createDataFrame([(i, H.prose(i, 60 + i % 90)) for i in range(400)], "doc_id long, text string").repartition(2)
+    got = packing.pack(df).collect()
+    lengths = {}
+    for p in got:
+        lengths[p.sequence_id] = lengths.get(p.sequence_id, 0) + p.length
+    assert sum(n < 4096 for n in lengths.values()) <= 2 * 12 and len(lengths) > 20
+    whole = {}
+    for p in sorted(got, key=lambda p: (p.doc_id, p.start)):
+        assert p.start == whole.get(p.doc_id, 0)
+        whole[p.doc_id] = p.start + p.length
+    assert all(whole[p.doc_id] == p.doc_tokens for p in got) and len(whole) == 400
+
+
 def test_costs_are_balanced():
     rng = np.random.default_rng(0)
-    _, costs = packing.assign(rng.integers(20, 900, 400).tolist(), 4096)
+    _, costs, _ = packing.assign(rng.integers(20, 900, 400).tolist(), 4096)
     full = np.array(sorted(costs)[len(costs) // 5 :])
     assert full.std() / full.mean() < 0.1
 
