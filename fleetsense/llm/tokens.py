@@ -11,6 +11,7 @@ such runs matter.
 
 from __future__ import annotations
 
+import itertools
 import os
 import sys
 import types
@@ -18,7 +19,7 @@ import types
 import numpy as np
 
 #: Words that a worker keeps; others are encoded again.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 600_000
 #: Words longer than this are not kept, so that the cache's size stays bounded.
 CACHE_CHARS = 100
 #: Words that the library encodes in one call.
@@ -96,7 +97,7 @@ class Encoder:
         coded = pc.dictionary_encode(parts.flatten())
         names = coded.dictionary.to_pylist()
         code = np.asarray(coded.indices).astype(np.int64)
-        slot = np.fromiter((self.index.get(w, -1) for w in names), np.int64, len(names))
+        slot = np.fromiter(map(self.index.get, names, itertools.repeat(-1)), np.int64, len(names))
         new = np.flatnonzero(slot < 0)
         kept_used = self.used
         starts, sizes = self.starts[slot], self.sizes[slot]
@@ -133,7 +134,7 @@ class Encoder:
         ends = np.cumsum(w_sizes)
         pos = np.arange(int(ends[-1]) if len(ends) else 0)
         pos += np.repeat(w_starts - (ends - w_sizes), w_sizes)
-        ids = self.flat[pos]
+        ids = self.flat.take(pos)
         bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n_words)])]
         self.used = kept_used
         return ids, np.diff(bounds)
