@@ -42,3 +42,10 @@ CO2_KG_PER_KM, SPEED_KMH = 1.05, 20.0
 DEPOT = (23.8069, 90.3687)
 USER = (23.81, 90.36)
 EARTH_M = 6_371_000.0
+
+#: Fixed values of the simulation: weather, demand, collection and decomposition.
+MEAN_TEMP, YEAR_SWING, DAY_SWING, TEMP_NOISE, WARM_DAY, WARM_HOUR = 28, 4, 5, 1.2, 120, 9
+MEAN_HUMIDITY, DRYING, RAIN_SHARE, RAIN_HUMIDITY, HUMIDITY_NOISE = 62, 0.8, 0.04, 22, 4
+BASE_DEMAND, PEAKS, WEEKEND, DEMAND_NOISE = 0.6, ((0.7, 9, 8), (0.9, 20, 6)), 1.35, 0.15
+HEAP_SHARE, HEAP, RESIDUE, FIRST_FILL, BRIM, SPILL = 0.01, (0.15, 0.45), 0.05, 0.3, 1.3, 1.25
+Q10_TEMP, ROT_RATE, ROT_KEPT = 20, 0.010, 0.98

@@ -10,7 +10,8 @@ import heapq
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from ..functions.config import CO2_KG_PER_KM, EARTH_M, SPEED_KMH
 
@@ -240,7 +241,7 @@ def prize_routes(requests: DataFrame, share: float = 0.5, refine_each: bool = Tr
 
 POLICY_SCHEMA = (
     "route_id long, policy string, alpha double, distance_km double, co2_kg double, n_visited int, n_critical_served int, mean_time_to_critical_h double,"
-    " worst_time_to_critical_h double, missed_overflow int, prize_pct double"
+    " worst_time_to_critical_h double, missed_overflow int, prize_pct double, prize double"
 )
 ALPHAS = (0.0, 0.25, 0.5, 1.0, 2.0, 4.0)
 
@@ -249,7 +250,7 @@ def compare_policies(snapshots: DataFrame) -> DataFrame:
     """A row for each snapshot and policy: full sweep, threshold, warped by each alpha, warped and refined, orienteering.
 
     snapshots: route_id, node_id, latitude, longitude, priority, critical, time_to_overflow, user_lat, user_lng.
-    A node without coordinates is on no tour; its prize counts in what there was to collect.
+    A node without coordinates is on no tour; its prize counts in what there was to collect (prize: all of it).
     """
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
@@ -261,7 +262,7 @@ def compare_policies(snapshots: DataFrame) -> DataFrame:
         rows = []
 
         def add(policy: str, order: list[int], alpha: float | None = None) -> None:
-            rows.append({"route_id": g.route_id.iloc[0], "policy": policy, "alpha": alpha, **measures(order, m, n, crit, tto), "prize_pct": round(100 * p[order].sum() / max(p.sum(), 1e-9), 1)})
+            rows.append({"route_id": g.route_id.iloc[0], "policy": policy, "alpha": alpha, **measures(order, m, n, crit, tto), "prize_pct": round(100 * p[order].sum() / max(p.sum(), 1e-9), 1), "prize": float(p.sum())})
 
         refined = lambda o: or_opt(two_opt(o, m, n), m, n, move_last=False)
         full = refined(greedy(every, m, n))
@@ -276,14 +277,11 @@ def compare_policies(snapshots: DataFrame) -> DataFrame:
     return spread(snapshots, "route_id").groupBy("route_id").applyInPandas(run, POLICY_SCHEMA)
 
 
-EQUITY_SCHEMA = "gamma double, worst_wait_h double, mean_wait_h double, gini_visits double, never_served int, mean_time_to_critical_h double, total_visits int"
-
-
 def equity(snapshots: DataFrame, gammas: DataFrame, shift_h: float = 8.0, share: float = 0.55, tau: float = 48.0, start_h: float = 50.0) -> DataFrame:
-    """Waits and visits under shifts of orienteering with an aging boost, a row for each gamma.
+    """Waits and visits under shifts of orienteering with an aging boost, a row for each gamma over all depots.
 
-    snapshots: shift, node_id, latitude, longitude, priority, critical, user_lat, user_lng. Shifts follow one
-    another, gammas run side by side. At the start every node was last visited at hour 0. A node that a shift
+    snapshots: shift, depot (whose tours the node is on; without the column there is one), node_id, latitude, longitude, priority, critical, user_lat, user_lng. Shifts follow one
+    another, gammas and depots run side by side; a task holds the matrix of one depot's nodes. At the start every node was last visited at hour 0. A node that a shift
     lacks keeps its last state and stays where it is. A node without coordinates is on no tour, but waits.
     """
 
@@ -311,11 +309,19 @@ def equity(snapshots: DataFrame, gammas: DataFrame, shift_h: float = 8.0, share:
                 visits[order] += 1
                 served += at[critical[order]].tolist()
             worst = np.maximum(worst, t - last)
-        x = np.sort(visits.astype(float))
-        gini = float((n + 1 - 2 * (np.cumsum(x) / x.sum()).sum()) / n) if x.sum() else 0.0
-        return pd.DataFrame([{
-            "gamma": gamma, "worst_wait_h": round(float(worst.max()), 1), "mean_wait_h": round(float(worst.mean()), 1), "gini_visits": round(gini, 3),
-            "never_served": int((visits == 0).sum()), "mean_time_to_critical_h": round(float(np.mean(served)) if served else 0.0, 3), "total_visits": int(visits.sum()),
-        }])
-
-    return spread(snapshots.crossJoin(gammas), "gamma").groupBy("gamma").applyInPandas(run, EQUITY_SCHEMA)
+        return pd.DataFrame({"gamma": gamma, "worst": worst, "visits": visits, "served": len(served) / n, "hours": sum(served) / n})
+
+    if "depot" not in snapshots.columns:
+        snapshots = snapshots.withColumn("depot", F.lit(0).cast("long"))
+    nodes = spread(snapshots.crossJoin(gammas), "gamma").groupBy("gamma", "depot").applyInPandas(run, "gamma double, worst double, visits long, served double, hours double")
+    # One row for each number of visits, of which there are no more than shifts.
+    counts = nodes.groupBy("gamma", "visits").agg(F.count("*").alias("n"), F.max("worst").alias("worst"), F.sum("worst").alias("waits"), F.sum("served").alias("served"), F.sum("hours").alias("hours"))
+    before = F.sum(F.col("n") * F.col("visits")).over(Window.partitionBy("gamma").orderBy("visits")) - F.col("n") * F.col("visits")
+    counts = counts.withColumn("running", F.col("n") * before + F.col("visits") * F.col("n") * (F.col("n") + 1) / 2)
+    n, all_ = F.sum("n"), F.sum(F.col("n") * F.col("visits"))
+    return counts.groupBy("gamma").agg(
+        F.round(F.max("worst"), 1).alias("worst_wait_h"), F.round(F.sum("waits") / n, 1).alias("mean_wait_h"),
+        F.coalesce(F.round(F.when(all_ > 0, (n + 1 - 2 * F.sum("running") / all_) / n), 3), F.lit(0.0)).alias("gini_visits"),
+        F.coalesce(F.sum(F.when(F.col("visits") == 0, F.col("n"))), F.lit(0)).cast("int").alias("never_served"),
+        F.coalesce(F.round(F.when(F.round(F.sum("served")) > 0, F.sum("hours") / F.sum("served")), 3), F.lit(0.0)).alias("mean_time_to_critical_h"), all_.cast("int").alias("total_visits"),
+    )

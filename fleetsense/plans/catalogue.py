@@ -254,7 +254,7 @@ def _(t):
 
 @query("time_parts")
 def _(t):
-    return t.reading.groupBy(F.hour("timestamp").alias("hour"), F.weekday("timestamp").alias("dow")).agg(F.count("*").alias("n"), F.approx_count_distinct("node_id").isNotNull().alias("some"))
+    return t.reading.groupBy(F.hour("timestamp").alias("hour"), F.weekday("timestamp").alias("dow")).agg(F.count("*").alias("n"))
 
 
 # Rolling features and labels
@@ -523,16 +523,17 @@ def _states(t: Tables, start_h: float, step_h: float, rest: bool = False) -> Dat
     """State of every node at start_h, start_h + step_h, ... hours after the first reading, as long as there are readings; rest: once more at the end.
 
     It is that of the node's newest reading up to then, with its labels. Before its first reading a node has priority 0.
+    A group has its own depot (-1: the nodes without a group); a route is a group's in a shift.
     """
     us, first = S.micros("timestamp"), F.min(S.micros("timestamp"))
     span = F.broadcast(t.reading.agg(first.alias("first"), (F.ceil if rest else F.floor)(((F.max(us) - first) / 3.6e9 - start_h) / step_h).alias("last")))  # one row
     rows = R.overflow_label(R.hazard_label(t.reading)).crossJoin(span)
     rows = rows.withColumn("shift", F.greatest(F.ceil(((us - F.col("first")) / 3.6e9 - start_h) / step_h), F.lit(0))).withColumn("priority", S.state_priority())
     seen = rows.groupBy("shift", "node_id").agg(F.max(F.struct("timestamp", "reading_id", "priority", "hazard", "time_to_overflow")).alias("r"))
-    grid = t.node.select("node_id", "latitude", "longitude").crossJoin(span.where("last >= 0")).withColumn("shift", F.explode(F.sequence(F.lit(0).cast("long"), "last")))
+    grid = t.node.select("node_id", F.coalesce("group_id", F.lit(-1).cast("long")).alias("depot"), "latitude", "longitude").crossJoin(span.where("last >= 0")).withColumn("shift", F.explode(F.sequence(F.lit(0).cast("long"), "last")))
     carried = F.last("r", True).over(Window.partitionBy("node_id").orderBy("shift").rowsBetween(Window.unboundedPreceding, 0))
     rows = grid.join(seen, ["shift", "node_id"], "left").withColumn("r", carried)
-    return rows.select("shift", F.col("shift").alias("route_id"), "node_id", "latitude", "longitude", F.coalesce("r.priority", F.lit(0.0)).alias("priority"), F.coalesce(F.col("r.hazard") == 1, F.lit(False)).alias("critical"), "r.time_to_overflow", F.lit(DEPOT[0]).alias("user_lat"), F.lit(DEPOT[1]).alias("user_lng"))
+    return rows.select("shift", "depot", (F.col("shift") * F.lit(1 << 32) + F.col("depot") + 1).alias("route_id"), "node_id", "latitude", "longitude", F.coalesce("r.priority", F.lit(0.0)).alias("priority"), F.coalesce(F.col("r.hazard") == 1, F.lit(False)).alias("critical"), "r.time_to_overflow", F.lit(DEPOT[0]).alias("user_lat"), F.lit(DEPOT[1]).alias("user_lng"))
 
 
 @query("policy_comparison")
@@ -540,6 +541,12 @@ def _(t):
     from ..operators import routing
 
     rows = routing.compare_policies(_states(t, STEP_H, STEP_H, True))
+    critical, prize = F.sum("n_critical_served"), F.sum("prize")
+    rows = rows.groupBy("policy", "alpha", F.shiftright("route_id", 32).alias("shift")).agg(  # all depots of a snapshot
+        *[F.sum(c).alias(c) for c in ("distance_km", "co2_kg", "n_visited", "missed_overflow")],
+        F.when(critical > 0, F.sum(F.col("mean_time_to_critical_h") * F.col("n_critical_served")) / critical).otherwise(0.0).alias("mean_time_to_critical_h"),
+        F.when(prize > 0, F.sum(F.col("prize_pct") * F.col("prize")) / prize).otherwise(0.0).alias("prize_pct"),
+    )
     return rows.groupBy("policy", "alpha").agg(*[F.avg(c).alias(c) for c in ("distance_km", "co2_kg", "n_visited", "mean_time_to_critical_h", "missed_overflow", "prize_pct")])
 
 

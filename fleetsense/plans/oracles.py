@@ -176,7 +176,7 @@ ORACLES = {
     "bin_label_regex": q("""SELECT node_id, coalesce(nullif(regexp_extract(nm, '(Bin-[A-F])', 1), ''), 'B' || node_id) AS label, upper(substr(trim(nm), 1, 1) || substr(trim(nm), 1, 1)) AS initials,
         array_to_string(list_transform(string_split(lower(nm), ' '), lambda w: upper(w[1]) || w[2:]), ' ') AS shown FROM (SELECT node_id, CASE WHEN node_id % 4 = 0 THEN 'x Bin-' || chr(CAST(65 + node_id % 8 AS INTEGER)) ELSE node_name END AS nm FROM node)"""),
     "score_classes": q("SELECT CASE WHEN priority >= 0.7e0 THEN 'high' WHEN priority >= 0.4e0 THEN 'medium' ELSE 'low' END AS score_class, count(*) AS nodes FROM scored GROUP BY 1", SCORED),
-    "time_parts": q("SELECT CAST(hour(timestamp) AS INTEGER) AS hour, CAST(isodow(timestamp) - 1 AS INTEGER) AS dow, count(*) AS n, TRUE AS some FROM reading GROUP BY 1, 2"),
+    "time_parts": q("SELECT CAST(hour(timestamp) AS INTEGER) AS hour, CAST(isodow(timestamp) - 1 AS INTEGER) AS dow, count(*) AS n FROM reading GROUP BY 1, 2"),
     "rolling_features_train": q(f"SELECT reading_id, CAST(hour(timestamp) AS INTEGER) AS hour, CAST(isodow(timestamp) - 1 AS INTEGER) AS dow, {r6(*ROLLED)} FROM rolled", rolling(ROLL)),
     "rolling_features_serve": q(f"SELECT reading_id, {r6(*ROLLED)} FROM rolled", rolling(SERVE)),
     "label_hazard_6h": q("SELECT reading_id, hazard FROM haz", HAZ),

@@ -13,8 +13,10 @@ _LOCAL: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where that is unset (tests, one machine) a local folder that goes when Python ends."""
+    """spark.checkpoint.dir; where that is unset, a folder in the warehouse, or with a local master (one machine) a temporary one that goes when Python ends."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found and not spark.sparkContext.master.startswith("local"):
+        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/fleetsense"
     if not found:
         if not _LOCAL:
             _LOCAL.append(tempfile.mkdtemp(prefix="fleetsense-"))

@@ -24,10 +24,8 @@ class Tables:
 
     @cached_property
     def node(self) -> DataFrame:
-        last = self.raw("events").agg((F.max("user_id") + 10).alias("last"))  # one row
-        c = self.raw("customer").crossJoin(F.broadcast(last)).where("c_custkey <= last")
         at = lambda base, step, mod: F.when(F.col("c_custkey") % 29 != 28, F.lit(base) + ((F.col("c_custkey") * step) % mod).cast("double") * F.lit(0.00006))
-        return c.select(
+        return self.raw("customer").select(
             F.col("c_custkey").alias("node_id"), F.col("c_name").alias("node_name"), F.when(F.col("c_custkey") % 13 != 12, F.col("c_nationkey").cast("long")).alias("group_id"),
             at(23.78, 370, 1009).alias("latitude"), at(90.34, 613, 1013).alias("longitude"),
         )
@@ -64,7 +62,7 @@ class Tables:
 
     @cached_property
     def visit(self) -> DataFrame:
-        return self.raw("orders").where(F.col("o_custkey") % 9 != 8).select(F.col("o_custkey").alias("node_id"), F.col("o_orderkey").alias("visit_id"), F.col("o_orderdate").alias("visited_at"))
+        return self.raw("orders").select(F.col("o_custkey").alias("node_id"), F.col("o_orderkey").alias("visit_id"), F.col("o_orderdate").alias("visited_at"))
 
     @cached_property
     def stop(self) -> DataFrame:
@@ -83,7 +81,7 @@ node AS (SELECT c_custkey AS node_id, c_name AS node_name,
   CASE WHEN c_custkey % 13 = 12 THEN NULL ELSE CAST(c_nationkey AS BIGINT) END AS group_id,
   CASE WHEN c_custkey % 29 = 28 THEN NULL ELSE CAST(23.78 AS DOUBLE) + CAST((c_custkey * 370) % 1009 AS DOUBLE) * CAST(0.00006 AS DOUBLE) END AS latitude,
   CASE WHEN c_custkey % 29 = 28 THEN NULL ELSE CAST(90.34 AS DOUBLE) + CAST((c_custkey * 613) % 1013 AS DOUBLE) * CAST(0.00006 AS DOUBLE) END AS longitude
-  FROM customer WHERE c_custkey <= (SELECT max(user_id) + 10 FROM events)),
+  FROM customer),
 reading AS (SELECT event_id AS reading_id, user_id AS node_id, ts AS timestamp,
   least(CAST(1 AS DOUBLE), value / CAST(150 AS DOUBLE)) AS waste_level,
   CAST(CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS DOUBLE) / CAST(150 AS DOUBLE) AS gas_level,
@@ -99,7 +97,7 @@ reading_obs AS (SELECT e.event_id AS reading_id, r.node_id, r.timestamp,
 notification AS (SELECT event_id AS notification_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE user_id END AS user_id,
   CASE event_type WHEN 'error' THEN 'CRITICAL' WHEN 'signup' THEN 'WARN' ELSE 'INFO' END AS level,
   event_id % 3 = 0 AS is_read, ts AS created_at FROM events),
-visit AS (SELECT o_custkey AS node_id, o_orderkey AS visit_id, o_orderdate AS visited_at FROM orders WHERE o_custkey % 9 <> 8),
+visit AS (SELECT o_custkey AS node_id, o_orderkey AS visit_id, o_orderdate AS visited_at FROM orders),
 stop AS (SELECT l_orderkey AS tour_id,
   CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS BIGINT) AS pos,
   l_suppkey AS stop_id,

@@ -68,8 +68,12 @@ def route_after_each_batch(stream: DataFrame, route: Callable[[DataFrame], DataF
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def run_once(stream: DataFrame, mode: str, name: str, checkpoint: str) -> DataFrame:
-    """All that is there now, through the stream, into a table in memory (tests and samples)."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_once(stream: DataFrame, mode: str, name: str, path: str) -> DataFrame:
+    """All that is there now, through the stream, into Parquet below path; a batch that is run again overwrites its own folder."""
+
+    def each(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/{name}/batch={epoch}")
+
+    q = stream.writeStream.outputMode(mode).foreachBatch(each).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(stream.schema).option("basePath", f"{path}/{name}").parquet(f"{path}/{name}")

@@ -155,6 +155,15 @@ def test_equity_is_brute_force(spark, gamma):
     assert got.gini_visits == pytest.approx(gini, abs=6e-4) and visits[7] == 0
 
 
+def test_equity_of_two_depots_is_that_of_each(spark):
+    rng = np.random.default_rng(8)
+    rows = [(s, d, 100 * d + i, 23.78 + float(rng.random()) * 0.06, 90.34 + float(rng.random()) * 0.06, float(rng.random()), bool(rng.random() < 0.3), 23.8069, 90.3687) for s in range(4) for d in (0, 1) for i in range(9 + d)]
+    df, g = spark.createDataFrame(rows, EQUITY_ROWS.replace("shift long,", "shift long, depot long,")), spark.createDataFrame([(0.5,)], "gamma double")
+    both, one, two = T.equity(df, g).first(), *(T.equity(df.where(f"depot = {d}").drop("depot"), g).first() for d in (0, 1))
+    assert both.total_visits == one.total_visits + two.total_visits and both.worst_wait_h == max(one.worst_wait_h, two.worst_wait_h)
+    assert both.mean_wait_h == pytest.approx((9 * one.mean_wait_h + 10 * two.mean_wait_h) / 19, abs=0.11)
+
+
 def test_states_are_of_every_node_in_every_shift(spark):
     from fleetsense.plans import catalogue
     from fleetsense.sources.views import Tables
