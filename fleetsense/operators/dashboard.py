@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from . import readings as R
+from .ranges import running
 
 
 def stats(nodes: DataFrame, readings: DataFrame) -> DataFrame:
@@ -74,12 +75,9 @@ def ensure_nodes(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     want = wanted.groupBy("node_name").agg(F.min_by("latitude", "want_id").alias("lat"), F.min_by("longitude", "want_id").alias("lng"))
     both = nodes.join(want, "node_name", "full_outer")
     last = F.broadcast(nodes.agg(F.coalesce(F.max("node_id"), F.lit(0)).alias("last")))  # one row
-    new_rank = F.dense_rank()  # names of new rows get ids after the last, in order of name
-    from pyspark.sql import Window
-
     old = both.where("node_id IS NOT NULL").select("node_id", "node_name", F.coalesce("latitude", "lat").alias("latitude"), F.coalesce("longitude", "lng").alias("longitude"))
-    new = both.where("node_id IS NULL").crossJoin(last).withColumn("k", new_rank.over(Window.orderBy("node_name")))
-    return old.unionByName(new.select((F.col("last") + F.col("k")).alias("node_id"), "node_name", F.col("lat").alias("latitude"), F.col("lng").alias("longitude")))
+    new = running(both.where("node_id IS NULL"), "node_name", k=F.lit(1)).crossJoin(last)  # names of new rows get ids after the last, in order of name
+    return old.unionByName(new.select((F.col("last") + F.col("k") + 1).alias("node_id"), "node_name", F.col("lat").alias("latitude"), F.col("lng").alias("longitude")))
 
 
 def relocate(nodes: DataFrame, moves: DataFrame, drop_prefix: str) -> DataFrame:

@@ -5,20 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import quantiles, running
 
-def _ranked(frame: DataFrame, column: str, keys=()) -> DataFrame:
-    """Average-tie ranks, from counts of equal values: the sort is over distinct values only."""
-    counts = frame.groupBy(*keys, column).agg(F.count("*").alias("_n"))
-    w = Window.partitionBy(*keys).orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
-    ranks = counts.withColumn("_rank", F.sum("_n").over(w) - (F.col("_n") - 1) / 2.0)
-    return frame.join(ranks.drop("_n"), [*keys, column])
+
+def _rank(column: str, keys) -> Column:
+    """The average-tie rank by key: the rank, and half of its other peers. Both are of one sort."""
+    w = Window.partitionBy(*keys).orderBy(column)
+    peers = F.count("*").over(w.rangeBetween(Window.currentRow, Window.currentRow))
+    return F.rank().over(w) + (peers - 1) / 2.0
 
 
 def auc(frame: DataFrame, score: str, label: str) -> DataFrame:
     """One row: ROC-AUC by average ranks over counts of equal scores."""
     c = frame.groupBy(score).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count("*").alias("n"))
-    before = F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, 0))
-    c = c.withColumn("rank", before - (F.col("n") - 1) / 2.0)
+    c = running(c, score, before=F.col("n")).withColumn("rank", F.col("before") + (F.col("n") + 1) / 2.0)
     s = c.agg(F.sum(F.col("rank") * F.col("p")).alias("r"), F.sum("p").cast("double").alias("p"), F.sum(F.col("n") - F.col("p")).cast("double").alias("q"))
     return s.select(F.when((F.col("p") > 0) & (F.col("q") > 0), (F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("q"))).alias("auc"))
 
@@ -26,9 +26,8 @@ def auc(frame: DataFrame, score: str, label: str) -> DataFrame:
 def average_precision(frame: DataFrame, score: str, label: str) -> DataFrame:
     """One row: sum of precision times recall steps over descending distinct scores."""
     c = frame.groupBy(score).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count("*").alias("n"))
-    w = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    c = c.withColumn("tp", F.sum("p").over(w)).withColumn("seen", F.sum("n").over(w))
-    return c.agg((F.sum(F.col("p") * F.col("tp") / F.col("seen")) / F.sum("p")).alias("average_precision"))
+    c = running(c, score, True, tp=F.col("p"), seen=F.col("n"))
+    return c.agg((F.sum(F.col("p") * (F.col("tp") + F.col("p")) / (F.col("seen") + F.col("n"))) / F.sum("p")).alias("average_precision"))
 
 
 def brier(frame: DataFrame, score: str, label: str) -> DataFrame:
@@ -49,14 +48,14 @@ def coverage(frame: DataFrame, low: Column, high: Column, target: str) -> DataFr
 
 def reliability(frame: DataFrame, score: str, label: str, bins: int = 10) -> DataFrame:
     """Quantile bins of the score: mean score and observed rate of each. The edges are one row."""
-    edges = frame.agg(F.percentile(score, F.array(*[F.lit(i / bins) for i in range(1, bins)])).alias("edges"))
+    edges = quantiles(frame, score, [i / bins for i in range(1, bins)]).withColumnRenamed("q", "edges")
     b = F.size(F.filter("edges", lambda e: e < F.col(score)))
     return frame.crossJoin(F.broadcast(edges)).groupBy(b.cast("long").alias("bin")).agg(F.count("*").alias("n"), F.avg(score).alias("mean_score"), F.avg(F.col(label).cast("double")).alias("rate"))
 
 
-def spearman(frame: DataFrame, a: str, b: str, keys=()) -> DataFrame:
-    """Rank correlation by key; null where either side is constant."""
-    ranked = _ranked(_ranked(frame, a, keys).withColumnRenamed("_rank", "ra"), b, keys).withColumnRenamed("_rank", "rb")
+def spearman(frame: DataFrame, a: str, b: str, keys) -> DataFrame:
+    """Rank correlation by key; null where either side is constant. Rows that lack a side do not count."""
+    ranked = frame.where(F.col(a).isNotNull() & F.col(b).isNotNull()).withColumn("ra", _rank(a, keys)).withColumn("rb", _rank(b, keys))
     return ranked.groupBy(*keys).agg(F.try_divide(F.covar_pop("ra", "rb"), F.sqrt(F.var_pop("ra") * F.var_pop("rb"))).alias("rho"))
 
 
@@ -66,6 +65,5 @@ def gini(counts: DataFrame, column: str) -> DataFrame:
     n + 1 - 2 * sum(cumulative / total), over n; a run of m equal values x after the sum S adds m * S + x * m * (m + 1) / 2 to the sum of cumulatives.
     """
     c = counts.groupBy(F.col(column).cast("double").alias("x")).agg(F.count("*").cast("double").alias("m"))
-    before = F.coalesce(F.sum(F.col("x") * F.col("m")).over(Window.orderBy("x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    s = c.withColumn("s", before).agg(F.sum("m").alias("n"), F.sum(F.col("x") * F.col("m")).alias("total"), F.sum(F.col("m") * F.col("s") + F.col("x") * F.col("m") * (F.col("m") + 1) / 2).alias("cum"))
+    s = running(c, "x", s=F.col("x") * F.col("m")).agg(F.sum("m").alias("n"), F.sum(F.col("x") * F.col("m")).alias("total"), F.sum(F.col("m") * F.col("s") + F.col("x") * F.col("m") * (F.col("m") + 1) / 2).alias("cum"))
     return s.select(F.when(F.coalesce("total", F.lit(0.0)) == 0, 0.0).otherwise((F.col("n") + 1 - 2 * F.col("cum") / F.col("total")) / F.col("n")).alias("gini"))

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions.config import STATE_FEATURES
 from . import readings as R
+from ..sources.shared import stored
+from .ranges import quantiles
 
 STATE = ("waste_level", "gas_level", "temperature", "humidity")
 ROLLING = tuple(f"{c}{s}" for c in STATE for s in ("", "_mean", "_std", "_trend"))
@@ -100,12 +102,13 @@ class Forward:
 
 def _conformal(scored: DataFrame, buckets: int = 4) -> dict:
     """Quantiles of residuals by bucket of the prediction: a few numbers."""
-    edges = sorted(set(scored.agg(F.percentile("prediction", F.array(*[F.lit(i / buckets) for i in range(1, buckets)])).alias("e")).first()["e"] or []))
+    edges = sorted(set(e for e in quantiles(scored, "prediction", [i / buckets for i in range(1, buckets)]).first()["q"] if e is not None))
     cut = F.lit(0)
     for e in edges:
         cut = cut + F.when(F.col("prediction") > e, 1).otherwise(0)
-    rows = scored.groupBy(cut.alias("b")).agg(F.percentile(F.col("time_to_overflow") - F.col("prediction"), F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("q")).collect()
-    found = {r["b"]: r["q"] for r in rows}
+    apart = stored(scored.select(cut.alias("b"), (F.col("time_to_overflow") - F.col("prediction")).alias("r")), "residuals")
+    found = {b: quantiles(apart.where(F.col("b") == b), "r", [0.1, 0.5, 0.9]).first()["q"] for b in range(len(edges) + 1)}
+    found = {b: q for b, q in found.items() if None not in q}
     return {"edges": edges, "shifts": [found.get(b, [0.0, 0.0, 0.0]) for b in range(len(edges) + 1)]}
 
 

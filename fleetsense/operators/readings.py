@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from .ranges import quantiles
 from ..functions.config import GAS_DANGER, HORIZON_H, TTO_CAP_H
 
 METRICS = ("waste_level", "gas_level", "temperature", "humidity", "traffic_density")
@@ -116,7 +117,7 @@ def split_in_group(readings: DataFrame, share: float = 0.8) -> DataFrame:
 
 def split_at_quantile(readings: DataFrame, share: float = 0.8) -> DataFrame:
     """is_train: rows at or before the share's time quantile over all rows. An aggregate, not a global row number."""
-    cut = readings.agg(F.percentile(S.micros("timestamp"), F.lit(share)).alias("cut"))  # one row
+    cut = quantiles(readings.select(S.micros("timestamp").alias("us")), "us", [share]).select(F.col("q")[0].alias("cut"))  # one row
     return readings.crossJoin(F.broadcast(cut)).withColumn("is_train", S.micros("timestamp") <= F.col("cut")).drop("cut")
 
 
