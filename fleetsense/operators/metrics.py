@@ -9,10 +9,9 @@ from .ranges import quantiles, running
 
 
 def _rank(column: str, keys) -> Column:
-    """The average-tie rank by key: the rank, and half of its other peers. Both are of one sort."""
+    """The average-tie rank by key: half way between the rank and the number of rows up to the last peer, both of one sort."""
     w = Window.partitionBy(*keys).orderBy(column)
-    peers = F.count("*").over(w.rangeBetween(Window.currentRow, Window.currentRow))
-    return F.rank().over(w) + (peers - 1) / 2.0
+    return (F.rank().over(w) + F.count("*").over(w)) / 2.0
 
 
 def auc(frame: DataFrame, score: str, label: str) -> DataFrame:
