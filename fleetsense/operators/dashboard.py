@@ -80,6 +80,34 @@ def ensure_nodes(nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     return old.unionByName(new.select((F.col("last") + F.col("k") + 1).alias("node_id"), "node_name", F.col("lat").alias("latitude"), F.col("lng").alias("longitude")))
 
 
+def relocate_or_create(nodes: DataFrame, moves: DataFrame, drop_prefix: str) -> DataFrame:
+    """Drop nodes of a name prefix; each move (old_name, new_name, latitude, longitude) then renames and moves the nodes of its old name,
+    else moves those of its new name, else makes a node of the new name, with ids after the last in order of name.
+
+    Of moves with the same new name the one with the smallest old name counts. A null coordinate leaves the old one.
+    """
+    kept = nodes.where(~F.col("node_name").startswith(drop_prefix))
+    names = kept.select("node_name").distinct()
+    m = moves.groupBy("new_name").agg(F.min(F.struct("old_name", "latitude", "longitude")).alias("m")).select("new_name", "m.old_name", F.col("m.latitude").alias("lat"), F.col("m.longitude").alias("lng"))
+    m = m.join(names.select(F.col("node_name").alias("old_name"), F.lit(True).alias("has_old")), "old_name", "left").join(names.select(F.col("node_name").alias("new_name"), F.lit(True).alias("has_new")), "new_name", "left")
+    m = m.withColumn("key", F.when(F.col("has_old"), F.col("old_name")).otherwise(F.col("new_name")))
+    one = m.groupBy("key").agg(F.min(F.struct("new_name", "lat", "lng")).alias("to"))
+    old = kept.join(one, kept.node_name == one.key, "left").select("node_id", F.coalesce("to.new_name", "node_name").alias("node_name"), F.coalesce("to.lat", "latitude").alias("latitude"), F.coalesce("to.lng", "longitude").alias("longitude"))
+    last = F.broadcast(nodes.agg(F.coalesce(F.max("node_id"), F.lit(0)).alias("last")))  # one row
+    new = running(m.where("has_old IS NULL AND has_new IS NULL AND new_name IS NOT NULL"), "new_name", k=F.lit(1)).crossJoin(last)
+    return old.unionByName(new.select((F.col("last") + F.col("k") + 1).alias("node_id"), F.col("new_name").alias("node_name"), F.col("lat").alias("latitude"), F.col("lng").alias("longitude")))
+
+
+def location_errors(places: DataFrame) -> DataFrame:
+    """node_id, error: what is wrong with a place, joined by '; ' (empty: nothing)."""
+    lat, lng = F.col("latitude"), F.col("longitude")
+    found = F.array(
+        F.when(lat.isNull() & lng.isNull(), "location is missing"), F.when(lat.isNull() & lng.isNotNull(), "latitude is missing"), F.when(lat.isNotNull() & lng.isNull(), "longitude is missing"),
+        F.when(~lat.between(-90, 90), "latitude must be within 90 degrees"), F.when(~lng.between(-180, 180), "longitude must be within 180 degrees"),
+    )
+    return places.select("node_id", F.array_join(found, "; ").alias("error"))
+
+
 def relocate(nodes: DataFrame, moves: DataFrame, drop_prefix: str) -> DataFrame:
     """Drop nodes of a name prefix, rename and move those listed (old_name, new_name, latitude, longitude); others stay."""
     kept = nodes.where(~F.col("node_name").startswith(drop_prefix))

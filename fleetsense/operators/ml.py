@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import datetime
+import time
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression, IsotonicRegressionModel, LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..functions.config import STATE_FEATURES
+from ..functions.config import HORIZON_H, STATE_FEATURES, TTO_CAP_H
 from . import readings as R
 from ..sources.shared import stored
 from .ranges import quantiles
@@ -69,8 +72,8 @@ def forward_rows(readings: DataFrame) -> DataFrame:
 class Forward:
     """Time-to-overflow regressor with conformal 10/50/90 % residuals, and a calibrated hazard classifier."""
 
-    def __init__(self, regressor, quantiles, classifier=None, calibration=None):
-        self.regressor, self.quantiles, self.classifier, self.calibration = regressor, quantiles, classifier, calibration
+    def __init__(self, regressor, quantiles, classifier=None, calibration=None, meta=None):
+        self.regressor, self.quantiles, self.classifier, self.calibration, self.meta = regressor, quantiles, classifier, calibration, meta or {}
 
     def transform(self, rows: DataFrame) -> DataFrame:
         """rows with tto, p10, p50, p90 (within 0 to 24 h), hazard_prob and risk."""
@@ -88,16 +91,26 @@ class Forward:
         return out.withColumn("risk", S.risk("hazard_prob", "p10")).drop("features")
 
     def save(self, path: str) -> None:
+        """Models, quantiles and metadata: all that load() needs. The metadata comes last, so a store that has it is whole."""
+        from ..sources import io
+
         self.regressor.write().overwrite().save(f"{path}/regressor")
         if self.classifier is not None:
             self.classifier.write().overwrite().save(f"{path}/classifier")
             self.calibration.write().overwrite().save(f"{path}/calibration")
+        io.save_meta(SparkSession.active(), f"{path}/meta", {**self.meta, "quantiles": self.quantiles, "has_classifier": self.classifier is not None})
 
     @staticmethod
-    def load(path: str, quantiles: dict, hazard: bool) -> Forward:
-        if not hazard:
-            return Forward(PipelineModel.load(f"{path}/regressor"), quantiles)
-        return Forward(PipelineModel.load(f"{path}/regressor"), quantiles, PipelineModel.load(f"{path}/classifier"), IsotonicRegressionModel.load(f"{path}/calibration"))
+    def load(path: str) -> Forward | None:
+        """What was saved; None if nothing (whole) is there."""
+        from ..sources import io
+
+        meta = io.read_meta(SparkSession.active(), f"{path}/meta")
+        if meta is None:
+            return None
+        quantiles, hazard = meta.pop("quantiles"), meta.pop("has_classifier")
+        parts = (PipelineModel.load(f"{path}/classifier"), IsotonicRegressionModel.load(f"{path}/calibration")) if hazard else (None, None)
+        return Forward(PipelineModel.load(f"{path}/regressor"), quantiles, *parts, meta)
 
 
 def _conformal(scored: DataFrame, buckets: int = 4) -> dict:
@@ -112,25 +125,48 @@ def _conformal(scored: DataFrame, buckets: int = 4) -> dict:
     return {"edges": edges, "shifts": [found.get(b, [0.0, 0.0, 0.0]) for b in range(len(edges) + 1)]}
 
 
+def boosted(iterations: int = 20, depth: int = 4, seed: int = 42) -> Pipeline:
+    """Boosted trees for the time to overflow."""
+    return Pipeline(stages=[assembler(FORWARD), GBTRegressor(labelCol="time_to_overflow", maxIter=iterations, maxDepth=depth, seed=seed)])
+
+
 def train_forward(rows: DataFrame, iterations: int = 20, depth: int = 4, seed: int = 42) -> Forward | None:
-    """Fit on training rows; a quarter of them, by a hash, calibrates. None with too few rows; no classifier with one class."""
-    train = rows.where("is_train").withColumn("fold", F.pmod(F.xxhash64("reading_id"), F.lit(4)))
+    """Fit on training rows. A quarter of them, by a hash, gives the quantiles; the hazard's calibration is fitted on scores of three folds, each by a model of the other two.
+
+    None with too few rows; no classifier with one class.
+    """
+    train = stored(rows.where("is_train").withColumn("fold", F.pmod(F.xxhash64("reading_id"), F.lit(4))), "train")  # read by every fit
     if train.limit(MIN_FORWARD_ROWS).count() < MIN_FORWARD_ROWS:
         return None
     fit, hold = train.where("fold <> 0"), train.where("fold = 0")
-    regressor = Pipeline(stages=[assembler(FORWARD), GBTRegressor(labelCol="time_to_overflow", maxIter=iterations, maxDepth=depth, seed=seed)]).fit(fit)
+    regressor = boosted(iterations, depth, seed).fit(fit)
     quantiles = _conformal(regressor.transform(hold).select("prediction", "time_to_overflow"))
-    if fit.select("hazard").distinct().count() < 2:
-        return Forward(regressor, quantiles)
-    classifier = Pipeline(stages=[VectorAssembler(inputCols=list(FORWARD), outputCol="inputs"), GBTClassifier(featuresCol="inputs", labelCol="hazard", maxIter=iterations, maxDepth=depth, seed=seed)]).fit(fit)
-    scored = classifier.transform(hold).select(vector_to_array("probability")[1].alias("raw_score"), F.col("hazard").cast("double").alias("hazard"))
-    return Forward(regressor, quantiles, classifier, IsotonicRegression(featuresCol="raw_score", labelCol="hazard").fit(scored))
+    seen = train.agg(F.count("*").alias("rows"), F.sum("hazard").cast("long").alias("hazards"), F.count_distinct("node_id").alias("nodes")).first()
+    meta = {
+        "version": f"forward_gbt_{datetime.date.today().isoformat()}", "trained_at": datetime.datetime.now(datetime.timezone.utc).isoformat(), "target": "time_to_overflow, hazard",
+        "validation": "earliest 80% of all rows train, the rest tests", "features": list(FORWARD), "horizon_h": HORIZON_H, "tto_cap_h": TTO_CAP_H,
+        "n_train": seen["rows"], "n_nodes": seen["nodes"], "hazard_share": seen["hazards"] / seen["rows"],
+        "importances": [[c, v] for c, v in importances(regressor, FORWARD)],
+    }
+    if not 0 < seen["hazards"] < seen["rows"]:
+        return Forward(regressor, quantiles, meta=meta)
+    estimator = Pipeline(stages=[VectorAssembler(inputCols=list(FORWARD), outputCol="inputs"), GBTClassifier(featuresCol="inputs", labelCol="hazard", maxIter=iterations, maxDepth=depth, seed=seed)])
+    third, scored = F.pmod(F.xxhash64("reading_id", F.lit(seed)), F.lit(3)), None
+    for k in range(3):
+        others = train.where(third != k)
+        if others.select("hazard").distinct().count() < 2:
+            return Forward(regressor, quantiles, meta=meta)
+        one = estimator.fit(others).transform(train.where(third == k)).select(vector_to_array("probability")[1].alias("raw_score"), F.col("hazard").cast("double").alias("hazard"))
+        scored = one if scored is None else scored.unionByName(one)
+    calibration = IsotonicRegression(featuresCol="raw_score", labelCol="hazard").fit(scored)
+    return Forward(regressor, quantiles, estimator.fit(train), calibration, meta)
 
 
 def bake_off(rows: DataFrame, iterations: int = 10, seed: int = 42) -> DataFrame:
     """model, r2, mae, mse on the rows held out: mean, ridge on the current state, forest, boosted trees."""
     from . import metrics as M
 
+    rows = stored(rows, "bake_off")
     train, test = rows.where("is_train"), rows.where("NOT is_train")
     models = {
         "ridge_state": Pipeline(stages=[assembler(STATE), LinearRegression(labelCol="time_to_overflow", regParam=1.0, elasticNetParam=0.0)]),
@@ -156,7 +192,7 @@ def group_folds(rows: DataFrame, folds: int = 5, iterations: int = 8, seed: int
     """fold, r2, mae, mse: each fold's nodes are held out."""
     from . import metrics as M
 
-    out = None
+    rows, out = stored(rows, "folds"), None
     for k in range(folds):
         held = F.pmod(F.col("node_id"), F.lit(folds)) == k
         model = Pipeline(stages=[assembler(FORWARD), GBTRegressor(labelCol="time_to_overflow", maxIter=iterations, maxDepth=4, seed=seed)]).fit(rows.where(~held))
@@ -171,31 +207,49 @@ def importances(model: PipelineModel, columns) -> list[tuple[str, float]]:
     return sorted(((c, float(v[i])) for i, c in enumerate(columns)), key=lambda x: (-x[1], x[0]))
 
 
-def permutation_importance(model: PipelineModel, rows: DataFrame, columns, target: str, repeats: int = 1) -> DataFrame:
-    """feature, increase of the mean absolute error when the feature's values are dealt to other rows (joined on ranks in hashed orders)."""
-    base = model.transform(rows).agg(F.avg(F.abs(F.col(target) - F.col("prediction"))).alias("mae")).first()["mae"]
-    out = []
-    keyed = rows.withColumn("_slot", F.pmod(F.xxhash64("reading_id"), F.lit(64)))
-    from pyspark.sql import Window
-
-    for c in columns:
-        total = 0.0
-        for r in range(repeats):
-            a = keyed.withColumn("_k", F.row_number().over(Window.partitionBy("_slot").orderBy(F.xxhash64("reading_id", F.lit(2 * r)))))
-            b = keyed.select(F.col(c).alias("_v"), "_slot", F.row_number().over(Window.partitionBy("_slot").orderBy(F.xxhash64("reading_id", F.lit(2 * r + 1)))).alias("_k"))
-            mixed = a.drop(c).join(b, ["_slot", "_k"]).withColumnRenamed("_v", c)
-            total += model.transform(mixed).agg(F.avg(F.abs(F.col(target) - F.col("prediction"))).alias("mae")).first()["mae"]
-        out.append((c, total / repeats - base))
-    return rows.sparkSession.createDataFrame(out, "feature string, increase double").orderBy(F.desc("increase"))
-
+def permutation_importance(model: PipelineModel, rows: DataFrame, columns, target: str, repeats: int = 5, per_slot: int = 4096) -> DataFrame:
+    """feature, increase of the mean absolute error when the feature's values are dealt to other rows, the mean of the repeats.
 
-def dispatch(nodes: DataFrame, readings: DataFrame, lat: float, lng: float, forward: Forward | None = None, forest: PipelineModel | None = None) -> DataFrame:
-    """node_id, priority by the best model at hand: forward, else forest, else the rule; 0 without a reading."""
+    A row's partner is the one of the same rank in another hashed order of its slot (some per_slot rows, so no order is over all rows).
+    All features and repeats are scored in one plan.
+    """
+    rows = stored(rows, "permuted")
+    slots = max(1, rows.count() // per_slot)
+    keyed = rows.withColumn("_slot", F.pmod(F.xxhash64("reading_id"), F.lit(slots)))
+    rank = lambda k: F.row_number().over(Window.partitionBy("_slot").orderBy(F.xxhash64("reading_id", F.lit(k)), "reading_id"))
+    mixed = None
+    for r in range(repeats):
+        partner = keyed.select("_slot", rank(2 * r + 1).alias("_k"), F.struct(*columns).alias("_p"))
+        one = keyed.withColumn("_k", rank(2 * r)).join(partner, ["_slot", "_k"]).withColumn("_turn", F.lit(r))
+        mixed = one if mixed is None else mixed.unionByName(one)
+    mixed = mixed.withColumn("feature", F.explode(F.array(*[F.lit(c) for c in ("", *columns)])))  # "": as it is
+    mixed = mixed.withColumns({c: F.when(F.col("feature") == c, F.col("_p")[c]).otherwise(F.col(c)) for c in columns})
+    errors = model.transform(mixed).groupBy("feature").agg(F.avg(F.abs(F.col(target) - F.col("prediction"))).alias("mae"))
+    base = F.broadcast(errors.where("feature = ''").select(F.col("mae").alias("base")))  # one row
+    return errors.where("feature <> ''").crossJoin(base).select("feature", (F.col("mae") - F.col("base")).alias("increase")).orderBy(F.desc("increase"), "feature")
+
+
+def latency(model, rows: DataFrame, n: int = 5000, repeats: int = 3) -> DataFrame:
+    """n, total_ms, per_1000_ms of scoring up to n rows: the best of a few runs. The rows are made beforehand and the scores are all computed."""
+    rows = stored(rows.limit(n), "latency")
+    count, took = rows.count(), []
+    for _ in range(repeats):
+        began = time.perf_counter()
+        model.transform(rows).write.format("noop").mode("overwrite").save()
+        took.append((time.perf_counter() - began) * 1000)
+    return rows.sparkSession.createDataFrame([(count, min(took), min(took) / max(count, 1) * 1000)], "n long, total_ms double, per_1000_ms double")
+
+
+def dispatch(nodes: DataFrame, readings: DataFrame, lat: float, lng: float, forward: Forward | None = None, forest: PipelineModel | None = None, simplified: bool = False) -> DataFrame:
+    """node_id, priority by the best model at hand: forward, else forest, else the rule; 0 without a reading.
+
+    simplified: the forest sees the current state alone, as at serving.
+    """
     if forward is not None:
         feats = R.latest(R.rolling(readings)).select("node_id", "reading_id", *FORWARD)
         scored = forward.transform(feats).select("node_id", F.col("risk").alias("score"))
     elif forest is not None:
-        rows = forest_rows(nodes, readings, lat, lng)
+        rows = forest_rows(nodes, readings, lat, lng, simplified)
         scored = forest_scores(forest, rows, S.priority())
     else:
         return R.scored_nodes(nodes, readings, lat, lng).select("node_id", "priority")

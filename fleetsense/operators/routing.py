@@ -35,9 +35,9 @@ def warped(m: np.ndarray, priority: np.ndarray, traffic: np.ndarray, alpha: floa
     return m * (1 + np.clip(traffic, 0, 1) * weight) / (1 + 10 * alpha * np.clip(priority, 0, 1))
 
 
-def dijkstra(cost: np.ndarray, source: int) -> np.ndarray:
-    """Least costs from a node; unreachable nodes are infinite (an infinite cost is no edge)."""
-    dist = np.full(len(cost), np.inf)
+def dijkstra_tree(cost: np.ndarray, source: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least costs from a node and the node before each on the way (-1: none); unreachable nodes are infinite (an infinite cost is no edge)."""
+    dist, before = np.full(len(cost), np.inf), np.full(len(cost), -1)
     dist[source], heap, done = 0.0, [(0.0, source)], np.zeros(len(cost), bool)
     while heap:
         d, u = heapq.heappop(heap)
@@ -45,10 +45,36 @@ def dijkstra(cost: np.ndarray, source: int) -> np.ndarray:
             continue
         done[u] = True
         better = np.flatnonzero(~done & (d + cost[u] < dist))
-        dist[better] = d + cost[u, better]
+        dist[better], before[better] = d + cost[u, better], u
         for v in better.tolist():
             heapq.heappush(heap, (dist[v], v))
-    return dist
+    return dist, before
+
+
+def dijkstra(cost: np.ndarray, source: int) -> np.ndarray:
+    return dijkstra_tree(cost, source)[0]
+
+
+def target_order(cost: np.ndarray, source: int, targets: list[int]) -> tuple[list[int], float]:
+    """The way from the source to all targets, the nearest by shortest path each time, with the nodes passed between; ties to the smaller index.
+
+    A joint of two stretches is there once. Targets that cannot be reached are left out.
+    """
+    path, total, at, left = [], 0.0, source, sorted(set(targets))
+    while left:
+        dist, before = dijkstra_tree(cost, at)
+        t = left[int(np.argmin(dist[left]))]
+        if not np.isfinite(dist[t]):
+            break
+        stretch = [t]
+        while stretch[-1] != at:
+            stretch.append(int(before[stretch[-1]]))
+        stretch.reverse()
+        path += stretch[1:] if path else stretch
+        total += float(dist[t])
+        left.remove(t)
+        at = t
+    return path, total
 
 
 def visiting_order(cost: np.ndarray, first: np.ndarray | None, source: int = 0) -> tuple[list[int], float]:
@@ -224,6 +250,39 @@ def optimal_route(requests: DataFrame, alpha: float = 0.5, refine: bool = True)
     return requests.groupBy("route_id").applyInPandas(run, ROUTE_SCHEMA)
 
 
+def _request_cost(g: pd.DataFrame, alpha: float) -> np.ndarray:
+    m = distances(g.latitude.to_numpy(float), g.longitude.to_numpy(float))
+    return warped(m, g.priority.fillna(0).to_numpy(float), g.traffic_density.fillna(0).to_numpy(float), alpha)
+
+
+def target_routes(requests: DataFrame, alpha: float = 0.5) -> DataFrame:
+    """route_id, path, total_cost: each request's way from its source to all its targets over warped costs.
+
+    requests: route_id, node_id, latitude, longitude, priority, traffic_density, source, target (booleans). Of several sources
+    the smallest id counts; without one the smallest id of all. A request without targets has an empty path: see distance_tree.
+    """
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("node_id").reset_index(drop=True)
+        start = int((g.source == True).to_numpy(bool).argmax())  # noqa: E712  the first, else 0
+        order, total = target_order(_request_cost(g, alpha), start, np.flatnonzero((g.target == True).to_numpy(bool)).tolist())  # noqa: E712
+        return pd.DataFrame([{"route_id": g.route_id.iloc[0], "path": g.node_id.to_numpy()[order].tolist(), "total_cost": total}])
+
+    return requests.groupBy("route_id").applyInPandas(run, "route_id long, path array<long>, total_cost double")
+
+
+def distance_tree(requests: DataFrame, alpha: float = 0.5) -> DataFrame:
+    """route_id, node_id, dist, before: least cost from the request's source to each node and the node before it (null at the source)."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("node_id").reset_index(drop=True)
+        dist, before = dijkstra_tree(_request_cost(g, alpha), int((g.source == True).to_numpy(bool).argmax()))  # noqa: E712
+        ids = g.node_id.to_numpy()
+        return pd.DataFrame({"route_id": g.route_id, "node_id": ids, "dist": dist, "before": pd.array([int(ids[b]) if b >= 0 else None for b in before], dtype="Int64")})
+
+    return requests.groupBy("route_id").applyInPandas(run, "route_id long, node_id long, dist double, before long")
+
+
 def prize_routes(requests: DataFrame, share: float = 0.5, refine_each: bool = True) -> DataFrame:
     """route_id, path, distance_m, budget_m, collected: orienteering within a share of the full greedy tour."""
 

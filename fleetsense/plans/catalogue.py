@@ -572,7 +572,7 @@ def _(t):
 
     rows = ml.forest_rows(t.node, t.reading, *USER)
     rule = S.weighted_target("distance_m", *R.METRICS)
-    return ml.forest_scores(ml.train_forest(rows, trees=20, depth=8), rows, rule)
+    return ml.forest_scores(ml.train_forest(rows, trees=100, depth=10), rows, rule)
 
 
 @query("forward_risk")
@@ -629,7 +629,7 @@ def _(t):
     return rows.rollup("region_id", "group_id").agg(F.count("*").alias("nodes"), F.round(F.avg("waste_level"), 6).alias("mean_waste"))
 
 
-from . import catalogue_more  # noqa: E402, F401  registers its queries
+from . import catalogue_more, catalogue_serving  # noqa: E402, F401  register their queries
 
 
 def queries() -> dict[str, Query]:

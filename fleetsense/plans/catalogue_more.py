@@ -160,7 +160,7 @@ def _(t):
 def _(t):
     from ..operators import ml
 
-    return ml.dispatch(t.node, t.reading, *USER, forest=ml.train_forest(ml.forest_rows(t.node, t.reading, *USER), trees=10, depth=6))
+    return ml.dispatch(t.node, t.reading, *USER, forest=ml.train_forest(ml.forest_rows(t.node, t.reading, *USER)))
 
 
 @query("hazard_forest_balanced")
@@ -168,7 +168,7 @@ def _(t):
     from ..operators import ml
 
     rows = ml.forward_rows(t.reading)
-    out = ml.balanced_forest(rows.where("is_train"), trees=10, depth=6).transform(rows.where("NOT is_train"))
+    out = ml.balanced_forest(rows.where("is_train")).transform(rows.where("NOT is_train"))
     return out.groupBy("hazard", F.col("prediction").cast("int").alias("predicted")).agg(F.count("*").alias("rows"))
 
 
@@ -176,19 +176,17 @@ def _(t):
 def _(t):
     from ..operators import ml
 
-    return ml.group_folds(ml.forward_rows(t.reading), folds=3, iterations=3)
+    return ml.group_folds(ml.forward_rows(t.reading))
 
 
 @query("feature_importance")
 def _(t):
-    from pyspark.ml import Pipeline
-    from pyspark.ml.regression import LinearRegression
-
+    """Permutation importances of the boosted trees on the rows held out, five repeats."""
     from ..operators import ml
 
     rows = ml.forward_rows(t.reading)
-    model = Pipeline(stages=[ml.assembler(ml.STATE), LinearRegression(labelCol="time_to_overflow")]).fit(rows.where("is_train"))
-    return ml.permutation_importance(model, rows.where("NOT is_train"), ml.STATE, "time_to_overflow")
+    model = ml.boosted(8).fit(rows.where("is_train"))
+    return ml.permutation_importance(model, rows.where("NOT is_train"), ml.FORWARD, "time_to_overflow")
 
 
 @query("stream_sessions")

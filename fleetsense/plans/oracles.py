@@ -251,3 +251,35 @@ ORACLES |= {
     "prediction_documents": q(f"SELECT node_id, round(gas_level, 6) AS gas, -1e0 AS missing, round({prio(STATE)}, 6) AS predicted_cost, 'rule-1' AS model_version FROM latest", LATEST),
     "rule_without_models": q(f"SELECT n.node_id, round(coalesce(p, 0e0), 6) AS priority FROM node n LEFT JOIN (SELECT node_id, {prio(STATE)} AS p FROM latest) l ON l.node_id = n.node_id", LATEST),
 }
+ORACLES |= {
+    "distance_tree": q(
+        "SELECT group_id AS route_id, node AS node_id, round(min(dist), 4) AS dist FROM walks GROUP BY 1, 2", SCORED, TOPG,
+        f"""walks AS (SELECT group_id, node_id AS node, 0e0 AS dist, [node_id] AS path FROM top WHERE rank = 1 UNION ALL
+        SELECT w.group_id, b.node_id, w.dist + {edge()}, list_append(w.path, b.node_id) FROM walks w JOIN top a ON a.group_id = w.group_id AND a.node_id = w.node JOIN top b ON b.group_id = w.group_id WHERE NOT list_contains(w.path, b.node_id))""", recursive=True),
+    "route_users": q("SELECT w.group_id, w.user_id, coalesce(s.s_name, 'system') AS user_name, stops FROM (SELECT group_id, CAST(len(path) AS BIGINT) AS stops, CASE WHEN group_id % 4 <> 3 THEN group_id + 1 END AS user_id FROM walk_tour) w LEFT JOIN supplier s ON s.s_suppkey = w.user_id", SCORED, TOPG, greedy(1.0), recursive=True),
+    "location_errors": q("""SELECT node_id, concat_ws('; ', CASE WHEN lat IS NULL AND lng IS NULL THEN 'location is missing' WHEN lat IS NULL THEN 'latitude is missing' WHEN lng IS NULL THEN 'longitude is missing' END,
+        CASE WHEN abs(lat) > 90 THEN 'latitude must be within 90 degrees' END, CASE WHEN abs(lng) > 180 THEN 'longitude must be within 180 degrees' END) AS error
+        FROM (SELECT node_id, CASE WHEN node_id % 7 = 0 THEN NULL WHEN node_id % 11 = 0 THEN 95e0 ELSE latitude END AS lat, CASE WHEN node_id % 5 = 0 THEN NULL WHEN node_id % 17 = 0 THEN -181e0 ELSE longitude END AS lng FROM node)"""),
+    "relocate_or_create": q("""SELECT node_id, CASE WHEN moved THEN new_name ELSE node_name END AS node_name, round(CASE WHEN moved THEN 23.5e0 ELSE latitude END, 6) AS latitude, round(CASE WHEN moved THEN 90.5e0 ELSE longitude END, 6) AS longitude
+        FROM (SELECT n.*, node_id % 10 = 5 AND node_id % 3 <> 0 AS moved, 'Moved ' || lpad(CAST(node_id AS VARCHAR), 9, '0') AS new_name FROM node n WHERE NOT starts_with(node_name, 'Customer#00000001'))
+        UNION ALL SELECT (SELECT max(node_id) FROM node) + row_number() OVER (ORDER BY new_name), new_name, 23.5e0, 90.5e0 FROM (
+          SELECT 'Moved ' || lpad(CAST(node_id AS VARCHAR), 9, '0') AS new_name FROM node WHERE node_id % 10 = 5 AND (node_id % 3 = 0 OR starts_with(node_name, 'Customer#00000001')))"""),
+    "mark_one_read": q("SELECT is_read OR notification_id = (SELECT min(notification_id) FROM notification WHERE NOT is_read) AS is_read, count(*) AS rows FROM notification GROUP BY 1"),
+    "all_nodes_ranked": q("SELECT node_id, round(priority, 6) AS priority FROM scored", SCORED),
+    "csv_readings": q("SELECT CAST(node_id AS VARCHAR) AS node, date_trunc('second', timestamp) AS timestamp, temperature, humidity, round(gas_level, 6) AS gas_level FROM reading"),
+    "fixture_nodes": q("SELECT node_id AS pk, node_name AS name, round(latitude, 6) AS latitude FROM node"),
+    "cached_features": q("SELECT reading_id, round(waste_level_mean, 6) AS waste_level_mean, round(gas_level_std, 6) AS gas_level_std FROM rolled", rolling(ROLL)),
+    "json_result": ORACLES["status_by_group"],
+    "demo_rows": "SELECT * FROM (VALUES (1::BIGINT, 'North gate', 0.91e0, 'critical'), (2, 'Market', 0.70e0, 'warning'), (3, 'Harbour', 0.12e0, 'normal')) v(node_id, node_name, waste_level, status)",
+    "stream_ingest": ORACLES["resolve_ingest"],
+    "stream_fill_machine": q(
+        "SELECT node_id, round(fill, 6) AS fill, emptied FROM (SELECT *, row_number() OVER (PARTITION BY node_id ORDER BY k DESC) AS last FROM m) WHERE last = 1",
+        "o AS (SELECT node_id, waste_level, row_number() OVER (PARTITION BY node_id ORDER BY timestamp, reading_id) AS k FROM reading)",
+        """m AS (SELECT DISTINCT node_id, CAST(0 AS BIGINT) AS k, 0e0 AS fill, CAST(0 AS BIGINT) AS emptied FROM o UNION ALL
+        SELECT m.node_id, o.k, CASE WHEN m.fill + o.waste_level >= 0.98e0 THEN 0e0 ELSE m.fill + o.waste_level END, m.emptied + CASE WHEN m.fill + o.waste_level >= 0.98e0 THEN 1 ELSE 0 END FROM m JOIN o ON o.node_id = m.node_id AND o.k = m.k + 1)""", recursive=True),
+    "stream_sliding_windows": q("""SELECT start, count(*) AS n, round(avg(waste_level), 6) AS mean_waste, round(max(waste_level), 6) AS max_waste FROM (
+        SELECT waste_level, time_bucket(INTERVAL 6 HOUR, timestamp) - to_hours(CAST(6 * i AS INTEGER)) AS start FROM reading, range(4) r(i)) GROUP BY 1 HAVING start + INTERVAL 1 DAY <= (SELECT max(timestamp) - INTERVAL 1 HOUR FROM reading)"""),
+    "stream_sessions": q("""SELECT node_id, min(timestamp) AS start, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY node_id ORDER BY timestamp, reading_id ROWS UNBOUNDED PRECEDING) AS session FROM (
+        SELECT *, CASE WHEN epoch_us(timestamp) - lag(epoch_us(timestamp)) OVER (PARTITION BY node_id ORDER BY timestamp, reading_id) <= 43200000000 THEN 0 ELSE 1 END AS fresh FROM reading))
+        GROUP BY node_id, session HAVING max(timestamp) + INTERVAL 12 HOUR <= (SELECT max(timestamp) - INTERVAL 1 HOUR FROM reading)"""),
+}

@@ -36,9 +36,9 @@ def read_telemetry_csv(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(*out).where("timestamp IS NOT NULL")
 
 
-def read_fixture(spark: SparkSession, path: str, model: str) -> DataFrame:
-    """pk and the fields of a JSON fixture's records of one model."""
-    return spark.read.option("multiLine", True).json(path).where(F.col("model") == model).select("pk", "fields.*")
+def read_fixture(spark: SparkSession, path: str, model: str, multi_line: bool = True) -> DataFrame:
+    """pk and the fields of a JSON fixture's records of one model; a fixture is one array, or with multi_line=False a record a line."""
+    return spark.read.option("multiLine", multi_line).json(path).where(F.col("model") == model).select("pk", "fields.*")
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, key: str, low: int, high: int, parts: int = 16, **options) -> DataFrame:
@@ -46,15 +46,35 @@ def read_jdbc(spark: SparkSession, url: str, table: str, key: str, low: int, hig
     return spark.read.format("jdbc").options(url=url, dbtable=table, partitionColumn=key, lowerBound=low, upperBound=high, numPartitions=parts, **options).load()
 
 
-def cached_features(spark: SparkSession, path: str, build, force: bool = False) -> DataFrame:
-    """A feature table in Parquet, by node bucket; built if it is not there."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if force or not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
-        build().write.mode("overwrite").parquet(path)
+def cached_features(spark: SparkSession, path: str, build, force: bool = False, node: str | None = None, buckets: int = 16) -> DataFrame:
+    """A feature table in Parquet; built if it is not there. With a node column it is partitioned by node_bucket, so that a node's rows are found by one folder."""
+    from pyspark.errors import AnalysisException
+
+    if not force:
+        try:
+            return spark.read.parquet(path)
+        except AnalysisException:
+            pass  # nothing there yet
+    rows = build()
+    if node:
+        rows.withColumn("node_bucket", F.pmod(F.xxhash64(node), F.lit(buckets)).cast("int")).repartition("node_bucket").write.mode("overwrite").partitionBy("node_bucket").parquet(path)
+    else:
+        rows.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
+def json_result(rows: DataFrame, path: str) -> DataFrame:
+    """Write a result as JSON lines and give it back as read, with the same types."""
+    rows.write.mode("overwrite").json(path)
+    return rows.sparkSession.read.schema(rows.schema).json(path)
+
+
+def route_documents(routes: DataFrame, users: DataFrame) -> DataFrame:
+    """routes with the name of the user who asked for each (user_id to user_name); 'system' where nobody did or the user is gone."""
+    names = users.groupBy("user_id").agg(F.min("user_name").alias("user_name"))
+    return routes.join(names, "user_id", "left").withColumn("user_name", F.coalesce("user_name", F.lit("system")))
+
+
 def append_readings(readings: DataFrame, path: str) -> None:
     readings.write.mode("append").parquet(path)
 
@@ -89,15 +109,20 @@ def save_meta(spark: SparkSession, path: str, meta: dict) -> None:
     spark.createDataFrame([(json.dumps(meta, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
-def model_version(spark: SparkSession, path: str) -> str:
-    """The metadata's version; 'unknown' without metadata."""
+def read_meta(spark: SparkSession, path: str) -> dict | None:
+    """A model's metadata; None where there is none."""
     from pyspark.errors import AnalysisException
 
     try:
         rows = spark.read.text(path).limit(1).collect()
     except AnalysisException:
-        return "unknown"
-    return json.loads(rows[0]["value"]).get("version", "unknown") if rows else "unknown"
+        return None
+    return json.loads(rows[0]["value"]) if rows else None
+
+
+def model_version(spark: SparkSession, path: str) -> str:
+    """The metadata's version; 'unknown' without metadata."""
+    return (read_meta(spark, path) or {}).get("version", "unknown")
 
 
 def table_counts(tables: dict[str, DataFrame]) -> DataFrame:

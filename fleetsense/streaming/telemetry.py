@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators import dashboard
+
 LATEST = "node_id long, timestamp timestamp, reading_id long, waste_level double, gas_level double"
 LATEST_STATE = "us long, reading_id long, waste_level double, gas_level double"
 
@@ -59,6 +61,36 @@ def cycles(readings: DataFrame, full: float = 0.98) -> DataFrame:
     return readings.select("node_id", "waste_level").groupBy("node_id").applyInPandasWithState(step, "node_id long, times long", "times long", "update", GroupStateTimeout.NoTimeout)
 
 
+def fill_machine(readings: DataFrame, full: float = 0.98) -> DataFrame:
+    """node_id, fill, emptied: what readings (their waste_level is what came in) have filled each node with; at `full` it is emptied and counted.
+
+    Within a batch a node's readings are taken in order of time and id; state goes on over batches. Given again whenever it changes.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        fill, emptied = state.get if state.exists else (0.0, 0)
+        rows = pd.concat(list(batches)).sort_values(["timestamp", "reading_id"])  # one node's rows of one batch
+        for more in rows["waste_level"].fillna(0.0):
+            fill += float(more)
+            if fill >= full:
+                fill, emptied = 0.0, emptied + 1
+        state.update((fill, emptied))
+        yield pd.DataFrame([{"node_id": key[0], "fill": fill, "emptied": emptied}])
+
+    cols = readings.select("node_id", F.col("timestamp").cast("timestamp").alias("timestamp"), "reading_id", "waste_level")
+    return cols.groupBy("node_id").applyInPandasWithState(step, "node_id long, fill double, emptied long", "fill double, emptied long", "update", GroupStateTimeout.NoTimeout)
+
+
+def ingest(payloads: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Readings of a stream of JSON bodies; the time is the server's, whatever the body says."""
+    return dashboard.ingest(payloads, nodes).withColumn("timestamp", F.current_timestamp())
+
+
+def refresh(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, every: str = "10 seconds", mode: str = "append"):
+    """Run `work` on what is new every so often (dashboards 10 seconds, notifications 30); the query is given back and runs until it is stopped."""
+    return stream.writeStream.outputMode(mode).foreachBatch(work).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
 def route_after_each_batch(stream: DataFrame, route: Callable[[DataFrame], DataFrame], path: str, checkpoint: str):
     """Write the route that follows from each micro-batch; a batch that is run again overwrites its own folder."""
 

@@ -16,7 +16,10 @@ def test_forward_model(spark, tmp_path):
     r = out.agg(F.min("risk"), F.max("risk"), F.min("p10"), F.max("p90"), F.count_if(F.col("p10") > F.col("p90"))).first()
     assert 0 <= r[0] and r[1] <= 1 and r[2] >= 0 and r[3] <= 24 and r[4] == 0
     model.save(str(tmp_path / "m"))
-    again = ml.Forward.load(str(tmp_path / "m"), model.quantiles, model.classifier is not None).transform(rows.where("NOT is_train"))
+    assert ml.Forward.load(str(tmp_path / "none")) is None
+    kept = ml.Forward.load(str(tmp_path / "m"))
+    assert kept.quantiles == model.quantiles and kept.meta["features"] == list(ml.FORWARD) and kept.meta["n_train"] == rows.where("is_train").count()
+    again = kept.transform(rows.where("NOT is_train"))
     assert again.select("reading_id", "risk").exceptAll(out.select("reading_id", "risk")).isEmpty()
 
 
@@ -26,7 +29,8 @@ def test_forest_needs_rows_and_dispatch_falls_back(spark):
     assert ml.train_forest(rows.limit(3)) is None
     model = ml.train_forest(rows, trees=5, depth=4)
     assert sorted(x for x, _ in ml.importances(model, ml.FOREST)) == sorted(ml.FOREST)
-    for kind in ({}, {"forest": model}):
+    forward = ml.train_forward(ml.forward_rows(t.reading), iterations=3, depth=3)
+    for kind in ({}, {"forest": model}, {"forest": model, "simplified": True}, {"forward": forward}):
         r = ml.dispatch(t.node, t.reading, *USER, **kind).agg(F.min("priority"), F.max("priority"), F.count("*")).first()
         assert 0 <= r[0] and r[1] <= 1 and r[2] == t.node.count()
 
@@ -38,3 +42,22 @@ def test_metrics_of_perfect_and_constant_scores(spark):
     assert M.auc(same, "s", "y").first().auc == 0.5
     assert M.gini(spark.createDataFrame([(1.0,), (1.0,)], "x double"), "x").first().gini == 0.0
     assert M.spearman(same.withColumn("g", F.lit(1)), "s", "y", ["g"]).first().rho is None
+
+
+def test_permuting_matters_only_for_what_the_model_uses(spark):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.regression import LinearRegression
+
+    d = spark.range(500).select(F.col("id").alias("reading_id"), (F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 11).cast("double").alias("b")).withColumn("y", F.col("a") * 2)
+    model = Pipeline(stages=[ml.assembler(("a", "b")), LinearRegression(labelCol="y")]).fit(d)
+    for per_slot in (4096, 50):
+        found = {r.feature: r.increase for r in ml.permutation_importance(model, d, ("a", "b"), "y", repeats=3, per_slot=per_slot).collect()}
+        assert found["a"] > 3 and abs(found["b"]) < 1e-6
+
+
+def test_forward_model_is_better_than_the_mean(spark):
+    rows = ml.forward_rows(Tables(spark, "/root/testdata/sf0.01").reading)
+    got = {r.model: r.mae for r in ml.bake_off(rows, iterations=3).collect()}
+    assert min(got["boosted_trees"], got["random_forest"]) <= got["mean"] * 1.02
+    lat = ml.latency(ml.boosted(2, 2).fit(rows), rows, n=100, repeats=1).first()
+    assert lat.n == 100 and lat.total_ms > 0

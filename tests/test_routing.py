@@ -209,3 +209,42 @@ def test_policies_leave_out_what_has_no_place(spark):
     got = T.compare_policies(spark.createDataFrame(rows, "route_id long, node_id long, latitude double, longitude double, priority double, critical boolean, time_to_overflow double, user_lat double, user_lng double")).collect()
     full = next(r for r in got if r.policy == "A_static_full")
     assert full.n_visited == 29 and full.prize_pct == round(100 * 29 / 30, 1) and full.distance_km < 100 and len(got) == 10
+
+
+def test_target_routes_against_all_simple_paths():
+    import itertools
+
+    from fleetsense.operators import routing
+
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 5):
+        for _ in range(5):
+            cost = rng.uniform(1, 9, (n, n))
+
+            def best(a, b):
+                others = [i for i in range(n) if i not in (a, b)]
+                ways = [[a, *mid, b] if a != b else [a] for k in range(len(others) + 1) for mid in itertools.permutations(others, k)]
+                return min((sum(cost[x, y] for x, y in itertools.pairwise(w)), w) for w in ways)
+
+            targets, at, path, total = [i for i in range(n) if i % 2 == 0], 0, [], 0.0
+            left = list(targets)
+            while left:
+                d, t = min((best(at, t)[0], t) for t in left)
+                way = best(at, t)[1]
+                path += way[1:] if path else way
+                total, at = total + d, t
+                left.remove(t)
+            got = routing.target_order(cost, 0, targets)
+            assert got[0] == path and abs(got[1] - total) < 1e-9
+    cut = np.full((2, 2), np.inf)
+    assert routing.target_order(cut, 0, [1]) == ([], 0.0) and routing.target_order(cut, 0, []) == ([], 0.0)
+
+
+def test_routes_to_targets_of_awkward_requests(spark):
+    from fleetsense.operators import routing
+
+    rows = [(1, 5, 23.8, 90.4, 0.5, 0.1, False, True), (1, 4, None, None, None, None, True, None), (2, 7, 23.8, 90.4, 0.5, 0.1, None, None)]
+    d = spark.createDataFrame(rows, "route_id long, node_id long, latitude double, longitude double, priority double, traffic_density double, source boolean, target boolean")
+    assert {r.route_id: r.path for r in routing.target_routes(d).collect()} == {1: [4, 5], 2: []}
+    assert {(r.route_id, r.node_id, r.before) for r in routing.distance_tree(d).collect()} == {(1, 4, None), (1, 5, 4), (2, 7, None)}
+    assert routing.target_routes(d.limit(0)).isEmpty()
