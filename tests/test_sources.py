@@ -76,3 +76,43 @@ def test_sessions_and_cycles(spark, tmp_path):
     read = lambda: spark.readStream.schema("node_id long, timestamp timestamp, reading_id long, waste_level double, gas_level double").parquet(str(src))
     assert telemetry.run_once(telemetry.sessions(read(), "1 hour"), "append", "s1", str(tmp_path / "a")).count() == 6
     assert telemetry.run_once(telemetry.cycles(read()), "update", "s2", str(tmp_path / "b")).agg(F.max("times")).first()[0] == 4
+
+
+def test_features_by_node_bucket(spark, tmp_path):
+    build = lambda: spark.range(40).select(F.col("id").alias("node_id"))
+    got = IO.cached_features(spark, str(tmp_path / "b"), build, node="node_id", buckets=4)
+    assert got.count() == 40 and {r[0] for r in got.select("node_bucket").distinct().collect()} == {0, 1, 2, 3}
+
+
+def test_telemetry_is_emptied_once_full(spark):
+    rows = gen.telemetry(spark.range(5).withColumnRenamed("id", "node_id"), cycles=120).orderBy("node_id", "cycle").collect()
+    for a, b in zip(rows, rows[1:]):
+        if a.node_id == b.node_id:
+            assert (b.waste_level == 0.0) == (a.waste_level >= 0.98), (a, b)
+    assert all(0 <= r.gas_level <= 1 for r in rows)
+
+
+def test_refresh_takes_what_is_new_with_the_servers_time(spark, tmp_path):
+    from fleetsense.streaming import telemetry
+
+    src = str(tmp_path / "in")
+    nodes = spark.createDataFrame([(1, "a")], "node_id long, node_name string")
+    spark.createDataFrame([(7, '{"node_id": "1", "waste_level": "2", "timestamp": "1999-01-01"}'), (8, '{"node_id": "9"}'), (9, None)], "reading_id long, body string").write.parquet(src)
+    arriving = spark.readStream.schema("reading_id long, body string").parquet(src)
+    q = telemetry.refresh(telemetry.ingest(arriving, nodes), lambda b, e: b.write.mode("overwrite").parquet(f"{tmp_path}/out/batch={e}"), str(tmp_path / "cp"), every="1 second")
+    q.processAllAvailable()
+    q.stop()
+    got = spark.read.parquet(str(tmp_path / "out")).select("reading_id", "node_id", "waste_level", (F.year("timestamp") > 2000).alias("now")).collect()
+    assert [tuple(r) for r in got] == [(7, 1, 1.0, True)]
+
+
+def test_fill_state_goes_on_over_batches(spark, tmp_path):
+    from fleetsense.streaming import telemetry
+
+    src, schema = str(tmp_path / "in"), "node_id long, timestamp timestamp, reading_id long, waste_level double"
+    for i, level in enumerate((0.5, 0.6, 0.25)):
+        spark.createDataFrame([(1, i, level)], "node_id long, reading_id long, waste_level double").withColumn("timestamp", F.timestamp_seconds("reading_id")).select("node_id", "timestamp", "reading_id", "waste_level").write.mode("append").parquet(src)
+        q = telemetry.fill_machine(spark.readStream.schema(schema).parquet(src)).writeStream.outputMode("update").foreachBatch(lambda b, e: b.write.mode("overwrite").parquet(f"{tmp_path}/out/batch={e}")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out")).orderBy("batch").select("fill", "emptied").collect()
+    assert [tuple(r) for r in got] == [(0.5, 0), (0.0, 1), (0.25, 1)]
