@@ -26,4 +26,36 @@ SELECT s.doc_id, len(s.sh) AS n_shingles, c.component_id
 FROM s JOIN (SELECT doc_id, min(root) AS component_id FROM reach GROUP BY doc_id) c ON s.doc_id = c.doc_id
 """
 
-ORACLES = {"op9_exact_dedup": EXACT_DEDUP, "op8_jaccard_join": JACCARD_JOIN}
+SPELLING = """
+WITH RECURSIVE runs AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+keyed AS (
+  SELECT run, coalesce(doc_id::VARCHAR, '') || ':' || run AS m, count(*) AS c FROM runs WHERE length(run) >= 6 GROUP BY ALL),
+bits AS (
+  SELECT run, c, flatten(list_transform(flatten(list_transform(string_split(m, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)] ELSE [195, unicode(x) - 64] END)),
+    lambda y: list_transform(range(8), lambda k: (y >> k::INTEGER) & 1))) AS b
+  FROM keyed),
+hashed AS (
+  SELECT run, c, xor(4294967295, list_reduce(b, lambda h, x: xor(h >> 1, (xor(h, x::BIGINT) & 1) * 3988292384), 4294967295::BIGINT)) AS h
+  FROM (SELECT run, c, list_transform(b, lambda x: x::BIGINT) AS b FROM bits)),
+damaged AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, c FROM hashed),
+v AS (SELECT word, sum(c)::BIGINT AS n FROM damaged WHERE length(word) >= 6 GROUP BY word HAVING sum(c) >= 5),
+places AS (SELECT word, length(word) AS l, unnest(range(1, length(word) + 1)) AS i FROM v),
+cut AS (SELECT word, l, i, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS b FROM places),
+near AS (
+  SELECT x.word AS word, y.word AS other FROM cut x JOIN cut y ON x.l = y.l AND x.i = y.i AND x.a = y.a AND x.b = y.b AND x.word <> y.word
+  UNION SELECT cut.word, v.word FROM cut JOIN v ON v.word = a || b
+  UNION SELECT v.word, cut.word FROM cut JOIN v ON v.word = a || b),
+ranked AS (
+  SELECT near.word, near.other, o.n AS other_n, row_number() OVER (PARTITION BY near.word ORDER BY o.n DESC, near.other) AS k, count(*) OVER (PARTITION BY near.word) AS n_near
+  FROM near JOIN v o ON near.other = o.word),
+t AS (
+  SELECT v.word, v.n, coalesce(r.n_near, 0) AS n_near, CASE WHEN r.other_n >= 5 * v.n THEN r.other END AS form, CASE WHEN r.other_n >= 5 * v.n THEN r.other_n END AS form_n
+  FROM v LEFT JOIN ranked r ON v.word = r.word AND r.k = 1),
+way AS (
+  SELECT word, word AS here, 0 AS step FROM t UNION ALL SELECT way.word, t.form, step + 1 FROM way JOIN t ON way.here = t.word WHERE t.form IS NOT NULL)
+SELECT t.word, t.form, w.root, t.n, t.n_near, t.form_n FROM t JOIN (SELECT word, max_by(here, step) AS root FROM way GROUP BY word) w ON t.word = w.word
+"""
+
+ORACLES = {"op9_exact_dedup": EXACT_DEDUP, "op8_jaccard_join": JACCARD_JOIN, "op11_spelling": SPELLING}
