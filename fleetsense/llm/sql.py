@@ -58,4 +58,19 @@ way AS (
 SELECT t.word, t.form, w.root, t.n, t.n_near, t.form_n FROM t JOIN (SELECT word, max_by(here, step) AS root FROM way GROUP BY word) w ON t.word = w.word
 """
 
-ORACLES = {"op9_exact_dedup": EXACT_DEDUP, "op8_jaccard_join": JACCARD_JOIN, "op11_spelling": SPELLING}
+HARD_NEGATIVES = """
+WITH v AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, a.label = v.label AS alike, v.vec_id AS id, list_inner_product(a.x, v.x)::BIGINT AS score
+  FROM v a JOIN v ON a.vec_id % 100 = 0 AND v.vec_id <> a.vec_id AND len(a.x) = len(v.x)),
+p AS (
+  SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (
+  SELECT p.anchor_id, positive_id, id AS negative_id, positive_score, score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, id) AS rank
+  FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT alike AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
+"""
+
+ORACLES = {"op9_exact_dedup": EXACT_DEDUP, "op8_jaccard_join": JACCARD_JOIN, "op11_spelling": SPELLING, "op12_hard_negatives": HARD_NEGATIVES}
