@@ -98,7 +98,7 @@ def terms(text: Column) -> Column:
 
 def votes(term: Column) -> list[Column]:
     """For each of 32 pairs of bits of both hashes of a term, a number that holds them in two lanes."""
-    both = (term, F.xxhash64(F.lit(7), term))
+    both = (term, F.when(term.isNotNull(), F.xxhash64(F.lit(7), term)))
     return [F.shiftrightunsigned(h, k).bitwiseAND(F.lit(_LANES)) for h in both for k in range(32)]
 
 

@@ -172,6 +172,8 @@ def variants(docs: DataFrame, min_count: int = MIN_COUNT, ratio: int = RATIO) ->
     code-point order. Very long texts and words are read whole; other columns, whatever
     their names, are not read. An empty table gives no rows.
     """
+    if ratio <= 1:
+        raise ValueError("a form must be more frequent than its word, or forms could lead in a circle")
     common.small_batches(docs.sparkSession)
     ranked = vocabulary(docs, min_count)
     near = by_replacement(ranked).unionByName(by_indel(ranked)).groupBy("rank").agg(F.sum("near").alias("n_near"), F.min("best").alias("best"))
