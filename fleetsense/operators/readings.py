@@ -40,7 +40,7 @@ def _order() -> Window:
     return Window.partitionBy("node_id").orderBy("timestamp", "reading_id")
 
 
-def rolling(readings: DataFrame, columns=("waste_level", "gas_level", "temperature", "humidity"), size: int = 10, serving: bool = False) -> DataFrame:
+def rolling(readings: DataFrame, columns=("waste_level", "gas_level", "temperature", "humidity"), size: int = 10, serving: bool = False, keep=()) -> DataFrame:
     """Rolling mean, deviation and trend over the last `size` rows of each node.
 
     Training: sample deviation (0 with one row), trend against the value `size`
@@ -55,7 +55,7 @@ def rolling(readings: DataFrame, columns=("waste_level", "gas_level", "temperatu
             out += [F.stddev_pop(c).over(frame).alias(f"{c}_std"), ((F.col(c) - F.first(c).over(frame)) / size).alias(f"{c}_trend")]
         else:
             out += [F.coalesce(F.stddev_samp(c).over(frame), F.lit(0.0)).alias(f"{c}_std"), (F.coalesce(F.col(c) - F.lag(c, size).over(w), F.lit(0.0)) / size).alias(f"{c}_trend")]
-    return readings.select("reading_id", "node_id", "timestamp", *columns, F.hour("timestamp").alias("hour"), F.weekday("timestamp").alias("dow"), *out)
+    return readings.select("reading_id", "node_id", "timestamp", *keep, *columns, F.hour("timestamp").alias("hour"), F.weekday("timestamp").alias("dow"), *out)
 
 
 def _ahead(start: int, end: int):

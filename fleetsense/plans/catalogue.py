@@ -13,12 +13,15 @@ from ..functions.config import DEPOT, USER
 from ..operators import dashboard as D
 from ..operators import graph as G
 from ..operators import metrics as M
+from ..operators import network as N
 from ..operators import readings as R
+from ..operators import spans
 from ..sources import generate
 from ..sources import io as IO
 from ..sources.shared import fresh_path, stored
 from ..sources.views import Tables
 from .oracles import ORACLES
+from .oracles_network import NETWORK
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -519,18 +522,27 @@ START_H, SHIFT_H = 50.0, 8.0
 STEP_H = 72.0
 
 
-def _states(t: Tables, start_h: float, step_h: float, rest: bool = False) -> DataFrame:
+#: Nodes of a tour in the comparison of policies, at most: more than that are clusters with tours of their own.
+TOUR_NODES = 400
+#: Numbers of clusters that a group may have.
+CLUSTERS = 1 << 20
+
+
+def _states(t: Tables, start_h: float, step_h: float, rest: bool = False, depots: DataFrame | None = None) -> DataFrame:
     """State of every node at start_h, start_h + step_h, ... hours after the first reading, as long as there are readings; rest: once more at the end.
 
     It is that of the node's newest reading up to then, with its labels. Before its first reading a node has priority 0.
-    A group has its own depot (-1: the nodes without a group); a route is a group's in a shift.
+    A group has its own depot (-1: the nodes without a group); a route is a group's in a shift. depots: node_id, depot to take instead, from -1 to 2^31.
     """
     us, first = S.micros("timestamp"), F.min(S.micros("timestamp"))
     span = F.broadcast(t.reading.agg(first.alias("first"), (F.ceil if rest else F.floor)(((F.max(us) - first) / 3.6e9 - start_h) / step_h).alias("last")))  # one row
     rows = R.overflow_label(R.hazard_label(t.reading)).crossJoin(span)
     rows = rows.withColumn("shift", F.greatest(F.ceil(((us - F.col("first")) / 3.6e9 - start_h) / step_h), F.lit(0))).withColumn("priority", S.state_priority())
     seen = rows.groupBy("shift", "node_id").agg(F.max(F.struct("timestamp", "reading_id", "priority", "hazard", "time_to_overflow")).alias("r"))
-    grid = t.node.select("node_id", F.coalesce("group_id", F.lit(-1).cast("long")).alias("depot"), "latitude", "longitude").crossJoin(span.where("last >= 0")).withColumn("shift", F.explode(F.sequence(F.lit(0).cast("long"), "last")))
+    grid = t.node.select("node_id", F.coalesce("group_id", F.lit(-1).cast("long")).alias("depot"), "latitude", "longitude")
+    if depots is not None:
+        grid = grid.drop("depot").join(depots, "node_id")
+    grid = grid.crossJoin(span.where("last >= 0")).withColumn("shift", F.explode(F.sequence(F.lit(0).cast("long"), "last")))
     carried = F.last("r", True).over(Window.partitionBy("node_id").orderBy("shift").rowsBetween(Window.unboundedPreceding, 0))
     rows = grid.join(seen, ["shift", "node_id"], "left").withColumn("r", carried)
     return rows.select("shift", "depot", (F.col("shift") * F.lit(1 << 32) + F.col("depot") + 1).alias("route_id"), "node_id", "latitude", "longitude", F.coalesce("r.priority", F.lit(0.0)).alias("priority"), F.coalesce(F.col("r.hazard") == 1, F.lit(False)).alias("critical"), "r.time_to_overflow", F.lit(DEPOT[0]).alias("user_lat"), F.lit(DEPOT[1]).alias("user_lng"))
@@ -540,7 +552,13 @@ def _states(t: Tables, start_h: float, step_h: float, rest: bool = False) -> Dat
 def _(t):
     from ..operators import routing
 
-    rows = routing.compare_policies(_states(t, STEP_H, STEP_H, True))
+    nodes = t.node.select("node_id", F.coalesce("group_id", F.lit(-1).cast("long")).alias("group"), "latitude", "longitude")
+    placed = N.clusters(nodes, TOUR_NODES, ("group",)).select("node_id", "group", "cluster")
+    # Nodes without a place are on no tour, but count in what there was to collect: so many of them together.
+    lost = spans.placed(nodes.where("latitude IS NULL OR longitude IS NULL"), ["group"], ["node_id"])
+    lost = lost.select("node_id", "group", (F.floor(F.col("nth") / TOUR_NODES) + (CLUSTERS >> 1)).alias("cluster"))
+    depots = placed.unionByName(lost).select("node_id", ((F.col("group") + 1) * CLUSTERS + F.col("cluster")).alias("depot"))
+    rows = routing.compare_policies(_states(t, STEP_H, STEP_H, True, depots))
     critical, prize = F.sum("n_critical_served"), F.sum("prize")
     rows = rows.groupBy("policy", "alpha", F.shiftright("route_id", 32).alias("shift")).agg(  # all depots of a snapshot
         *[F.sum(c).alias(c) for c in ("distance_km", "co2_kg", "n_visited", "missed_overflow")],
@@ -629,7 +647,7 @@ def _(t):
     return rows.rollup("region_id", "group_id").agg(F.count("*").alias("nodes"), F.round(F.avg("waste_level"), 6).alias("mean_waste"))
 
 
-from . import catalogue_more, catalogue_serving  # noqa: E402, F401  register their queries
+from . import catalogue_more, catalogue_network, catalogue_serving  # noqa: E402, F401  register their queries
 
 
 def queries() -> dict[str, Query]:
@@ -637,4 +655,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    return ORACLES | NETWORK
