@@ -253,6 +253,11 @@ def threshold(values: np.ndarray) -> float:
     return c / 2
 
 
+def density(chars: np.ndarray, tags: np.ndarray, links: np.ndarray) -> np.ndarray:
+    """Characters for each tag of a line; those within links count less."""
+    return np.maximum(chars - (1 - LINK) * links, 0) / np.maximum(tags, 1)
+
+
 def select(lines: list[tuple[str, int, int, int, float]], roots: list[int], parents: list[int], tops: set[int]) -> list[int]:
     """The numbers of the lines that are content."""
     root = np.array([roots[x[3]] for x in lines])
@@ -260,7 +265,7 @@ def select(lines: list[tuple[str, int, int, int, float]], roots: list[int], pare
     evidence = np.array([x[4] for x in lines])
     if (evidence[root >= 0] > 0).any():
         evidence = np.where(root >= 0, evidence, BESIDE * evidence)
-    ratio = np.log1p(evidence * np.maximum(chars - (1 - LINK) * links, 0) / np.maximum(tags, 1))
+    ratio = np.log1p(evidence * density(chars, tags, links))
     value = smooth(ratio, np.where(evidence > 0, root, -2))
     high = (value >= threshold(value)) & (value > 0)
     held = set(root[high & (root >= 0)].tolist())

@@ -46,8 +46,8 @@ SECRET = r"^(?=[0-9]*+[A-Za-z])(?=[A-Za-z]*+[0-9])[A-Za-z0-9]{20,}$"
 LEFT, RIGHT, OPEN = 64, 2, "\"'([{<=:#"
 #: Distinct seeds that induce a pattern; its score from which it discovers; doubt added to each pattern.
 MIN_SEEDS, MIN_SCORE, DOUBT = 4, 0.7, 1.0
-#: Turns of scoring at most, and the greatest change of a score that counts as none.
-TURNS, SETTLED = 20, 1e-9
+#: Turns of scoring after which something is wrong, and the greatest change of a score that counts as none.
+TURNS, SETTLED = 200, 1e-9
 #: Score of an instance that no confident pattern has.
 PRIOR = 0.5
 #: Patterns up to this number are broadcast, more are joined by a shuffle.
@@ -212,9 +212,14 @@ def _places(spans: Column, kind: int) -> Column:
     return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(kind).alias("kind"), x["end"].alias("end")))
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """128 bits that name a row: rows that agree in it are equal."""
+    return F.struct(F.xxhash64(doc_id, text).alias("a"), F.xxhash64(F.lit(1), text, doc_id).alias("b"))
+
+
 def read_texts(docs: DataFrame) -> DataFrame:
     """key, doc_id, numbers of base spans, base spans as places, and occurrences: (start, end, instance, patterns, seed, known)."""
-    rows = common.texts(docs).select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
+    rows = common.texts(docs).select("doc_id", "text", row_key(F.col("doc_id"), F.col("text")).alias("key"))
     rows = rows.select("*", *[base(F.col("text"), k).alias(k) for k in KINDS])
     any_base = F.concat(*[F.col(k) for k in KINDS])
     other = F.when(F.col("text").rlike("[0-9@]"), matches(F.col("text"), CANDIDATE)).otherwise(F.array().cast(_SPAN))
@@ -266,7 +271,8 @@ def confident(edges: DataFrame, others: DataFrame, turns: int = TURNS, min_score
     """pattern, pattern_score of the patterns that discover.
 
     edges: distinct (pattern, instance, seed) of induced patterns; others: pattern,
-    ordinary. Scores are worked out again and again until none changes. Without
+    ordinary. Scores are worked out again and again until none changes; they only grow, so
+    they settle, and scores that have not after so many turns are an error, not a result. Without
     edges there are no patterns. Ties need no order, as all patterns that reach
     min_score discover.
     """
@@ -286,6 +292,8 @@ def confident(edges: DataFrame, others: DataFrame, turns: int = TURNS, min_score
         best = edges.where("not seed").join(good, "pattern").groupBy("instance").agg(F.max("pattern_score").alias("best"))
         new = F.when(F.col("seed"), F.lit(1.0)).otherwise(F.coalesce("best", F.lit(PRIOR))).alias("score")
         edges = common.stored(edges.join(best, "instance", "left").select("pattern", "instance", "seed", new), "pii-edges")
+    else:
+        raise RuntimeError(f"scores of patterns did not settle in {turns} turns")
     return scores.where(F.col("pattern_score") >= min_score)
 
 

@@ -1,5 +1,6 @@
 import hashlib
 
+import numpy as np
 import pytest
 
 from fleetsense.llm import html_text, pii
@@ -112,12 +113,33 @@ def test_what_the_article_keeps(page, want):
     assert html_text.extract(f"<body><nav><a href=1>Home</a></nav>{page}<footer>Foot</footer></body>") == want
 
 
-def test_the_ratio_decides(monkeypatch):
-    """With another smoothed ratio another text comes out: nothing but the value selects."""
-    page = f"<body><nav><ul><li><a href=x>A</a></li></ul></nav><div class='ad'>Buy it now</div>{ARTICLE}<footer>us</footer></body>"
-    assert html_text.extract(page) == WANT
-    monkeypatch.setattr(html_text, "smooth", lambda ratio, frame: ratio * 0 + 1)
-    assert html_text.extract(page) == "A\n\nBuy it now\n\n" + WANT + "\n\nus"
+PROSE = [f"<p>{H.prose(40 + k, 45)}.</p>" for k in range(6)]
+LINKS = "".join(f"<li><a href=/{k}>{H.prose(60 + k, 3)}</a></li>" for k in range(12))
+#: Pages without an article or any name that tells: nothing but the lines' values can select.
+UNMARKED = [
+    f"<body><div><ul>{LINKS}</ul></div><div>{''.join(PROSE)}</div><div><ul>{LINKS}</ul></div></body>",
+    f"<body><div>{''.join(PROSE[:3])}<p>Short.</p>{''.join(PROSE[3:])}<ul>{LINKS}</ul></div></body>",
+    f"<body><div><p>Sign up</p><p>Log in</p></div><div><h1>{H.prose(80, 4)}</h1>{''.join(PROSE)}</div><div><p>One more</p><p><a href=/>Top</a></p></div></body>",
+    f"<body><table><tr><td><ul>{LINKS}</ul></td><td>{''.join(PROSE[:4])}</td></tr></table><div><span>a</span> <span>b</span> <b>c</b></div></body>",
+]
+
+
+def test_pages_without_article_give_their_prose():
+    for page in UNMARKED:
+        text = html_text.extract(page)
+        assert all(p[3:-4] in text for p in (PROSE if page.count("<p>") > 5 else PROSE[:4]))
+        assert H.prose(60, 3) not in text.split(H.prose(40, 45))[0]
+
+
+@pytest.mark.parametrize(
+    ("step", "without"),
+    [("density", lambda chars, tags, links: np.ones(len(chars))), ("smooth", lambda ratio, frame: ratio), ("threshold", lambda values: 0.0)],
+)
+def test_each_step_matters_without_marks(monkeypatch, step, without):
+    """Each step alone, taken out with the evidence of structure kept, changes the text of some page (on pages with one article structure alone decides)."""
+    before = [html_text.extract(p) for p in UNMARKED]
+    monkeypatch.setattr(html_text, step, without)
+    assert [html_text.extract(p) for p in UNMARKED] != before
 
 
 def test_very_long_page(spark):
@@ -232,3 +254,23 @@ def test_article_in_sibling_regions(page):
 def test_paragraphs_in_sibling_divs_of_the_body():
     page = AROUND.format("".join(f"<div><p>{x}</p></div>" for x in LONG))
     assert html_text.extract(page) == "\n\n".join(LONG)
+
+
+def test_rows_whose_first_half_of_the_key_is_equal(spark, monkeypatch):
+    """A collision of 64 bits gives no document another's spans."""
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(k, f'note {k} token = "{chr(97 + k % 26) * (k % 3)}q{k}w7e8r9t1y2u3i4o5p6" and more' if k % 2 else f"plain {k}") for k in range(24)], "doc_id long, text string")
+    want = {r.doc_id: r.spans for r in pii.find(docs).collect()}
+    assert sum(v != "" for v in want.values()) == 12
+    full = pii.row_key
+    monkeypatch.setattr(pii, "row_key", lambda doc_id, text: F.struct(F.lit(1).cast("long").alias("a"), full(doc_id, text)["b"].alias("b")))
+    assert {r.doc_id: r.spans for r in pii.find(docs).collect()} == want
+
+
+def test_scores_that_do_not_settle_are_an_error(spark):
+    edges = spark.createDataFrame([(1, k, k < 8) for k in range(10)], "pattern long, instance long, seed boolean")
+    others = spark.createDataFrame([], "pattern long, ordinary long")
+    assert pii.confident(edges, others).count() == 1
+    with pytest.raises(RuntimeError):
+        pii.confident(edges, others, turns=1)
