@@ -9,7 +9,7 @@ from ..functions.config import DEPOT
 from ..operators import network as N
 from ..operators import readings as R
 from ..operators import spans
-from .catalogue import query, r4, r6
+from .catalogue import _once, _stream, query, r4, r6
 
 #: Neighbours of a node; nodes of a cluster; metres of a bucket of costs.
 NEAREST, CLUSTER, DELTA_M = 8, 400, 4000.0
@@ -79,3 +79,18 @@ def _(t):
 def _(t):
     """The place of each visit among its node's, and of how many."""
     return spans.placed(t.visit, ["node_id"], ["visited_at", "visit_id"], "nth", "visits").select("visit_id", "node_id", (F.col("nth") + 1).alias("nth"), "visits")
+
+
+@query("stream_until_silent")
+def _(t):
+    """Through the stream: the newest reading of each node, and once more if the node was silent for a day when the stream ended."""
+    from ..streaming import state
+
+    return _once(t, state.latest_until_silent(_stream(t)), "update").select("node_id", "reading_id", "live", *r6("waste_level", "gas_level"))
+
+
+@query("stream_fill_until_silent")
+def _(t):
+    from ..streaming import state
+
+    return _once(t, state.fill_until_silent(_stream(t)), "update").select("node_id", "emptied", "live", *r6("fill"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .oracles import ORACLES, hav, q
+from .oracles import LATEST, ORACLES, hav, q, r6
 
 _NEAR = f"""placed AS (SELECT * FROM node WHERE latitude IS NOT NULL AND longitude IS NOT NULL),
 pairs AS (SELECT a.node_id, b.node_id AS neighbour, round({hav('a.latitude', 'a.longitude', 'b.latitude', 'b.longitude')}, 3) AS distance_m FROM placed a JOIN placed b ON a.node_id <> b.node_id),
@@ -15,7 +15,11 @@ way(source, node, dist) USING KEY (source, node) AS (
   SELECT x.source, e.v, min(x.dist + e.w) FROM way x JOIN edge e ON x.node = e.u LEFT JOIN recurring.way o ON o.source = x.source AND o.node = e.v WHERE o.dist IS NULL OR x.dist + e.w < o.dist GROUP BY x.source, e.v)"""
 _LAST = "one AS (SELECT node_id, timestamp, max(reading_id) AS reading_id FROM reading GROUP BY node_id, timestamp), state AS (SELECT r.* FROM reading r JOIN one USING (reading_id))"
 
+_ENDS = "ends AS (SELECT node_id, live FROM (SELECT node_id, max(timestamp) AS newest FROM reading GROUP BY node_id), (VALUES (TRUE), (FALSE)) v(live) WHERE live OR newest + INTERVAL 25 HOUR <= (SELECT max(timestamp) FROM reading))"
+
 NETWORK = {
+    "stream_until_silent": q(f"SELECT node_id, reading_id, live, {r6('waste_level', 'gas_level')} FROM latest JOIN ends USING (node_id)", LATEST, _ENDS),
+    "stream_fill_until_silent": f"SELECT node_id, fill, emptied, live FROM ({ORACLES['stream_fill_machine']}) JOIN ({q('SELECT node_id, live FROM ends', _ENDS)}) USING (node_id)",
     "nearest_nodes": q("SELECT node_id, CAST(rank AS INTEGER) AS rank, neighbour, distance_m FROM near", _NEAR),
     "cluster_sizes": q(
         """SELECT depot, CAST(floor(i * parts / n) AS BIGINT) AS cluster, count(*) AS n, count(*) AS nodes
