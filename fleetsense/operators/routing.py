@@ -227,27 +227,28 @@ def measures(order: list[int], m: np.ndarray, depot: int, critical: np.ndarray,
 ROUTE_SCHEMA = "route_id long, path array<long>, total_cost double, distance_m double"
 
 
+def one_route(g: pd.DataFrame, alpha: float = 0.5, refine: bool = True) -> pd.DataFrame:
+    """The row of optimal_route() for one request's nodes."""
+    g = g.sort_values("node_id").reset_index(drop=True)
+    ids, user = g.node_id.to_numpy(), g[["user_lat", "user_lng"]].iloc[0].to_numpy(float)
+    has_user = not np.isnan(user).any()
+    depot = user if has_user else np.nan_to_num(g[["latitude", "longitude"]].iloc[0].to_numpy(float))
+    lat, lng = np.append(g.latitude.to_numpy(float), depot[0]), np.append(g.longitude.to_numpy(float), depot[1])
+    m, n = distances(lat, lng), len(g)
+    cost = warped(m, np.append(g.priority.fillna(0), 0), np.append(g.traffic_density.fillna(0), 0), alpha)
+    order, total = visiting_order(cost[:n, :n], cost[n, :n] if has_user else None)
+    if refine and len(order) >= 4:
+        order = or_opt(two_opt(order, m, n, eps=1e-6), m, n, eps=1e-6)
+    return pd.DataFrame([{"route_id": g.route_id.iloc[0], "path": ids[order].tolist(), "total_cost": total, "distance_m": length(order, m, n)}])
+
+
 def optimal_route(requests: DataFrame, alpha: float = 0.5, refine: bool = True) -> DataFrame:
     """route_id, path, total_cost (of the greedy order, before refinement) and distance_m of the closed tour.
 
     requests: route_id, node_id, latitude, longitude, priority, traffic_density, user_lat, user_lng (null: no user place).
     A node without traffic has none. A request without nodes has no row.
     """
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("node_id").reset_index(drop=True)
-        ids, user = g.node_id.to_numpy(), g[["user_lat", "user_lng"]].iloc[0].to_numpy(float)
-        has_user = not np.isnan(user).any()
-        depot = user if has_user else np.nan_to_num(g[["latitude", "longitude"]].iloc[0].to_numpy(float))
-        lat, lng = np.append(g.latitude.to_numpy(float), depot[0]), np.append(g.longitude.to_numpy(float), depot[1])
-        m, n = distances(lat, lng), len(g)
-        cost = warped(m, np.append(g.priority.fillna(0), 0), np.append(g.traffic_density.fillna(0), 0), alpha)
-        order, total = visiting_order(cost[:n, :n], cost[n, :n] if has_user else None)
-        if refine and len(order) >= 4:
-            order = or_opt(two_opt(order, m, n, eps=1e-6), m, n, eps=1e-6)
-        return pd.DataFrame([{"route_id": g.route_id.iloc[0], "path": ids[order].tolist(), "total_cost": total, "distance_m": length(order, m, n)}])
-
-    return requests.groupBy("route_id").applyInPandas(run, ROUTE_SCHEMA)
+    return requests.groupBy("route_id").applyInPandas(lambda g: one_route(g, alpha, refine), ROUTE_SCHEMA)
 
 
 def _request_cost(g: pd.DataFrame, alpha: float) -> np.ndarray:

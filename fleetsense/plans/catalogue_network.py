@@ -9,7 +9,9 @@ from ..functions.config import DEPOT
 from ..operators import network as N
 from ..operators import readings as R
 from ..operators import spans
-from .catalogue import _once, _stream, query, r4, r6
+from ..sources.keyed import KeyedTable
+from ..sources.shared import fresh_path
+from .catalogue import _once, _requests, _stream, query, r4, r6
 
 #: Neighbours of a node; nodes of a cluster; metres of a bucket of costs.
 NEAREST, CLUSTER, DELTA_M = 8, 400, 4000.0
@@ -94,3 +96,36 @@ def _(t):
     from ..streaming import state
 
     return _once(t, state.fill_until_silent(_stream(t)), "update").select("node_id", "emptied", "live", *r6("fill"))
+
+
+@query("keyed_upserts")
+def _(t):
+    """Nodes in a keyed table: some renamed, some added, some deleted, each as a version that rewrites its buckets alone."""
+    nodes = t.node.select("node_id", "node_name", "group_id")
+    table = KeyedTable(t.spark, fresh_path(t.spark, "nodes"), "node_id", nodes.schema, 16)
+    table.upsert(nodes)
+    renamed = nodes.where(F.col("node_name").endswith("77")).withColumn("node_name", F.concat(F.lit("Moved "), "node_name"))
+    added = t.raw("supplier").select((-1 - F.col("s_suppkey")).alias("node_id"), F.col("s_name").alias("node_name"), F.col("s_nationkey").cast("long").alias("group_id"))
+    table.upsert(renamed.unionByName(added))
+    table.delete(nodes.where("group_id = 3").select("node_id"))
+    return table.read()
+
+
+@query("sql_functions")
+def _(t):
+    from ..functions import sql
+
+    sql.register(t.spark)
+    rows = R.scored_nodes(t.node, t.reading, *DEPOT).select("node_id", "latitude", "longitude", "waste_level", "traffic_density", "priority")
+    metres = f"haversine_m({DEPOT[0]}D, {DEPOT[1]}D, latitude, longitude)"
+    text = f"SELECT node_id, round({metres}, 4) AS metres, round(edge_cost({metres}, priority, traffic_density, 0.5D), 4) AS cost, fill_status(waste_level) AS status"
+    return t.spark.sql(text + " FROM {rows}", rows=rows)
+
+
+@query("routes_by_sql")
+def _(t):
+    """The table function on each request, by SQL: the rows of optimal_route_refined."""
+    from ..functions import sql
+
+    sql.register(t.spark)
+    return t.spark.sql("SELECT route_id, path, total_cost, distance_m FROM route(TABLE(SELECT * FROM {rows}) PARTITION BY route_id)", rows=_requests(t))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from .oracles import LATEST, ORACLES, hav, q, r6
+from ..functions.config import DEPOT
+from .oracles import LATEST, ORACLES, clip, hav, prio, q, r6
 
 _NEAR = f"""placed AS (SELECT * FROM node WHERE latitude IS NOT NULL AND longitude IS NOT NULL),
 pairs AS (SELECT a.node_id, b.node_id AS neighbour, round({hav('a.latitude', 'a.longitude', 'b.latitude', 'b.longitude')}, 3) AS distance_m FROM placed a JOIN placed b ON a.node_id <> b.node_id),
@@ -17,7 +18,16 @@ _LAST = "one AS (SELECT node_id, timestamp, max(reading_id) AS reading_id FROM r
 
 _ENDS = "ends AS (SELECT node_id, live FROM (SELECT node_id, max(timestamp) AS newest FROM reading GROUP BY node_id), (VALUES (TRUE), (FALSE)) v(live) WHERE live OR newest + INTERVAL 25 HOUR <= (SELECT max(timestamp) FROM reading))"
 
+_FROM_DEPOT = hav(f"{DEPOT[0]}e0", f"{DEPOT[1]}e0", "latitude", "longitude")
+
 NETWORK = {
+    "keyed_upserts": q("""SELECT node_id, CASE WHEN ends_with(node_name, '77') THEN 'Moved ' || node_name ELSE node_name END AS node_name, group_id FROM node WHERE group_id IS DISTINCT FROM 3
+        UNION ALL SELECT -1 - s_suppkey, s_name, CAST(s_nationkey AS BIGINT) FROM supplier"""),
+    "sql_functions": q(
+        f"""SELECT node_id, round(distance_m, 4) AS metres, round(distance_m * (1 + coalesce({clip('traffic_density')}, 0e0) * 3e0) / (1 + 10 * 0.5e0 * {clip('priority')}), 4) AS cost,
+        CASE WHEN waste_level >= 0.85e0 THEN 'critical' WHEN waste_level >= 0.65e0 THEN 'warning' ELSE 'normal' END AS status FROM scored""",
+        LATEST, f"dist AS (SELECT *, {_FROM_DEPOT} AS distance_m FROM node)", f"scored AS (SELECT d.*, l.* EXCLUDE (node_id), CASE WHEN reading_id IS NULL THEN 0e0 ELSE {prio()} END AS priority FROM dist d LEFT JOIN latest l ON d.node_id = l.node_id)",
+    ),
     "stream_until_silent": q(f"SELECT node_id, reading_id, live, {r6('waste_level', 'gas_level')} FROM latest JOIN ends USING (node_id)", LATEST, _ENDS),
     "stream_fill_until_silent": f"SELECT node_id, fill, emptied, live FROM ({ORACLES['stream_fill_machine']}) JOIN ({q('SELECT node_id, live FROM ends', _ENDS)}) USING (node_id)",
     "nearest_nodes": q("SELECT node_id, CAST(rank AS INTEGER) AS rank, neighbour, distance_m FROM near", _NEAR),
