@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
 from .ranges import quantiles, running
 
 
@@ -14,17 +15,26 @@ def _rank(column: str, keys) -> Column:
     return (F.rank().over(w) + F.count("*").over(w)) / 2.0
 
 
+def aucs(frame: DataFrame, scores, label: str) -> DataFrame:
+    """score, auc for each of the score columns: ROC-AUC by average ranks over counts of equal scores, all in one pass over the frame and one order."""
+    each = frame.select(F.col(label).cast("long").alias("y"), F.inline(F.array(*[F.struct(F.lit(c).alias("score"), F.col(c).cast("double").alias("x")) for c in scores])))
+    c = stored(each.groupBy(F.struct("score", "x").alias("by")).agg(F.sum("y").alias("p"), F.count("*").alias("n")), "counts")
+    c = running(c, "by", before=F.col("n"))
+    s = c.groupBy("by.score").agg(
+        F.sum((F.col("before") + (F.col("n") + 1) / 2.0) * F.col("p")).alias("r"), F.min("before").alias("first"), F.sum("p").cast("double").alias("p"), F.sum(F.col("n") - F.col("p")).cast("double").alias("q"),
+    )
+    r = F.col("r") - F.col("first") * F.col("p")  # ranks begin anew with each score
+    return s.select("score", F.when((F.col("p") > 0) & (F.col("q") > 0), (r - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("q"))).alias("auc"))
+
+
 def auc(frame: DataFrame, score: str, label: str) -> DataFrame:
-    """One row: ROC-AUC by average ranks over counts of equal scores."""
-    c = frame.groupBy(score).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count("*").alias("n"))
-    c = running(c, score, before=F.col("n")).withColumn("rank", F.col("before") + (F.col("n") + 1) / 2.0)
-    s = c.agg(F.sum(F.col("rank") * F.col("p")).alias("r"), F.sum("p").cast("double").alias("p"), F.sum(F.col("n") - F.col("p")).cast("double").alias("q"))
-    return s.select(F.when((F.col("p") > 0) & (F.col("q") > 0), (F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("q"))).alias("auc"))
+    """One row: the ROC-AUC of a score; null without both classes."""
+    return aucs(frame, [score], label).agg(F.max("auc").alias("auc"))
 
 
 def average_precision(frame: DataFrame, score: str, label: str) -> DataFrame:
     """One row: sum of precision times recall steps over descending distinct scores."""
-    c = frame.groupBy(score).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count("*").alias("n"))
+    c = stored(frame.groupBy(score).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count("*").alias("n")), "counts")
     c = running(c, score, True, tp=F.col("p"), seen=F.col("n"))
     return c.agg((F.sum(F.col("p") * (F.col("tp") + F.col("p")) / (F.col("seen") + F.col("n"))) / F.sum("p")).alias("average_precision"))
 
@@ -52,10 +62,14 @@ def reliability(frame: DataFrame, score: str, label: str, bins: int = 10) -> Dat
     return frame.crossJoin(F.broadcast(edges)).groupBy(b.cast("long").alias("bin")).agg(F.count("*").alias("n"), F.avg(score).alias("mean_score"), F.avg(F.col(label).cast("double")).alias("rate"))
 
 
-def spearman(frame: DataFrame, a: str, b: str, keys) -> DataFrame:
-    """Rank correlation by key; null where either side is constant. Rows that lack a side do not count."""
-    ranked = frame.where(F.col(a).isNotNull() & F.col(b).isNotNull()).withColumn("ra", _rank(a, keys)).withColumn("rb", _rank(b, keys))
-    return ranked.groupBy(*keys).agg(F.try_divide(F.covar_pop("ra", "rb"), F.sqrt(F.var_pop("ra") * F.var_pop("rb"))).alias("rho"))
+def spearman(frame: DataFrame, a: str, others, keys) -> DataFrame:
+    """keys and rho_<other> for each of the others: rank correlation with a by key; null where either side is constant.
+
+    Rows that lack any of the columns do not count. All columns are ranked in the rows of one shuffle.
+    """
+    ranked = frame.dropna(subset=[a, *others]).withColumns({f"r_{c}": _rank(c, keys) for c in (a, *others)})
+    rho = lambda c: F.try_divide(F.covar_pop(f"r_{a}", f"r_{c}"), F.sqrt(F.var_pop(f"r_{a}") * F.var_pop(f"r_{c}"))).alias(f"rho_{c}")
+    return ranked.groupBy(*keys).agg(*[rho(c) for c in others])
 
 
 def gini(counts: DataFrame, column: str) -> DataFrame:

@@ -29,7 +29,8 @@ def running(rows: DataFrame, by: str, descending: bool = False, **sums) -> DataF
 
 def quantiles(rows: DataFrame, column: str, at: Sequence[float]) -> DataFrame:
     """One row, `q`: the exact quantiles of a column (linear between neighbours), as an array; of no values, nulls."""
-    counts = rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_n"))
+    # Stored first: what deals out the ranges looks at the rows twice.
+    counts = stored(rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_n")), "counts")
     placed = running(counts, column, _before=F.col("_n"))
     n = F.broadcast(placed.agg(F.sum("_n").alias("_all")))  # one row
     place = [F.lit(p) * (F.col("_all") - 1) for p in at]

@@ -374,16 +374,15 @@ def _(t):
 
 
 def _modes(t: Tables) -> DataFrame:
-    true = t.reading.select("reading_id", "node_id", S.state_priority().alias("truth"))
-    seen = t.reading_obs.select("reading_id", S.state_priority().alias("renormalised"), S.state_priority(missing="zero_fill").alias("naive"))
-    return true.join(seen, "reading_id").select("node_id", *r6("truth", "renormalised", "naive"))
+    """node_id and each reading's priority by all sensors, and by those not lost in both ways: of one scan."""
+    rows = t.lose(t.reading_typed.withColumn("truth", S.state_priority()), "truth")
+    return rows.select("node_id", "truth", S.state_priority().alias("renormalised"), S.state_priority(missing="zero_fill").alias("naive")).select("node_id", *r6("truth", "renormalised", "naive"))
 
 
 @query("spearman_priority_modes")
 def _(t):
-    rows = _modes(t)
-    a = M.spearman(rows, "truth", "renormalised", ["node_id"]).select("node_id", F.round("rho", 6).alias("rho_renormalised"))
-    return a.join(M.spearman(rows, "truth", "naive", ["node_id"]).select("node_id", F.round("rho", 6).alias("rho_naive")), "node_id")
+    rows = M.spearman(_modes(t), "truth", ["renormalised", "naive"], ["node_id"])
+    return rows.select("node_id", *r6("rho_renormalised", "rho_naive"))
 
 
 @query("mae_missingness")
@@ -398,9 +397,8 @@ def _judged(t: Tables) -> DataFrame:
 
 @query("auc_baselines")
 def _(t):
-    rows = _judged(t)
-    a = M.auc(rows, "waste_level", "hazard").select(F.round("auc", 6).alias("auc_waste"))
-    return a.crossJoin(M.auc(rows, "gas_level", "hazard").select(F.round("auc", 6).alias("auc_gas")))
+    of = lambda c, name: F.round(F.max(F.when(F.col("score") == c, F.col("auc"))), 6).alias(name)
+    return M.aucs(_judged(t), ["waste_level", "gas_level"], "hazard").agg(of("waste_level", "auc_waste"), of("gas_level", "auc_gas"))
 
 
 @query("average_precision")

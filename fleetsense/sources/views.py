@@ -44,12 +44,21 @@ class Tables:
     def reading(self) -> DataFrame:
         return self._reading()
 
+    @property
+    def reading_typed(self) -> DataFrame:
+        """Readings with the type of their event."""
+        return self._reading("event_type")
+
+    @staticmethod
+    def lose(readings: DataFrame, *keep: str) -> DataFrame:
+        """Typed readings with lost sensors: null where a sensor gave nothing."""
+        i, kind = F.col("reading_id"), F.col("event_type")
+        lost = {"waste_level": i % 17 == 0, "gas_level": kind == "error", "temperature": (kind == "view") & (i % 5 == 0), "humidity": kind == "signup", "traffic_density": i % 7 == 0}
+        return readings.select("reading_id", "node_id", "timestamp", *[F.when(~gone, F.col(c)).alias(c) for c, gone in lost.items()], *keep)
+
     @cached_property
     def reading_obs(self) -> DataFrame:
-        """Readings with lost sensors: null where a sensor gave nothing."""
-        r, i, kind = self._reading("event_type"), F.col("reading_id"), F.col("event_type")
-        lost = {"waste_level": i % 17 == 0, "gas_level": kind == "error", "temperature": (kind == "view") & (i % 5 == 0), "humidity": kind == "signup", "traffic_density": i % 7 == 0}
-        return r.select("reading_id", "node_id", "timestamp", *[F.when(~gone, F.col(c)).alias(c) for c, gone in lost.items()])
+        return self.lose(self.reading_typed)
 
     @cached_property
     def notification(self) -> DataFrame:

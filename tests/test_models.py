@@ -41,7 +41,7 @@ def test_metrics_of_perfect_and_constant_scores(spark):
     same = d.withColumn("s", F.lit(0.5))
     assert M.auc(same, "s", "y").first().auc == 0.5
     assert M.gini(spark.createDataFrame([(1.0,), (1.0,)], "x double"), "x").first().gini == 0.0
-    assert M.spearman(same.withColumn("g", F.lit(1)), "s", "y", ["g"]).first().rho is None
+    assert M.spearman(same.withColumn("g", F.lit(1)), "s", ["y"], ["g"]).first().rho_y is None
 
 
 def test_permuting_matters_only_for_what_the_model_uses(spark):
@@ -61,3 +61,26 @@ def test_forward_model_is_better_than_the_mean(spark):
     assert min(got["boosted_trees"], got["random_forest"]) <= got["mean"] * 1.02
     lat = ml.latency(ml.boosted(2, 2).fit(rows), rows, n=100, repeats=1).first()
     assert lat.n == 100 and lat.total_ms > 0
+
+
+def test_aucs_in_one_pass_are_those_of_each(spark):
+    import random
+
+    r = random.Random(3)
+    rows = [(r.choice([0.1, 0.2, 0.5, None]), r.random(), r.randint(0, 1)) for _ in range(300)]
+    d = spark.createDataFrame(rows, "a double, b double, y int")
+    got = {x.score: x.auc for x in M.aucs(d, ["b", "a"], "y").collect()}
+
+    def brute(k):  # a missing score is less than any
+        of = lambda y: [-1.0 if x[k] is None else x[k] for x in rows if x[2] == y]
+        pairs = [(p > n) + (p == n) / 2 for p in of(1) for n in of(0)]
+        return sum(pairs) / len(pairs)
+
+    assert abs(got["a"] - brute(0)) < 1e-9 and abs(got["b"] - brute(1)) < 1e-9
+
+
+def test_spearman_of_several_is_that_of_each(spark):
+    d = spark.range(200).selectExpr("id % 3 AS g", "CAST(hash(id) % 7 AS DOUBLE) AS a", "CAST(hash(id + 1) % 5 AS DOUBLE) AS b", "CAST(hash(id) % 7 + id AS DOUBLE) AS c")
+    both = {x.g: (x.rho_b, x.rho_c) for x in M.spearman(d, "a", ["b", "c"], ["g"]).collect()}
+    one, two = ({x.g: x[1] for x in M.spearman(d, "a", [o], ["g"]).collect()} for o in ("b", "c"))
+    assert both == {g: (one[g], two[g]) for g in one}
