@@ -129,3 +129,13 @@ def _(t):
 
     sql.register(t.spark)
     return t.spark.sql("SELECT route_id, path, total_cost, distance_m FROM route(TABLE(SELECT * FROM {rows}) PARTITION BY route_id)", rows=_requests(t))
+
+
+@query("quantile_forest_tto")
+def _(t):
+    """Quantiles of the time to overflow for the rows held out, by a forest's leaves."""
+    from ..operators import ml, quantile_forest
+
+    rows = ml.forward_rows(t.reading)
+    forest = quantile_forest.QuantileForest.fit(rows.where("is_train"))
+    return forest.quantiles(rows.where("NOT is_train"), {"p10": 0.1, "p50": 0.5, "p90": 0.9})

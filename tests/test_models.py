@@ -84,3 +84,24 @@ def test_spearman_of_several_is_that_of_each(spark):
     both = {x.g: (round(x.rho_b, 9), round(x.rho_c, 9)) for x in M.spearman(d, "a", ["b", "c"], ["g"]).collect()}
     one, two = ({x.g: round(x[1], 9) for x in M.spearman(d, "a", [o], ["g"]).collect()} for o in ("b", "c"))
     assert both == {g: (one[g], two[g]) for g in one}
+
+
+def test_quantile_forest_of_one_leaf_is_the_distribution(spark):
+    """Without a split all rows share a leaf: its quantiles are those of the rows that filled it, to a bin's width."""
+    import numpy as np
+
+    from fleetsense.operators import quantile_forest as Q
+
+    rows = ml.forward_rows(Tables(spark, SF).reading).withColumn("time_to_overflow", F.when(F.col("reading_id") % 3 == 0, 0.0).when(F.col("reading_id") % 3 == 1, 24.0).otherwise((F.col("reading_id") % 97) / 4.1))
+    forest = Q.QuantileForest.fit(rows, trees=2, depth=0)
+    at = {"a": 0.05, "b": 0.4, "c": 0.6, "d": 0.95}
+    got = forest.quantiles(rows, at)
+    assert got.count() == rows.dropna(subset=list(ml.FORWARD)).count()
+    one = got.select(*at).distinct().collect()
+    filled = np.sort([r[0] for r in rows.where(F.pmod(F.xxhash64("reading_id"), F.lit(4)) == 0).select("time_to_overflow").collect()])
+    assert len(one) == 1
+    for name, q in at.items():
+        assert abs(one[0][name] - filled[max(0, int(np.ceil(q * len(filled) - 1e-9)) - 1)]) <= 1 / Q.PER_HOUR
+    assert Q.QuantileForest.fit(rows.limit(10)) is None
+    loss = Q.pinball(spark.createDataFrame([(1.0, 3.0), (5.0, 3.0)], "time_to_overflow double, p double"), {"p": 0.9}).first()
+    assert abs(loss.p - (0.1 * 2 + 0.9 * 2) / 2) < 1e-12
