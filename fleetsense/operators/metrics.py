@@ -67,9 +67,12 @@ def spearman(frame: DataFrame, a: str, others, keys) -> DataFrame:
 
     Rows that lack any of the columns do not count. All columns are ranked in the rows of one shuffle.
     """
-    ranked = frame.dropna(subset=[a, *others]).withColumns({f"r_{c}": _rank(c, keys) for c in (a, *others)})
-    rho = lambda c: F.try_divide(F.covar_pop(f"r_{a}", f"r_{c}"), F.sqrt(F.var_pop(f"r_{a}") * F.var_pop(f"r_{c}"))).alias(f"rho_{c}")
-    return ranked.groupBy(*keys).agg(*[rho(c) for c in others])
+    whole = " AND ".join(f"`{c}` IS NOT NULL" for c in (a, *others))
+    # Rows that lack a column are ranked apart: a filter would be pushed down and work out the columns once more.
+    ranked = frame.withColumn("_whole", F.expr(whole)).withColumns({f"r_{c}": _rank(c, [*keys, "_whole"]) for c in (a, *others)})
+    side = lambda c: F.when(F.col("_whole"), F.col(f"r_{c}"))
+    rho = lambda c: F.try_divide(F.covar_pop(side(a), side(c)), F.sqrt(F.var_pop(side(a)) * F.var_pop(side(c)))).alias(f"rho_{c}")
+    return ranked.groupBy(*keys).agg(*[rho(c) for c in others], F.count_if("_whole").alias("_n")).where("_n > 0").drop("_n")
 
 
 def gini(counts: DataFrame, column: str) -> DataFrame:

@@ -105,3 +105,10 @@ def test_quantile_forest_of_one_leaf_is_the_distribution(spark):
     assert Q.QuantileForest.fit(rows.limit(10)) is None
     loss = Q.pinball(spark.createDataFrame([(1.0, 3.0), (5.0, 3.0)], "time_to_overflow double, p double"), {"p": 0.9}).first()
     assert abs(loss.p - (0.1 * 2 + 0.9 * 2) / 2) < 1e-12
+
+
+def test_spearman_leaves_out_rows_that_lack_a_side(spark):
+    d = spark.createDataFrame([(1, 1.0, 2.0), (1, 2.0, 3.0), (1, 3.0, 1.0), (2, None, 1.0)], "g int, a double, b double")
+    more = d.unionByName(spark.createDataFrame([(1, None, 9.0), (1, 0.5, None)], "g int, a double, b double"))
+    want = {x.g: round(x.rho_b, 9) for x in M.spearman(d.where("a IS NOT NULL"), "a", ["b"], ["g"]).collect()}
+    assert {x.g: round(x.rho_b, 9) for x in M.spearman(more, "a", ["b"], ["g"]).collect()} == want == {1: -0.5}
