@@ -8,7 +8,9 @@ from ..functions import scalars as S
 from ..functions.config import DEPOT
 from ..operators import network as N
 from ..operators import readings as R
-from ..operators import spans
+from ..operators import sketches, spans
+from ..operators.sketches import Rollup
+from ..sources import variants
 from ..sources.keyed import KeyedTable
 from ..sources.shared import fresh_path
 from .catalogue import _once, _requests, _stream, query, r4, r6
@@ -139,3 +141,50 @@ def _(t):
     rows = ml.forward_rows(t.reading)
     forest = quantile_forest.QuantileForest.fit(rows.where("is_train"))
     return forest.quantiles(rows.where("NOT is_train"), {"p10": 0.1, "p50": 0.5, "p90": 0.9})
+
+
+def _rolled(t, readings):
+    """A roll-up table of the readings; every fifth comes late, as a batch of its own."""
+    table = Rollup(t.spark, fresh_path(t.spark, "rollup"))
+    late = F.col("reading_id") % 5 == 0
+    table.add(readings.where(~late), "first")
+    table.add(readings.where(late), "late")
+    return table
+
+
+@query("rollup_weeks")
+def _(t):
+    """Each week's dashboard from the roll-ups of its days."""
+    rows = sketches.merged(_rolled(t, t.reading).rows().withColumn("week", F.trunc("day", "week")), "week", "node_id")
+    return sketches.dashboard(rows, "week").select("week", "nodes", "readings", "critical", "warning", *r6("mean_fill", "least_fill", "most_fill"))
+
+
+@query("rollup_quantiles")
+def _(t):
+    """Each group's quantiles of the fill and number of humidities, by merged sketches."""
+    by_node = _rolled(t, t.reading_obs).span().join(t.node.select("node_id", "group_id"), "node_id")
+    of = lambda at: sketches.quantile("waste_level", at)
+    return sketches.merged(by_node, "group_id").select("group_id", "readings", of(0.1).alias("p10"), of(0.5).alias("p50"), of(0.95).alias("p95"), F.hll_sketch_estimate("humidity_hll").alias("humidities"))
+
+
+def _documents(t):
+    """Bodies of all events as they might arrive over the years: fields come and go, one changes its type, some texts are cut off."""
+    i = F.col("event_id")
+    more = F.when(i % 5 == 1, ',"firmware":"v2","battery":0.5').when(i % 5 == 2, ',"battery":"low"').when(i % 5 == 3, ',"tags":["a","b"],"gone":null').otherwise("")
+    head = F.concat(F.lit('{"reading":'), i.cast("string"), F.lit(',"kind":"'), "event_type", F.lit('","props":'), "props")
+    bodies = t.raw("events").select(i.alias("reading_id"), F.concat(head, F.when(i % 10 == 4, "").otherwise(F.concat(more, F.lit("}")))).alias("body"))
+    path = fresh_path(t.spark, "documents")
+    early = F.col("reading_id") % 5 < 2
+    variants.stored_documents(bodies.where(early), path)
+    return variants.stored_documents(bodies.where(~early), path)
+
+
+@query("variant_fields")
+def _(t):
+    wanted = {"k": ("$.props.k", "bigint"), "kind": ("$.kind", "string"), "battery": ("$.battery", "double"), "battery_text": ("$.battery", "string"), "firmware": ("$.firmware", "string"), "second_tag": ("$.tags[1]", "string")}
+    return variants.fields(_documents(t), wanted, "reading_id", F.length("bad").cast("long").alias("bad_chars"))
+
+
+@query("variant_drift")
+def _(t):
+    return variants.drift(_documents(t))

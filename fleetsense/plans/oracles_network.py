@@ -16,6 +16,10 @@ way(source, node, dist) USING KEY (source, node) AS (
   SELECT x.source, e.v, min(x.dist + e.w) FROM way x JOIN edge e ON x.node = e.u LEFT JOIN recurring.way o ON o.source = x.source AND o.node = e.v WHERE o.dist IS NULL OR x.dist + e.w < o.dist GROUP BY x.source, e.v)"""
 _LAST = "one AS (SELECT node_id, timestamp, max(reading_id) AS reading_id FROM reading GROUP BY node_id, timestamp), state AS (SELECT r.* FROM reading r JOIN one USING (reading_id))"
 
+_DOCUMENTS = """WITH text AS (SELECT event_id AS reading_id, '{"reading":' || event_id || ',"kind":"' || event_type || '","props":' || props || CASE WHEN event_id % 10 = 4 THEN '' ELSE CASE event_id % 5
+  WHEN 1 THEN ',"firmware":"v2","battery":0.5' WHEN 2 THEN ',"battery":"low"' WHEN 3 THEN ',"tags":["a","b"],"gone":null' ELSE '' END || '}' END AS body FROM events),
+document AS (SELECT reading_id, body, CASE WHEN json_valid(body) THEN CAST(body AS JSON) END AS doc FROM text)"""
+
 _ENDS = "ends AS (SELECT node_id, live FROM (SELECT node_id, max(timestamp) AS newest FROM reading GROUP BY node_id), (VALUES (TRUE), (FALSE)) v(live) WHERE live OR newest + INTERVAL 25 HOUR <= (SELECT max(timestamp) FROM reading))"
 
 _FROM_DEPOT = hav(f"{DEPOT[0]}e0", f"{DEPOT[1]}e0", "latitude", "longitude")
@@ -45,4 +49,12 @@ NETWORK = {
     "rolling_in_stretches": ORACLES["rolling_features_train"],
     "fill_carried": ORACLES["forward_fill"],
     "visit_numbers": q("SELECT visit_id, node_id, row_number() OVER (PARTITION BY node_id ORDER BY visited_at, visit_id) AS nth, count(*) OVER (PARTITION BY node_id) AS visits FROM visit"),
+    "rollup_weeks": q(
+        "SELECT CAST(date_trunc('week', timestamp) AS DATE) AS week, count(DISTINCT node_id) AS nodes, count(*) AS readings, count(*) FILTER (WHERE newest = 1 AND waste_level >= 0.85e0) AS critical, count(*) FILTER (WHERE newest = 1 AND waste_level >= 0.65e0 AND waste_level < 0.85e0) AS warning, "
+        "round(avg(waste_level), 6) AS mean_fill, round(min(waste_level), 6) AS least_fill, round(max(waste_level), 6) AS most_fill FROM (SELECT *, row_number() OVER (PARTITION BY node_id, date_trunc('week', timestamp) ORDER BY timestamp DESC, reading_id DESC) AS newest FROM reading) GROUP BY week"
+    ),
+    "variant_fields": _DOCUMENTS
+    + " SELECT reading_id, CAST(doc ->> '$.props.k' AS BIGINT) AS k, doc ->> '$.kind' AS kind, TRY_CAST(doc ->> '$.battery' AS DOUBLE) AS battery, doc ->> '$.battery' AS battery_text, doc ->> '$.firmware' AS firmware, doc ->> '$.tags[1]' AS second_tag, CASE WHEN doc IS NULL THEN length(body) END AS bad_chars FROM document",
+    "variant_drift": _DOCUMENTS
+    + ", field AS (SELECT f.key AS field, f.type AS kind FROM document, json_each(doc) AS f WHERE doc IS NOT NULL) SELECT field, CASE kind WHEN 'VARCHAR' THEN 'string' WHEN 'UBIGINT' THEN 'number' WHEN 'BIGINT' THEN 'number' WHEN 'DOUBLE' THEN 'number' ELSE lower(kind) END AS type, count(*) AS documents FROM field GROUP BY ALL",
 }

@@ -49,6 +49,7 @@ HOLDS = {
     "rf_priority_scores": unit("score"), "rf_serving_scores": unit("score"), "dispatched_priorities": unit("priority"), "dispatched_forward": unit("priority"), "predicted_costs": unit("predicted_cost"),
     "forward_risk": lambda rows: all(0 <= r["p10"] <= r["p50"] <= r["p90"] <= 24 and 0 <= r["hazard_prob"] <= 1 and 0 <= r["risk"] <= 1 for r in rows),
     "quantile_forest_tto": lambda rows: all(0 <= r["p10"] <= r["p50"] <= r["p90"] <= 24 for r in rows) and len({r["reading_id"] for r in rows}) == len(rows),
+    "rollup_quantiles": lambda rows: all(0 <= r["p10"] <= r["p50"] <= r["p95"] <= 1 and 0 < r["humidities"] <= 51 for r in rows) and len({r["group_id"] for r in rows}) == len(rows),
     "model_bake_off": lambda rows: {r["model"] for r in rows} == {"mean", "ridge_state", "random_forest", "boosted_trees"} and all(r["r2"] <= 1 and r["mae"] >= 0 and r["mse"] >= r["mae"] ** 2 - 1e-9 for r in rows),
     "group_fold_errors": lambda rows: sorted(r["fold"] for r in rows) == list(range(5)) and all(r["mse"] >= r["mae"] ** 2 - 1e-9 for r in rows),
     "feature_importance": lambda rows: len({r["feature"] for r in rows}) == len(rows) > 10,
