@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import datetime
 import time
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -27,6 +30,21 @@ FOREST = ("distance_m", *R.METRICS, *[f"{c}_{s}" for c in R.METRICS for s in ("m
 MIN_FORWARD_ROWS, MIN_FOREST_ROWS = 50, 5
 
 
+#: Models that are fitted at the same time.
+SIDE_BY_SIDE = 5
+
+
+def side_by_side(spark: SparkSession, jobs: list[Callable], at_once: int = SIDE_BY_SIDE) -> list:
+    """What the jobs (functions without arguments, each with Spark jobs of its own) return, in their order. A failure of one is raised."""
+    with ThreadPoolExecutor(max(1, at_once)) as pool:
+        return list(pool.map(lambda job: job(), [inheritable_thread_target(spark)(j) for j in jobs]))
+
+
+def vectors(rows: DataFrame, columns, *keep: str) -> DataFrame:
+    """keep and the columns as one vector `features`, stored: worked out once however many models read it."""
+    return stored(assembler(columns).transform(rows).select(*keep, "features"), "vectors")
+
+
 def assembler(columns) -> VectorAssembler:
     return VectorAssembler(inputCols=list(columns), outputCol="features", handleInvalid="skip")
 
@@ -63,9 +81,9 @@ def forest_scores(model: PipelineModel | None, rows: DataFrame, rule: Column) ->
 
 
 def forward_rows(readings: DataFrame) -> DataFrame:
-    """Rolling features with both labels; is_train by the time quantile over all rows."""
-    labelled = R.overflow_label(R.hazard_label(readings))
-    rows = R.rolling(readings).join(labelled.select("reading_id", "hazard", "time_to_overflow"), "reading_id").dropna(subset=list(FORWARD))
+    """Rolling features with both labels; is_train by the time quantile over all rows. All windows lie over one exchange by node; stored, as the quantile and each model read the rows."""
+    rows = R.overflow_label(R.hazard_label(R.rolling(readings))).dropna(subset=list(FORWARD))
+    rows = stored(rows, "forward")
     return R.split_at_quantile(rows)
 
 
@@ -162,22 +180,26 @@ def train_forward(rows: DataFrame, iterations: int = 20, depth: int = 4, seed: i
     return Forward(regressor, quantiles, estimator.fit(train), calibration, meta)
 
 
-def bake_off(rows: DataFrame, iterations: int = 10, seed: int = 42) -> DataFrame:
+def bake_off(rows: DataFrame, iterations: int = 10, trees: int | None = None, seed: int = 42) -> DataFrame:
     """model, r2, mae, mse on the rows held out: mean, ridge on the current state, forest, boosted trees."""
     from . import metrics as M
 
-    rows = stored(rows, "bake_off")
+    spark, target, trees = rows.sparkSession, "time_to_overflow", trees or iterations
+    rows = stored(assembler(FORWARD).transform(rows).select("is_train", target, *STATE, "features"), "bake_off")
     train, test = rows.where("is_train"), rows.where("NOT is_train")
+    state = VectorAssembler(inputCols=list(STATE), outputCol="state", handleInvalid="skip")
     models = {
-        "ridge_state": Pipeline(stages=[assembler(STATE), LinearRegression(labelCol="time_to_overflow", regParam=1.0, elasticNetParam=0.0)]),
-        "random_forest": Pipeline(stages=[assembler(FORWARD), RandomForestRegressor(labelCol="time_to_overflow", numTrees=iterations, maxDepth=8, seed=seed)]),
-        "boosted_trees": Pipeline(stages=[assembler(FORWARD), GBTRegressor(labelCol="time_to_overflow", maxIter=iterations, maxDepth=4, seed=seed)]),
+        "ridge_state": Pipeline(stages=[state, LinearRegression(featuresCol="state", labelCol=target, regParam=1.0, elasticNetParam=0.0)]),
+        "random_forest": RandomForestRegressor(labelCol=target, numTrees=trees, maxDepth=8, seed=seed),
+        "boosted_trees": GBTRegressor(labelCol=target, maxIter=iterations, maxDepth=4, seed=seed),
     }
-    mean = F.broadcast(train.agg(F.avg("time_to_overflow").alias("prediction")))  # one row
-    out = M.regression(test.crossJoin(mean), "prediction", "time_to_overflow").withColumn("model", F.lit("mean"))
-    for name, m in models.items():
-        out = out.unionByName(M.regression(m.fit(train).transform(test), "prediction", "time_to_overflow").withColumn("model", F.lit(name)))
-    return out.select("model", "r2", "mae", "mse")
+
+    def mean():
+        return test.crossJoin(F.broadcast(train.agg(F.avg(target).alias("prediction"))))  # one row
+
+    scored = {"mean": mean} | {name: lambda m=m: m.fit(train).transform(test) for name, m in models.items()}
+    found = side_by_side(spark, [lambda f=f: M.regression(f(), "prediction", target).first() for f in scored.values()])
+    return spark.createDataFrame([(name, r.r2, r.mae, r.mse) for name, r in zip(scored, found)], "model string, r2 double, mae double, mse double")
 
 
 def balanced_forest(rows: DataFrame, trees: int = 30, depth: int = 8, seed: int = 42) -> PipelineModel:
@@ -189,16 +211,17 @@ def balanced_forest(rows: DataFrame, trees: int = 30, depth: int = 8, seed: int
 
 
 def group_folds(rows: DataFrame, folds: int = 5, iterations: int = 8, seed: int = 42) -> DataFrame:
-    """fold, r2, mae, mse: each fold's nodes are held out."""
+    """fold, r2, mae, mse: each fold's nodes are held out. The folds are fitted side by side from one stored table of vectors."""
     from . import metrics as M
 
-    rows, out = stored(rows, "folds"), None
-    for k in range(folds):
-        held = F.pmod(F.col("node_id"), F.lit(folds)) == k
-        model = Pipeline(stages=[assembler(FORWARD), GBTRegressor(labelCol="time_to_overflow", maxIter=iterations, maxDepth=4, seed=seed)]).fit(rows.where(~held))
-        one = M.regression(model.transform(rows.where(held)), "prediction", "time_to_overflow").withColumn("fold", F.lit(k))
-        out = one if out is None else out.unionByName(one)
-    return out.select("fold", "r2", "mae", "mse")
+    rows = vectors(rows.withColumn("fold", F.pmod(F.col("node_id"), F.lit(folds))), FORWARD, "fold", "time_to_overflow")
+
+    def one(k):
+        model = GBTRegressor(labelCol="time_to_overflow", maxIter=iterations, maxDepth=4, seed=seed).fit(rows.where(F.col("fold") != k))
+        return M.regression(model.transform(rows.where(F.col("fold") == k)), "prediction", "time_to_overflow").first()
+
+    found = side_by_side(rows.sparkSession, [lambda k=k: one(k) for k in range(folds)])
+    return rows.sparkSession.createDataFrame([(k, r.r2, r.mae, r.mse) for k, r in enumerate(found)], "fold int, r2 double, mae double, mse double")
 
 
 def importances(model: PipelineModel, columns) -> list[tuple[str, float]]:
