@@ -4,8 +4,10 @@ Features: densities of a fixed lexicon of insults and of a lexicon learned from
 labelled rows (words and beginnings of words), how near the second person stands
 to them, capitals, punctuation and obfuscation rates. A bounded labelled sample is
 parted into folds; the trees see each row by a lexicon learned from the other
-folds, so a learned word's density is as on unseen rows. Calibration uses
-out-of-fold scores.
+folds, so a learned word's density is as on unseen rows. Calibration uses the
+scores of each fold by trees that know nothing of it: their rows are seen by
+lexicons learned without that fold as well. Words are counted and features are made by the
+executors; the driver gets numbers, not texts, and fits the trees.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ PREFIXES = (4, 5, 6)
 NEAR = 5
 #: Words a worker remembers.
 CACHE_WORDS = 300_000
+#: Counts that a worker keeps before it hands them on.
+COUNTED_STEMS = 500_000
 PUNCTUATION = ".,;:!?\"'()[]{}<>|*#$%&-_~`/\\+=@^"
 
 INSULTS = frozenset(
@@ -65,20 +69,31 @@ def core(token: str) -> str:
     return token.strip(PUNCTUATION)
 
 
-def learn(texts: list[str], y: np.ndarray) -> dict[str, float]:
-    """Words and beginnings of words that mark toxic rows, with their log-odds."""
-    toxic, other = {}, {}
-    for t, label in zip(texts, y.tolist()):
+def count(texts, into: dict[str, int]) -> None:
+    """Add to each word and beginning of a word in how many of the texts it stands."""
+    for t in texts:
         found: set[str] = set()
         for w in {core(x) for x in t.lower().split()}:
             if w:
                 found |= stems(w)
-        into = toxic if label else other
         for s in found:
             into[s] = into.get(s, 0) + 1
-    n1, n0 = int(y.sum()) + 1, int(len(y) - y.sum()) + 1
-    odds = {s: (c + 0.5) / n1 / ((other.get(s, 0) + 0.5) / n0) for s, c in toxic.items() if c >= LEARN_ROWS}
-    return {s: float(np.log(odds[s])) for s in sorted(odds) if odds[s] >= LEARN_ODDS}
+
+
+def marking(stem: str, toxic: int, other: int, n1: int, n0: int) -> float:
+    """Log-odds of a stem that marks toxic rows, 0 for another. It stands in so many of n1 toxic and n0 other rows."""
+    odds = (toxic + 0.5) / (n1 + 1) / ((other + 0.5) / (n0 + 1))
+    return float(np.log(odds)) if toxic >= LEARN_ROWS and odds >= LEARN_ODDS else 0.0
+
+
+def learn(texts: list[str], y: np.ndarray) -> dict[str, float]:
+    """Words and beginnings of words that mark toxic rows, with their log-odds."""
+    toxic, other = {}, {}
+    for label, into in ((1, toxic), (0, other)):
+        count((t for t, v in zip(texts, y.tolist()) if v == label), into)
+    n1, n0 = int((y == 1).sum()), int((y == 0).sum())
+    found = {s: marking(s, c, other.get(s, 0), n1, n0) for s, c in sorted(toxic.items())}
+    return {s: v for s, v in found.items() if v}
 
 
 class Reader:
@@ -252,31 +267,100 @@ class Model:
         return np.interp(self.trees.odds(reader.features(column)), *self.curve)
 
 
-def train(texts: list[str], y: np.ndarray) -> Model:
-    """Without a row of both labels for each fold every text gets the label's rate (0 without any)."""
-    import pyarrow as pa
-
-    rate = float(y.mean()) if len(y) else 0.0
+def folds_of(y: np.ndarray) -> np.ndarray:
+    """A fold for each row; each fold has its share of either label."""
     fold = np.empty(len(y), np.int64)
-    for v in (0, 1):  # each fold has its share of either label
+    for v in (0, 1):
         fold[y == v] = np.arange((y == v).sum()) % FOLDS
+    return fold
+
+
+def lexicons(rows: DataFrame, fold_of: dict[int, int], y: np.ndarray, fold: np.ndarray) -> dict[frozenset, dict[str, float]]:
+    """The lexicon learned without each set of at most two folds (rows: doc_id, y, text).
+
+    Counts by fold are worked out once by the executors and added for each lexicon; of a word only counts come to the driver, and only
+    if LEARN_ROWS toxic rows have it.
+    """
+
+    def run(batches):
+        import pyarrow as pa
+
+        counts: dict[tuple[int, int], dict[str, int]] = {}
+
+        def out():
+            for (k, v), found in counts.items():
+                yield pa.RecordBatch.from_arrays([pa.array(list(found)), pa.array([k * 2 + v] * len(found), pa.int32()), pa.array(list(found.values()), pa.int64())], ["stem", "slot", "n"])
+            counts.clear()
+
+        for batch in common.sized(batches, "text", 2 << 20):
+            for i, v, t in zip(batch.column("doc_id").to_pylist(), batch.column("y").to_pylist(), batch.column("text").to_pylist()):
+                count([t], counts.setdefault((fold_of[i], v), {}))
+            if sum(map(len, counts.values())) > COUNTED_STEMS:
+                yield from out()
+        yield from out()
+
+    counted = rows.mapInArrow(run, "stem string, slot int, n long").groupBy("stem").agg(*[F.sum(F.when(F.col("slot") == s, F.col("n")).otherwise(0)).alias(f"s{s}") for s in range(2 * FOLDS)])
+    of = counted.where(sum(F.col(f"s{2 * k + 1}") for k in range(FOLDS)) >= LEARN_ROWS).toPandas().sort_values("stem")
+    names, table = of.stem.tolist(), of[[f"s{s}" for s in range(2 * FOLDS)]].to_numpy(np.int64)
+    left_out = [frozenset()] + [frozenset({j, k}) for j in range(FOLDS) for k in range(j, FOLDS)]
+    found = {}
+    for gone in left_out:
+        others = [k for k in range(FOLDS) if k not in gone]
+        toxic, other = table[:, [2 * k + 1 for k in others]].sum(1), table[:, [2 * k for k in others]].sum(1)
+        mine = np.isin(fold, others)
+        n1, n0 = int((mine & (y == 1)).sum()), int((mine & (y == 0)).sum())
+        at = np.flatnonzero(toxic >= LEARN_ROWS)
+        weights = [(names[i], marking(names[i], int(toxic[i]), int(other[i]), n1, n0)) for i in at]
+        found[gone] = {s: v for s, v in weights if v}
+    return found
+
+
+def seen_by(rows: DataFrame, fold_of: dict[int, int], known: dict[frozenset, dict[str, float]], place: dict[int, int]) -> np.ndarray:
+    """Features by lexicons, of shape (FOLDS, rows, N_FEATURES): under k, each row as seen without its own fold and without fold k."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        readers = {gone: Reader(lexicon) for gone, lexicon in known.items()}
+        for batch in common.sized(batches, "text", 2 << 20):
+            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
+            own = np.array([fold_of[i] for i in ids])
+            for k in range(FOLDS):
+                for j in set(own.tolist()):
+                    at = np.flatnonzero(own == j)
+                    x = readers[frozenset({j, k})].features(texts.take(pa.array(at)))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([ids[i] for i in at]), pa.array([k] * len(at), pa.int32()), pa.array(x.tolist(), pa.list_(pa.float64()))], ["doc_id", "k", "x"]
+                    )
+
+    got = rows.mapInArrow(run, "doc_id long, k int, x array<double>").toPandas()
+    out = np.zeros((FOLDS, len(place), N_FEATURES))
+    out[got.k.to_numpy(), [place[i] for i in got.doc_id]] = np.stack(got.x.to_numpy())
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
+    """Without a row of both labels for each fold every text gets the label's rate (0 without any).
+
+    To the driver come the sample's ids and labels, FOLDS * N_FEATURES numbers for each of its rows, and counts of words; no text.
+    """
+    common.small_batches(docs.sparkSession)
+    rows = common.stored(labelled.chosen(docs, labels, "toxic", ~held_out("doc_id", FOLD_MODULUS, FOLD_HELD_OUT), max_rows), "toxicity-sample")
+    ids = sorted(((labelled.hash_id(r.doc_id), r.doc_id, r.y) for r in rows.select("doc_id", "y").collect()))  # max_rows at most
+    y = np.array([v for _, _, v in ids], np.int64)
+    rate = float(y.mean()) if len(y) else 0.0
     if min((y == v).sum() for v in (0, 1)) < FOLDS:
         return Model({}, None, (np.zeros(1), np.zeros(1)), rate)
-    x = np.empty((len(texts), N_FEATURES))
-    for k in range(FOLDS):
-        reader = Reader(learn([t for t, f in zip(texts, fold) if f != k], y[fold != k]))
-        mine = [t for t, f in zip(texts, fold) if f == k]
-        x[fold == k] = np.concatenate([reader.features(pa.array(mine[at : at + 200], pa.large_string())) for at in range(0, len(mine), 200)])
-    target = y.astype(float)
+    fold = folds_of(y)
+    place = {i: n for n, (_, i, _) in enumerate(ids)}
+    fold_of = {i: int(fold[n]) for i, n in place.items()}
+    known = lexicons(rows, fold_of, y, fold)
+    x = seen_by(rows, fold_of, {gone: v for gone, v in known.items() if gone}, place)
+    target, own = y.astype(float), x[fold, np.arange(len(y))]  # each row as seen without its own fold
     out = np.empty(len(y))
     for k in range(FOLDS):
-        out[fold == k] = boost(x[fold != k], target[fold != k]).odds(x[fold == k])
-    return Model(learn(texts, y), boost(x, target), isotonic(out, target), rate)
-
-
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
-    texts, y, _ = labelled.sample(docs, labels, "toxic", ~held_out("doc_id", FOLD_MODULUS, FOLD_HELD_OUT), max_rows)
-    return train(texts, y)
+        out[fold == k] = boost(x[k, fold != k], target[fold != k]).odds(own[fold == k])
+    return Model(known[frozenset()], boost(own, target), isotonic(out, target), rate)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

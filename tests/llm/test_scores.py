@@ -114,3 +114,60 @@ def test_disguised_insults(spark, tables):
     r = toxicity.Reader({})
     f = r.features(pa.array(["you 1d1ot", "you idiot", "a plain sentence of words", ""]))
     assert f[0, 1] > 0 and f[0, 9] > 0 and f[1, 8] > 0 and f[2, 1] == 0 and not f[3, :10].any()
+
+
+def labelled_texts(n=90):
+    """Texts with words that mark toxic ones, some of them in one fold alone."""
+    import numpy as np
+
+    y = np.array([int(i % 3 == 0) for i in range(n)])
+    words = lambda i: f"plain words {i % 7} and more zorg{i % 4}" if y[i] else f"plain words {i % 7} and less"
+    return [words(i) for i in range(n)], y
+
+
+def test_lexicons_by_counts_are_those_learned_from_the_texts(spark):
+    texts, y = labelled_texts()
+    fold = toxicity.folds_of(y)
+    rows = spark.createDataFrame([(i, int(y[i]), t) for i, t in enumerate(texts)], "doc_id long, y int, text string").repartition(5)
+    found = toxicity.lexicons(rows, dict(enumerate(fold.tolist())), y, fold)
+    assert len(found) == 1 + toxicity.FOLDS * (toxicity.FOLDS + 1) // 2
+    for gone, lexicon in found.items():
+        at = [i for i in range(len(y)) if fold[i] not in gone]
+        assert lexicon == toxicity.learn([texts[i] for i in at], y[at])
+    assert any(w.startswith("zorg") for w in found[frozenset()])
+
+
+def test_calibration_knows_nothing_of_the_fold_it_scores(spark):
+    """With the labels of a fold turned round, nothing changes that its scores for the curve are made from."""
+    import numpy as np
+
+    texts, y = labelled_texts()
+    fold = toxicity.folds_of(y)
+    of, place = dict(enumerate(fold.tolist())), {i: i for i in range(len(y))}
+
+    def inputs(labels):
+        rows = spark.createDataFrame([(i, int(labels[i]), t) for i, t in enumerate(texts)], "doc_id long, y int, text string")
+        known = toxicity.lexicons(rows, of, labels, fold)
+        return toxicity.seen_by(rows, of, {g: v for g, v in known.items() if g}, place)
+
+    a = inputs(y)
+    for k in range(toxicity.FOLDS):
+        b = inputs(np.where(fold == k, 1 - y, y))
+        assert (a[k] == b[k]).all()  # what trees for fold k are fitted on, and the rows of fold k as they score them
+        assert (a != b).any()
+
+
+def test_features_by_executors_are_the_readers(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    texts, y = labelled_texts(30)
+    texts[3], texts[4] = "", "you idiot " * 3000
+    fold = toxicity.folds_of(y)
+    rows = spark.createDataFrame([(i, int(y[i]), t) for i, t in enumerate(texts)], "doc_id long, y int, text string").repartition(4)
+    of = dict(enumerate(fold.tolist()))
+    known = {frozenset({j, k}): {"zorg*": 1.0 + j * k, "less": 0.5 * (j + k)} for j in range(toxicity.FOLDS) for k in range(j, toxicity.FOLDS)}
+    got = toxicity.seen_by(rows, of, known, {i: i for i in range(30)})
+    for k in range(toxicity.FOLDS):
+        want = [toxicity.Reader(known[frozenset({int(fold[i]), k})]).features(pa.array([t]))[0] for i, t in enumerate(texts)]
+        assert np.array_equal(got[k], np.array(want))
