@@ -194,3 +194,20 @@ def ambient(t) -> Column:
     """Temperature of an hour without its noise: seasonal and daily waves."""
     two_pi = 2 * 3.141592653589793
     return 28.0 + 4.0 * F.sin(two_pi * (_c(t) / 24.0 - 120) / 365.0) + 5.0 * F.sin(two_pi * (_c(t) % 24 - 9) / 24.0)
+
+
+def two_decimals(x) -> Column:
+    """A number of less than 2^45 as C's %.2f writes it: the exact binary value to the nearest hundredth, of two the even one; null stays null.
+
+    Java's %.2f rounds the shortest decimal form half up, and cuts "null" to "nu".
+    """
+    x = _c(x)
+    size = F.abs(x)
+    part = (size - F.floor(size)) * F.lit(float(1 << 52))
+    whole = F.floor(part)  # below size 1 bits may be left
+    cents, rest = F.shiftright(whole * 100, 52), (whole * 100).bitwiseAND(F.lit((1 << 52) - 1))
+    over = (rest - F.lit(1 << 51)).cast("double") + (part - whole) * 100.0
+    up = (over > 0) | ((over == 0) & (cents % 2 == 1))
+    cents = F.floor(size) * 100 + cents + up.cast("long")
+    sign = F.when(F.signum(x) < 0, "-").otherwise("")
+    return F.when(x.isNotNull(), F.concat(sign, F.floor(cents / 100).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0")))

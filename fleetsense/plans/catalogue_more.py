@@ -26,7 +26,7 @@ def _(t):
 @query("facet_filters")
 def _(t):
     rows = t.node.join(t.bin_group, "group_id").where(F.lower("group_name").isin("france", "china", "peru") | F.col("group_name").startswith("IN") | F.col("node_name").contains("99"))
-    return rows.select("node_id", "group_name", F.concat_ws(" - ", "group_name", F.format_string("%.2f", "latitude")).alias("shown"))
+    return rows.select("node_id", "group_name", F.concat_ws(" - ", "group_name", F.coalesce(S.two_decimals("latitude"), F.lit("null"))).alias("shown"))
 
 
 @query("nodes_by_name_any_case")

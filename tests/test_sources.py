@@ -116,3 +116,29 @@ def test_fill_state_goes_on_over_batches(spark, tmp_path):
         q.awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).orderBy("batch").select("fill", "emptied").collect()
     assert [tuple(r) for r in got] == [(0.5, 0), (0.0, 1), (0.25, 1)]
+
+
+def test_two_decimals_are_those_of_c(spark):
+    import random
+
+    from fleetsense.functions import scalars as S
+
+    r = random.Random(3)
+    given = [0.0, 0.005, 0.015, 0.125, 0.375, 1.005, 23.785, 23.795, 99.995, 0.995, 1e-300, -0.125, -23.785, -0.001, 123456789.125] + [23.78 + k * 0.00006 for k in range(1009)] + [r.uniform(-200, 200) for _ in range(500)] + [k / 8 for k in range(100)]
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(given)] + [(-1, None)], "i long, x double").select("i", S.two_decimals("x").alias("s")).collect()
+    assert {x.i: x.s for x in got} == {i: "%.2f" % x for i, x in enumerate(given)} | {-1: None}
+
+
+def test_facet_shows_nodes_without_a_place(spark, tmp_path):
+    """Node 28 has no place; its label says null in full."""
+    from fleetsense.plans import catalogue
+
+    from .oracle import assert_same
+
+    for name in ("nation", "events"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"/root/testdata/sf0.001/{name}.parquet")
+    rows = [(28, "Customer#99", 7), (0, "Customer#99", 7), (99, "Customer#99", 7)]
+    spark.createDataFrame(rows, "c_custkey long, c_name string, c_nationkey int").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    for name in ("region", "supplier", "part", "orders", "lineitem", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"/root/testdata/sf0.001/{name}.parquet")
+    assert_same(catalogue.queries()["facet_filters"](spark, str(tmp_path)), catalogue.oracle_sql()["facet_filters"], str(tmp_path))
