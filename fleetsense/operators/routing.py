@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.config import CO2_KG_PER_KM, EARTH_M, SPEED_KMH
+from . import tours
 
 
 #: Tasks for a few heavy groups: so many that they rarely share one.
@@ -337,45 +338,73 @@ def compare_policies(snapshots: DataFrame) -> DataFrame:
     return spread(snapshots, "route_id").groupBy("route_id").applyInPandas(run, POLICY_SCHEMA)
 
 
+#: Depots that follow one another are simulated in one task, so that numpy steps take all their tours on at once.
+DEPOTS = 128
+
+
 def equity(snapshots: DataFrame, gammas: DataFrame, shift_h: float = 8.0, share: float = 0.55, tau: float = 48.0, start_h: float = 50.0) -> DataFrame:
     """Waits and visits under shifts of orienteering with an aging boost, a row for each gamma over all depots.
 
     snapshots: shift, depot (whose tours the node is on; without the column there is one), node_id, latitude, longitude, priority, critical, user_lat, user_lng. Shifts follow one
-    another, gammas and depots run side by side; a task holds the matrix of one depot's nodes. At the start every node was last visited at hour 0. A node that a shift
-    lacks keeps its last state and stays where it is. A node without coordinates is on no tour, but waits.
+    another; a task holds the matrices of DEPOTS depots' nodes and runs their gammas side by side. At the start every node was last visited at hour 0. A node that a shift
+    lacks keeps its last state and stays where it is. A depot has the shifts that it has rows of; with a column `until`, all shifts from 0 up to it.
+    A node without coordinates is on no tour, but waits. gammas: a few rows, brought to the driver.
     """
+    boosts = sorted({float(r[0]) for r in gammas.collect()})  # a row of the result each
+    whole = "until" in snapshots.columns
 
-    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        gamma = float(key[0])
-        g = g.sort_values(["shift", "node_id"])
-        at_node = g.groupby("node_id")[["latitude", "longitude"]].first()  # the first that is known; by id
-        ids, lat, lng = at_node.index, at_node.latitude.to_numpy(float), at_node.longitude.to_numpy(float)
-        n = len(ids)
-        m = distances(np.append(lat, g.user_lat.dropna().iloc[0]), np.append(lng, g.user_lng.dropna().iloc[0]))
-        placed = np.flatnonzero(~(np.isnan(lat) | np.isnan(lng))).tolist()
-        budget = share * length(or_opt(two_opt(greedy(placed, m, n), m, n), m, n, move_last=False), m, n)
-        last, visits, worst, served = np.zeros(n), np.zeros(n, int), np.zeros(n), []
-        priority, critical = np.zeros(n), np.zeros(n, bool)
-        for shift, s in g.groupby("shift"):
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        at_node = g.sort_values(["shift", "node_id"]).groupby(["depot", "node_id"])[["latitude", "longitude"]].first()  # the first that is known; by id
+        depots, n_of = np.unique(at_node.index.get_level_values(0), return_counts=True)
+        n, all_ = int(n_of.max()), len(depots)
+        of = np.repeat(np.arange(all_), n_of)
+        slot = np.arange(len(of)) - np.repeat(np.cumsum(n_of) - n_of, n_of)
+        lat, lng = np.full((all_, n + 1), np.nan), np.full((all_, n + 1), np.nan)
+        lat[of, slot], lng[of, slot] = at_node.latitude, at_node.longitude
+        home = g.groupby("depot")[["user_lat", "user_lng"]].first().to_numpy(float)
+        placed = ~(np.isnan(lat) | np.isnan(lng))[:, :n]
+        lat[:, n], lng[:, n] = home[:, 0], home[:, 1]
+        m = np.array([distances(x, y) for x, y in zip(lat, lng)])
+        full = [or_opt(two_opt(greedy(np.flatnonzero(p).tolist(), c, n), c, n), c, n, move_last=False) for p, c in zip(placed, m)]
+        budget = np.array([share * length(o, c, n) for o, c in zip(full, m)])
+        # A problem for each gamma and depot.
+        depot, gamma = np.tile(np.arange(all_), len(boosts)), np.repeat(boosts, all_)
+        last, visits, worst = np.zeros((len(depot), n)), np.zeros((len(depot), n), int), np.zeros((len(depot), n))
+        served, hours = np.zeros(len(depot)), np.zeros(len(depot))
+        priority, critical, row = np.zeros((all_, n)), np.zeros((all_, n), bool), np.arange(len(depot))[:, None]
+        k = at_node.index.get_indexer(pd.MultiIndex.from_frame(g[["depot", "node_id"]]))
+        rows = pd.DataFrame({"shift": g["shift"].to_numpy(), "of": of[k], "slot": slot[k], "p": g.priority.fillna(0).to_numpy(float), "c": (g.critical == True).to_numpy(bool)})  # noqa: E712
+        by_shift = dict(tuple(rows.groupby("shift")))
+        for shift in range(int(g.until.iloc[0]) + 1) if whole else sorted(by_shift):
             t = start_h + shift * shift_h
-            k = ids.get_indexer(s.node_id)
-            priority[k], critical[k] = s.priority.fillna(0).to_numpy(float), (s.critical == True).to_numpy(bool)  # noqa: E712
-            prize = priority + gamma * np.minimum(1.0, (t - last) / tau)
-            order = orienteering(placed, m, n, prize, budget)
-            if order:
-                path = [n, *order]
-                at = np.cumsum(m[path[:-1], path[1:]]) / 1000 / SPEED_KMH
-                last[order] = t + at
-                visits[order] += 1
-                served += at[critical[order]].tolist()
-            worst = np.maximum(worst, t - last)
-        return pd.DataFrame({"gamma": gamma, "worst": worst, "visits": visits, "served": len(served) / n, "hours": sum(served) / n})
+            if (s := by_shift.get(shift)) is not None:
+                priority[s.of, s.slot], critical[s.of, s.slot] = s.p, s.c
+            on = np.arange(len(depot)) if whole else np.flatnonzero(np.isin(depot, s.of))
+            d = depot[on]
+            prize = priority[d] + gamma[on, None] * np.minimum(1.0, (t - last[on]) / tau)
+            path, size = tours.orienteering(placed[d], prize, budget[d], m, d)
+            took = np.cumsum(m[d[:, None], path[:, :-1], path[:, 1:]], 1)[:, :n] / 1000 / SPEED_KMH
+            b, j = np.nonzero(np.arange(n) < size[:, None])
+            stop = path[b, j + 1]
+            last[on[b], stop] = t + took[b, j]
+            visits[on[b], stop] += 1
+            urgent = critical[d[b], stop]
+            served += np.bincount(on[b[urgent]], minlength=len(depot))
+            hours += np.bincount(on[b[urgent]], took[b, j][urgent], len(depot))
+            worst[on] = np.maximum(worst[on], t - last[on])
+        real = (np.arange(n) < n_of[:, None])[depot]
+        nodes = pd.DataFrame({"gamma": np.repeat(gamma, n_of[depot]), "visits": visits[real], "worst": worst[real]})
+        out = nodes.groupby(["gamma", "visits"], as_index=False).agg(n=("worst", "size"), worst=("worst", "max"), waits=("worst", "sum"))
+        sums = pd.DataFrame({"gamma": gamma, "served": served, "hours": hours}).groupby("gamma").sum()
+        first = ~out.gamma.duplicated()
+        return out.assign(served=np.where(first, sums.served.reindex(out.gamma), 0.0), hours=np.where(first, sums.hours.reindex(out.gamma), 0.0))
 
     if "depot" not in snapshots.columns:
         snapshots = snapshots.withColumn("depot", F.lit(0).cast("long"))
-    nodes = spread(snapshots.crossJoin(gammas), "gamma").groupBy("gamma", "depot").applyInPandas(run, "gamma double, worst double, visits long, served double, hours double")
+    dealt = spread(snapshots.withColumn("_task", F.floor(F.col("depot") / DEPOTS)), "_task")
+    nodes = dealt.groupBy("_task").applyInPandas(lambda g: run(g), "gamma double, visits long, n long, worst double, waits double, served double, hours double")
     # One row for each number of visits, of which there are no more than shifts.
-    counts = nodes.groupBy("gamma", "visits").agg(F.count("*").alias("n"), F.max("worst").alias("worst"), F.sum("worst").alias("waits"), F.sum("served").alias("served"), F.sum("hours").alias("hours"))
+    counts = nodes.groupBy("gamma", "visits").agg(F.sum("n").alias("n"), F.max("worst").alias("worst"), F.sum("waits").alias("waits"), F.sum("served").alias("served"), F.sum("hours").alias("hours"))
     before = F.sum(F.col("n") * F.col("visits")).over(Window.partitionBy("gamma").orderBy("visits")) - F.col("n") * F.col("visits")
     counts = counts.withColumn("running", F.col("n") * before + F.col("visits") * F.col("n") * (F.col("n") + 1) / 2)
     n, all_ = F.sum("n"), F.sum(F.col("n") * F.col("visits"))

@@ -248,3 +248,33 @@ def test_routes_to_targets_of_awkward_requests(spark):
     assert {r.route_id: r.path for r in routing.target_routes(d).collect()} == {1: [4, 5], 2: []}
     assert {(r.route_id, r.node_id, r.before) for r in routing.distance_tree(d).collect()} == {(1, 4, None), (1, 5, 4), (2, 7, None)}
     assert routing.target_routes(d.limit(0)).isEmpty()
+
+
+@pytest.mark.parametrize("n", [1, 3, 12, 40])
+def test_tours_at_once_are_those_alone(n):
+    """Also with nodes at one place, equal prizes, nodes on no tour and no nodes at all."""
+    from fleetsense.operators import tours
+
+    r = np.random.default_rng(n)
+    m = np.array([T.distances(23.78 + a * 0.0006, 90.34 + b * 0.0006) for a, b in (r.integers(0, 9, (2, n + 1)) if k % 2 else r.random((2, n + 1)) * 9 for k in range(6))])
+    of, prize, on = r.integers(0, 6, 30), np.round(r.random((30, n)), 1), r.random((30, n)) < 0.9
+    on[0] = False
+    whole = np.array([T.length(T.greedy(np.flatnonzero(on[b]).tolist(), m[of[b]], n), m[of[b]], n) for b in range(30)])
+    path, size = tours.orienteering(on, prize, 0.55 * whole, m, of)
+    for b in range(30):
+        assert path[b, 1 : size[b] + 1].tolist() == T.orienteering(np.flatnonzero(on[b]).tolist(), m[of[b]], n, prize[b], 0.55 * whole[b])
+
+
+def test_equity_depots_are_bounded_and_changes_are_enough(spark):
+    """No depot of the sweep has more than EQUITY_NODES nodes, none is lost, and shifts without news need no rows."""
+    from fleetsense.plans import catalogue
+    from fleetsense.sources.views import Tables
+
+    t = Tables(spark, "/root/testdata/sf0.01")
+    sizes = [r["count"] for r in catalogue._depots(t, catalogue.EQUITY_NODES).groupBy("depot").count().collect()]
+    assert max(sizes) <= catalogue.EQUITY_NODES and sum(sizes) == t.node.count()
+    t = Tables(spark, "/root/testdata/sf0.001")
+    g = spark.createDataFrame([(0.5,), (0.0,)], "gamma double")
+    few, all_ = catalogue._states(t, 50.0, 8.0, changes=True), catalogue._states(t, 50.0, 8.0)
+    assert few.count() < all_.count()
+    assert sorted(T.equity(few, g).collect()) == sorted(T.equity(all_, g).collect())
