@@ -7,7 +7,8 @@
 * Long tours: the curve's order, then stretches of bounded length that overlap from
   turn to turn, each improved with its ends held, by 2-opt and Or-opt over
   neighbour lists with marks for nodes that need no look.
-* Shortest paths: delta-stepping over an edge table.
+* Shortest paths: delta-stepping over an edge table, or, where nodes have places, cells of some
+  thousand nodes that are settled whole and tell one another what they found.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from ..functions import scalars as S
 from ..functions.config import EARTH_M
 from ..sources.shared import stored
 from . import spans
+from .routing import spread
 
 #: Places up to this number are one cube.
 FEW = 200
@@ -293,3 +295,75 @@ def _relaxed(front: DataFrame, edges: DataFrame, known: DataFrame, hops: int = 1
         tried = tried.unionByName(step).groupBy("source", "node").agg(F.min("dist").alias("dist"))
     old = known.groupBy("source", "node").agg(F.min("dist").alias("old"))
     return tried.join(old, ["source", "node"], "left").where("old IS NULL OR dist < old").drop("old")
+
+
+def _settled(dist: np.ndarray, changed: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray) -> None:
+    """dist [nodes, sources]: costs go along edges (sorted by u) from the changed nodes until nothing gets less."""
+    first = np.searchsorted(u, np.arange(len(dist) + 1))
+    while len(changed):
+        n = first[changed + 1] - first[changed]
+        at = np.arange(int(n.sum())) + np.repeat(first[changed] - (np.cumsum(n) - n), n)
+        to, cost = v[at], dist[u[at]] + w[at, None]
+        better = (cost < dist[to]).any(1)
+        to, cost = to[better], cost[better]
+        order = np.argsort(to, kind="stable")
+        to, cost = to[order], cost[order]
+        changed, start = np.unique(to, return_index=True)
+        if len(changed):
+            dist[changed] = np.minimum(dist[changed], np.minimum.reduceat(cost, start, axis=0))
+
+
+def cell_paths(edges: DataFrame, sources: DataFrame, cells: DataFrame) -> DataFrame:
+    """source, node, dist: least costs from each source (a column node, a few rows) over edges (u, v, w; w not negative).
+
+    cells: node_id, cell of every node that has an edge, best so that few edges lead out of a cell and none has more than some thousand nodes. A
+    turn settles each cell that got lesser costs from outside, in one task, and sends on what its edges out make of them. So turns are as many as
+    a shortest path has cells, not as it has nodes.
+    """
+    spark = edges.sparkSession
+    roots = sorted(r[0] for r in sources.select("node").distinct().collect())
+    n_sources = len(roots)
+    of = lambda name, as_: cells.select(F.col("node_id").alias(name), F.col("cell").alias(as_))
+    out = edges.join(of("u", "cell"), "u").join(of("v", "to"), "v").groupBy("cell").agg(F.collect_list(F.struct("u", "v", "w", "to")).alias("e"))  # a cell's edges
+    graph = stored(spread(cells.groupBy("cell").agg(F.sort_array(F.collect_list("node_id")).alias("ids")).join(out, "cell", "left"), "cell"), "cells")
+    index = F.create_map(*[x for i, r in enumerate(roots) for x in (F.lit(r), F.lit(i))]) if roots else F.lit(None)
+    news = cells.where(F.col("node_id").isin(roots)).select("cell", F.col("node_id").alias("node"), index[F.col("node_id")].alias("source"), F.lit(0.0).alias("dist")) if roots else None
+    lone = spark.createDataFrame([(r, r, 0.0) for r in roots], "source long, node long, dist double")
+    if not roots:
+        return lone
+
+    def settle(batches):
+        for batch in batches:
+            for cell, ids, e, told, known in zip(batch.cell, batch.ids, batch.e, batch.told, batch.known):
+                ids = np.asarray(ids, np.int64)
+                dist = np.full((len(ids), n_sources), np.inf) if known is None else np.array(known, float).reshape(len(ids), n_sources)
+                before = dist.copy()
+                np.minimum.at(dist, (np.searchsorted(ids, [x["node"] for x in told]), [x["source"] for x in told]), [x["dist"] for x in told])
+                e = [] if e is None else e
+                u, v, to = (np.array([x[c] for x in e], np.int64) for c in ("u", "v", "to"))
+                w, own = np.array([x["w"] for x in e], float), to == cell
+                a, b, cost = np.searchsorted(ids, u[own]), np.searchsorted(ids, v[own]), w[own]
+                order = np.argsort(a, kind="stable")
+                _settled(dist, np.flatnonzero((dist < before).any(1)), a[order], b[order], cost[order])
+                a = np.searchsorted(ids, u[~own])
+                k, s = np.nonzero(dist[a] < before[a])
+                sent = pd.DataFrame({"cell": to[~own][k], "node": v[~own][k], "source": s, "dist": dist[a[k], s] + w[~own][k]})
+                sent = sent.groupby(["cell", "node", "source"], as_index=False)["dist"].min()
+                yield pd.DataFrame({"cell": [cell], "dist": [dist.ravel()], "sent": [sent.to_dict("records")]})
+
+    schema = "cell long, dist array<double>, sent array<struct<cell:long,node:long,source:int,dist:double>>"
+    state = None
+    while True:
+        told = news.groupBy("cell").agg(F.collect_list(F.struct("node", "source", "dist")).alias("told"))  # edges into the cell, at most
+        rows = graph.join(told, "cell")
+        rows = rows.join(state.select("cell", F.col("dist").alias("known")), "cell", "left") if state is not None else rows.withColumn("known", F.lit(None).cast("array<double>"))
+        done = stored(spread(rows, "cell").mapInPandas(settle, schema), "settled")
+        new = done.select("cell", "dist")
+        state = new if state is None else stored(state.join(done.select("cell"), "cell", "left_anti").unionByName(new), "cell_costs")
+        news = done.select(F.inline("sent"))
+        if news.isEmpty():
+            break
+    costs = state.join(graph.select("cell", "ids"), "cell").select(F.posexplode(F.arrays_zip(F.col("ids").alias("node"), F.expr(f"transform(ids, (x, i) -> slice(dist, i * {n_sources} + 1, {n_sources}))").alias("d"))))
+    costs = costs.select(F.col("col.node").alias("node"), F.posexplode("col.d").alias("s", "dist")).where(F.col("dist") < math.inf)
+    costs = costs.select(F.get(F.array(*[F.lit(r).cast("long") for r in roots]), F.col("s")).alias("source"), "node", "dist")
+    return costs.unionByName(lone.join(costs.select("source").distinct(), "source", "left_anti"))  # a source without edges

@@ -12,11 +12,11 @@ from ..operators import sketches, spans
 from ..operators.sketches import Rollup
 from ..sources import variants
 from ..sources.keyed import KeyedTable
-from ..sources.shared import fresh_path
+from ..sources.shared import fresh_path, stored
 from .catalogue import _once, _requests, _stream, query, r4, r6
 
-#: Neighbours of a node; nodes of a cluster; metres of a bucket of costs.
-NEAREST, CLUSTER, DELTA_M = 8, 400, 4000.0
+#: Neighbours of a node; nodes of a cluster; nodes of a cell of shortest paths.
+NEAREST, CLUSTER, CELL = 8, 400, 8000
 #: A week of microseconds: stretches of time that labels are worked out in.
 WEEK_US = 7 * 24 * R.HOUR_US
 #: Readings of a node that follow one another and are rolled over in one task.
@@ -43,9 +43,10 @@ def _(t):
 @query("network_paths")
 def _(t):
     """Shortest ways over the ways to the nearest nodes, from the least node of each region to all."""
-    edges = N.neighbour_edges(N.nearest(t.node, NEAREST))
+    edges = stored(N.neighbour_edges(N.nearest(t.node, NEAREST)), "ways")
     sources = t.node.where("latitude IS NOT NULL").join(t.bin_group, "group_id").groupBy("region_id").agg(F.min("node_id").alias("node")).select("node").distinct()
-    return N.delta_stepping(edges, sources, DELTA_M).select("source", "node", *r4("dist"))
+    cells = N.clusters(t.node, CELL).select("node_id", F.col("cluster").alias("cell"))
+    return N.cell_paths(edges, sources, cells).select("source", "node", *r4("dist"))
 
 
 @query("notification_states")

@@ -134,3 +134,31 @@ def test_delta_stepping_against_dijkstra(spark):
     for delta in (3.0, 100.0):
         got = {(x.source, x.node): round(x.dist, 6) for x in network.delta_stepping(e, src, delta).collect()}
         assert got == want
+
+
+def test_cell_paths_are_those_of_delta_stepping(spark, monkeypatch):
+    """Many small cells, ways that leave a cell and come back, no way at all, and a source without edges; in few turns."""
+    r = random.Random(6)
+    edges = [(u, v, r.choice([0.0, 1.0, 2.5, 7.0, 30.0])) for u in range(60) for v in r.sample(range(60), 3) if u != v] + [(100, 101, 1.0)]
+    chain = [(k, k + 1, 1.0) for k in range(200, 1000)]
+    e = spark.createDataFrame(edges + chain, "u long, v long, w double")
+    cells = spark.createDataFrame([(k, k // 7 if k < 200 else 100 + k // 100) for k in [*range(60), 100, 101, *range(200, 1001)]], "node_id long, cell long")
+    src = spark.createDataFrame([(0,), (7,), (100,), (200,), (999999,)], "node long")
+    turns, write = [], network.stored
+    monkeypatch.setattr(network, "stored", lambda df, name: turns.append(name) or write(df, name))
+    got = {(x.source, x.node): round(x.dist, 6) for x in network.cell_paths(e, src, cells).collect()}
+    assert turns.count("settled") <= 40 and got[200, 1000] == 800.0 and got[999999, 999999] == 0.0
+    monkeypatch.undo()
+    few = spark.createDataFrame([(0,), (7,), (100,), (999999,)], "node long")
+    want = {(x.source, x.node): round(x.dist, 6) for x in network.delta_stepping(spark.createDataFrame(edges, "u long, v long, w double"), few, 100.0).collect()}
+    assert {k: d for k, d in got.items() if k[0] != 200} == want
+
+
+def test_network_paths_turns_do_not_grow_with_hops(spark, monkeypatch):
+    """Nodes along a line: before, every four hops were a turn."""
+    from fleetsense.plans import catalogue
+
+    turns, write = [], network.stored
+    monkeypatch.setattr(network, "stored", lambda df, name: turns.append(name) or write(df, name))
+    catalogue.queries()["network_paths"](spark, "/root/testdata/sf0.001").count()
+    assert turns.count("settled") <= 2 and "costs" not in turns
