@@ -45,6 +45,10 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.drops_spaces = drops_spaces
+        vocabulary = self.tokenizer.get_vocab()
+        self.id_bytes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        if not drops_spaces:
+            self.id_bytes[list(vocabulary.values())] = [len(name) for name in vocabulary]
         self.index: dict[str, int] = {}
         self.flat = np.empty(1 << 20, np.uint32)
         self.used = 0
@@ -55,11 +59,30 @@ class Encoder:
         ids = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         return (np.concatenate(ids) if ids else np.empty(0, np.uint32)), np.array([len(x) for x in ids], np.int64)
 
+    def _joined(self, words: list[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """The same, of all words as one text, which is cheaper: an id of the byte vocabulary stands for as many bytes as its name has letters.
+
+        None where a word begins or ends with white space, so that the cuts might depend on its neighbours, or where words do not end with an id.
+        """
+        if self.drops_spaces or any(not w or w[0].isspace() or w[-1].isspace() for w in words):
+            return None
+        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, np.int64)
+        ends = np.cumsum([len(w.encode()) + 1 for w in words])
+        upto = np.cumsum(self.id_bytes[ids])
+        last = np.searchsorted(upto, ends)
+        if not len(ids) or upto[-1] != ends[-1] or (upto[last] != ends).any():
+            return None
+        return ids.astype(np.uint32), np.diff(last, prepend=-1)
+
     def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and sizes of words; the library itself says which word an id is of."""
+        """Ids and sizes of words; the library itself says which word an id is of, or the bytes that its ids stand for do."""
         out, counts = [], []
         for at in range(0, len(words), CALL_WORDS):
             part = words[at : at + CALL_WORDS]
+            if (joined := self._joined(part)) is not None:
+                out.append(joined[0])
+                counts.append(joined[1])
+                continue
             found = self.tokenizer.encode(part if self.drops_spaces else [" " + w for w in part], is_pretokenized=True, add_special_tokens=False)
             out.append(np.array(found.ids, np.uint32))
             counts.append(np.bincount(np.array(found.word_ids, np.int64), minlength=len(part)))

@@ -174,3 +174,20 @@ def test_token_files(spark, tmp_path):
 def test_no_token_files_of_an_empty_table(spark, tmp_path):
     token_files.write_tokens(spark.createDataFrame([], H.SCHEMA), str(tmp_path / "e"))
     assert token_files.digest(token_files.read_tokens(spark, str(tmp_path / "e"))).count() == 0
+
+
+def test_words_in_one_call_are_those_of_words_alone():
+    """Ids of joined words against the library's on each word; words with white space at an end are not joined."""
+    import random
+
+    from fleetsense.llm import tokens
+
+    r = random.Random(9)
+    e = tokens.Encoder(tokens.tokenizer_path(tokens.BYTE_BPE), False)
+    signs = [*"abcXYZ019'.,-_/<|>é中́\n\t\U0001f600", "'s", "the", "http://", "ing"]
+    words = ["".join(r.choices(signs, k=r.randint(1, 9))) for _ in range(3000)]
+    plain = [w for w in words if not (w[0].isspace() or w[-1].isspace())]
+    assert e._joined(words) is None and e._joined(["a", ""]) is None
+    ids, sizes = e._joined(plain)
+    alone = [e.tokenizer.encode(" " + w, add_special_tokens=False).ids for w in plain]
+    assert sizes.tolist() == [len(x) for x in alone] and ids.tolist() == [i for x in alone for i in x]
