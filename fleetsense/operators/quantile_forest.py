@@ -8,6 +8,8 @@ horizon and an overflow now are bins of their own, as many rows have just these
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
@@ -22,7 +24,7 @@ from .ml import FORWARD, MIN_FORWARD_ROWS, assembler
 #: Bins of an hour between none and the cap.
 PER_HOUR = 4
 BINS = 2 + TTO_CAP_H * PER_HOUR
-#: Leaves up to this number are broadcast (a row of BINS numbers each), more are joined by a shuffle.
+#: Leaves up to this number are a table in each task (BINS numbers each), more are joined by a shuffle.
 BROADCAST_LEAVES = 1 << 15
 
 
@@ -31,8 +33,8 @@ def _bin(y: Column) -> Column:
 
 
 class QuantileForest:
-    def __init__(self, forest: PipelineModel, leaves: DataFrame):
-        self.forest, self.leaves = forest, leaves
+    def __init__(self, forest: PipelineModel, leaves: DataFrame, small: bool):
+        self.forest, self.leaves, self.small = forest, leaves, small
 
     @staticmethod
     def fit(rows: DataFrame, trees: int = 40, depth: int = 8, min_leaf: int = 10, seed: int = 42) -> QuantileForest | None:
@@ -47,13 +49,39 @@ class QuantileForest:
         n = sum((F.coalesce(F.col(str(b)), F.lit(0)) for b in range(BINS)), F.lit(0))
         leaves = counts.select("tree", "leaf", *[(F.coalesce(F.col(str(b)), F.lit(0)) / n).alias(f"b{b}") for b in range(BINS)])
         leaves = stored(leaves, "quantile_leaves")
-        return QuantileForest(model, F.broadcast(leaves) if trees << depth <= BROADCAST_LEAVES else leaves)
+        return QuantileForest(model, leaves, trees << depth <= BROADCAST_LEAVES)
+
+    def _upto(self, rows: DataFrame) -> DataFrame:
+        """reading_id and the running sum of its leaves' mean distribution."""
+        if not self.small:  # the leaves are joined by a shuffle
+            mean = _fallen(self.forest, rows).join(self.leaves, ["tree", "leaf"]).groupBy("reading_id").agg(*[F.avg(f"b{b}").alias(f"b{b}") for b in range(BINS)])
+            running = F.aggregate(F.array(*[f"b{b}" for b in range(BINS)]), F.array().cast("array<double>"), lambda acc, w: F.array_append(acc, F.coalesce(F.element_at(F.concat(F.array(F.lit(0.0)), acc), -1), F.lit(0.0)) + w))
+            return mean.select("reading_id", running.alias("upto"))
+        found = self.leaves.toPandas()  # BROADCAST_LEAVES rows at most
+        tree, leaf = found.tree.to_numpy(int), found.leaf.to_numpy(int)
+        table = np.full((tree.max(initial=-1) + 1, leaf.max(initial=-1) + 1, BINS + 1), 0.0)
+        table[tree, leaf, :BINS] = found[[f"b{b}" for b in range(BINS)]].to_numpy(float)
+        table[tree, leaf, BINS] = 1.0  # a leaf into which no row fell does not count
+        table = rows.sparkSession.sparkContext.broadcast(table)
+
+        def run(batches):
+            t = table.value
+            for batch in batches:
+                at = np.array(batch.leaf.tolist(), int).reshape(len(batch), -1)
+                total = np.zeros((len(batch), BINS + 1))
+                for k in range(min(at.shape[1], len(t))):
+                    has = at[:, k] < t.shape[1]
+                    total[has] += t[k, at[has, k]]
+                some = total[:, BINS] > 0
+                upto = np.cumsum(total[some, :BINS] / total[some, BINS:], 1)
+                yield pd.DataFrame({"reading_id": batch.reading_id[some], "upto": list(upto)})
+
+        fallen = self.forest.transform(rows).select("reading_id", vector_to_array("leaf").alias("leaf"))
+        return fallen.mapInPandas(run, "reading_id long, upto array<double>")
 
     def quantiles(self, rows: DataFrame, at: dict[str, float]) -> DataFrame:
         """reading_id and a column for each name: that quantile of the row's time to overflow. A row with a missing input has no row here."""
-        mean = _fallen(self.forest, rows).join(self.leaves, ["tree", "leaf"]).groupBy("reading_id").agg(*[F.avg(f"b{b}").alias(f"b{b}") for b in range(BINS)])
-        running = F.aggregate(F.array(*[f"b{b}" for b in range(BINS)]), F.array().cast("array<double>"), lambda acc, w: F.array_append(acc, F.coalesce(F.element_at(F.concat(F.array(F.lit(0.0)), acc), -1), F.lit(0.0)) + w))
-        out = mean.select("reading_id", running.alias("upto"))
+        out = self._upto(rows)
 
         def first(q: float) -> Column:
             """The first bin up to which so much has come together."""

@@ -112,3 +112,20 @@ def test_spearman_leaves_out_rows_that_lack_a_side(spark):
     more = d.unionByName(spark.createDataFrame([(1, None, 9.0), (1, 0.5, None)], "g int, a double, b double"))
     want = {x.g: round(x.rho_b, 9) for x in M.spearman(d.where("a IS NOT NULL"), "a", ["b"], ["g"]).collect()}
     assert {x.g: round(x.rho_b, 9) for x in M.spearman(more, "a", ["b"], ["g"]).collect()} == want == {1: -0.5}
+
+
+def test_quantiles_by_table_are_those_by_join(spark, monkeypatch):
+    """Leaves looked up in a table and leaves joined give the same quantiles; the table needs no row for each tree."""
+    from fleetsense.operators import ml, quantile_forest
+    from fleetsense.sources.views import Tables
+
+    rows = ml.forward_rows(Tables(spark, "/root/testdata/sf0.001").reading)
+    forest = quantile_forest.QuantileForest.fit(rows.where("is_train"), trees=6, depth=4)
+    at, test = {"p10": 0.1, "p50": 0.5, "p90": 0.9}, rows.where("NOT is_train")
+    table = forest.quantiles(test, at)
+    assert "Generate" not in table._jdf.queryExecution().executedPlan().toString()
+    forest.small = False
+    joined = {r.reading_id: r for r in forest.quantiles(test, at).collect()}
+    table = table.collect()
+    assert len(table) == len(joined)
+    assert all(abs(r[c] - joined[r.reading_id][c]) < 1e-9 for r in table for c in at)
