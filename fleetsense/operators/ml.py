@@ -234,22 +234,29 @@ def permutation_importance(model: PipelineModel, rows: DataFrame, columns, targe
     """feature, increase of the mean absolute error when the feature's values are dealt to other rows, the mean of the repeats.
 
     A row's partner is the one of the same rank in another hashed order of its slot (some per_slot rows, so no order is over all rows).
-    All features and repeats are scored in one plan.
+    All features and repeats are scored in one plan. A feature that no tree of the model looks at changes no prediction: its increase is 0, and
+    no rows are scored for it.
     """
+    weights = getattr(model.stages[-1], "featureImportances", None)
+    used = [c for i, c in enumerate(columns) if weights is None or weights[i] > 0]
+    unused = rows.sparkSession.createDataFrame([(c, 0.0) for c in columns if c not in used], "feature string, increase double")
+    if not used:
+        return unused.orderBy("feature")
     rows = stored(rows, "permuted")
     slots = max(1, rows.count() // per_slot)
     keyed = rows.withColumn("_slot", F.pmod(F.xxhash64("reading_id"), F.lit(slots)))
     rank = lambda k: F.row_number().over(Window.partitionBy("_slot").orderBy(F.xxhash64("reading_id", F.lit(k)), "reading_id"))
     mixed = None
     for r in range(repeats):
-        partner = keyed.select("_slot", rank(2 * r + 1).alias("_k"), F.struct(*columns).alias("_p"))
+        partner = keyed.select("_slot", rank(2 * r + 1).alias("_k"), F.struct(*used).alias("_p"))
         one = keyed.withColumn("_k", rank(2 * r)).join(partner, ["_slot", "_k"]).withColumn("_turn", F.lit(r))
         mixed = one if mixed is None else mixed.unionByName(one)
-    mixed = mixed.withColumn("feature", F.explode(F.array(*[F.lit(c) for c in ("", *columns)])))  # "": as it is
-    mixed = mixed.withColumns({c: F.when(F.col("feature") == c, F.col("_p")[c]).otherwise(F.col(c)) for c in columns})
+    mixed = mixed.withColumn("feature", F.explode(F.array(*[F.lit(c) for c in ("", *used)])))  # "": as it is
+    mixed = mixed.withColumns({c: F.when(F.col("feature") == c, F.col("_p")[c]).otherwise(F.col(c)) for c in used})
     errors = model.transform(mixed).groupBy("feature").agg(F.avg(F.abs(F.col(target) - F.col("prediction"))).alias("mae"))
     base = F.broadcast(errors.where("feature = ''").select(F.col("mae").alias("base")))  # one row
-    return errors.where("feature <> ''").crossJoin(base).select("feature", (F.col("mae") - F.col("base")).alias("increase")).orderBy(F.desc("increase"), "feature")
+    found = errors.where("feature <> ''").crossJoin(base).select("feature", (F.col("mae") - F.col("base")).alias("increase"))
+    return found.unionByName(unused).orderBy(F.desc("increase"), "feature")
 
 
 def latency(model, rows: DataFrame, n: int = 5000, repeats: int = 3) -> DataFrame:

@@ -129,3 +129,14 @@ def test_quantiles_by_table_are_those_by_join(spark, monkeypatch):
     table = table.collect()
     assert len(table) == len(joined)
     assert all(abs(r[c] - joined[r.reading_id][c]) < 1e-9 for r in table for c in at)
+
+
+def test_features_that_no_tree_uses_are_not_scored(spark):
+    from fleetsense.operators import ml
+    from fleetsense.sources.views import Tables
+
+    rows = ml.forward_rows(Tables(spark, "/root/testdata/sf0.001").reading)
+    model = ml.boosted(1, 1).fit(rows.where("is_train"))
+    used = {c for c, v in ml.importances(model, ml.FORWARD) if v > 0}
+    got = {r.feature: r.increase for r in ml.permutation_importance(model, rows.where("NOT is_train"), ml.FORWARD, "time_to_overflow", 2).collect()}
+    assert set(got) == set(ml.FORWARD) and len(used) < len(got) and all(got[c] == 0.0 for c in got if c not in used)
