@@ -154,6 +154,22 @@ def _cut(bucket: np.ndarray, *columns: np.ndarray):
     return pa.RecordBatch.from_arrays(out, ["bucket", "tokens", "counts"][: len(out)])
 
 
+def buckets(batches, *columns: str):
+    """The blobs of each column, in lists, for one bucket after another of batches sorted by bucket. A list may be cleared once it is read."""
+    held, current = [[] for _ in columns], None
+    for batch in batches:
+        for b, *blobs in zip(*(batch.column(k).to_pylist() for k in ("bucket", *columns))):
+            if b != current and held[0]:
+                yield held
+                held = [[] for _ in columns]
+            current = b
+            for into, blob in zip(held, blobs):
+                into.append(blob)
+    if held[0]:
+        yield held
+    common.trim()
+
+
 def frequency_table(docs: DataFrame, parts: int) -> np.ndarray:
     """Two bits for each of 2**CLASS_BITS hash classes of tokens: how many kinds of documents have it, by CLASSES.
 
@@ -178,11 +194,10 @@ def frequency_table(docs: DataFrame, parts: int) -> np.ndarray:
                 yield _cut((hashing.mixed(both) >> np.uint64(33)).astype(np.int64) % (2 * parts), six)
 
     def count(batches):
-        """Kinds of each token; a task holds what its buckets have, about a part of all."""
-        held = [blob for batch in batches for blob in batch.column("tokens").to_pylist()]
-        if held:
-            six = np.frombuffer(b"".join(held), np.uint8).reshape(-1, 6)
-            held.clear()
+        """Kinds of each token, a bucket at a time: what a task holds at once is half a part, however many buckets it is dealt."""
+        for (blobs,) in buckets(batches, "tokens"):
+            six = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 6)
+            blobs.clear()
             wide = np.zeros((len(six), 8), np.uint8)
             wide[:, :6] = six
             token, n = np.unique(np.unique(wide.view(np.uint64).ravel()) >> kind_bits, return_counts=True)
@@ -201,8 +216,9 @@ def frequency_table(docs: DataFrame, parts: int) -> np.ndarray:
             often = np.searchsorted(np.array(CLASSES), n, "right").astype(np.uint8).reshape(-1, 4)
             packed = np.bitwise_or.reduce(often << np.arange(0, 8, 2, dtype=np.uint8), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([packed.tobytes()], pa.binary())], ["block", "often"])
+        common.trim()
 
-    dealt = docs.where("doc_id is not null").mapInArrow(pairs, "bucket long, tokens binary").repartition(parts, "bucket")
+    dealt = docs.where("doc_id is not null").mapInArrow(pairs, "bucket long, tokens binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
     counted = dealt.mapInArrow(count, "bucket long, tokens binary, counts binary").repartition(parts, "bucket")
     table = np.zeros((1 << CLASS_BITS - _BLOCK_BITS, 1 << _BLOCK_BITS - 2), np.uint8)
     for r in counted.mapInArrow(total, "block long, often binary").collect():  # 2**(CLASS_BITS - _BLOCK_BITS) rows at most, 16 MB
@@ -401,20 +417,12 @@ def matrix(docs: DataFrame, groups: DataFrame, table: np.ndarray, parts: int) ->
     dealt = rows.mapInArrow(cells, "bucket long, token binary, group binary, mark binary").repartition(parts, "bucket").sortWithinPartitions("bucket")
 
     def meet(batches):
-        held, current = [], None
-        for batch in batches:
-            for b, *blobs in zip(*(batch.column(k).to_pylist() for k in ("bucket", "token", "group", "mark"))):
-                if b != current and held:
-                    yield from met(held)
-                    held = []
-                current = b
-                held.append(blobs)
-        if held:
-            yield from met(held)
-
-    def met(held):
-        token, group, mark = (np.frombuffer(b"".join(h[k] for h in held), t) for k, t in enumerate((np.uint64, np.int64, np.uint32)))
-        held.clear()
+        for blobs in buckets(batches, "token", "group", "mark"):
+            yield from met(blobs)
+
+    def met(blobs):
+        token, group, mark = (np.frombuffer(b"".join(x), t) for x, t in zip(blobs, (np.uint64, np.int64, np.uint32)))
+        blobs.clear()
         order = np.lexsort((mark, group, token))
         token, group, mark = token[order], group[order], mark[order].astype(np.int64)
         edge = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))

@@ -158,3 +158,22 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 200), (200, 150)] + [(300, 300 + k) for k in range(1, 40)] + [(7, 7)]
     got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**{i: 0 for i in range(51)}, 100: 100, 200: 100, 150: 100, **{300 + k: 300 for k in range(40)}}
+
+
+def test_buckets_are_held_one_at_a_time():
+    """A task that is dealt many buckets gives each as soon as the next one begins, with all its blobs."""
+    import pyarrow as pa
+
+    read = []
+
+    def batches():
+        for k, ids in enumerate(([0, 0, 3], [3, 3], [3, 7], [9])):
+            read.append(k)
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([bytes([k, i]) for i in range(len(ids))])], ["bucket", "tokens"])
+
+    got = []
+    for (blobs,) in jaccard_join.buckets(batches(), "tokens"):
+        got.append((len(read), list(blobs)))
+        blobs.clear()
+    assert got == [(1, [b"\0\0", b"\0\1"]), (3, [b"\0\2", b"\1\0", b"\1\1", b"\2\0"]), (4, [b"\2\1"]), (4, [b"\3\0"])]
+    assert list(jaccard_join.buckets([], "tokens")) == []
