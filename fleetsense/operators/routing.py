@@ -107,20 +107,30 @@ def two_opt(order: list[int], m: np.ndarray, depot: int, max_pass: int = 30, eps
     if len(order) < 4:
         return list(order)
     t = np.array([depot, *order, depot])
+    step, end = m[t[:-1], t[1:]], len(t) - 2
     for _ in range(max_pass):
-        improved = False
-        for i in range(1, len(t) - 2):
-            k = i + 2  # neighbours are not swapped
-            while k < len(t) - 1:
-                ends = t[k:-1]
-                gain = m[t[i - 1], t[i]] + m[ends, t[k + 1 :]] - m[t[i - 1], ends] - m[t[i], t[k + 1 :]]
-                hit = np.flatnonzero(gain > eps)
-                if not len(hit):
-                    break
-                k += int(hit[0])
+        improved, i, rows = False, 1, 1
+        while i < end:
+            # Rows that give nothing are many: a block of them is looked at in one go, twice as many after each such block.
+            to, k = min(i + rows, end), i + 2  # neighbours are not swapped
+            hit = np.triu(step[i - 1 : to - 1, None] + step[k:] - m[t[i - 1 : to - 1, None], t[k:-1]] - m[t[i:to, None], t[k + 1 :]] > eps)
+            first = int(hit.argmax()) if hit.size else 0
+            if not hit.size or not hit.flat[first]:
+                i, rows = to, min(2 * rows, 32)
+                continue
+            i, k = i + first // hit.shape[1], k + first % hit.shape[1]
+            while True:
                 t[i : k + 1] = t[i : k + 1][::-1].copy()
-                improved = True
+                step[i - 1 : k + 1] = m[t[i - 1 : k + 1], t[i : k + 2]]
                 k += 1
+                if k >= len(t) - 1:
+                    break
+                gain = step[i - 1] + step[k:] - m[t[i - 1]][t[k:-1]] - m[t[i]][t[k + 1 :]]
+                at = int((gain > eps).argmax())
+                if not gain[at] > eps:
+                    break
+                k += at
+            improved, i, rows = True, i + 1, 1
         if not improved:
             break
     return t[1:-1].tolist()
@@ -134,14 +144,20 @@ def or_opt(order: list[int], m: np.ndarray, depot: int, sizes=(1, 2, 3), max_pas
     t = np.array([depot, *order, depot])
 
     def moved() -> np.ndarray | None:
+        gap, step = np.arange(len(t) - 1), m[t[:-1], t[1:]]
         for s in sizes:
-            for i in range(1, len(t) - s - (0 if move_last else 1)):
-                seg, rest = t[i : i + s], np.concatenate((t[:i], t[i + s :]))
-                saved = m[t[i - 1], t[i]] + m[t[i + s - 1], t[i + s]] - m[t[i - 1], t[i + s]]
-                added = m[rest[:-1], seg[0]] + m[seg[-1], rest[1:]] - m[rest[:-1], rest[1:]]
-                hit = np.flatnonzero(saved - added > eps)
-                if len(hit):
-                    j = int(hit[0]) + 1
+            end = len(t) - s - (0 if move_last else 1)
+            for start in range(1, end, 64):  # stretches that begin at 64 places in one go
+                i = np.arange(start, min(start + 64, end))
+                before, first, last, after = t[i - 1], t[i], t[i + s - 1], t[i + s]
+                saved = m[before, first] + m[last, after] - m[before, after]
+                added = m[t[:-1], first[:, None]] + m[last[:, None], t[1:]] - step
+                hit = (saved[:, None] - added > eps) & ((gap < i[:, None] - 1) | (gap >= i[:, None] + s))
+                at = int(hit.argmax())
+                if hit.flat[at]:
+                    k, j = int(i[at // hit.shape[1]]), at % hit.shape[1]
+                    seg, rest = t[k : k + s], np.concatenate((t[:k], t[k + s :]))
+                    j = j + 1 if j < k else j + 1 - s
                     return np.concatenate((rest[:j], seg, rest[j:]))
         return None
 
@@ -312,30 +328,40 @@ def compare_policies(snapshots: DataFrame) -> DataFrame:
 
     snapshots: route_id, node_id, latitude, longitude, priority, critical, time_to_overflow, user_lat, user_lng.
     A node without coordinates is on no tour; its prize counts in what there was to collect (prize: all of it).
+    With a column `depot`, a depot's snapshots are taken on in one task, and what its places alone decide is worked out once.
     """
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("node_id").reset_index(drop=True)
-        n = len(g)
+    refined = lambda o, m, n: or_opt(two_opt(o, m, n), m, n, move_last=False)
+
+    def same_places(snaps: list[pd.DataFrame]):
+        """Rows of snapshots whose nodes lie at the same places: one matrix, one full sweep, greedy and orienteering of all side by side."""
+        g, n = snaps[0], len(snaps[0])
         m = distances(np.append(g.latitude.to_numpy(float), g.user_lat.iloc[0]), np.append(g.longitude.to_numpy(float), g.user_lng.iloc[0]))
-        p, crit, tto = g.priority.fillna(0).to_numpy(float), g.critical.to_numpy(), g.time_to_overflow.to_numpy(float)
-        every = np.flatnonzero(g.latitude.notna() & g.longitude.notna()).tolist()
-        rows = []
-
-        def add(policy: str, order: list[int], alpha: float | None = None) -> None:
-            rows.append({"route_id": g.route_id.iloc[0], "policy": policy, "alpha": alpha, **measures(order, m, n, crit, tto), "prize_pct": round(100 * p[order].sum() / max(p.sum(), 1e-9), 1), "prize": float(p.sum())})
-
-        refined = lambda o: or_opt(two_opt(o, m, n), m, n, move_last=False)
-        full = refined(greedy(every, m, n))
-        add("A_static_full", full)
-        add("B_threshold", refined(greedy([j for j in every if p[j] >= 0.5], m, n)))
-        for a in ALPHAS:
-            add("C_warped", greedy(every, m, n, p, a), a)
-        add("D_warped_refined", refined(greedy(every, m, n, p, 1.0)), 1.0)
-        add("E_orienteering", orienteering(every, m, n, p, 0.65 * length(full, m, n)))
-        return pd.DataFrame(rows)
-
-    return spread(snapshots, "route_id").groupBy("route_id").applyInPandas(run, POLICY_SCHEMA)
+        placed = (g.latitude.notna() & g.longitude.notna()).to_numpy(bool)
+        every = np.flatnonzero(placed).tolist()
+        full = refined(greedy(every, m, n), m, n)
+        p = np.array([x.priority.fillna(0).to_numpy(float) for x in snaps])
+        alphas = np.array(ALPHAS)
+        warped = tours.greedy(placed, m, (1 + 10 * alphas[:, None, None] * p).reshape(-1, n)).reshape(len(alphas), len(snaps), -1).tolist()
+        prized, size = tours.orienteering(np.tile(placed, (len(snaps), 1)), p, np.full(len(snaps), 0.65 * length(full, m, n)), m[None], np.zeros(len(snaps), int), refine=False)
+        for k, x in enumerate(snaps):
+            crit, tto = x.critical.to_numpy(), x.time_to_overflow.to_numpy(float)
+            found = [("A_static_full", None, full), ("B_threshold", None, refined(greedy([j for j in every if p[k, j] >= 0.5], m, n), m, n))]
+            found += [("C_warped", a, warped[i][k]) for i, a in enumerate(ALPHAS)]
+            found.append(("D_warped_refined", 1.0, refined(warped[ALPHAS.index(1.0)][k], m, n)))
+            found.append(("E_orienteering", None, two_opt(prized[k, 1 : size[k] + 1].tolist(), m, n)))
+            for policy, alpha, order in found:
+                yield {"route_id": x.route_id.iloc[0], "policy": policy, "alpha": alpha, **measures(order, m, n, crit, tto), "prize_pct": round(100 * p[k, order].sum() / max(p[k].sum(), 1e-9), 1), "prize": float(p[k].sum())}
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        alike: dict[bytes, list[pd.DataFrame]] = {}
+        for _, x in g.sort_values(["route_id", "node_id"]).groupby("route_id"):
+            where = x[["node_id", "latitude", "longitude", "user_lat", "user_lng"]].to_numpy(float)
+            alike.setdefault(where.tobytes(), []).append(x.reset_index(drop=True))
+        return pd.DataFrame([r for snaps in alike.values() for r in same_places(snaps)])
+
+    key = "depot" if "depot" in snapshots.columns else "route_id"
+    return spread(snapshots, key).groupBy(key).applyInPandas(lambda g: run(g), POLICY_SCHEMA)
 
 
 #: Depots that follow one another are simulated in one task, so that numpy steps take all their tours on at once.

@@ -1,6 +1,7 @@
 """Tour search: invariants, and brute force on few nodes."""
 
 import itertools
+import random
 
 import numpy as np
 import pytest
@@ -278,3 +279,80 @@ def test_equity_depots_are_bounded_and_changes_are_enough(spark):
     few, all_ = catalogue._states(t, 50.0, 8.0, changes=True), catalogue._states(t, 50.0, 8.0)
     assert few.count() < all_.count()
     assert sorted(T.equity(few, g).collect()) == sorted(T.equity(all_, g).collect())
+
+
+def test_policies_by_depot_are_those_of_each_snapshot(spark):
+    """A depot's snapshots taken on together give what each gives alone; kernels give what plain scans give."""
+    import numpy as np
+
+    from fleetsense.operators import routing, tours
+
+    r = random.Random(8)
+    at = {d: [(23.7 + r.random() * 0.05, 90.3 + r.random() * 0.05) if k % 9 else (None, None) for k in range(45)] for d in (1, 2)}
+    at[3] = [(None, None)] * 3
+    rows = [(d, s * 100 + d, k, *p, r.random() if r.random() < 0.4 else 0.0, r.random() < 0.2, r.random() * 24, 23.72, 90.33) for d, ps in at.items() for s in range(3) for k, p in enumerate(ps)]
+    df = spark.createDataFrame(rows, "depot long, route_id long, node_id long, latitude double, longitude double, priority double, critical boolean, time_to_overflow double, user_lat double, user_lng double")
+    key = lambda x: (x.route_id, x.policy, x.alpha or 0.0)
+    together, alone = (sorted(routing.compare_policies(d).collect(), key=key) for d in (df, df.drop("depot")))
+    assert together == alone and len(together) == 9 * 10
+    m = routing.distances(*np.array([p for p in at[1] if p[0]] + [(23.72, 90.33)]).T)
+    n = len(m) - 1
+    p = np.array([[r.random() for _ in range(n)] for _ in range(3)])
+    assert tours.greedy(np.ones(n, bool), m, 1 + 10 * p).tolist() == [routing.greedy(list(range(n)), m, n, x, 1.0) for x in p]
+
+    def plain_two_opt(order, max_pass=30):
+        t = [n, *order, n]
+        for _ in range(max_pass):
+            improved = False
+            for i in range(1, len(t) - 2):
+                for k in range(i + 2, len(t) - 1):
+                    if m[t[i - 1], t[i]] + m[t[k], t[k + 1]] - m[t[i - 1], t[k]] - m[t[i], t[k + 1]] > 1e-9:
+                        t[i : k + 1] = t[i : k + 1][::-1]
+                        improved = True
+            if not improved:
+                break
+        return t[1:-1]
+
+    def plain_or_opt(order, move_last):
+        t = [n, *order, n]
+        for _ in range(10):
+            for s, i in [(s, i) for s in (1, 2, 3) for i in range(1, len(t) - s - (0 if move_last else 1))]:
+                seg, rest = t[i : i + s], t[:i] + t[i + s :]
+                saved = m[t[i - 1], t[i]] + m[t[i + s - 1], t[i + s]] - m[t[i - 1], t[i + s]]
+                j = next((j for j in range(len(rest) - 1) if saved - (m[rest[j], seg[0]] + m[seg[-1], rest[j + 1]] - m[rest[j], rest[j + 1]]) > 1e-9), None)
+                if j is not None:
+                    t = rest[: j + 1] + seg + rest[j + 1 :]
+                    break
+            else:
+                break
+        return t[1:-1]
+
+    for seed in range(20):
+        order = random.Random(seed).sample(range(n), n - seed)
+        assert routing.two_opt(order, m, n) == plain_two_opt(order)
+        for move_last in (True, False):
+            assert routing.or_opt(order, m, n, move_last=move_last) == plain_or_opt(order, move_last)
+
+
+def test_policies_work_a_depots_places_out_once(monkeypatch):
+    """Snapshots of one depot share the matrix."""
+    from fleetsense.operators import routing
+
+    class Rows:
+        columns = ["depot", "route_id"]
+
+        def groupBy(self, key):
+            assert key == "depot"
+            return self
+
+        def applyInPandas(self, f, schema):
+            return f
+
+    rows, seen = Rows(), []
+    monkeypatch.setattr(routing, "spread", lambda df, key: df)
+    plain = routing.distances
+    monkeypatch.setattr(routing, "distances", lambda *a: seen.append(1) or plain(*a))
+    import pandas as pd
+
+    g = pd.DataFrame([(1, s, k, 23.7 + k / 100, 90.3 + (k * 7 % 5) / 100, 0.1 * k, k == 3, 5.0, 23.7, 90.3) for s in range(4) for k in range(8)], columns=["depot", "route_id", "node_id", "latitude", "longitude", "priority", "critical", "time_to_overflow", "user_lat", "user_lng"])
+    assert len(routing.compare_policies(rows)(g)) == 4 * 10 and len(seen) == 1
