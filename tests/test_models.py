@@ -140,3 +140,16 @@ def test_features_that_no_tree_uses_are_not_scored(spark):
     used = {c for c, v in ml.importances(model, ml.FORWARD) if v > 0}
     got = {r.feature: r.increase for r in ml.permutation_importance(model, rows.where("NOT is_train"), ml.FORWARD, "time_to_overflow", 2).collect()}
     assert set(got) == set(ml.FORWARD) and len(used) < len(got) and all(got[c] == 0.0 for c in got if c not in used)
+
+
+def test_calibration_takes_a_row_for_each_score(spark):
+    """Many rows of few scores are a row for each before isotonic regression, with the same curve."""
+    from pyspark.ml.regression import IsotonicRegression
+
+    d = spark.range(3000).select((F.pmod(F.xxhash64("id"), F.lit(7)) / 7).alias("raw_score"), (F.pmod(F.xxhash64("id", F.lit(1)), F.lit(10)) < F.pmod(F.xxhash64("id"), F.lit(7))).cast("double").alias("hazard"))
+    few = ml.by_score(d)
+    assert few.count() == 7 and few.agg(F.sum("weight")).first()[0] == 3000
+    whole = IsotonicRegression(featuresCol="raw_score", labelCol="hazard").fit(d)
+    small = IsotonicRegression(featuresCol="raw_score", labelCol="hazard", weightCol="weight").fit(few)
+    assert list(whole.boundaries) == list(small.boundaries)
+    assert max(abs(a - b) for a, b in zip(whole.predictions, small.predictions)) < 1e-12
