@@ -9,11 +9,14 @@ from ..sources.shared import fresh_path, shared_dir, stored  # noqa: F401  used
 
 #: Rows in one Arrow batch: texts may be long, so few rows keep a worker's memory small.
 BATCH_ROWS = 1000
+#: And about so many bytes, where rows are long: both the executor and the worker hold a batch whole.
+ROWS_BYTES = 4 << 20
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the rows of an Arrow batch for this session."""
+    """Bound the rows and bytes of an Arrow batch for this session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ROWS_BYTES))
 
 
 def shuffle_parts(spark: SparkSession) -> int:

@@ -53,8 +53,8 @@ HUB = 64
 PART, ASKERS, STAR = 512, 2048, 128
 #: Bits of the filter that says which texts are needed; beyond what it can tell apart, more texts than needed are sent.
 NEED_BITS = 24
-#: Text that a worker hashes at once.
-BATCH_BYTES = 2 << 20
+#: Text of a batch, and what of it is hashed at once: hashing takes some 40 times the bytes that it is given.
+BATCH_BYTES, HASH_BYTES = 2 << 20, 256 << 10
 _SEEDS = [int(x) for x in (np.arange(1, 2 * KEYS + 1, dtype=np.uint64) * hashing.MIX) | np.uint64(1)]
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -63,6 +63,15 @@ _LOWER[65:91] += 32
 def shingle_sets(column, words: int = WORDS) -> list[np.ndarray]:
     """Each text's ascending distinct shingle hashes (a text of fewer words: one, of all its words; without words: none)."""
     data, bounds = hashing.buffer(column)
+    out, at = [], 0
+    while at < len(column):
+        end = max(at + 1, int(np.searchsorted(bounds, bounds[at] + HASH_BYTES, "right")) - 1)
+        out += _sets(data[bounds[at] : bounds[end]], bounds[at : end + 1] - bounds[at], words)
+        at = end
+    return out
+
+
+def _sets(data: np.ndarray, bounds: np.ndarray, words: int) -> list[np.ndarray]:
     _, _, h, cuts = hashing.words_of(_LOWER[data], bounds)
     n = len(h)
     out = []
@@ -200,7 +209,13 @@ def frequency_table(docs: DataFrame, parts: int) -> np.ndarray:
             blobs.clear()
             wide = np.zeros((len(six), 8), np.uint8)
             wide[:, :6] = six
-            token, n = np.unique(np.unique(wide.view(np.uint64).ravel()) >> kind_bits, return_counts=True)
+            del six
+            both = wide.view(np.uint64).ravel()
+            both.sort()  # in place: np.unique would hold a hash table of them
+            token = both[np.append(True, both[1:] != both[:-1])] >> kind_bits
+            del wide, both
+            at = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+            token, n = token[at], np.diff(at, append=len(token))
             yield _cut((token >> np.uint64(_BLOCK_BITS)).astype(np.int64), token.astype(np.uint32), n.astype(np.uint32))
 
     def total(batches):

@@ -177,3 +177,26 @@ def test_buckets_are_held_one_at_a_time():
         blobs.clear()
     assert got == [(1, [b"\0\0", b"\0\1"]), (3, [b"\0\2", b"\1\0", b"\1\1", b"\2\0"]), (4, [b"\2\1"]), (4, [b"\3\0"])]
     assert list(jaccard_join.buckets([], "tokens")) == []
+
+
+def test_texts_are_hashed_in_slices(monkeypatch):
+    """Hashing takes many times the bytes that it is given, so a batch is not hashed as a whole; sets are the same."""
+    import pyarrow as pa
+
+    texts = pa.array([f"Text {i} has words {i % 7} that\nothers have too " * (i % 5) for i in range(200)] + ["", "one", "long " * 500], pa.large_string())
+    want = [x.tolist() for x in jaccard_join.shingle_sets(texts)]
+    given, real = [], jaccard_join.hashing.words_of
+    monkeypatch.setattr(jaccard_join, "HASH_BYTES", 1000)
+    monkeypatch.setattr(jaccard_join.hashing, "words_of", lambda data, bounds: given.append((len(data), len(bounds) - 1)) or real(data, bounds))
+    assert [x.tolist() for x in jaccard_join.shingle_sets(texts.slice(3))] == want[3:]
+    assert sum(n for _, n in given) == len(texts) - 3
+    assert all(size <= 1000 or n == 1 for size, n in given)
+    assert jaccard_join.shingle_sets(texts.slice(0, 0)) == []
+
+
+def test_arrow_batches_are_bounded_by_bytes(spark):
+    """Rows of a shuffle are blobs: a thousand of them may be a hundred MB."""
+    jaccard_join.common.small_batches(spark)
+    blobs = spark.range(0, 200, 1, 1).selectExpr("id", "repeat('x', 200000) AS x")
+    sizes = [r.n for r in blobs.mapInArrow(lambda batches: (b.from_arrays([b.column("id").slice(0, 1), __import__("pyarrow").array([b.nbytes])], ["id", "n"]) for b in batches), "id long, n long").collect()]
+    assert len(sizes) > 1 and max(sizes) < 2 * jaccard_join.common.ROWS_BYTES
