@@ -50,19 +50,20 @@ def _edge(places: DataFrame, n: int) -> float:
     return next((e for i, e in enumerate(edges) if n / max(1, cubes[i]) >= 3), edges[-1])
 
 
-def nearest(nodes: DataFrame, k: int = 8) -> DataFrame:
-    """node_id, rank, neighbour, distance_m: the k nearest other nodes (all, if fewer), nearest first, ties (to a millimetre) to the lesser id.
+def _nearest_lists(nodes: DataFrame, k: int) -> DataFrame:
+    """node_id, others: its k nearest as an array of (distance_m, node_id), as nearest() has them; a node that is alone has an empty one.
 
-    nodes: node_id, latitude, longitude. A node without coordinates is left out. Of nodes at one place only the k + 1
-    least ids can be among another's nearest, so a place that very many nodes share costs no more than that.
+    Places are compared, each with its k + 1 least ids: nodes that share a place are as far from any other, so what is
+    met grows with the places. The k + 1 nearest nodes are at the k + 1 places that come first by distance and least id.
     """
     nodes = nodes.select("node_id", "latitude", "longitude").dropna()
     first = F.row_number().over(Window.partitionBy("latitude", "longitude").orderBy("node_id"))
-    data = stored(nodes.withColumn("nth", first).where(F.col("nth") <= k + 1).select("node_id", "nth", "latitude", "longitude", *_positions()), "places")
-    places = data.where("nth = 1")
+    few = nodes.withColumn("nth", first).where(F.col("nth") <= k + 1)
+    places = few.groupBy("latitude", "longitude").agg(F.sort_array(F.collect_list("node_id")).alias("ids"))  # k + 1 at most
+    places = stored(places.select(F.element_at("ids", 1).alias("place"), "ids", "latitude", "longitude", *_positions()), "places")
     n = places.count()
     edge, found = _edge(places, n), None
-    left = places.select(F.col("node_id").alias("place"), F.col("latitude").alias("lat"), F.col("longitude").alias("lng"), "x", "y", "z")
+    left = places.select("place", F.col("latitude").alias("lat"), F.col("longitude").alias("lng"), "x", "y", "z")
     while True:
         all_ = edge >= 2 * EARTH_M
         cube = lambda c, e=edge: F.floor(F.col(c) / e)
@@ -70,10 +71,11 @@ def nearest(nodes: DataFrame, k: int = 8) -> DataFrame:
         asks = left
         for c in "xyz":
             asks = asks.select("*", near(c))
-        there = data.select("node_id", "latitude", "longitude", *[cube(c).alias(f"c{c}") for c in "xyz"])
-        met = asks.join(there, ["cx", "cy", "cz"]).select("place", "node_id", F.round(S.haversine_m("lat", "lng", "latitude", "longitude"), 3).alias("distance_m"))
-        best = met.withColumn("r", F.row_number().over(Window.partitionBy("place").orderBy("distance_m", "node_id"))).where(F.col("r") <= k + 1)
-        lists = best.groupBy("place").agg(F.sort_array(F.collect_list(F.struct("distance_m", "node_id"))).alias("near"))  # k + 1 at most
+        there = places.select(F.col("place").alias("least"), "ids", "latitude", "longitude", *[cube(c).alias(f"c{c}") for c in "xyz"])
+        met = asks.join(there, ["cx", "cy", "cz"]).select("place", "least", "ids", F.round(S.haversine_m("lat", "lng", "latitude", "longitude"), 3).alias("distance_m"))
+        best = met.withColumn("r", F.row_number().over(Window.partitionBy("place").orderBy("distance_m", "least"))).where(F.col("r") <= k + 1)
+        lists = best.groupBy("place").agg(F.collect_list(F.transform("ids", lambda i: F.struct(F.col("distance_m"), i.alias("node_id")))).alias("near"))  # (k + 1)^2 nodes at most
+        lists = lists.select("place", F.slice(F.sort_array(F.flatten("near")), 1, k + 1).alias("near"))
         # Within an edge's length nothing is missed. A chord is shorter than its arc.
         sure = (F.size("near") == k + 1) & (F.element_at("near", -1)["distance_m"] < edge - 0.01)
         lists = stored(lists.withColumn("sure", F.lit(True) if all_ else sure), "near")
@@ -84,26 +86,39 @@ def nearest(nodes: DataFrame, k: int = 8) -> DataFrame:
             break
         left = stored(left, "unsettled")
         edge = edge * 2 if edge < 1 << 20 else 4.0 * EARTH_M
-    of = nodes.join(places.select(F.col("node_id").alias("place"), "latitude", "longitude"), ["latitude", "longitude"]).join(found, "place")
-    others = F.slice(F.filter("near", lambda x: x["node_id"] != F.col("node_id")), 1, k)
-    return of.select("node_id", F.posexplode(others).alias("at", "o")).select("node_id", (F.col("at") + 1).alias("rank"), F.col("o.node_id").alias("neighbour"), F.col("o.distance_m").alias("distance_m"))
+    of = nodes.join(places.select("place", "latitude", "longitude"), ["latitude", "longitude"]).join(found, "place")
+    return of.select("node_id", F.slice(F.filter("near", lambda x: x["node_id"] != F.col("node_id")), 1, k).alias("others"))
+
+
+def nearest(nodes: DataFrame, k: int = 8) -> DataFrame:
+    """node_id, rank, neighbour, distance_m: the k nearest other nodes (all, if fewer), nearest first, ties (to a millimetre) to the lesser id.
+
+    nodes: node_id, latitude, longitude. A node without coordinates is left out. Of nodes at one place only the k + 1
+    least ids can be among another's nearest, so a place that very many nodes share costs no more than that.
+    """
+    rows = _nearest_lists(nodes, k).select("node_id", F.posexplode("others").alias("at", "o"))
+    return rows.select("node_id", (F.col("at") + 1).alias("rank"), F.col("o.node_id").alias("neighbour"), F.col("o.distance_m").alias("distance_m"))
 
 
 def along_curve(lat: Column, lng: Column) -> Column:
     """Place on a Hilbert curve over all latitudes and longitudes (scaled alike, so near places have near numbers)."""
     cell = lambda v, low, span: F.least(F.lit((1 << CURVE_BITS) - 1), F.floor((v - low) / span * (1 << CURVE_BITS))).cast("long")
-    start = F.struct(F.lit(0).cast("long").alias("d"), cell(lng, -180.0, 360.0).alias("x"), cell(lat, -180.0, 360.0).alias("y"))
+    bits = CURVE_BITS
 
-    def step(acc: Column, s: Column) -> Column:
-        rx, ry = (acc["x"].bitwiseAND(s) > 0).cast("long"), (acc["y"].bitwiseAND(s) > 0).cast("long")
-        d = acc["d"] + s * s * (rx * 3).bitwiseXOR(ry)
-        turn = lambda v: F.when(rx == 1, s - 1 - v.bitwiseAND(s - 1)).otherwise(v.bitwiseAND(s - 1))
-        x = F.when(ry == 0, turn(acc["y"])).otherwise(acc["x"].bitwiseAND(s - 1))
-        y = F.when(ry == 0, turn(acc["x"])).otherwise(acc["y"].bitwiseAND(s - 1))
-        return F.struct(d.alias("d"), x.alias("x"), y.alias("y"))
+    @F.pandas_udf("long")
+    def place(x: pd.Series, y: pd.Series) -> pd.Series:
+        x, y = x.to_numpy(np.int64), y.to_numpy(np.int64)
+        d = np.zeros(len(x), np.int64)
+        for k in reversed(range(bits)):
+            side = 1 << k
+            rx, ry = x >> k & 1, y >> k & 1
+            d += side * side * (rx * 3 ^ ry)
+            x, y = x & (side - 1), y & (side - 1)
+            flip = np.where(rx == 1, side - 1, 0)
+            x, y = np.where(ry == 0, y ^ flip, x), np.where(ry == 0, x ^ flip, y)  # side - 1 - v is v with its bits turned
+        return pd.Series(d)
 
-    sides = F.array(*[F.lit(1 << k).cast("long") for k in reversed(range(CURVE_BITS))])
-    return F.aggregate(sides, start, step, lambda acc: acc["d"])
+    return place(cell(lng, -180.0, 360.0), cell(lat, -180.0, 360.0))
 
 
 def _within(nodes: DataFrame, keys) -> tuple[DataFrame, Column, Column]:
@@ -134,8 +149,8 @@ def improved(points: np.ndarray, near: list[list[int]], eps: float = 1e-7) -> li
     n = len(points)
     t, pos = list(range(n)), list(range(n))
     p = [tuple(x) for x in points.tolist()]
-    d = lambda a, b: math.dist(p[a], p[b])
-    near = [[(d(a, c), c) for c in near[a]] for a in range(n)]
+    dist = math.dist
+    near = [[(dist(p[a], p[c]), c) for c in near[a]] for a in range(n)]
 
     def put(i: int, piece: list[int]) -> None:
         t[i : i + len(piece)] = piece
@@ -149,7 +164,7 @@ def improved(points: np.ndarray, near: list[list[int]], eps: float = 1e-7) -> li
             if after and i == n - 1 or not after and i == 0:
                 continue
             b = t[i + 1] if after else t[i - 1]
-            ab = d(a, b)
+            ab = dist(p[a], p[b])
             for ac, c in near[a]:
                 if ac >= ab:
                     break
@@ -157,7 +172,7 @@ def improved(points: np.ndarray, near: list[list[int]], eps: float = 1e-7) -> li
                 if after and j == n - 1 or not after and j == 0:
                     continue
                 e = t[j + 1] if after else t[j - 1]
-                if ac + d(b, e) - ab - d(c, e) < -eps:
+                if ac + dist(p[b], p[e]) - ab - dist(p[c], p[e]) < -eps:
                     lo, hi = (min(i, j) + 1, max(i, j)) if after else (min(i, j), max(i, j) - 1)
                     if lo == 0 or hi == n - 1:
                         continue
@@ -174,7 +189,7 @@ def improved(points: np.ndarray, near: list[list[int]], eps: float = 1e-7) -> li
                 if lo < 1 or hi > n - 2:
                     continue
                 before, behind, first, last = t[lo - 1], t[hi + 1], t[lo], t[hi]
-                saved = d(before, first) + d(last, behind) - d(before, behind)
+                saved = dist(p[before], p[first]) + dist(p[last], p[behind]) - dist(p[before], p[behind])
                 if saved <= eps:
                     continue
                 other = last if a == first else first
@@ -188,7 +203,7 @@ def improved(points: np.ndarray, near: list[list[int]], eps: float = 1e-7) -> li
                         if g < 0 or g >= n - 1 or lo - 1 <= g <= hi:
                             continue
                         e = t[g + 1] if g == j else t[g]
-                        if ac + d(other, e) - d(c, e) - saved < -eps:
+                        if ac + dist(p[other], p[e]) - dist(p[c], p[e]) - saved < -eps:
                             piece = t[lo : hi + 1]
                             if (a == first) != (g == j):  # a stands next to c
                                 piece.reverse()
@@ -218,7 +233,8 @@ def long_tour(nodes: DataFrame, depot: tuple[float, float], keys=(), k: int = 8,
     """
     if stretch < 8:
         raise ValueError("a stretch has eight nodes at least")
-    lists = nearest(nodes, k).groupBy("node_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "neighbour"))), lambda x: x["neighbour"]).alias("near"))  # k at most
+    lists = _nearest_lists(nodes, k).select("node_id", F.transform("others", lambda x: x["node_id"]).alias("near"))  # k at most
+    lists = lists.groupBy("node_id").agg(F.min("near").alias("near"))  # one, even if an id is repeated
     rows = in_curve_order(nodes.select("node_id", *keys, "latitude", "longitude"), keys, "n_of_key").join(lists, "node_id", "left")
     ends = rows.groupBy(*keys).agg(F.max("n_of_key").alias("n")) if keys else rows.agg(F.max("n_of_key").alias("n")).where("n IS NOT NULL")
     ends = ends.select(*keys, F.inline(F.array(F.struct(F.lit(0).cast("long").alias("pos")), F.struct((F.col("n") + 1).alias("pos")))))
@@ -228,21 +244,22 @@ def long_tour(nodes: DataFrame, depot: tuple[float, float], keys=(), k: int = 8,
     names = [*keys, "pos", "node_id", "latitude", "longitude", "near"]
     schema = rows.select(*names).schema
 
-    def refine(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("pos").reset_index(drop=True)
-        if len(g) < 4:
-            return g[names]
-        place = {int(v): i for i, v in enumerate(g.node_id) if not pd.isna(v)}
-        lat, lng = np.radians(g.latitude.to_numpy(float)), np.radians(g.longitude.to_numpy(float))
+    def refine(g):
+        import pyarrow as pa
+
+        g = g.select(names).combine_chunks().sort_by("pos")
+        if g.num_rows < 4:
+            return g
+        place = {v: i for i, v in enumerate(g["node_id"].to_pylist()) if v is not None}
+        lat, lng = np.radians(g["latitude"].to_numpy()), np.radians(g["longitude"].to_numpy())
         points = np.column_stack([np.cos(lat) * np.cos(lng), np.cos(lat) * np.sin(lng), np.sin(lat)]) * EARTH_M
-        order = improved(points, [[place[v] for v in x if v in place] for x in g.near])
-        out = g.iloc[order][names]
-        return out.assign(pos=g.pos.to_numpy())
+        order = improved(points, [[place[v] for v in x if v in place] for x in g["near"].to_pylist()])
+        return g.take(pa.array(order)).set_column(names.index("pos"), g.schema.field("pos"), g["pos"])
 
     for turn in range(turns):
         offset = (turn % 2) * (stretch // 2)
         of = F.floor((F.col("pos") + offset) / stretch)
-        rows = stored(rows.withColumn("_of", of).groupBy(*keys, "_of").applyInPandas(lambda g: refine(g.drop(columns="_of")), schema), "tour")
+        rows = stored(rows.withColumn("_of", of).groupBy(*keys, "_of").applyInArrow(refine, schema), "tour")
     return rows.where("node_id IS NOT NULL").select(*keys, "pos", "node_id")
 
 

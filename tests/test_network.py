@@ -48,6 +48,24 @@ def test_nearest(spark, monkeypatch, rows, k):
     assert got == brute_nearest(rows, k)
 
 
+def test_nearest_compares_places_not_nodes(spark, monkeypatch):
+    """Nodes that share a place are as far from any other: they are met as one row."""
+    rows = [(k * 30 + i, 23.7 + i * 0.001, 90.3 + (i % 7) * 0.001) for i in range(30) for k in range(12)]
+    kept, real = {}, network.stored
+    monkeypatch.setattr(network, "stored", lambda df, name: kept.setdefault(name, real(df, name)))
+    got = {}
+    for x in network.nearest(spark.createDataFrame(rows, SCHEMA).repartition(3), 14).orderBy("node_id", "rank").collect():
+        got.setdefault(x.node_id, []).append(x.neighbour)
+    assert got == brute_nearest(rows, 14)
+    assert kept["places"].count() == 30
+
+
+def test_long_tour_of_a_repeated_id_has_each_place_once(spark):
+    rows = random_nodes(60, 8)
+    got = [x.pos for x in network.long_tour(spark.createDataFrame([*rows, (5, 23.75, 90.35)], SCHEMA), (23.7, 90.3)).orderBy("pos").collect()]
+    assert got == list(range(1, 62))
+
+
 @pytest.mark.parametrize(("n", "size"), [(1000, 64), (64, 64), (65, 64), (5, 64)])
 def test_clusters_are_bounded_and_even(spark, n, size):
     df = spark.createDataFrame([*random_nodes(n, n), (10**6, None, None)], SCHEMA)
