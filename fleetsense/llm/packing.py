@@ -158,7 +158,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, max_tokens: int = MAX_TO
             return pa.RecordBatch.from_arrays(columns, names)
 
         for batch in common.sized(batches, "text"):
-            raw, counts = enc.encode(batch.column("text").to_pylist())
+            raw, counts = enc.encode(batch.column("text"))
             ids = np.insert(raw, np.cumsum(counts), np.uint32(end_id)).astype("<u4", copy=False)
             n = counts + 1
             new = (ids, batch.column("doc_id").cast(pa.int64()), np.zeros(len(n), np.int64), n, n)

@@ -46,7 +46,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
         part, before = TaskContext.get().partitionId(), 0
         enc = encoder(source, False)
         for batch in common.sized(batches, "text"):
-            raw, counts = enc.encode(batch.column("text").to_pylist())
+            raw, counts = enc.encode(batch.column("text"))
             ids = np.insert(raw, np.cumsum(counts), np.uint32(end_id)).astype(np.int32)
             counts = counts + 1
             ends = np.cumsum(counts)

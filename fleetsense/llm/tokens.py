@@ -26,6 +26,8 @@ CACHE_CHARS = 100
 CALL_WORDS = 1000
 #: A space in a run of white space (a superset of what the tokenizers take for it).
 RUN = r"[\s\x0b\x1c-\x1f\x85\pZ] | [\s\x0b\x1c-\x1f\x85\pZ]"
+#: A word that is empty or has such white space at an end.
+ODD_WORD = r"^$|^[\s\x0b\x1c-\x1f\x85\pZ]|[\s\x0b\x1c-\x1f\x85\pZ]$"
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
@@ -64,10 +66,14 @@ class Encoder:
 
         None where a word begins or ends with white space, so that the cuts might depend on its neighbours, or where words do not end with an id.
         """
-        if self.drops_spaces or any(not w or w[0].isspace() or w[-1].isspace() for w in words):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        text = " ".join(["", *words])
+        if self.drops_spaces or pc.match_substring_regex(pa.array([text + " "], pa.large_string()), RUN)[0].as_py():
             return None
-        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, np.int64)
-        ends = np.cumsum([len(w.encode()) + 1 for w in words])
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
+        ends = np.cumsum(np.asarray(pc.binary_length(pa.array(words, pa.large_string()))) + 1)
         upto = np.cumsum(self.id_bytes[ids])
         last = np.searchsorted(upto, ends)
         if not len(ids) or upto[-1] != ends[-1] or (upto[last] != ends).any():
@@ -88,79 +94,86 @@ class Encoder:
             counts.append(np.bincount(np.array(found.word_ids, np.int64), minlength=len(part)))
         return (np.concatenate(out), np.concatenate(counts)) if out else (np.empty(0, np.uint32), np.empty(0, np.int64))
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in order (uint32), and each text's number of ids (int64)."""
+    def encode(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in order (uint32), and each text's number of ids (int64), of a list of texts or an Arrow array without nulls."""
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        if self.drops_spaces or not texts:
-            return self._by_words(texts)
-        whole = np.asarray(pc.match_substring_regex(pa.array(texts, pa.large_string()), RUN))
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
+        if self.drops_spaces or not len(column):
+            return self._by_words(column)
+        runs = pc.match_substring_regex(column, RUN)
+        whole = np.asarray(runs)
         if whole.all():
-            return self._plain(texts)
+            return self._plain(column.to_pylist())
         if not whole.any():
-            return self._by_words(texts)
-        parts = [self._by_words([t for t, w in zip(texts, whole) if not w]), self._plain([t for t, w in zip(texts, whole) if w])]
-        sizes = np.empty(len(texts), np.int64)
+            return self._by_words(column)
+        parts = [self._by_words(column.filter(pc.invert(runs))), self._plain(column.filter(runs).to_pylist())]
+        sizes = np.empty(len(column), np.int64)
         sizes[~whole], sizes[whole] = parts[0][1], parts[1][1]
         of = np.repeat(whole, sizes)
         ids = np.empty(len(of), np.uint32)
         ids[~of], ids[of] = parts[0][0], parts[1][0]
         return ids, sizes
 
-    def _by_words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _append(self, ids: np.ndarray) -> None:
+        need = self.used + len(ids)
+        if need > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.empty(max(need, len(self.flat)), np.uint32)])
+        self.flat[self.used : need] = ids
+        self.used = need
+
+    def _by_words(self, column) -> tuple[np.ndarray, np.ndarray]:
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        column = pa.array(texts, pa.large_string())
         if self.drops_spaces:
             column = pc.replace_substring(column, "\n", " ")
         parts = pc.split_pattern(column, " ")
         n_words = np.diff(np.asarray(parts.offsets)).astype(np.int64)
-        coded = pc.dictionary_encode(parts.flatten())
-        names = coded.dictionary.to_pylist()
-        code = np.asarray(coded.indices).astype(np.int64)
-        slot = np.fromiter(map(self.index.get, names, itertools.repeat(-1)), np.int64, len(names))
+        values = parts.flatten()
+        coded = pc.dictionary_encode(values.cast(pa.string()) if values.nbytes < 1 << 31 else values)  # short offsets are hashed faster
+        names = coded.dictionary.to_numpy(zero_copy_only=False)
+        code = np.array(coded.indices)
+        slot = np.fromiter(map(self.index.get, names.tolist(), itertools.repeat(-1)), np.int64, len(names))
         new = np.flatnonzero(slot < 0)
         kept_used = self.used
         starts, sizes = self.starts[slot], self.sizes[slot]
         if len(new):
-            keep = np.asarray(pc.utf8_length(coded.dictionary))[new] <= CACHE_CHARS
+            found = coded.dictionary.take(pa.array(new))
+            keep = np.asarray(pc.utf8_length(found)) <= CACHE_CHARS
             if len(self.index) + keep.sum() > CACHE_WORDS:  # too many: those that the batch has twice, as many as fit
                 keep &= np.bincount(code, minlength=len(names))[new] > 1
                 keep[np.flatnonzero(keep)[CACHE_WORDS - len(self.index) :]] = False
-            new = np.concatenate([new[keep], new[~keep]])  # what is kept comes first, so that the rest can be overwritten
-            words, k, n = [names[i] for i in new], int(keep.sum()), len(self.index)
+            # What is kept comes first, so that the rest can be overwritten; in both, words that cannot be joined come last.
+            odd = np.zeros(len(new), bool) if self.drops_spaces else np.asarray(pc.match_substring_regex(found, ODD_WORD))
+            new = new[np.lexsort([odd, ~keep])]
+            words, k, n = names[new].tolist(), int(keep.sum()), len(self.index)
             ids, counts = self._words(words)
-            need = self.used + len(ids)
-            if need > len(self.flat):
-                self.flat = np.concatenate([self.flat[: self.used], np.empty(max(need, len(self.flat)), np.uint32)])
-            self.flat[self.used : need] = ids
             starts[new] = self.used + np.cumsum(counts) - counts
             sizes[new] = counts
             kept_used = self.used + int(counts[:k].sum())
-            self.used = need
+            self._append(ids)
             self.starts[n : n + k], self.sizes[n : n + k] = starts[new[:k]], counts[:k]
             self.index.update(zip(words[:k], range(n, n + k)))
-        firsts = None
         if not self.drops_spaces:  # the first word has no space before it; an empty one is no word
             at = np.cumsum(n_words) - n_words
-            first_ids, first_sizes = self._plain([t.split(" ", 1)[0] for t in texts])
-            firsts = (at, self.used + np.cumsum(first_sizes) - first_sizes, first_sizes)
-            need = self.used + len(first_ids)
-            if need > len(self.flat):
-                self.flat = np.concatenate([self.flat[: self.used], np.empty(max(need, len(self.flat)), np.uint32)])
-            self.flat[self.used : need] = first_ids
-        w_starts, w_sizes = starts[code], sizes[code]
-        if firsts:
-            w_starts[firsts[0]], w_sizes[firsts[0]] = firsts[1], firsts[2]
-        ends = np.cumsum(w_sizes)
+            firsts = pc.dictionary_encode(values.take(pa.array(at)))
+            first_ids, first_sizes = self._plain(firsts.dictionary.to_pylist())
+            code[at] = len(names) + np.asarray(firsts.indices)
+            starts = np.concatenate([starts, self.used + np.cumsum(first_sizes) - first_sizes])
+            sizes = np.concatenate([sizes, first_sizes])
+            self._append(first_ids)
+        # The ids of each distinct word are the bytes of a value, and Arrow copies a value for each word of the texts.
+        ends = np.cumsum(sizes)
         pos = np.arange(int(ends[-1]) if len(ends) else 0)
-        pos += np.repeat(w_starts - (ends - w_sizes), w_sizes)
-        ids = self.flat.take(pos)
-        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(n_words)])]
+        pos += np.repeat(starts - (ends - sizes), sizes)
         self.used = kept_used
-        return ids, np.diff(bounds)
+        of_names = [None, pa.py_buffer(4 * np.concatenate([[0], ends])), pa.py_buffer(self.flat.take(pos))]
+        _, upto, ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), of_names).take(pa.array(code)).buffers()
+        upto = np.frombuffer(upto, np.int64)[: len(code) + 1] // 4
+        bounds = upto[np.concatenate([[0], np.cumsum(n_words)])]
+        return np.frombuffer(ids, np.uint32)[: int(upto[-1])], np.diff(bounds)
 
 
 def encoder(path: str, drops_spaces: bool) -> Encoder:

@@ -191,3 +191,22 @@ def test_words_in_one_call_are_those_of_words_alone():
     ids, sizes = e._joined(plain)
     alone = [e.tokenizer.encode(" " + w, add_special_tokens=False).ids for w in plain]
     assert sizes.tolist() == [len(x) for x in alone] and ids.tolist() == [i for x in alone for i in x]
+
+
+def test_columns_give_the_ids_of_lists_and_odd_words_share_calls(monkeypatch):
+    """Arrow columns, whole or sliced; words with white space at an end do not keep the others from one call."""
+    import pyarrow as pa
+
+    texts = [*(H.prose(k, 40) + f" w{k}x" + "\n" * (k % 3 == 0) for k in range(300)), "", " a", "b  c", "\n", "é\u2028"]
+    for name, (_, t) in ENCODERS.items():
+        enc = tokens.Encoder(tokens.tokenizer_path(name), name == tokens.WORD_BPE)
+        calls, joined = [], enc._joined
+        monkeypatch.setattr(enc, "_joined", lambda words: calls.append(joined(words)) or calls[-1])
+        monkeypatch.setattr(tokens, "CALL_WORDS", 20)
+        want = [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+        for column, first in ((pa.array(texts), 0), (pa.array(texts, pa.large_string()).slice(7), 7)):
+            ids, n = enc.encode(column)
+            assert ids.tolist() == [i for x in want[first:] for i in x] and n.tolist() == [len(x) for x in want[first:]]
+        if name == tokens.BYTE_BPE:
+            odd = len({w for x in texts for w in x.split(" ") if w != w.strip() or not w})
+            assert sum(x is None for x in calls) <= odd // 20 + 2 < len(calls) // 3
